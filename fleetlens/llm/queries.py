@@ -7,14 +7,34 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from fleetlens.llm import license_scan, packing, token_counts, token_files
+from fleetlens.llm import classifier, fingerprints, language_model, license_scan, mixing, packing, quality_rules, similarity_join, token_counts, token_files
 from fleetlens.llm.common import documents, shared_dir
 
 
+def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.mix_table(documents(spark, sf_dir))
+
+
+def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quality_rules.quality_rules(documents(spark, sf_dir))
+
+
+def op3_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return classifier.quality_scores(documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op4_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return license_scan.license_scan(documents(spark, sf_dir))
 
 
+def op5_similarity_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return similarity_join.similarity_classes(documents(spark, sf_dir))
+
+
+def op6_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return language_model.language_model(documents(spark, sf_dir))
+
+
 def op7_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(documents(spark, sf_dir), public_tokenizers.path("word_bpe_49k.json"), end=1)
 
@@ -23,6 +43,10 @@ def op8_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts.token_counts(documents(spark, sf_dir), public_tokenizers.path("byte_bpe_50k.json"), limit=1024)
 
 
+def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.fingerprints(documents(spark, sf_dir))
+
+
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     import uuid
 
@@ -32,10 +56,8 @@ def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op4_license_scan": op4_license_scan,
-    "op7_packing": op7_packing,
-    "op8_token_counts": op8_token_counts,
-    "op10_token_files": op10_token_files,
+    f.__name__: f
+    for f in (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_license_scan, op5_similarity_join, op6_language_model, op7_packing, op8_token_counts, op9_fingerprints, op10_token_files)
 }
 
 ORACLE: dict[str, str] = {}
