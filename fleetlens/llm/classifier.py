@@ -167,6 +167,19 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
     return [t for _, t, _ in got], np.array([x for _, _, x in got], np.int64)
 
 
+def _trained(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, most_labelled: int, settings: Settings):
+    texts, y = training_sample(docs, labels, label_col, folds, most_labelled)
+    return docs.sparkSession.sparkContext.broadcast(train(texts, y, settings))
+
+
+def filtered(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, threshold: float = 0.3, most_labelled: int = 4000, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """The documents that score threshold or more, with the columns of docs, in one narrow stage."""
+    model = _trained(docs, labels, label_col, folds, most_labelled, settings)
+    rows = docs.select(F.struct(*docs.columns).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
+    kind = rows.schema["id"].dataType.simpleString()
+    return rows.mapInArrow(partial(_score, model=model, settings=settings), f"id {kind}, score double").filter(F.col("score") >= threshold).select("id.*")
+
+
 def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, threshold: float = 0.3, most_labelled: int = 4000, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(doc_id, held_out, score, predicted) for each row of docs.
 
@@ -178,8 +191,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     held out and are not trained on; repeated rows give a row each; other columns are
     ignored; without labelled rows every score is 0.5; an empty table gives no rows.
     """
-    texts, y = training_sample(docs, labels, label_col, folds, most_labelled)
-    model = docs.sparkSession.sparkContext.broadcast(train(texts, y, settings))
+    model = _trained(docs, labels, label_col, folds, most_labelled, settings)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(partial(_score, model=model, settings=settings), f"id {kind}, score double")

@@ -143,9 +143,11 @@ def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float, lea
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, c, signature, bands): c names the text's shingle set; no signature and bands without words."""
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(partial(_sketch, width=width), "id bigint, c binary, signature binary, bands array<bigint>")
+    """(id, t, c, signature, bands): t is a hash of the text, c names its shingle set; no signature and bands without words."""
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t")).alias("id"), text.alias("text"))
+    out = rows.mapInArrow(partial(_sketch, width=width), "id struct<id: bigint, t: bigint>, c binary, signature binary, bands array<bigint>")
+    return out.select("id.id", "id.t", "c", "signature", "bands")
 
 
 def links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, width: int, threshold: float, tolerance: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -211,6 +213,22 @@ def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     own id and 1 copy. Null ids are one id; repeated rows give a row each and count as
     copies; other columns are ignored; an empty table gives an empty result.
     """
+    return _classes(docs, width, threshold, tolerance, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "copy_id", "n_copies", "n_links")
+
+
+def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The row with the least id of each class, with the columns of docs; equal rows are one. Of texts that share the least id the one with the least hash stays; rows without words all stay."""
+    classes = _classes(docs, width, threshold, tolerance, id_col, text_col)
+    kept = classes.groupBy("group").agg(F.min(F.struct("id", "t")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.t").alias("_t"))
+    kept = materialize(kept.distinct(), "join-kept")
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    rows = docs.withColumn("_h", F.xxhash64(text)).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left_semi")
+    repeated = classes.groupBy("id", "t").agg(F.count("*").alias("n")).filter("n > 1").head(1)
+    return (rows.dropDuplicates([id_col, "_h"]) if repeated else rows).select(*docs.columns)
+
+
+def _classes(docs: DataFrame, width: int, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
+    """(id, t, group, class_id, copy_id, n_copies, n_links); group names the class, also where ids are null or shared."""
     sketch = materialize(sketches(docs, width, id_col, text_col), "join-sketches")
     worded = sketch.filter(F.col("signature").isNotNull())
     classes = materialize(worded.groupBy(F.col("c").alias("k")).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "join-classes")
@@ -219,9 +237,10 @@ def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     labels = components(edges)
     named = classes.join(ends, "k", "left").join(labels.select(F.col("c").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "label").select("k", "rep", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id")
+    named = named.join(least, "label").select("k", "rep", "label", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id")
     own: Column = F.col("k").isNull()
-    return sketch.select("id", F.when(F.col("signature").isNotNull(), F.col("c")).alias("c")).join(named, F.col("c") == F.col("k"), "left").select(
-        F.col("id").alias(id_col), F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("id")).otherwise(F.col("rep")).alias("copy_id"),
+    return sketch.select("id", "t", F.when(F.col("signature").isNotNull(), F.col("c")).alias("c")).join(named, F.col("c") == F.col("k"), "left").select(
+        "id", "t", F.when(own, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("t").cast("string"))).otherwise(F.hex("label")).alias("group"),
+        F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("id")).otherwise(F.col("rep")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
