@@ -185,7 +185,7 @@ def path_groups(archive: DataFrame) -> DataFrame:
 
 def restore_cost(located: DataFrame, cost_rate: DataFrame) -> DataFrame:
     """(dle, point, medium, bytes, parts, price): reading each chain, priced at the rates of the medium its first archive is read from. located comes from chains.located."""
-    totals = located.groupBy("dle", "point").agg(F.min_by("medium", C.run_key("run")).alias("medium"), F.sum("bytes").alias("bytes"), F.sum("parts").alias("parts"))
+    totals = located.groupBy("dle", "point").agg(F.min_by("medium", F.when(F.col("medium").isNotNull(), C.run_key("run"))).alias("medium"), F.sum("bytes").alias("bytes"), F.sum("parts").alias("parts"))
     rated = totals.join(F.broadcast(cost_rate), "medium", "left")
     return rated.select("dle", "point", "medium", "bytes", "parts", C.read_cost("bytes", "parts", "gib_egress", "per_1000").alias("price"))
 

@@ -157,13 +157,14 @@ def next_level(state: DataFrame, estimate: DataFrame, force_full: DataFrame, cyc
     last = F.col("last_level")
     saves = (F.col("same_est") - F.col("next_est")) * F.lit(100.0) >= F.col("full_est") * F.lit(bump)
     climbs = (last < 9) & (F.col("next_est") > 0) & (F.col("at_level") >= 2) & saves
+    to = lambda level, reason: F.struct(level.cast("int").alias("level"), F.lit(reason).alias("reason"))
     pick = (
-        F.when(F.col("_forced"), F.struct(F.lit(0).alias("level"), F.lit("forced").alias("reason")))
-        .when(F.col("days_since_full") < 0, F.struct(F.lit(0), F.lit("first full")))
-        .when(F.col("days_since_full") >= cycle, F.struct(F.lit(0), F.lit("cycle due")))
-        .when(last < 1, F.struct(F.lit(1), F.lit("after full")))
-        .when(climbs, F.struct((last + 1).cast("int"), F.lit("bump")))
-        .otherwise(F.struct(last.cast("int"), F.lit("hold")))
+        F.when(F.col("_forced"), to(F.lit(0), "forced"))
+        .when(F.col("days_since_full") < 0, to(F.lit(0), "first full"))
+        .when(F.col("days_since_full") >= cycle, to(F.lit(0), "cycle due"))
+        .when(last < 1, to(F.lit(1), "after full"))
+        .when(climbs, to(last + 1, "bump"))
+        .otherwise(to(last, "hold"))
     )
     return rows.select("dle", pick.alias("p")).select("dle", "p.level", "p.reason")
 
