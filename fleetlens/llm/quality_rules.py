@@ -25,6 +25,11 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, BLANK, " ")))
 
 
+def text_key(text: Column) -> Column:
+    """60 bits that name a text."""
+    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
+
+
 def line_key(line: Column) -> Column:
     return F.xxhash64(normal_line(line))
 
@@ -88,7 +93,7 @@ def common_lines(docs: DataFrame, share: float, least: int, host_col: str = "sou
     most (lines a text) / share entries, as each entry takes that share of the texts.
     """
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.xxhash64(text).alias("t"), F.array_distinct(F.transform(lines_of(text), line_key)).alias("keys"))
+    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text).alias("t"), F.array_distinct(F.transform(lines_of(text), line_key)).alias("keys"))
     limits = rows.groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.greatest(F.lit(least).cast("double"), F.count("*") * F.lit(share)).alias("most"))
     held = rows.select("host", "t", F.explode("keys").alias("key")).groupBy("host", "key", "t").agg(F.lit(1).alias("one"))
     counted = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("t").alias("first_text")).filter(F.col("n") > least)
@@ -106,7 +111,7 @@ def _judged(docs: DataFrame, share: float, least: int, host_col: str, text_col:
     common = materialize(common_lines(docs, share, least, host_col, text_col), "common-lines").withColumnsRenamed({"host": "_host2", "common": "_common"})
     own = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     both = own.join(common, F.col("_host") == F.col("_host2"), "left")
-    both = both.withColumn("_drop", let(F.xxhash64(text), lambda t: F.transform(F.filter("_common", lambda x: x["first_text"] != t), lambda x: x["key"])))
+    both = both.withColumn("_drop", let(text_key(text), lambda t: F.transform(F.filter("_common", lambda x: x["first_text"] != t), lambda x: x["key"])))
     hits = let(F.col("_drop"), lambda drop: F.transform(F.filter(lines_of(text), lambda line: F.array_contains(drop, line_key(line))), lambda line: F.size(words_of(line))))
     gone = let(hits, lambda h: F.struct(F.size(h).cast("long").alias("lines"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x).alias("words")))
     none = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("words"))

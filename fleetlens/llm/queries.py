@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 import public_tokenizers
@@ -9,6 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from fleetlens.llm import classifier, fingerprints, language_model, license_scan, mixing, packing, quality_rules, similarity_join, token_counts, token_files
 from fleetlens.llm.common import documents, shared_dir
+from fleetlens.llm.oracles import ORACLE as ORACLE
 
 
 def op1_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,8 +50,6 @@ def op9_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
-    import uuid
-
     path = f"{shared_dir(spark)}/token-files-{uuid.uuid4().hex}"
     token_files.write_token_files(documents(spark, sf_dir), path, public_tokenizers.path("byte_bpe_50k.json"), end=2)
     return token_files.read_token_files(spark, path)
@@ -59,5 +59,3 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     f.__name__: f
     for f in (op1_mixing, op2_quality_rules, op3_quality_classifier, op4_license_scan, op5_similarity_join, op6_language_model, op7_packing, op8_token_counts, op9_fingerprints, op10_token_files)
 }
-
-ORACLE: dict[str, str] = {}
