@@ -49,7 +49,7 @@ def run_date(run: Column | str) -> Column:
 def run_key(run: Column | str) -> Column:
     """A text that sorts as runs do: by date, then by the number behind it; other ids sort as they are."""
     r = _c(run)
-    return F.when(r.rlike(RUN), F.concat(run_date(r), F.lit("."), F.lpad(F.regexp_extract(r, RUN, 2), 18, "0"))).otherwise(r)
+    return F.when(r.rlike(RUN), F.concat(F.lit("run-"), run_date(r), F.lit("."), F.lpad(F.regexp_extract(r, RUN, 2), 18, "0"))).otherwise(r)
 
 
 def run_valid(run: Column | str) -> Column:

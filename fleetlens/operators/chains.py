@@ -118,7 +118,7 @@ def recovery_points(based: DataFrame, placement: DataFrame, most_rounds: int = M
     """
     copies = placement.select("dle", "run").distinct().withColumn("_copy", F.lit(True))
     nodes = cut(based.join(copies, ["dle", "run"], "left").select("dle", "run", "level", "base_run", F.coalesce("_copy", F.lit(False)).alias("copy")))
-    slim = nodes.select("dle", F.col("run").alias("n_run"), F.col("level").alias("n_level"), F.col("base_run").alias("n_base"), F.col("copy").alias("n_copy"))
+    slim = nodes.select(F.col("dle").alias("n_dle"), F.col("run").alias("n_run"), F.col("level").alias("n_level"), F.col("base_run").alias("n_base"), F.col("copy").alias("n_copy"))
     front = nodes.select("dle", "run", F.col("level").alias("tip_level"), F.col("level").alias("at_level"), F.col("base_run").alias("next"), F.array("run").alias("seen"), F.col("copy").alias("copies"))
     done: DataFrame | None = None
     for _ in range(most_rounds):
@@ -127,7 +127,7 @@ def recovery_points(based: DataFrame, placement: DataFrame, most_rounds: int = M
         missing = ~ended & (F.col("next").isNull() | (F.col("next") == ""))
         verdict = F.when(ended, F.when(F.col("copies"), "complete").otherwise("no copy")).when(missing, "base missing").when(looped, "cycle")
         judged = front.withColumn("verdict", verdict)
-        step = judged.filter("verdict is null").join(slim, (judged["dle"] == slim["dle"]) & (judged["next"] == slim["n_run"]), "left").drop(slim["dle"])
+        step = judged.filter("verdict is null").join(slim, (F.col("dle") == F.col("n_dle")) & (F.col("next") == F.col("n_run")), "left")
         lost = step.filter("n_run is null").select("dle", "run", F.col("tip_level").alias("level"), F.size("seen").alias("links"), F.lit("base missing").alias("verdict"))
         ends = judged.filter("verdict is not null").select("dle", "run", F.col("tip_level").alias("level"), F.size("seen").alias("links"), "verdict").unionByName(lost)
         done = ends if done is None else done.unionByName(ends)

@@ -86,7 +86,7 @@ def read_drill_ledger(spark: SparkSession, path: str) -> DataFrame:
 def read_member_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     """Tables member, frame and unit of index files `<run>-<dle>-L<level>.idx.gz`; a file that cannot be decoded is left out."""
     docs = spark.read.schema(S.MEMBER_INDEX).option("mode", "DROPMALFORMED").json(path, multiLine=True).withColumn("_f", F.input_file_name())
-    name = r"(run-[^/]+?)-([^/]+)-L(\d+)\.idx"
+    name = r"(run-\d{4}-\d{2}-\d{2}\.\d+)-([^/]+)-L(\d+)\.idx"
     docs = docs.select(F.regexp_extract("_f", name, 1).alias("run"), F.regexp_extract("_f", name, 2).alias("dle"), F.regexp_extract("_f", name, 3).cast("int").alias("level"), "members", "frames", "units")
     key = ["run", "dle", "level"]
     member = docs.select(*key, F.posexplode("members").alias("seq", "m")).select(*key, "seq", F.col("m.p").alias("path"), F.col("m.o").alias("off"))

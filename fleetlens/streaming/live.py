@@ -33,11 +33,11 @@ def stage_split(latest: DataFrame) -> DataFrame:
     return latest.groupBy("run").agg(part(s == "done", done).alias("landed"), part(s == "holding", done).alias("holding"), part(s == "dumping", done).alias("in_flight"), part(s.isin("dumping", "waiting"), rest).alias("to_go"))
 
 
-def write_progress(stream: DataFrame, name: str, checkpoint: str):
-    """Start the progress totals of a stream of events into the in-memory table `name`: each batch replaces the totals."""
+def write_progress(stream: DataFrame, path: str, checkpoint: str):
+    """Start writing the progress totals of a stream of events to path: each batch replaces them."""
 
     def batch(df: DataFrame, _: int) -> None:
-        progress_totals(df).createOrReplaceGlobalTempView(name)
+        progress_totals(df).write.mode("overwrite").parquet(path)
 
     return latest_progress(stream).writeStream.outputMode("complete").foreachBatch(batch).option("checkpointLocation", checkpoint).start()
 
