@@ -122,7 +122,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, b
 
     for batch in batches:
         ids, texts = batch.column(0).to_pylist(), batch.column(1).to_pylist()
-        for at, part in chunks(texts, 1_000_000):
+        for at, part in chunks(texts):
             parts.append(with_end(*own.encode(part), end))
             keys += ids[at : at + len(part)]
             size += len(parts[-1][0])
@@ -133,7 +133,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, b
         yield block()
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, block_tokens: int = 2_000_000, gap: int = 12, costs: tuple[int, int, int] = (0, 8, 64), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, block_tokens: int = 2_000_000, gap: int = 12, costs: tuple[int, int, int] = (0, 2, 32), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document (its ids, then the id end) into sequences of at most window tokens, one row a piece.
 
     Documents keep the order of their partition. Each partition is cut into blocks of

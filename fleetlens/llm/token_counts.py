@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tokens import UnitCache, chunks, spaced_units, sums_by
+from fleetlens.llm.tokens import UnitCache, chunks, sums_by
 
 #: How byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -45,7 +45,7 @@ class MergeCounter:
         self._reset()
 
     def _reset(self) -> None:
-        self.cache = UnitCache(spaced_units)
+        self.cache = UnitCache(spaced=True)
         self.known: dict[str, int] = {}
         self.lengths = np.zeros(0, np.int64)
 

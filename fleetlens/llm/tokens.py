@@ -11,26 +11,27 @@ from __future__ import annotations
 
 import os
 import re
-from collections.abc import Callable, Iterable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 
+from fleetlens.llm.wordhash import BACK, MIX, STEP, mixed, powers
+
 #: White space of any Unicode kind but blank, tab, LF and CR, and the separator used below.
 EXOTIC = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
 RUN = re.compile(r"[ \t\n\r]{2}")
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
-MAX_UNITS = 500_000
-MAX_CHARS = 24_000_000
+MAX_UNITS = 2_000_000
+TABLE_BITS = 22
+
+BLANK = np.zeros(256, bool)
+BLANK[[9, 10, 13, 32]] = True
 
 
 def spaced_units(text: str) -> list[str]:
     """Units that keep their leading white space, for vocabularies that encode it."""
-    if EXOTIC.search(text):
-        return [text]
-    if RUN.search(text):
-        return UNIT.findall(text)
-    return text.replace(" ", "\0 ").replace("\n", "\0\n").split("\0")
+    return [text] if EXOTIC.search(text) else UNIT.findall(text)
 
 
 def bare_units(text: str) -> list[str]:
@@ -38,40 +39,129 @@ def bare_units(text: str) -> list[str]:
     return [text] if EXOTIC.search(text) else text.split()
 
 
-class _Seen(dict):
-    """Unit to number; new units are numbered on first sight and kept in fresh."""
+class HashTable:
+    """Numbers of 64-bit keys, by open addressing in numpy arrays."""
 
     def __init__(self) -> None:
-        super().__init__()
-        self.fresh: list[str] = []
-
-    def __missing__(self, unit: str) -> int:
-        i = self[unit] = len(self)
-        self.fresh.append(unit)
-        return i
+        self.keys = np.zeros(1 << TABLE_BITS, np.uint64)
+        self.numbers = np.zeros(1 << TABLE_BITS, np.int32)
+        self.mask = (1 << TABLE_BITS) - 1
+
+    def find(self, keys: np.ndarray) -> np.ndarray:
+        """The number of each key, -1 where it has none."""
+        slot = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        there = self.keys[slot]
+        out = np.where(there == keys, self.numbers[slot], np.int32(-1))
+        rest = np.flatnonzero((there != keys) & (there != 0))
+        while len(rest):
+            slot[rest] = (slot[rest] + 1) & self.mask
+            there = self.keys[slot[rest]]
+            hit = there == keys[rest]
+            out[rest[hit]] = self.numbers[slot[rest[hit]]]
+            rest = rest[~hit & (there != 0)]
+        return out
+
+    def add(self, keys: np.ndarray, numbers: np.ndarray) -> None:
+        """Put in distinct keys that are not there yet."""
+        slot = (keys >> np.uint64(64 - TABLE_BITS)).astype(np.int64)
+        rest = np.arange(len(keys))
+        while len(rest):
+            free = self.keys[slot[rest]] == 0
+            _, first = np.unique(slot[rest], return_index=True)
+            win = np.zeros(len(rest), bool)
+            win[first] = True
+            win &= free
+            at = rest[win]
+            self.keys[slot[at]], self.numbers[slot[at]] = keys[at], numbers[at]
+            rest = rest[~win]
+            slot[rest] = np.where(self.keys[slot[rest]] != 0, (slot[rest] + 1) & self.mask, slot[rest])
 
 
 class UnitCache:
-    """Maps texts to the numbers of their units; learn(units) is told of each new unit once."""
-
-    def __init__(self, units: Callable[[str], list[str]]) -> None:
-        self.units = units
-        self.seen = _Seen()
-        self.chars = 0
-
-    def number(self, texts: Iterable[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+    """Maps texts to the numbers of their units; new units are given out once.
+
+    Texts whose units are parted by single blanks are handled all at once: a unit is known
+    by a 64-bit hash of its bytes and the blank before it. Other texts are cut one by one.
+    """
+
+    def __init__(self, spaced: bool) -> None:
+        self.spaced = spaced
+        self.units = spaced_units if spaced else bare_units
+        self.table = HashTable()
+        self.odd: dict[str, int] = {}
+        self.size = 0
+
+    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
+        """(keys, starts, ends, units of each text, buffer) of texts in one buffer, each behind a zero byte."""
+        data = [b"\0" + t.encode() for t in texts]
+        buffer = b"".join(data)
+        raw = np.frombuffer(buffer, np.uint8)
+        apart = BLANK[raw] | (raw == 0)
+        edge = np.diff(np.concatenate(([True], apart, [True])).astype(np.int8))
+        starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        n = len(raw)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers_of(STEP, n), dtype=np.uint64)])
+        keys = (prefix[ends] - prefix[starts]) * powers_of(BACK, n)[starts]
+        if self.spaced:
+            keys = keys + (raw[starts - 1].astype(np.uint64) + np.uint64(1)) * MIX
+            starts = np.where(raw[starts - 1] == 0, starts, starts - 1)
+        keys = mixed(keys) | np.uint64(1)
+        ends_of_texts = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
+        return keys, starts, ends, np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))), buffer
+
+    def _is_plain(self, text: str) -> bool:
+        if EXOTIC.search(text):
+            return False
+        return not self.spaced or not (RUN.search(text) or text[-1:] in (" ", "\n", "\t", "\r"))
+
+    def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Unit numbers of all texts in a row, units of each text, and the units not seen before."""
-        get, rows = self.seen.__getitem__, []
-        for text in texts:
-            rows.append(np.fromiter(map(get, self.units(text)), dtype=np.int64))
-        fresh, self.seen.fresh = self.seen.fresh, []
-        self.chars += sum(map(len, fresh))
-        counts = np.fromiter(map(len, rows), dtype=np.int64, count=len(rows))
-        return (np.concatenate(rows) if rows else np.zeros(0, np.int64)), counts, fresh
+        plain = np.fromiter(map(self._is_plain, texts), bool, len(texts))
+        keys, starts, ends, counts, buffer = self._plain([t for t, p in zip(texts, plain.tolist(), strict=True) if p])
+        numbers = self.table.find(keys)
+        new, first = np.unique(keys[numbers < 0], return_index=True)
+        at = np.flatnonzero(numbers < 0)[first]
+        fresh = [buffer[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
+        self.table.add(new, np.arange(self.size, self.size + len(new), dtype=np.int32))
+        self.size += len(new)
+        if len(new):
+            numbers = np.where(numbers < 0, self.table.find(keys), numbers)
+        if plain.all():
+            return numbers, counts, fresh
+        rows, ends_of_rows, k = [], np.cumsum(counts), 0
+        for text, p in zip(texts, plain.tolist(), strict=True):
+            if p:
+                rows.append(numbers[ends_of_rows[k] - counts[k] : ends_of_rows[k]])
+                k += 1
+            else:
+                rows.append(np.array([self._odd(u, fresh) for u in self.units(text)], np.int32))
+        return np.concatenate(rows), np.fromiter(map(len, rows), np.int64, len(rows)), fresh
+
+    def _odd(self, unit: str, fresh: list[str]) -> int:
+        i = self.odd.get(unit)
+        if i is None:
+            i = self.odd[unit] = self.size
+            self.size += 1
+            fresh.append(unit)
+        return i
 
     @property
     def full(self) -> bool:
-        return len(self.seen) > MAX_UNITS or self.chars > MAX_CHARS
+        return self.size > MAX_UNITS or len(self.odd) > MAX_UNITS // 4
+
+
+_POWERS: dict[int, np.ndarray] = {}
+
+
+def powers_of(base: np.uint64, n: int) -> np.ndarray:
+    """The first n powers of base; kept for the next call up to a few million."""
+    key = int(base)
+    if key not in _POWERS or len(_POWERS[key]) < n:
+        found = powers(base, max(n, 1 << 21))
+        if n > 1 << 23:
+            return found
+        _POWERS[key] = found
+    return _POWERS[key][:n]
 
 
 def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
@@ -81,7 +171,7 @@ def sums_by(values: np.ndarray, counts: np.ndarray) -> np.ndarray:
     return total[ends] - total[ends - counts]
 
 
-def chunks(texts: list[str], most_chars: int = 4_000_000) -> Iterator[tuple[int, list[str]]]:
+def chunks(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int, list[str]]]:
     """Consecutive slices of texts with about most_chars characters each, and where they start."""
     start = size = 0
     for i, text in enumerate(texts):
@@ -101,11 +191,11 @@ class Encoder:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_file(path)
-        self.units = spaced_units if _keeps_space(self.library) else bare_units
+        self.spaced = _keeps_space(self.library)
         self._reset()
 
     def _reset(self) -> None:
-        self.cache = UnitCache(self.units)
+        self.cache = UnitCache(self.spaced)
         self.starts = np.zeros(0, np.int64)
         self.lengths = np.zeros(0, np.int64)
         self.flat = np.zeros(0, np.uint32)
