@@ -16,21 +16,21 @@ STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
 
-#: Bytes with white space as one kind of blank.
-BLANKS = bytes(32 if b in (9, 10, 11, 12, 13, 32) else b for b in range(256))
+#: Bytes with white space as one kind of blank; a zero byte begins each text.
+BLANKS = bytes(32 if b in (0, 9, 10, 11, 12, 13, 32) else b for b in range(256))
 
 PIECE_BYTES = 1_000_000
 
 
 @dataclass(frozen=True)
 class Settings:
-    """bits: log2 of the number of hashed features. grams: lengths in bytes of character n-grams. dim: embedding size."""
+    """bits: log2 of the number of hashed features. grams: lengths in bytes of character n-grams. dim: embedding size. steps: documents seen in training, in whole passes over the sample."""
 
     bits: int = 18
     grams: tuple[int, ...] = (3, 5)
     dim: int = 8
-    epochs: int = 4
-    rate: float = 0.5
+    steps: int = 16_000
+    rate: float = 1.0
     seed: int = 7
 
 
@@ -40,23 +40,32 @@ def _powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def features(data: bytes, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
-    """Hashed features of a run of blank-separated words: (feature numbers, byte at which each begins).
+def features(data: bytes, settings: Settings, before: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
+    """Hashed features of texts, each behind a zero byte: (feature numbers, byte at which each begins, hash of the last word).
 
-    Every word is a feature, and every n-gram of bytes without a blank inside; a blank may
-    stand at either end and marks a word's begin or end.
+    Every word is a feature, every pair of neighbouring words, and every n-gram of bytes
+    without a blank inside; a blank may stand at either end and marks a word's begin or
+    end. A pair is known by the difference of its hashes, so a word said twice in a row is
+    one feature, whichever word it is. before is the hash of the word before data.
     """
     raw = np.frombuffer(data, np.uint8)
     n = len(raw)
     if not n:
-        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+        return np.zeros(0, np.int64), np.zeros(0, np.int64), before
     with np.errstate(over="ignore"):
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(STEP, n))])
         back = _powers(BACK, n)
-        blank = raw == 32
+        blank = (raw == 32) | (raw == 0)
         edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        hashes, at = [(prefix[ends] - prefix[starts]) * back[starts]], [starts]
+        words = (prefix[ends] - prefix[starts]) * back[starts]
+        text = np.cumsum(raw == 0)
+        ahead, behind, second = words[1:], words[:-1], starts[1:]
+        inside = text[starts[1:]] == text[starts[:-1]]
+        pairs, places = (ahead - behind)[inside] * MIX + np.uint64(1), second[inside]
+        if before is not None and len(words):
+            pairs, places = np.append((words[0] - before) * MIX + np.uint64(1), pairs), np.append(starts[0], places)
+        hashes, at = [words, pairs], [starts, places]
         blanks = np.concatenate([[0], np.cumsum(blank)])
         for size in settings.grams:
             if n >= size:
@@ -66,7 +75,15 @@ def features(data: bytes, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
         mixed = np.concatenate(hashes) * MIX
         mixed ^= mixed >> np.uint64(32)
         numbers = ((mixed * MIX) >> np.uint64(64 - settings.bits)).astype(np.int64)
-    return numbers, np.concatenate(at)
+    return numbers, np.concatenate(at), words[-1] if len(words) else before
+
+
+def _features_of(data: bytes, settings: Settings) -> Iterator[np.ndarray]:
+    """Feature numbers of one text, piece by piece."""
+    before = None
+    for piece in _pieces(data):
+        numbers, _, before = features(piece, settings, before)
+        yield numbers
 
 
 def _pieces(data: bytes) -> Iterator[bytes]:
@@ -83,13 +100,12 @@ def _pieces(data: bytes) -> Iterator[bytes]:
 
 
 def _normal(text: str | None) -> bytes:
-    return b" " + (text or "").encode().translate(BLANKS) + b" "
+    return b"\0" + (text or "").encode().translate(BLANKS) + b" "
 
 
 def document_features(text: str | None, settings: Settings) -> tuple[np.ndarray, np.ndarray]:
     """Distinct features of a text and how often each occurs; the last number stands for the document itself."""
-    numbers = [features(piece, settings)[0] for piece in _pieces(_normal(text))]
-    return np.unique(np.concatenate([*numbers, [1 << settings.bits]]), return_counts=True)
+    return np.unique(np.concatenate([*_features_of(_normal(text), settings), [1 << settings.bits]]), return_counts=True)
 
 
 def train(texts: list[str | None], labels: np.ndarray, settings: Settings) -> np.ndarray:
@@ -103,8 +119,9 @@ def train(texts: list[str | None], labels: np.ndarray, settings: Settings) -> np
     embedding = rng.uniform(-1.0 / settings.dim, 1.0 / settings.dim, (size, settings.dim))
     output = np.zeros((2, settings.dim))
     docs = [document_features(t, settings) for t in texts]
-    steps, total = 0, max(1, settings.epochs * len(docs))
-    for _ in range(settings.epochs):
+    epochs = -(-settings.steps // len(docs)) if docs else 0
+    steps, total = 0, max(1, epochs * len(docs))
+    for _ in range(epochs):
         for i in rng.permutation(len(docs)):
             numbers, counts = docs[i]
             weight = counts / counts.sum()
@@ -127,13 +144,12 @@ def _score_chunk(texts: list[str | None], odds: np.ndarray, settings: Settings)
     sums, counts = np.full(len(texts), float(odds[-1])), np.ones(len(texts), np.int64)
     data = [_normal(t) for t in texts]
     if len(data) == 1:
-        for piece in _pieces(data[0]):
-            numbers, _ = features(piece, settings)
+        for numbers in _features_of(data[0], settings):
             sums[0] += odds[numbers].sum(dtype=np.float64)
             counts[0] += len(numbers)
     else:
         sizes = np.fromiter(map(len, data), np.int64, len(data))
-        numbers, at = features(b"".join(data), settings)
+        numbers, at, _ = features(b"".join(data), settings)
         owner = np.searchsorted(np.cumsum(sizes), at, "right")
         sums += np.bincount(owner, weights=odds[numbers], minlength=len(data))
         counts += np.bincount(owner, minlength=len(data))

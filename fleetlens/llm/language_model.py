@@ -282,7 +282,7 @@ def _likelihood(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordB
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["k", "ll"])
 
 
-def language_model(docs: DataFrame, held_out: int = 2, states: int = 4, steps: int = 2, sample: int = 1000, seed: int = 11) -> DataFrame:
+def language_model(docs: DataFrame, held_out: int = 2, states: int = 8, steps: int = 3, sample: int = 1000, seed: int = 11) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     The unigram score adds log10((c + 1) / (N + V + 1)) over all tokens. The method's score
