@@ -19,8 +19,10 @@ STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 HASHES, BANDS, ROWS = 128, 25, 5
 #: Values compared at a time by the pruning.
 ROUND = 32
-#: Texts of a block of a bucket.
-BLOCK = 64
+#: Texts of a block, the unit in which candidates are compared.
+BLOCK = 256
+#: Pairs above which a block's intersections are counted by a matrix product.
+MANY = 400
 
 _RNG = np.random.default_rng(2029)
 _FACTORS = _RNG.integers(0, 1 << 63, HASHES, np.uint64) * np.uint64(2) + np.uint64(1)
@@ -70,18 +72,12 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, signatures, bands = [], [], []
-        for _, part in chunks(batch.column(1).to_pylist(), 2_000_000):
+        keys, bands = [], []
+        for _, part in chunks(batch.column(1).to_pylist()):
             for s in shingle_sets(part, width):
-                keys.append(set_key(s))
-                if len(s):
-                    signature = minhash(s)
-                    signatures.append(signature.astype("<u4").tobytes())
-                    bands.append(band_keys(signature).view(np.int64))
-                else:
-                    signatures.append(None)
-                    bands.append(None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(signatures, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "c", "signature", "bands"])
+                keys.append(set_key(s) if len(s) else None)
+                bands.append(band_keys(minhash(s)).view(np.int64) if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "c", "bands"])
 
 
 def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -103,79 +99,144 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
     return out
 
 
-def survives(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]]) -> bool:
-    matches = at = 0
+def candidates(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
+    """Pairs of signatures (rows of a and b) that the pruning leaves, as a matrix of booleans: values are compared a round at a time, and it ends when no pair is left."""
+    matches, at = np.zeros((len(a), len(b)), np.int16), 0
+    alive = np.ones(matches.shape, bool)
     for n, m in least:
-        matches += int(np.count_nonzero(a[at:n] == b[at:n]))
+        matches += (a[:, None, at:n] == b[None, :, at:n]).sum(axis=2, dtype=np.int16)
         at = n
-        if matches < m:
-            return False
-    return True
-
-
-def jaccard(a: np.ndarray, b: np.ndarray) -> float:
-    both = len(np.intersect1d(a, b, assume_unique=True))
-    return both / (len(a) + len(b) - both)
+        alive &= matches >= m
+        if not alive.any():
+            break
+    return alive
+
+
+def shared_counts(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
+    """Sizes of the intersections of a[i] and b[j] for the pairs (i, j): one by one, or for many pairs by products of 0/1 matrices over slices of the shingles."""
+    if len(pairs) <= MANY:
+        return np.array([len(np.intersect1d(a[i], b[j], assume_unique=True)) for i, j in pairs.tolist()], np.int64)
+    names, places = np.unique(np.concatenate([*a, *b]), return_inverse=True)
+    rows = np.repeat(np.arange(len(a) + len(b)), [len(x) for x in (*a, *b)])
+    order = np.argsort(places, kind="stable")
+    places, rows = places[order], rows[order]
+    total, step = np.zeros((len(a), len(b)), np.float32), 4096
+    for low in range(0, len(names), step):
+        lo, hi = np.searchsorted(places, [low, low + step])
+        table = np.zeros((len(a) + len(b), step), np.float32)
+        table[rows[lo:hi], places[lo:hi] - low] = 1
+        total += table[: len(a)] @ table[len(a) :].T
+    return np.rint(total[pairs[:, 0], pairs[:, 1]]).astype(np.int64)
+
+
+def _roots(n: int, pairs: np.ndarray) -> list[int]:
+    """The least member that each of n members is linked to, directly or over others."""
+    root = list(range(n))
+
+    def find(i: int) -> int:
+        while root[i] != i:
+            root[i] = root[root[i]]
+            i = root[i]
+        return i
+
+    for i, j in pairs.tolist():
+        x, y = find(i), find(j)
+        if x != y:
+            root[max(x, y)] = min(x, y)
+    return [find(i) for i in range(n)]
+
+
+def compare(signatures: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: list[tuple[int, int]]) -> np.ndarray:
+    """Linked pairs (i, j) between the members numbered in left and right; for one block both are the same, and each pair is taken once."""
+    alive = candidates(signatures[left], signatures[right], least)
+    if left is right:
+        alive = np.triu(alive, 1)
+    pairs = np.argwhere(alive)
+    if not len(pairs):
+        return np.zeros((0, 2), np.int64)
+    a, b = [sets[i] for i in left.tolist()], [sets[j] for j in right.tolist()]
+    both = shared_counts(a, b, pairs)
+    sizes = np.array([len(x) for x in a])[pairs[:, 0]] + np.array([len(x) for x in b])[pairs[:, 1]]
+    good = both >= threshold * (sizes - both) - 1e-9
+    return np.stack([left[pairs[good, 0]], right[pairs[good, 1]]], axis=1)
 
 
 def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float, least: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Rows sorted by block: first its texts (kind 0), then its pairs (kind 1). Gives the pairs that pass both checks."""
-    block, members = None, {}
+    """Rows (x, y, block, c, text) sorted by (x, y): compares block x with block y. Gives for each linked member its number of links there and a member it is linked to."""
+    key, members = None, {}
+
+    def done() -> pa.RecordBatch | None:
+        found = shingle_sets([text for _, text in members.values()], width)
+        # An id that several texts share brings them all; only the one of this class counts.
+        own = [(name, block, s) for ((name, _), (block, _)), s in zip(members.items(), found, strict=True) if set_key(s) == name]
+        if len(own) < 2:
+            return None
+        names, sets = [m[0] for m in own], [m[2] for m in own]
+        signatures = np.stack([minhash(s) for s in sets])
+        side = np.array([m[1] == key[0] for m in own])
+        left = np.flatnonzero(side)
+        right = left if key[0] == key[1] else np.flatnonzero(~side)
+        pairs = compare(signatures, sets, left, right, threshold, least)
+        if not len(pairs):
+            return None
+        counts = np.bincount(pairs.ravel(), minlength=len(names))
+        roots = _roots(len(names), pairs)
+        hit = np.flatnonzero(counts).tolist()
+        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], pa.binary()), pa.array([names[roots[i]] for i in hit], pa.binary()), pa.array(counts[hit].astype(np.int64))], ["a", "b", "n"])
+
     for batch in batches:
-        left, right, values = [], [], []
-        rows = batch.to_pydict()
-        new = [i for i, kind in enumerate(rows["kind"]) if kind == 0]
-        sets = dict(zip(new, shingle_sets([rows["text"][i] for i in new], width), strict=True))
-        for i, (bucket, low, high) in enumerate(zip(rows["bucket"], rows["low"], rows["high"], strict=True)):
-            if (bucket, low, high) != block:
-                block, members = (bucket, low, high), {}
-            a = rows["a"][i]
-            if rows["kind"][i] == 0:
-                if set_key(sets[i]) == a:  # an id that several texts share names them all; only the one of this class counts
-                    members[a] = (np.frombuffer(rows["signature"][i], "<u4"), sets[i])
-            else:
-                b = rows["b"][i]
-                if survives(members[a][0], members[b][0], least) and (j := jaccard(members[a][1], members[b][1])) >= threshold:
-                    left.append(a)
-                    right.append(b)
-                    values.append(j)
-        yield pa.RecordBatch.from_arrays([pa.array(left, pa.binary()), pa.array(right, pa.binary()), pa.array(values, pa.float64())], ["a", "b", "similarity"])
+        x, y, block, c, text = (batch.column(i).to_pylist() for i in range(5))
+        for i in range(len(x)):
+            if (x[i], y[i]) != key:
+                if len(members) > 1 and (out := done()) is not None:
+                    yield out
+                key, members = (x[i], y[i]), {}
+            members[(c[i], hash(text[i]))] = (block[i], text[i])  # repeated rows once
+    if len(members) > 1 and (out := done()) is not None:
+        yield out
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, c, signature, bands): t is a hash of the text, c names its shingle set; no signature and bands without words."""
+    """(id, t, c, bands): t is a hash of the text, c names its shingle set; c and bands are null without words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t")).alias("id"), text.alias("text"))
-    out = rows.mapInArrow(partial(_sketch, width=width), "id struct<id: bigint, t: bigint>, c binary, signature binary, bands array<bigint>")
-    return out.select("id.id", "id.t", "c", "signature", "bands")
+    out = rows.mapInArrow(partial(_sketch, width=width), "id struct<id: bigint, t: bigint>, c binary, bands array<bigint>")
+    return out.select("id.id", "id.t", "c", "bands")
 
 
 def links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, width: int, threshold: float, tolerance: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, similarity): pairs a < b of classes with different texts and a similarity of threshold or more.
-
-    Classes that share a band are candidates. A pair is checked in one of the buckets it
-    shares, and there in a block: a bucket of n classes is dealt into n / BLOCK parts by
-    hash, and a block holds the texts of two parts at most, so no task gathers a bucket.
+    """(a, b, n): for each class with links, n of them, and a class b it is linked to, directly or over others. A class may have several rows.
+
+    Classes that share a band are candidates. They are dealt into blocks of about BLOCK
+    texts: those of one least bucket together, split if they are more, and small ones put
+    together with those of a neighbouring least bucket. Blocks that share a bucket are compared
+    with each other. So pairs of texts exist only inside a task, where the pruning and the
+    exact check run over whole blocks, and what is shuffled is texts a block pair, not
+    pairs of texts; no bucket or group is gathered in one task.
     """
-    heads = sketch.join(classes, (sketch["c"] == classes["k"]) & sketch["id"].eqNullSafe(classes["rep"])).select("id", "c", "signature", "bands")
-    heads = materialize(heads.filter(F.col("bands").isNotNull()).dropDuplicates(["c"]), "join-heads")
-    rows = heads.select("c", F.explode("bands").alias("bucket"))
+    heads = sketch.join(classes, (sketch["c"] == classes["k"]) & sketch["id"].eqNullSafe(classes["rep"])).select("id", "c", "bands", F.xxhash64("c").alias("r"))
+    heads = materialize(heads, "join-heads")
+    # Until texts meet, a class is known by a 64-bit number; classes that share one go on together.
+    rows = heads.select("r", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
-    dealt = rows.join(shared, "bucket").withColumn("part", F.pmod(F.xxhash64("c"), F.ceil(F.col("n") / BLOCK)).cast("int"))
-    dealt = materialize(dealt.select("bucket", "c", "part"), "join-buckets")
-    left, right = dealt.select("bucket", F.col("c").alias("a"), F.col("part").alias("pa")), dealt.select("bucket", F.col("c").alias("b"), F.col("part").alias("pb"))
-    place = F.struct("bucket", F.least("pa", "pb").alias("low"), F.greatest("pa", "pb").alias("high"))
-    pairs = left.join(right, "bucket").filter(F.col("a") < F.col("b")).groupBy("a", "b").agg(F.min(place).alias("place"))
-    pairs = materialize(pairs.select("place.*", "a", "b"), "join-pairs")
-    members = pairs.select("bucket", "low", "high", F.explode(F.array("a", "b")).alias("a")).distinct()
-    needed = heads.join(members.select(F.col("a").alias("c")).distinct(), "c", "left_semi").select("id", "c", "signature")
+    hits = materialize(rows.join(shared.select("bucket"), "bucket"), "join-buckets")
+    leaders = materialize(hits.groupBy("r").agg(F.min("bucket").alias("leader")), "join-leaders")
+    lows = hits.join(leaders, "r").groupBy("bucket").agg(F.min("leader").alias("low"))
+    labels = hits.join(lows, "bucket").groupBy("r").agg(F.min("low").alias("label"))
+    rows = leaders.join(leaders.groupBy("leader").agg(F.count("*").alias("n")), "leader").join(labels, "r")
+    rows = rows.join(rows.groupBy("label").agg(F.count("*").alias("m")), "label")
+    own, near = F.pmod(F.col("r"), F.ceil(F.col("n") / BLOCK)), F.pmod(F.col("leader"), F.ceil(F.col("m") / BLOCK))
+    block = F.when(F.col("n") > BLOCK, F.xxhash64(F.lit(1), "leader", own)).otherwise(F.xxhash64(F.lit(0), "label", near))
+    blocks = materialize(rows.select("r", block.alias("block")), "join-blocks")
+    places = materialize(hits.join(blocks, "r").select("bucket", "block").distinct(), "join-places")
+    x, y = places.withColumnRenamed("block", "x"), places.withColumnRenamed("block", "y")
+    meets = materialize(x.join(y, "bucket").filter("x <= y").select("x", "y").distinct(), "join-meets")
     texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    texts = needed.join(texts, F.col("id").eqNullSafe(F.col("text_id"))).select(F.col("c").alias("a"), "signature", "text")
-    nothing = F.lit(None)
-    members = members.join(texts, "a").select("bucket", "low", "high", F.lit(0).alias("kind"), "a", nothing.cast("binary").alias("b"), "signature", "text")
-    pairs = pairs.select("bucket", "low", "high", F.lit(1).alias("kind"), "a", "b", nothing.cast("binary").alias("signature"), nothing.cast("string").alias("text"))
-    blocks = members.unionByName(pairs).repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high", "kind")
-    return blocks.mapInArrow(partial(_verify, width=width, threshold=threshold, least=least_matches(threshold, tolerance)), "a binary, b binary, similarity double")
+    needed = heads.join(blocks, "r").select("id", "c", "block")
+    texts = needed.join(texts, F.col("id").eqNullSafe(F.col("text_id"))).select("block", "c", "text")
+    sides = meets.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
+    dealt = sides.join(texts, "block").select("x", "y", "block", "c", "text").repartition("x", "y").sortWithinPartitions("x", "y")
+    return dealt.mapInArrow(partial(_verify, width=width, threshold=threshold, least=least_matches(threshold, tolerance)), "a binary, b binary, n bigint")
 
 
 def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
@@ -230,16 +291,16 @@ def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, toleran
 def _classes(docs: DataFrame, width: int, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
     """(id, t, group, class_id, copy_id, n_copies, n_links); group names the class, also where ids are null or shared."""
     sketch = materialize(sketches(docs, width, id_col, text_col), "join-sketches")
-    worded = sketch.filter(F.col("signature").isNotNull())
+    worded = sketch.filter(F.col("c").isNotNull())
     classes = materialize(worded.groupBy(F.col("c").alias("k")).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "join-classes")
     edges = materialize(links(docs, worded, classes, width, threshold, tolerance, id_col, text_col), "join-links")
-    ends = edges.select(F.explode(F.array("a", "b")).alias("k")).groupBy("k").agg(F.count("*").alias("n_links"))
-    labels = components(edges)
+    ends = edges.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("n_links"))
+    labels = components(edges.select("a", "b"))
     named = classes.join(ends, "k", "left").join(labels.select(F.col("c").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
     named = named.join(least, "label").select("k", "rep", "label", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id")
     own: Column = F.col("k").isNull()
-    return sketch.select("id", "t", F.when(F.col("signature").isNotNull(), F.col("c")).alias("c")).join(named, F.col("c") == F.col("k"), "left").select(
+    return sketch.select("id", "t", "c").join(named, F.col("c") == F.col("k"), "left").select(
         "id", "t", F.when(own, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("t").cast("string"))).otherwise(F.hex("label")).alias("group"),
         F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("id")).otherwise(F.col("rep")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
