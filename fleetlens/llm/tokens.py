@@ -27,6 +27,10 @@ TABLE_BITS = 22
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32]] = True
+#: Bytes of the white space in EXOTIC below 128, but for the zero byte.
+ODD = np.zeros(256, bool)
+ODD[[11, 12, 28, 29, 30, 31]] = True
+ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
 def spaced_units(text: str) -> list[str]:
@@ -81,7 +85,9 @@ class UnitCache:
     """Maps texts to the numbers of their units; new units are given out once.
 
     Texts whose units are parted by single blanks are handled all at once: a unit is known
-    by a 64-bit hash of its bytes and the blank before it. Other texts are cut one by one.
+    by a 64-bit hash of its bytes and the blank before it. A comma or full stop that ends a
+    unit behind an ASCII letter or digit is a unit of its own, as it always is a token's
+    begin. Other texts are cut one by one.
     """
 
     def __init__(self, spaced: bool) -> None:
@@ -91,33 +97,50 @@ class UnitCache:
         self.odd: dict[str, int] = {}
         self.size = 0
 
-    def _plain(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, bytes]:
-        """(keys, starts, ends, units of each text, buffer) of texts in one buffer, each behind a zero byte."""
-        data = [b"\0" + t.encode() for t in texts]
-        buffer = b"".join(data)
+    def _plain(self, data: list[bytes], buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, starts, ends, units of each text) of texts in one buffer, each behind a zero byte."""
         raw = np.frombuffer(buffer, np.uint8)
         apart = BLANK[raw] | (raw == 0)
         edge = np.diff(np.concatenate(([True], apart, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
+        mark = np.flatnonzero(((raw[ends - 1] == 44) | (raw[ends - 1] == 46)) & (ends - starts >= 2) & ALNUM[raw[ends - 2]])
+        marks = ends[mark] - 1
+        starts, glued = np.insert(starts, mark + 1, marks), np.insert(np.zeros(len(starts), bool), mark + 1, True)
+        ends[mark] -= 1
+        ends = np.insert(ends, mark + 1, marks + 1)
         n = len(raw)
         prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers_of(STEP, n), dtype=np.uint64)])
         keys = (prefix[ends] - prefix[starts]) * powers_of(BACK, n)[starts]
         if self.spaced:
-            keys = keys + (raw[starts - 1].astype(np.uint64) + np.uint64(1)) * MIX
-            starts = np.where(raw[starts - 1] == 0, starts, starts - 1)
+            before = np.where(glued, np.uint8(255), raw[starts - 1])
+            keys = keys + (before.astype(np.uint64) + np.uint64(1)) * MIX
+            starts = np.where(BLANK[before], starts - 1, starts)
         keys = mixed(keys) | np.uint64(1)
         ends_of_texts = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
-        return keys, starts, ends, np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts)))), buffer
+        return keys, starts, ends, np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts))))
 
     def _is_plain(self, text: str) -> bool:
-        if EXOTIC.search(text):
+        if "\0" in text or (not text.isascii() and EXOTIC.search(text)):
             return False
-        return not self.spaced or not (RUN.search(text) or text[-1:] in (" ", "\n", "\t", "\r"))
+        return not self.spaced or text[-1:] not in (" ", "\n", "\t", "\r")
 
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
         """Unit numbers of all texts in a row, units of each text, and the units not seen before."""
         plain = np.fromiter(map(self._is_plain, texts), bool, len(texts))
-        keys, starts, ends, counts, buffer = self._plain([t for t, p in zip(texts, plain.tolist(), strict=True) if p])
+        data = [b"\0" + t.encode() for t, p in zip(texts, plain.tolist(), strict=True) if p]
+        buffer = b"".join(data)
+        raw = np.frombuffer(buffer, np.uint8)
+        blank = BLANK[raw]
+        bad = ODD[raw]
+        bad[1:] |= self.spaced & blank[1:] & blank[:-1]
+        if bad.any():
+            owner = np.searchsorted(np.cumsum(np.fromiter(map(len, data), np.int64, len(data))), np.flatnonzero(bad), "right")
+            out = np.unique(owner)
+            plain[np.flatnonzero(plain)[out]] = False
+            gone = set(out.tolist())
+            data = [x for k, x in enumerate(data) if k not in gone]
+            buffer = b"".join(data)
+        keys, starts, ends, counts = self._plain(data, buffer)
         numbers = self.table.find(keys)
         new, first = np.unique(keys[numbers < 0], return_index=True)
         at = np.flatnonzero(numbers < 0)[first]
