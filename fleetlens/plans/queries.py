@@ -112,7 +112,7 @@ def as_of_by_dle(t: Tables) -> DataFrame:
     return chains.as_of_by_dle(t.archive, t.spark.createDataFrame([(AS_OF,)], "point string"))
 
 
-@query()
+@query("with c as (select distinct dle, run from placement) select a.dle, a.run, a.level, 1 as links, case when level > 0 then 'base missing' when c.run is null then 'no copy' else 'complete' end as verdict from archive a left join c using (dle, run)")
 def recovery_points(t: Tables) -> DataFrame:
     return chains.recovery_points(t.archive, t.placement)
 
@@ -450,14 +450,21 @@ def members_diff(t: Tables) -> DataFrame:
     return placement.members_diff(m, listed)
 
 
-FLOOR = (
-    STRANDED
-    + f""", h as (select p.medium, a.run, a.dle, a.level, a.base_run, a.compressed, m.capacity, m.labeled, coalesce(m.min_age_days > 0 and epoch({T}) - epoch(a.created_at) < m.min_age_days * 86400, false) as y, l.stranded
-           from (select distinct medium, run, dle, level from placement) p join archive a using (run, dle, level) join medium_dim m using (medium) join lost l on l.dle = a.dle and l.run = a.run),
-    h2 as (select *, max(y) over (partition by medium, run) as ry, row_number() over (partition by medium, dle order by run) as k, count(*) over (partition by medium, dle) as n, sum(case when level = 0 then 1 else 0 end) over (partition by medium, dle order by run) as seg from h),
-    h3 as (select *, max(case when level = 0 then k end) over (partition by medium, dle) as fi, max(case when not stranded and (ry or k = n) then k end) over (partition by medium, dle, seg) as upto from h2),
-    floor as (select medium, run, dle, level, compressed, capacity, labeled, case when stranded and not y then 'CONDEMNED' when y then 'AGE' when level = 0 and k = fi then 'LAST_FULL' when seg > 0 and upto >= k then 'CHAIN' end as kind from h3)"""
-)
+def floor_sql(day: str = T, days: str = "") -> str:
+    """The floor as SQL at one instant, or at each `day` of a list of `days`."""
+    d = "day, " if days else ""
+    return (
+        STRANDED
+        + f"""{days}, h as (select {d}p.medium, a.run, a.dle, a.level, a.base_run, a.compressed, m.capacity, m.labeled, coalesce(m.min_age_days > 0 and floor(epoch({day})) - floor(epoch(a.created_at)) < m.min_age_days * 86400, false) as y, l.stranded
+           from (select distinct medium, run, dle, level from placement) p join archive a using (run, dle, level) join medium_dim m using (medium) join lost l on l.dle = a.dle and l.run = a.run{" join days on a.created_at <= day" if days else ""}),
+    h2 as (select *, max(y) over (partition by {d}medium, run) as ry, row_number() over (partition by {d}medium, dle order by run) as k, count(*) over (partition by {d}medium, dle) as n, sum(case when level = 0 then 1 else 0 end) over (partition by {d}medium, dle order by run) as seg from h),
+    h3 as (select *, max(case when level = 0 then k end) over (partition by {d}medium, dle) as fi, max(case when not stranded and (ry or k = n) then k end) over (partition by {d}medium, dle, seg) as upto from h2),
+    floor as (select {d}medium, run, dle, level, compressed, capacity, labeled, case when stranded and not y then 'CONDEMNED' when y then 'AGE' when level = 0 and k = fi then 'LAST_FULL' when seg > 0 and upto >= k then 'CHAIN' end as kind from h3)"""
+    )
+
+
+FLOOR = floor_sql()
+DAYS = f", days as (select {T} - interval 1 day * i as day from range(0, 60, 3) r(i))"
 
 
 def floor_of(t: Tables) -> DataFrame:
@@ -508,13 +515,13 @@ def sampled_days(t: Tables) -> DataFrame:
     return t.spark.range(0, 60, 3).select((C.instant(NOW) - F.make_dt_interval(days=F.col("id").cast("int"))).alias("day"))
 
 
-@query()
+@query(floor_sql("day", DAYS) + " select day, medium, cast(sum(compressed) as bigint) as protected, count(*) as copies from floor where kind is not null and kind <> 'CONDEMNED' group by day, medium")
 def protected_history(t: Tables) -> DataFrame:
     held = retention.held_archives(t.archive, t.placement, t.medium_dim)
     return retention.protected_history(held, chains.stranded(chains.base_of(t.archive)), sampled_days(t))
 
 
-@query()
+@query(floor_sql("day", DAYS) + " select day, count(distinct label) as volumes from (select distinct day, medium, run from floor where kind is not null and kind <> 'CONDEMNED') f join part_file p using (medium, run) where label <> '' group by day")
 def volumes_in_use_history(t: Tables) -> DataFrame:
     held = retention.held_archives(t.archive, t.placement, t.medium_dim)
     return retention.volumes_in_use_history(held, chains.stranded(chains.base_of(t.archive)), sampled_days(t), t.part_file)
@@ -612,7 +619,13 @@ def dle_state(t: Tables) -> DataFrame:
     return trends.dle_state(t.archive, now())
 
 
-@query()
+ESTIMATE = f"""l as (select dle, arg_max(orig, run_id) filter (where level = 0) as fo, arg_max(floor(epoch(ended_at))::bigint, run_id) filter (where level = 0) as ft, max(run_id) filter (where level = 0) as fr, greatest(arg_max(level, run_id), 1) as lv from dump_stat group by dle),
+    m2 as (select d.dle, list_sort(list(orig) filter (where level = lv)) as s, list_sort(list(orig) filter (where level = lv + 1)) as n from dump_stat d join l using (dle) where level > 0 and run_id > fr group by d.dle),
+    est as (select dle, case when fo is null then 0 else greatest(0, fo + coalesce(cast(trunc(per_day_orig * ((floor(epoch({T})) - ft) / 86400.0::double)) as bigint), 0)) end as full_est,
+        coalesce(s[len(s) // 2 + 1], 0) as same_est, coalesce(n[len(n) // 2 + 1], 0) as next_est from l left join evo using (dle) left join m2 using (dle))"""
+
+
+@query(EVOLUTION + ", " + ESTIMATE + " select * from est")
 def estimate_from_history(t: Tables) -> DataFrame:
     return trends.estimate_from_history(t.dump_stat, now())
 
@@ -621,14 +634,19 @@ def levels_of(t: Tables) -> tuple[DataFrame, DataFrame]:
     return trends.dle_state(t.archive, C.instant("1998-08-02 00:00:00")), trends.estimate_from_history(t.dump_stat, now())
 
 
-@query()
+@query(EVOLUTION
+    + ", " + ESTIMATE + ", " + STATE.replace(NOW, "1998-08-02 00:00:00")
+    + """, forced as (select distinct dle from archive where arch_key % 97 = 0)
+    select dle, case when dle in (select dle from forced) or days_since_full < 0 or days_since_full >= 400 then 0 when last_level < 1 then 1 when last_level < 9 and next_est > 0 and at_level >= 2 and (same_est - next_est) * 100.0::double >= full_est * 5.0::double then last_level + 1 else last_level end as level,
+        case when dle in (select dle from forced) then 'forced' when days_since_full < 0 then 'first full' when days_since_full >= 400 then 'cycle due' when last_level < 1 then 'after full' when last_level < 9 and next_est > 0 and at_level >= 2 and (same_est - next_est) * 100.0::double >= full_est * 5.0::double then 'bump' else 'hold' end as reason
+    from state join est using (dle)""")
 def next_level(t: Tables) -> DataFrame:
     state, estimate = levels_of(t)
     forced = t.archive.filter("arch_key % 97 = 0").select("dle").distinct()
     return trends.next_level(state, estimate, forced, cycle=400)
 
 
-@query()
+@query(EVOLUTION + ", " + ESTIMATE + " select cast(sum(full_est) as bigint) as fulls, 10000000000 as capacity, sum(full_est) <= 10000000000 as fits from est")
 def cycle_fits(t: Tables) -> DataFrame:
     return trends.cycle_fits(trends.estimate_from_history(t.dump_stat, now()), 10_000_000_000)
 
@@ -652,7 +670,9 @@ def tree_as_of(t: Tables) -> DataFrame:
     return chains.tree_as_of(*tree_inputs(t))
 
 
-@query()
+@query("""with k as (select distinct dle, regexp_replace(path, '^/+|/+$', '', 'g') as p, ends_with(path, '/') as d, level, seq from member),
+    t as (select dle, p, arg_max(d, level * 100000000 + seq) as d from k where p <> '' group by dle, p)
+    select dle, 'p' as point, split_part(p, '/', 1) as name, max(d or p like '%/%') as is_dir from t group by dle, split_part(p, '/', 1)""")
 def list_dir(t: Tables) -> DataFrame:
     return chains.list_dir(chains.tree_as_of(*tree_inputs(t)), "")
 
@@ -684,7 +704,14 @@ def frames_of(t: Tables) -> tuple[DataFrame, DataFrame]:
     return frame, totals
 
 
-@query()
+@query("""with r as (select *, coalesce(lead(off) over (partition by dle, level order by seq), 4611686018427387903) as e from member),
+    sz as (select dle, level, max(off) + 5000 as raw_total from member group by dle, level),
+    x as (select r.dle, r.level, r.off as st, least(r.e, raw_total) as e, raw_total from r join sz using (dle, level) where exists (select 1 from member m where m.seq % 4 < 2 and m.dle = r.dle and m.level = r.level and m.path = r.path)),
+    f as (select dle, level, raw, least(raw + 4096, raw_total) as raw_end, raw // 2 as enc, case when raw + 4096 >= raw_total then raw_total // 2 else (raw + 4096) // 2 end as enc_end from (select dle, level, raw_total, unnest(range(0, raw_total, 4096)) as raw from sz) q),
+    h as (select distinct f.dle, f.level, enc as enc_start, enc_end from x join f on f.dle = x.dle and f.level = x.level and raw < e and raw_end > st),
+    b as (select *, case when max(enc_end) over (partition by dle, level order by enc_start, enc_end rows between unbounded preceding and 1 preceding) >= enc_start then 0 else 1 end as nw from h),
+    g as (select *, sum(nw) over (partition by dle, level order by enc_start, enc_end rows unbounded preceding) as g from b)
+    select dle, level, min(enc_start) as enc_start, max(enc_end) as enc_end, count(*) as n from g group by dle, level, g""")
 def fetch_groups(t: Tables) -> DataFrame:
     frame, totals = frames_of(t)
     return reads.fetch_groups(reads.extents(t.member, selection_of(t)), frame, totals)
@@ -712,7 +739,10 @@ def part_segments(t: Tables) -> DataFrame:
     return reads.part_segments(ranges, t.part_file, keys)
 
 
-@query()
+@query(CHAIN
+    + f""", k as (select dle, count(*) as links, min(run) as full_at from chain group by dle)
+    select c.dle, l.last_drill, k.links, k.full_at from (select concat('c', cast(c_custkey as string)) as dle from customer) c join k using (dle) left join (select dle as d, last_drill, ok from drill_ledger) l on l.d = c.dle
+    where not coalesce(ok and floor(epoch({ET})) - floor(epoch(last_drill)) < 604800, false) order by last_drill is not null, last_drill, links desc, full_at, c.dle limit 25""")
 def drill_select(t: Tables) -> DataFrame:
     _, chain = chain_rows(t)
     links = cut(chain.groupBy("dle").agg(F.count("*").alias("links"), F.min("run").alias("full_at")))
@@ -734,13 +764,22 @@ def drill_classes(t: Tables) -> DataFrame:
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.max("is_failure").alias("is_failure"))
 
 
-@query()
+@query(FLOOR
+    + """, n as (select a.run, a.dle, count(distinct p.medium) as n from archive a left join placement p using (run, dle, level) group by a.run, a.dle),
+    o as (select medium, sum(compressed) as s, max(capacity) as c from floor group by medium)
+    select 'copies' as rule, min(n) as value, min(n) >= 2 as ok from n union all select 'media', count(distinct medium), count(distinct medium) >= 2 from placement
+    union all select 'offsite', count(distinct medium), count(distinct medium) >= 1 from placement where medium not in (select medium from route where ord = 0)
+    union all select 'errors', count(*) filter (where not ok), count(*) filter (where not ok) = 0 from drill_ledger
+    union all select 'capacity', count(*) filter (where c > 0 and s > c), count(*) filter (where c > 0 and s > c) = 0 from o""")
 def posture(t: Tables) -> DataFrame:
     status = retention.capacity_status(floor_of(t), t.placement, t.medium_dim)
     return placement.posture(t.archive, t.placement, t.route, status, t.drill_ledger)
 
 
-@query()
+@query(STRANDED
+    + f""" select 0 as rank, 'red' as severity, 'broken chain' as topic, dle as subject from (select distinct dle from lost where stranded) x
+    union all select 0, 'red', 'volume not seen', label from (select distinct label from part_file where label <> '' and label not in (select label from volume)) x
+    union all select 1, 'amber', 'stale', dle from (select concat('c', cast(c_custkey as string)) as dle from customer) c left join archive using (dle) group by dle having max(created_at) is null or epoch({T}) - epoch(max(created_at)) >= 2592000""")
 def attention_list(t: Tables) -> DataFrame:
     stale = summaries.stale_dles(configured(t), t.archive, 30, now()).select(F.col("dle").alias("subject"))
     lost = chains.stranded(chains.base_of(t.archive)).filter("stranded").select(F.col("dle").alias("subject")).distinct()
