@@ -231,3 +231,11 @@ def located(refs: DataFrame, placement: DataFrame, landing: str, order: Column |
     rank = Window.partitionBy("dle", "run", "level").orderBy((F.col("medium") != landing).cast("int"), order if order is not None else F.col("medium"))
     best = placement.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").select("dle", "run", "level", "medium", "parts", "bytes")
     return refs.join(best, ["dle", "run", "level"], "left")
+
+
+def match_units(unit: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(dle, arg, path): the unit each argument names: the one of that name, else the one that contains it; several are an error. wanted has dle and arg, and is small beside the units."""
+    rows = unit.select("dle", "path").join(F.broadcast(wanted), "dle").filter(F.instr("path", F.col("arg")) > 0)
+    found = rows.groupBy("dle", "arg").agg(F.max(F.when(F.col("path") == F.col("arg"), F.col("path"))).alias("_exact"), F.count("*").alias("_n"), F.min("path").alias("_one"))
+    several = F.raise_error(F.concat(F.lit("several units match "), F.col("arg"))).cast("string")
+    return found.select("dle", "arg", F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_n") == 1, F.col("_one")).otherwise(several).alias("path"))

@@ -9,6 +9,7 @@ import pandas as pd
 import pytest
 
 import __spark_entry__
+from fleetlens.plans import more as more  # registers its queries
 from fleetlens.plans import queries as fleet
 
 FOLDER = "/root/testdata/sf0.001"
