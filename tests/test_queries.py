@@ -18,7 +18,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables
 
 
 def shown(v) -> str:
-    if v is None or v is pd.NaT or (isinstance(v, float) and v != v):
+    if v is None or v is pd.NaT or v is pd.NA or (isinstance(v, float) and v != v):
         return "null"
     if isinstance(v, float):
         return str(int(v)) if v == int(v) and abs(v) < 1e15 else f"{v:.5f}"
