@@ -101,8 +101,8 @@ def common_lines(docs: DataFrame, share: float, least: int, host_col: str = "sou
     return above.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("key", "first_text"))).alias("common"))
 
 
-def _judged(docs: DataFrame, share: float, least: int, host_col: str, text_col: str) -> DataFrame:
-    """docs with _f (figures), _drop (keys of lines to remove), _gone (structs: lines and words removed), _failed and _kept.
+def _matched(docs: DataFrame, share: float, least: int, host_col: str, text_col: str) -> DataFrame:
+    """docs with _drop: keys of the lines to remove from each text, null where its host has none.
 
     The common lines are read back from a written table: its size tells the planner
     whether to broadcast it.
@@ -111,15 +111,27 @@ def _judged(docs: DataFrame, share: float, least: int, host_col: str, text_col:
     common = materialize(common_lines(docs, share, least, host_col, text_col), "common-lines").withColumnsRenamed({"host": "_host2", "common": "_common"})
     own = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
     both = own.join(common, F.col("_host") == F.col("_host2"), "left")
-    both = both.withColumn("_drop", let(text_key(text), lambda t: F.transform(F.filter("_common", lambda x: x["first_text"] != t), lambda x: x["key"])))
-    hits = let(F.col("_drop"), lambda drop: F.transform(F.filter(lines_of(text), lambda line: F.array_contains(drop, line_key(line))), lambda line: F.size(words_of(line))))
-    gone = let(hits, lambda h: F.struct(F.size(h).cast("long").alias("lines"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x).alias("words")))
+    return both.withColumn("_drop", F.when(F.col("_common").isNotNull(), let(text_key(text), lambda t: F.transform(F.filter("_common", lambda x: x["first_text"] != t), lambda x: x["key"]))))
+
+
+def removed(text: Column) -> Column:
+    """(lines, words) that _drop takes out of a text."""
     none = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("words"))
-    both = text_figures(both.withColumn("_gone", F.when(F.coalesce(F.size("_drop"), F.lit(0)) > 0, gone).otherwise(none)), text)
-    f, words = F.col("_f"), F.col("_gone.words")
-    failed = (f["n_words"] < 10) | (100 * f["n_repeat_words"] > 20 * f["n_words"])
-    depleted = (f["n_words"] - words < 10) | (2 * words > f["n_words"])
-    return both.withColumns({"_failed": failed, "_kept": ~failed & ~depleted})
+
+    def gone(drop: Column) -> Column:
+        hits = F.transform(F.filter(lines_of(text), lambda line: F.array_contains(drop, line_key(line))), lambda line: F.size(words_of(line)))
+        found = let(hits, lambda h: F.struct(F.size(h).cast("long").alias("lines"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x).alias("words")))
+        return F.when(F.coalesce(F.size(drop), F.lit(0)) > 0, found).otherwise(none)
+
+    return let(F.col("_drop"), gone)
+
+
+def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
+    return (n_words < 10) | (100 * n_repeat_words > 20 * n_words)
+
+
+def depleted(n_words: Column, gone: Column) -> Column:
+    return (n_words - gone < 10) | (2 * gone > n_words)
 
 
 def quality_rules(docs: DataFrame, share: float = 0.1, least: int = 8, host_col: str = "source", id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -133,15 +145,21 @@ def quality_rules(docs: DataFrame, share: float = 0.1, least: int = 8, host_col:
     through; repeated rows give a row each and count as one text; other columns are
     ignored; an empty table gives an empty result.
     """
-    out = _judged(docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_h"), F.col(text_col).alias("_text")), share, least, "_h", "_text")
-    figures = [F.col(f"_f.{c}").alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return out.select(F.col("_id").alias(id_col), *figures, F.col("_failed").alias("base_failed"), F.col("_gone.lines").alias("n_removed_lines"), F.col("_gone.words").alias("n_removed_words"), F.col("_kept").alias("kept"))
+    docs = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
+    out = _matched(docs, share, least, "_h", "_text").withColumn("_gone", removed(F.col("_text")))
+    out = text_figures(out, F.col("_text"))
+    f, gone = F.col("_f"), F.col("_gone.words")
+    failed = base_failed(f["n_words"], f["n_repeat_words"])
+    figures = [f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
+    return out.select(F.col("_id").alias(id_col), *figures, failed.alias("base_failed"), F.col("_gone.lines").alias("n_removed_lines"), gone.alias("n_removed_words"), (~failed & ~depleted(f["n_words"], gone)).alias("kept"))
 
 
 def filtered(docs: DataFrame, share: float = 0.1, least: int = 8, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
     """The kept documents with the columns of docs, lines above the limit taken out of their texts and chars_col set anew where it exists."""
-    out = _judged(docs, share, least, host_col, text_col).filter("_kept")
-    rest = let(F.col("_drop"), lambda drop: F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line: ~F.array_contains(drop, line_key(line))), "\n"))
-    out = out.withColumn("_clean", F.when(F.col("_gone.lines") > 0, rest).otherwise(F.col(text_col)))
+    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    # One expression a row, so that no part of it is worked out twice.
+    keep = let(F.struct(words_of(text).alias("w"), removed(text)["words"].alias("gone")), lambda s: let(F.size(s["w"]), lambda n: ~depleted(n, s["gone"]) & ~base_failed(n, repeated_words(s["w"]))))
+    rest = let(F.col("_drop"), lambda drop: F.when(F.coalesce(F.size(drop), F.lit(0)) > 0, F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line: ~F.array_contains(drop, line_key(line))), "\n")).otherwise(F.col(text_col)))
+    out = _matched(docs, share, least, host_col, text_col).filter(keep).withColumn("_clean", rest)
     columns = [F.col("_clean").alias(c) if c == text_col else (F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c)) for c in docs.columns]
     return out.select(*columns)
