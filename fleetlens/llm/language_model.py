@@ -152,15 +152,22 @@ def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     return table, alive, order
 
 
-def expectations(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of the sequences, by scaled forward and backward recursion."""
-    table, alive, _ = _laid_out(parts)
+def expectations(parts: list[np.ndarray], model: Model, before: np.ndarray | None = None, after: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of the sequences, by scaled forward and backward recursion.
+
+    A sequence that goes on from another has in before the forward vector at that one's end
+    (all 0 for a sequence that starts a text) and one that is gone on from has in after the
+    backward vector at its own end (up to a factor): the move into it is then counted, and no start.
+    """
+    table, alive, order = _laid_out(parts)
     steps, width, states = len(table), len(parts), len(model.start)
     emit, move = model.emit, model.move
+    before = np.zeros((width, states)) if before is None else before[order]
+    begins = ~before.any(axis=1)
     alpha = np.zeros((steps, width, states))
     scale = np.ones((steps, width))
     seen = emit[table[0]]
-    a = model.start * seen
+    a = np.where(begins[:, None], model.start, before @ move) * seen
     for t in range(steps):
         n = alive[t]
         if t:
@@ -169,6 +176,9 @@ def expectations(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.
         scale[t, :n] = s
         alpha[t, :n] = a / s[:, None]
     moves, beta = np.zeros((states, states)), np.ones((width, states))
+    if after is not None:
+        ends = alpha[np.fromiter(map(len, parts), np.int64, width)[order] - 1, np.arange(width)]
+        beta = after[order] / (ends * after[order]).sum(axis=1, keepdims=True)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         if t + 1 < steps and (m := alive[t + 1]):
@@ -176,31 +186,116 @@ def expectations(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.
             moves += alpha[t, :m].T @ ahead
             beta[:m] = ahead @ move.T
         alpha[t, :n] *= beta[:n]
+    moves += before.T @ (seen * beta / scale[0, :, None])
     live = np.arange(width)[None, :] < alive[:, None]
     gamma, classes = alpha[live], table[live].astype(np.int64)
     emits = np.stack([np.bincount(classes, weights=gamma[:, s], minlength=len(emit)) for s in range(states)], axis=1)
-    return alpha[0].sum(axis=0), moves * move, emits
+    return alpha[0, begins].sum(axis=0), moves * move, emits
 
 
 def _segments(classes: np.ndarray) -> list[np.ndarray]:
     return [classes[i : i + SEGMENT] for i in range(0, len(classes), SEGMENT)]
 
 
+def _groups(parts: list[np.ndarray], most: int = 400_000) -> Iterator[slice]:
+    """Neighbouring sequences of about `most` tokens together."""
+    ends = np.cumsum([len(x) for x in parts])
+    at = 0
+    while at < len(parts):
+        to = int(np.searchsorted(ends, most + (ends[at - 1] if at else 0), "right")) + 1
+        yield slice(at, to)
+        at = to
+
+
+def _transfers(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence the matrix that carries the forward vector over it, up to a factor, and the factor's natural log."""
+    table, alive, order = _laid_out(parts)
+    states, width = len(model.start), len(parts)
+    a = np.broadcast_to(np.eye(states), (width, states, states)).copy()
+    logs = np.zeros(width)
+    for t in range(len(table)):
+        n = alive[t]
+        x = (a[:n].reshape(n * states, states) @ model.move).reshape(n, states, states)
+        np.multiply(x, model.emit[table[t, :n]][:, None, :], out=a[:n])
+        # Probabilities are over 1e-20, so eight steps cannot underflow.
+        if t % 8 == 7 or t + 1 == len(table) or alive[t + 1] < n:
+            s = a[:n].max(axis=(1, 2))
+            logs[:n] += np.log(s)
+            a[:n] /= s[:, None, None]
+    back = np.argsort(order)
+    return logs[back], a[back]
+
+
+def _openings(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """For each sequence from the start distribution its natural log probability and the forward vector at its end."""
+    table, alive, order = _laid_out(parts)
+    a, logs = np.zeros((len(parts), len(model.start))), np.zeros(len(parts))
+    for t in range(len(table)):
+        n = alive[t]
+        a[:n] = (a[:n] @ model.move if t else model.start) * model.emit[table[t, :n]]
+        s = a[:n].sum(axis=1)
+        logs[:n] += np.log(s)
+        a[:n] /= s[:, None]
+    back = np.argsort(order)
+    return logs[back], a[back]
+
+
+def carried(documents: list[np.ndarray], model: Model) -> tuple[list[np.ndarray], np.ndarray, np.ndarray, np.ndarray]:
+    """(segments of all texts in order, forward vector before each, backward vector after each, natural log probability of each text).
+
+    The first segment runs from the start distribution; each later one has the matrix that
+    carries a vector over it. The products of these forwards and backwards give what the
+    exact recursions over the whole text have at each cut.
+    """
+    cut = [_segments(d) for d in documents]
+    parts = [x for c in cut for x in c]
+    before, after, out = np.zeros((len(parts), len(model.start))), np.ones((len(parts), len(model.start))), np.zeros(len(documents))
+    opening, later = [c[0] for c in cut], [x for c in cut for x in c[1:]]
+    begun = [_openings(opening[g], model) for g in _groups(opening)]
+    over = [_transfers(later[g], model) for g in _groups(later)]
+    out[:] = np.concatenate([b[0] for b in begun]) if begun else 0.0
+    vectors = np.concatenate([b[1] for b in begun]) if begun else before
+    logs, matrices = (np.concatenate(x) for x in zip(*over, strict=True)) if over else (np.zeros(0), np.zeros((0, 0, 0)))
+    row = k = 0
+    for i, c in enumerate(cut):
+        vector, n = vectors[i], len(c) - 1
+        for j in range(n):
+            before[row + 1 + j] = vector
+            vector = vector @ matrices[k + j]
+            total = vector.sum()
+            out[i] += logs[k + j] + np.log(total)
+            vector = vector / total
+        for j in range(n - 1, -1, -1):
+            b = matrices[k + j] @ after[row + 1 + j]
+            after[row + j] = b / b.max()
+        row, k = row + n + 1, k + n
+    return parts, before, after, out
+
+
+def counted(documents: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Expected starts, moves and emissions of whole texts: a long one is cut, and both vectors are carried over the cuts."""
+    states = len(model.start)
+    short = [d for d in documents if len(d) <= SEGMENT]
+    parts, before, after, _ = carried([d for d in documents if len(d) > SEGMENT], model)
+    parts = parts + short
+    before, after = np.concatenate([before, np.zeros((len(short), states))]), np.concatenate([after, np.ones((len(short), states))])
+    start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+    for g in _groups(parts):
+        a, b, c = expectations(parts[g], model, before[g], after[g])
+        start, moves, emits = start + a, moves + b, emits + c
+    return start, moves, emits
+
+
 def _learn(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Expected counts of a partition: rows (class, values by state); class -1 holds the starts, -2 - s the moves from s."""
     m = model.value
     states = len(m.start)
     start, moves, emits, any_row = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape), False
     for batch in batches:
-        parts, size = [], 0
-        todo = [x for c in batch.column(0) for x in _segments(np.frombuffer(c.as_py(), np.uint16))]
-        for i, x in enumerate(todo):
-            parts.append(x)
-            size += len(x)
-            if size > 400_000 or i + 1 == len(todo):
-                a, b, c = expectations(parts, m)
-                start, moves, emits, any_row = start + a, moves + b, emits + c, True
-                parts, size = [], 0
+        documents = [np.frombuffer(c.as_py(), np.uint16) for c in batch.column(0)]
+        for g in _groups(documents):
+            a, b, c = counted(documents[g], m)
+            start, moves, emits, any_row = start + a, moves + b, emits + c, True
     if any_row:
         used = np.flatnonzero(emits.any(axis=1))
         keys = np.concatenate([[-1], -2 - np.arange(states), used])
@@ -227,58 +322,14 @@ def improved(encoded: DataFrame, model: Model) -> Model:
 
 
 def log_likelihoods(documents: list[np.ndarray], model: Model) -> np.ndarray:
-    """Natural log probability of each class sequence, by scaled forward recursion.
-
-    A long sequence is cut into segments. The first runs from the start distribution; each
-    later one runs once from every state, which gives the matrix that carries the forward
-    vector over it. The product of these is the exact recursion over the whole sequence.
-    """
-    states = len(model.start)
-    rows, owner, first = [], [], []
-    for i, d in enumerate(documents):
-        for j, x in enumerate(_segments(d)):
-            rows.append(x)
-            owner.append(i)
-            first.append(j == 0)
-    copies = np.where(first, 1, states)
-    begin = np.cumsum(copies) - copies
-    laid = [x for x, c in zip(rows, copies.tolist(), strict=True) for _ in range(c)]
-    table, alive, order = _laid_out(laid)
-    where = np.empty(len(laid), np.int64)
-    where[order] = np.arange(len(laid))
-    from_state = np.concatenate([[-1] if f else np.arange(states) for f in first]).astype(np.int64)[order]
-    opening = np.where((from_state < 0)[:, None], model.start, model.move[np.maximum(from_state, 0)])
-    a = np.zeros((len(laid), states))
-    logs = np.zeros(len(laid))
-    for t in range(len(table)):
-        n = alive[t]
-        a[:n] = (opening[:n] if t == 0 else a[:n] @ model.move) * model.emit[table[t, :n]]
-        s = a[:n].sum(axis=1)
-        logs[:n] += np.log(s)
-        a[:n] /= s[:, None]
-    out, vector = np.zeros(len(documents)), None
-    for r, i in enumerate(owner):
-        if first[r]:
-            j = where[begin[r]]
-            out[i], vector = out[i] + logs[j], a[j]
-        else:
-            j = where[begin[r] : begin[r] + states]
-            top = logs[j].max()
-            v = (vector * np.exp(logs[j] - top)) @ a[j]
-            out[i], vector = out[i] + top + np.log(v.sum()), v / v.sum()
-    return out
+    """Natural log probability of each class sequence, by the scaled forward recursion over the whole of it."""
+    return carried(documents, model)[3]
 
 
 def _likelihood(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_docs = [np.frombuffer(c.as_py(), np.uint16) for c in batch.column(1)]
-        out, part, size = [], [], 0
-        for i, d in enumerate(all_docs):
-            part.append(d)
-            size += len(d)
-            if size > 400_000 or i + 1 == len(all_docs):
-                out.append(log_likelihoods(part, model.value))
-                part, size = [], 0
+        out = [log_likelihoods(all_docs[g], model.value) for g in _groups(all_docs)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["k", "ll"])
 
 

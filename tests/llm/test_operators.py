@@ -11,6 +11,7 @@ from collections import Counter
 from itertools import pairwise
 
 import numpy as np
+import pyarrow as pa
 import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
@@ -372,6 +373,39 @@ def test_hidden_markov_recursions():
     assert language_model.log_likelihoods(short, better).sum() > before
 
 
+def test_training_carries_both_vectors_over_the_cuts_of_a_text():
+    rng = np.random.default_rng(7)
+    m = language_model.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), np.ascontiguousarray(rng.dirichlet(np.ones(20), 3).T))
+    texts = [rng.integers(0, 20, n).astype(np.uint16) for n in (1, 512, 513, 1400, 30, 3000)]
+    start, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((20, 3))
+    for x in texts:
+        alpha, beta = [m.start * m.emit[x[0]]], [np.ones(3)]
+        alpha[0] /= alpha[0].sum()
+        for c in x[1:]:
+            a = (alpha[-1] @ m.move) * m.emit[c]
+            alpha.append(a / a.sum())
+        for c in x[:0:-1]:
+            b = m.move @ (m.emit[c] * beta[-1])
+            beta.append(b / b.sum())
+        beta.reverse()
+        for t, c in enumerate(x):
+            g = alpha[t] * beta[t]
+            emits[c] += g / g.sum()
+            if t == 0:
+                start += g / g.sum()
+            else:
+                xi = alpha[t - 1][:, None] * m.move * (m.emit[c] * beta[t])[None, :]
+                moves += xi / xi.sum()
+
+    class Sent:
+        value = m
+
+    batch = pa.RecordBatch.from_arrays([pa.array([x.tobytes() for x in texts])], ["classes"])
+    rows = {r["class"]: np.array([r["s0"], r["s1"], r["s2"]]) for b in language_model._learn(iter([batch]), Sent) for r in b.to_pylist()}
+    assert np.allclose(rows[-1], start) and math.isclose(rows[-1].sum(), len(texts))
+    assert np.allclose([rows[-2 - s] for s in range(3)], moves) and np.allclose([rows[c] for c in range(20)], emits)
+
+
 def test_language_model_base_and_score(docs, empty):
     got = by_row(language_model.language_model(docs))
     tokens_of = lambda t: [w.lower() if w.isascii() else re.sub("[A-Z]", lambda c: c[0].lower(), w) for w in WORD.findall(t or "")] + [None]
