@@ -19,12 +19,19 @@ from fleetlens.llm.wordhash import word_hashes
 END_HASH, END_CLASS = 0, 0
 #: A word is sent to every task if it is more than one in 2^HEAD_BITS training tokens (so at
 #: most 2^HEAD_BITS words are), and is a class of its own at more than one in 2^OWN_BITS.
-#: All others share TAIL_CLASSES classes by hash.
-HEAD_BITS, OWN_BITS, TAIL_CLASSES = 20, 14, 256
+#: All others share classes by hash, whose number grows with the vocabulary (tail_bits).
+HEAD_BITS, OWN_BITS = 20, 14
+#: Type of a class number.
+CLASS = np.uint32
 #: Tokens of a segment: the step at which long texts are cut for vectorised recursion.
 SEGMENT = 512
 
 
+def tail_bits(v: int) -> int:
+    """log2 of the number of classes that the rarer of v words share: 16 to 32 times the root of v, at least 256."""
+    return max(8, 4 + (max(v, 1).bit_length() + 1) // 2)
+
+
 class Head:
     """What every task knows: frequent words, classes and their sizes."""
 
@@ -34,11 +41,16 @@ class Head:
         self.hashes, self.counts = hashes[order], counts[order]
         own = (self.counts * (1 << OWN_BITS) > n) & (self.hashes != END_HASH)
         self.own = int(own.sum())
-        self.classes = np.where(own, np.cumsum(own), self.own + 1 + (self.hashes >> np.uint64(56)).astype(np.int64)).astype(np.uint16)
+        self.shift = np.uint64(64 - tail_bits(v))
+        self.classes = np.where(own, np.cumsum(own), self.shared(self.hashes)).astype(CLASS)
         self.classes[self.hashes == END_HASH] = END_CLASS
-        self.size = 1 + self.own + TAIL_CLASSES
+        self.size = 1 + self.own + len(tail)
         self.tail_norm = tail  # log10 of what a tail class's counts are divided by
 
+    def shared(self, hashes: np.ndarray) -> np.ndarray:
+        """Tail class of each hash."""
+        return self.own + 1 + (hashes >> self.shift).astype(np.int64)
+
 
 def token_counts(docs: DataFrame, held_out: int) -> DataFrame:
     """(h, c): training tokens by hash, from every text outside the held-out fold."""
@@ -58,18 +70,21 @@ def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([pa.array(values.view(np.int64)), pa.array(counts.astype(np.int64))], ["h", "c"])
 
 
-def head_of(counts: DataFrame) -> Head:
-    """Totals, frequent words and class sizes; what reaches the driver is bounded by 2^HEAD_BITS words."""
+def head_of(counts: DataFrame) -> tuple[Head, np.ndarray]:
+    """Totals, frequent words and class sizes, and the training tokens of each class; the driver gets at most 2^HEAD_BITS words and a row a class."""
     n, v = counts.agg(F.sum("c"), F.count("*")).first()
     n, v = int(n or 0), int(v)
     head = counts.filter(F.col("c") * (1 << HEAD_BITS) > n).toPandas()
     hashes, c = head["h"].to_numpy(np.int64).view(np.uint64), head["c"].to_numpy(np.int64)
     others = counts.filter((F.col("c") * (1 << OWN_BITS) <= n) & (F.col("h") != END_HASH))
-    slot = F.shiftrightunsigned("h", 56)
-    tail = np.zeros(TAIL_CLASSES)
-    for k, total, distinct in others.groupBy(slot.alias("k")).agg(F.sum("c"), F.count("*")).collect():
-        tail[k] = np.log10(total + distinct + 1)
-    return Head(n, v, hashes, c, tail)
+    bits = tail_bits(v)
+    slots = others.groupBy(F.shiftrightunsigned("h", 64 - bits).alias("k")).agg(F.sum("c").alias("total"), F.count("*").alias("words")).toPandas()
+    total, words = np.zeros(1 << bits), np.zeros(1 << bits)
+    at = slots["k"].to_numpy(np.int64)
+    total[at], words[at] = slots["total"].to_numpy(float), slots["words"].to_numpy(float)
+    out = Head(n, v, hashes, c, np.log10(total + words + 1))
+    tokens = np.concatenate([np.bincount(out.classes, weights=out.counts * (out.classes <= out.own), minlength=out.own + 1)[: out.own + 1], total])
+    return out, tokens
 
 
 ENCODED = "k bigint, row bigint, n_tokens bigint, n_known bigint, base double, tail double, classes binary, rare array<bigint>"
@@ -89,7 +104,7 @@ def _encode(batches: Iterator[pa.RecordBatch], head) -> Iterator[pa.RecordBatch]
             words, n = np.insert(words, np.cumsum(n), np.uint64(END_HASH)), n + 1
             at = np.minimum(np.searchsorted(h.hashes, words), last)
             known = h.hashes[at] == words if len(h.hashes) else np.zeros(len(words), bool)
-            classes = (h.own + 1 + (words >> np.uint64(56)).astype(np.int64)).astype(np.uint16)
+            classes = h.shared(words).astype(CLASS)
             classes[words == END_HASH] = END_CLASS
             logs = np.zeros(len(words))
             if len(h.hashes):
@@ -120,24 +135,38 @@ class Model:
         self.start, self.move, self.emit = start, move, emit
 
 
-def initial(documents: list[np.ndarray], size: int, states: int, seed: int, rounds: int = 20) -> Model:
-    """States from a mixture of class distributions over a bounded sample of documents, with moves that rather stay."""
-    rng = np.random.default_rng(seed)
-    table = np.ones((1, size)) if not documents else np.stack([np.bincount(d, minlength=size) for d in documents])
-    share = rng.dirichlet(np.full(states, 0.3), len(table))
-    overall = table.sum(axis=0) + 0.1
-    overall = overall / overall.sum()
+def seeded(tokens: np.ndarray, states: int, seed: int) -> np.ndarray:
+    """Emissions (classes x S) from the training tokens of each class, told apart by a random factor for each class and state.
+
+    The factors do not depend on the size of the corpus, so the states start equally far apart on any.
+    """
+    emit = (tokens + 0.1)[:, None] * np.exp(np.random.default_rng(seed).normal(size=(len(tokens), states)))
+    return emit / emit.sum(axis=0)
+
+
+def mixture_counts(documents: list[np.ndarray], emit: np.ndarray, share: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Expected documents of each state and tokens of each class and state, if each document is of one state."""
+    sizes = np.fromiter(map(len, documents), np.int64, len(documents))
+    classes = np.concatenate(documents).astype(np.int64)
+    logs = np.add.reduceat(np.log(emit)[classes], np.cumsum(sizes) - sizes) + np.log(share)
+    own = np.exp(logs - logs.max(axis=1, keepdims=True))
+    own /= own.sum(axis=1, keepdims=True)
+    return own.sum(axis=0), np.stack([np.bincount(classes, weights=np.repeat(own[:, s], sizes), minlength=len(emit)) for s in range(emit.shape[1])], axis=1)
+
+
+def initial(training: DataFrame, tokens: np.ndarray, states: int, seed: int, rounds: int = 6) -> Model:
+    """States from a mixture of class distributions over all training documents, with moves that rather stay."""
+    overall = (tokens + 0.1) / (tokens + 0.1).sum()
+    emit, share = seeded(tokens, states, seed), np.full(states, 1.0 / states)
     for _ in range(rounds):
-        emit = share.T @ table + 5.0 * overall * states
-        emit /= emit.sum(axis=1, keepdims=True)
-        logs = table @ np.log(emit).T + np.log(share.mean(axis=0) + 1e-9)
-        share = np.exp(logs - logs.max(axis=1, keepdims=True))
-        share /= share.sum(axis=1, keepdims=True)
-    emit = share.T @ table + 5.0 * overall * states
-    emit = 0.8 * emit / emit.sum(axis=1, keepdims=True) + 0.2 * overall
+        start, _, emits = _summed(training, _mix, Model(share, np.zeros((states, states)), emit))
+        share = (start + 1.0) / (start + 1.0).sum()
+        emit = emits + 5.0 * overall[:, None] * states
+        emit /= emit.sum(axis=0)
+    emit = 0.8 * emit + 0.2 * overall[:, None]
     move = np.full((states, states), 0.2 / max(states - 1, 1))
     np.fill_diagonal(move, 0.8 if states > 1 else 1.0)
-    return Model(np.full(states, 1.0 / states), move, np.ascontiguousarray(emit.T))
+    return Model(np.full(states, 1.0 / states), move, np.ascontiguousarray(emit))
 
 
 def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -145,7 +174,7 @@ def _laid_out(parts: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarr
     lengths = np.fromiter(map(len, parts), np.int64, len(parts))
     order = np.argsort(-lengths, kind="stable")
     lengths = lengths[order]
-    table = np.zeros((int(lengths[0]), len(parts)), np.uint16)
+    table = np.zeros((int(lengths[0]), len(parts)), CLASS)
     for j, i in enumerate(order.tolist()):
         table[: len(parts[i]), j] = parts[i]
     alive = np.searchsorted(-lengths, -np.arange(1, int(lengths[0]) + 1), "right")
@@ -286,15 +315,30 @@ def counted(documents: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.n
     return start, moves, emits
 
 
+def _mix(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
+    """mixture_counts of a partition, as _learn gives its counts; there are no moves."""
+    m = model.value
+    none = np.zeros(m.move.shape)
+
+    def counts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        share, emits = mixture_counts(documents, m.emit, m.start)
+        return share, none, emits
+
+    yield from _partition_sums(batches, m, counts)
+
+
 def _learn(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     """Expected counts of a partition: rows (class, values by state); class -1 holds the starts, -2 - s the moves from s."""
-    m = model.value
+    yield from _partition_sums(batches, model.value, partial(counted, model=model.value))
+
+
+def _partition_sums(batches: Iterator[pa.RecordBatch], m: Model, counts) -> Iterator[pa.RecordBatch]:
     states = len(m.start)
     start, moves, emits, any_row = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape), False
     for batch in batches:
-        documents = [np.frombuffer(c.as_py(), np.uint16) for c in batch.column(0)]
+        documents = [np.frombuffer(c.as_py(), CLASS) for c in batch.column(0)]
         for g in _groups(documents):
-            a, b, c = counted(documents[g], m)
+            a, b, c = counts(documents[g])
             start, moves, emits, any_row = start + a, moves + b, emits + c, True
     if any_row:
         used = np.flatnonzero(emits.any(axis=1))
@@ -303,21 +347,24 @@ def _learn(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]
         yield pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), *(pa.array(values[:, s]) for s in range(states))], ["class", *(f"s{s}" for s in range(states))])
 
 
-def improved(encoded: DataFrame, model: Model) -> Model:
-    """One Baum-Welch step: expected counts of all training documents, summed by class over partitions."""
+def _summed(encoded: DataFrame, task, model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Starts, moves and emissions that task (_mix or _learn) counts in all training documents, summed by class over partitions."""
     states = len(model.start)
     sent = encoded.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(["class int", *(f"s{s} double" for s in range(states))])
-    rows = encoded.select("classes").mapInArrow(partial(_learn, model=sent), schema).groupBy("class").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
-    key, values = rows["class"].to_numpy(), rows[[f"s{s}" for s in range(states)]].to_numpy(float)
-    start, move, emit = np.full(states, 0.1), np.full((states, states), 0.1), np.full(model.emit.shape, 0.01)
-    for k, v in zip(key, values, strict=True):
-        if k >= 0:
-            emit[k] += v
-        elif k == -1:
-            start += v
-        else:
-            move[-2 - k] += v
+    rows = encoded.select("classes").mapInArrow(partial(task, model=sent), schema).groupBy("class").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
+    key, values = rows["class"].to_numpy(np.int64), rows[[f"s{s}" for s in range(states)]].to_numpy(float)
+    start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
+    start += values[key == -1].sum(axis=0)
+    moves[-2 - key[key < -1]] = values[key < -1]
+    emits[key[key >= 0]] = values[key >= 0]
+    return start, moves, emits
+
+
+def improved(encoded: DataFrame, model: Model) -> Model:
+    """One Baum-Welch step: expected counts of all training documents, summed by class over partitions."""
+    start, move, emit = _summed(encoded, _learn, model)
+    start, move, emit = start + 0.1, move + 0.1, emit + 0.01
     return Model(start / start.sum(), move / move.sum(axis=1, keepdims=True), emit / emit.sum(axis=0))
 
 
@@ -328,12 +375,12 @@ def log_likelihoods(documents: list[np.ndarray], model: Model) -> np.ndarray:
 
 def _likelihood(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        all_docs = [np.frombuffer(c.as_py(), np.uint16) for c in batch.column(1)]
+        all_docs = [np.frombuffer(c.as_py(), CLASS) for c in batch.column(1)]
         out = [log_likelihoods(all_docs[g], model.value) for g in _groups(all_docs)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["k", "ll"])
 
 
-def language_model(docs: DataFrame, held_out: int = 2, states: int = 8, steps: int = 3, sample: int = 1000, seed: int = 11) -> DataFrame:
+def language_model(docs: DataFrame, held_out: int = 2, states: int = 8, steps: int = 5, seed: int = 11) -> DataFrame:
     """(doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score) for each row of docs.
 
     The unigram score adds log10((c + 1) / (N + V + 1)) over all tokens. The method's score
@@ -341,8 +388,9 @@ def language_model(docs: DataFrame, held_out: int = 2, states: int = 8, steps: i
     classes, times each word's probability within its class: a frequent word is a class of
     its own; the rest share classes by hash, where a word has (c + 1) of the class's
     C + V + 1. Counts of rare words are joined by hash, so the vocabulary is never
-    held by one task. Only the starting point of Baum-Welch comes from a bounded sample
-    (`sample` documents); its steps and all counts cover every training document.
+    held by one task; the number of shared classes grows with the root of the vocabulary.
+    Baum-Welch starts from a mixture over documents, which starts from seeded parameters;
+    the rounds of both and all counts cover every training document.
 
     Null and empty texts are the end token alone; null ids are training documents;
     repeated rows give a row each and count each; other columns are ignored; an empty
@@ -351,14 +399,13 @@ def language_model(docs: DataFrame, held_out: int = 2, states: int = 8, steps: i
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     counts = materialize(token_counts(docs, held_out), "lm-counts")
-    head = head_of(counts)
+    head, tokens = head_of(counts)
     sent = spark.sparkContext.broadcast(head)
     slim = docs.select(F.struct("doc_id", is_held_out(F.col("doc_id"), held_out).alias("held_out"), F.xxhash64("doc_id", "text").alias("k")).alias("k"), "text")
     kind = slim.schema["k"].dataType.simpleString()
     encoded = materialize(slim.mapInArrow(partial(_encode, head=sent), ENCODED.replace("k bigint", f"k {kind}", 1)), "lm-encoded")
     training = encoded.filter(~F.col("k.held_out"))
-    first = training.select("classes").orderBy("k.k").limit(sample) if sample else training.limit(0)
-    model = initial([np.frombuffer(r.classes, np.uint16) for r in first.toLocalIterator()], head.size, states, seed)
+    model = initial(training, tokens, states, seed)
     for _ in range(steps):
         model = improved(training, model)
     own = spark.sparkContext.broadcast(model)

@@ -376,7 +376,7 @@ def test_hidden_markov_recursions():
 def test_training_carries_both_vectors_over_the_cuts_of_a_text():
     rng = np.random.default_rng(7)
     m = language_model.Model(rng.dirichlet(np.ones(3)), rng.dirichlet(np.ones(3), 3), np.ascontiguousarray(rng.dirichlet(np.ones(20), 3).T))
-    texts = [rng.integers(0, 20, n).astype(np.uint16) for n in (1, 512, 513, 1400, 30, 3000)]
+    texts = [rng.integers(0, 20, n).astype(language_model.CLASS) for n in (1, 512, 513, 1400, 30, 3000)]
     start, moves, emits = np.zeros(3), np.zeros((3, 3)), np.zeros((20, 3))
     for x in texts:
         alpha, beta = [m.start * m.emit[x[0]]], [np.ones(3)]
@@ -432,6 +432,28 @@ def test_language_model_beats_the_unigrams(spark):
     assert got and sum(r.score for r in got) > sum(r.base_score for r in got) + 10 * len(got)
 
 
+def test_language_model_starts_from_every_document(spark):
+    """Documents 1000 and on are of a second language that the first thousand by id lack."""
+    rng = np.random.default_rng(14)
+    texts = [" ".join(f"{'aq'[i >= 1000]}{j}" for j in rng.integers(0, 40, 12)) for i in range(1400)]
+    rows = spark.createDataFrame(list(enumerate(texts)), "doc_id bigint, text string").repartition(3)
+    got = language_model.mixture_counts([np.array([0, 1, 1], language_model.CLASS), np.array([2], language_model.CLASS)], np.array([[0.5, 0.1], [0.4, 0.1], [0.1, 0.8]]), np.array([0.5, 0.5]))
+    p, q = 0.08 / 0.081, 0.1 / 0.9
+    assert np.allclose(got[0], [p + q, 2 - p - q]) and np.allclose(got[1], [[p, 1 - p], [2 * p, 2 - 2 * p], [q, 1 - q]])
+    counts = language_model.token_counts(rows, 2)
+    head, tokens = language_model.head_of(counts)
+    assert head.size == len(tokens) and tokens.sum() == head.n
+    sent = spark.sparkContext.broadcast(head)
+    struct = F.struct("doc_id").alias("k")
+    encoded = rows.filter(~language_model.is_held_out(F.col("doc_id"), 2)).select(struct, "text").mapInArrow(lambda b: language_model._encode(b, sent), language_model.ENCODED.replace("k bigint", "k struct<doc_id:bigint>", 1))
+    start, _, emits = language_model._summed(encoded, language_model._mix, language_model.Model(np.full(4, 0.25), np.zeros((4, 4)), language_model.seeded(tokens, 4, 11)))
+    assert np.allclose(emits.sum(axis=1), tokens) and math.isclose(start.sum(), encoded.count())
+
+
+def test_classes_of_rarer_words_grow_with_the_vocabulary():
+    assert [language_model.tail_bits(v) for v in (0, 100, 1 << 20, 1 << 30)] == [8, 8, 15, 20]
+
+
 def slow_mix(rows, weights, share, epochs):
     """Tokens of each leaf by water-filling with fractions, level by level."""
     def deal(given, children):
