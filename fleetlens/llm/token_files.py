@@ -31,60 +31,77 @@ from fleetlens.llm.tokens import chunks, encoder, with_end
 BLOCK_SCHEMA = "shard int, block int, doc_ids array<bigint>, counts array<bigint>, base bigint, rules binary, lengths binary, stream binary"
 
 
-SLOT_BITS = 18
+SLOT_BITS = 20
 
 
-def _slots(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def _frequent(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
+    """The places of all pairs seen `least` times or more, ascending, and the pair's rank at each: 0 is the most frequent.
+
+    A slot of a hash table counts at least as many as each pair in it, so only places in
+    full slots are sorted; the counts of their pairs are exact.
+    """
     h = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0xC2B2AE3D)
-    return (h >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
-
-
-def _chosen(a: np.ndarray, b: np.ndarray, least: int, most: int) -> tuple[np.ndarray, np.ndarray]:
-    """For each place the number of the pair to replace there or -1, and the places of the pairs chosen, most frequent first.
-
-    Pairs are counted in slots of a hash table; a slot stands for the pair seen last in
-    it, whose own count is then taken exactly. Other pairs of the slot wait for a later round.
-    """
-    slots = _slots(a, b)
-    last = np.zeros(1 << SLOT_BITS, np.int32)
-    last[slots] = np.arange(len(slots), dtype=np.int32)
-    seen = last[slots]
-    own = (a[seen] == a) & (b[seen] == b)
-    counts = np.bincount(slots[own], minlength=1 << SLOT_BITS)
-    frequent = np.flatnonzero(counts >= least)
-    frequent = frequent[np.argsort(-counts[frequent], kind="stable")][:most]
-    number = np.full(1 << SLOT_BITS, -1, np.int32)
-    number[frequent] = np.arange(len(frequent), dtype=np.int32)
-    return np.where(own, number[slots], np.int32(-1)), last[frequent]
-
-
-def compress(ids: np.ndarray, base: int, rounds: int = 4, least: int = 8, most_rules: int = 4096) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    slots = (h >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
+    at = np.flatnonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= least)[slots])
+    codes, of_place, counts = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
+    order = np.lexsort((codes * np.uint64(0x9E3779B97F4A7C15), -counts))
+    rank = np.empty(len(codes), np.int64)
+    rank[order] = np.arange(len(codes))
+    keep = counts[of_place] >= least
+    return at[keep], rank[of_place[keep]]
+
+
+def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
+    """Which of the places to replace, so that none overlap: of neighbours the more frequent pair, in a run of one pair every second place from the first on."""
+    new = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(rank) != 0)))
+    begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
+    left = np.flatnonzero((np.arange(len(at)) - begin) % 2 == 0)
+    taken = np.zeros(len(at), bool)
+    while len(left):
+        near = np.diff(at[left]) == 1
+        lower = rank[left[1:]] < rank[left[:-1]]
+        lose = np.zeros(len(left), bool)
+        lose[:-1] |= near & lower
+        lose[1:] |= near & ~lower
+        taken[left[~lose]] = True
+        out = ~lose
+        out[:-1] |= near & ~lose[1:]
+        out[1:] |= near & ~lose[:-1]
+        left = left[~out]
+    return taken
+
+
+def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Re-Pair over one block: (stream, rules, lengths).
 
-    Each round counts the adjacent pairs, names those seen at least `least` times, most
-    frequent first and at most most_rules of them, and replaces them left to right where
-    they do not overlap; it ends when no pair is frequent. ids must be below base.
+    Each round counts the adjacent pairs and replaces all that are seen at least `least`
+    times, the more frequent first where they overlap; a pair left with less than half of
+    `least` places waits for the next round. It ends when no pair is frequent (or after
+    `rounds`, where given). ids must be below base.
     """
     seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    for _ in range(rounds):
-        if len(seq) < 2:
-            break
-        number, at = _chosen(seq[:-1], seq[1:], least, most_rules)
+    while len(seq) > 1 and rounds != 0:
+        rounds = None if rounds is None else rounds - 1
+        at, rank = _frequent(seq[:-1], seq[1:], least)
         if not len(at):
             break
+        taken = _apart(at, rank)
+        at, rank = at[taken], rank[taken]
+        # The most frequent pair keeps at least half of its places, so each round replaces some.
+        used = np.bincount(rank) * 2 >= least
+        number = np.cumsum(used) - 1
+        at, rank = at[used[rank]], number[rank[used[rank]]]
+        some = np.empty(int(used.sum()), np.int64)
+        some[rank] = at
         first = base + len(rules)
-        halves = np.stack([seq[at], seq[at + 1]], axis=1).astype(np.int64)
-        size = np.concatenate([np.ones(base, np.int64), lengths])[halves].sum(axis=1)
+        halves = np.stack([seq[some], seq[some + 1]], axis=1).astype(np.int64)
+        size = np.where(halves < base, 1, np.append(lengths, 0)[np.maximum(halves - base, -1)]).sum(axis=1)
         rules, lengths = np.concatenate([rules, halves]), np.concatenate([lengths, size])
-        hit = np.flatnonzero(number >= 0)
-        # In a run of neighbouring matches every second one counts, from the first on.
-        start = np.maximum.accumulate(np.where(np.concatenate(([True], np.diff(hit) > 1)), hit, 0))
-        hit = hit[(hit - start) % 2 == 0]
-        seq[hit] = (first + number[hit]).astype(np.uint32)
+        seq[at] = (first + rank).astype(np.uint32)
         keep = np.ones(len(seq), bool)
-        keep[hit + 1] = False
+        keep[at + 1] = False
         seq = seq[keep]
     return seq, rules.astype(np.uint32), lengths.astype(np.uint32)
 

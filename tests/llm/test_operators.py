@@ -135,6 +135,17 @@ def test_grammar_compression_is_exact_and_random_access():
     assert len(token_files.compress(np.tile(np.arange(10, dtype=np.uint32), 100), 50257)[0]) < 200
 
 
+def test_grammar_compression_ends_only_when_no_pair_is_frequent():
+    rng = np.random.default_rng(15)
+    many = np.repeat(rng.permutation(np.arange(12000)).reshape(6000, 2), 8, axis=0)[rng.permutation(48000)].ravel()
+    for ids in (many, np.tile(rng.integers(0, 40000, 900), 40), np.zeros(5001), rng.integers(0, 3, 4000)):
+        ids = ids.astype(np.uint32)
+        stream, rules, lengths = token_files.compress(ids, 50257)
+        assert not len(stream) > 1 or max(Counter(pairwise(stream.tolist())).values()) < 8
+        assert token_files.expand(stream, rules, 50257).tolist() == ids.tolist()
+        assert token_files.slice_ids(stream, rules, lengths, 50257, 100, 777).tolist() == ids[100:777].tolist()
+
+
 def slow_cuts(places, penalty, window):
     cost = [0.0] + [math.inf] * (len(places) - 1)
     for j in range(1, len(places)):
