@@ -19,16 +19,29 @@ PHRASES = {
     "cc by nc": "cc-by-nc",
 }
 
+_BSD = "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met [[1]] [[a]] redistributions of source code must retain the above copyright notice this list of conditions and the following disclaimer [[2]] [[b]] redistributions in binary form must reproduce the above copyright notice this list of conditions and the following disclaimer in the documentation and or other materials provided with the distribution"
+_BSD_ADVERTISING = "[[3]] [[c]] all advertising materials mentioning features or use of this software must display the following acknowledgement this product includes software developed by {{1,20}}"
+_BSD_NAMES = "[[3]] [[4]] [[c]] [[d]] neither the name of {{1,12}} nor the names of {{0,8}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
+_BSD_DISCLAIMER = "this software is provided by {{1,12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1,12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
+
 #: Public license wording. [[ ]] encloses what may be missing; {{a,b}} stands
-#: for a to b words of any kind; all else is mandatory.
+#: for a to b words of any kind (names of holders); all else is mandatory. Texts are whole,
+#: with conditions and disclaimer; a label's short notices are templates of their own, whose
+#: keys go on after a slash. A template ends with a mandatory word: what follows is not read.
 TEMPLATES = {
-    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions [[the above copyright notice and this permission notice {{0,8}} shall be included in all copies or substantial portions of the software]]",
-    "apache-2": "licensed under the apache license version 2 [[0]] [[the license you may not use this file except in compliance with the license]]",
-    "cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc [[{{1,1}} 0]]",
-    "gpl-3": "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3 [[of the license]] [[or at your option any later version]]",
-    "gpl-2": "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2 [[of the license]] [[or at your option any later version]]",
-    "bsd": "redistribution and use in source and binary forms with or without modification are permitted provided that the following conditions are met",
-    "isc": "permission to use copy modify and or distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies",
+    "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{1,12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
+    "mit/notice": "under the mit license",
+    "apache-2": "licensed under the apache license version 2",
+    "cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc",
+    "gpl-3": "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3",
+    "gpl-2": "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2",
+    "bsd-2": f"{_BSD} {_BSD_DISCLAIMER}",
+    "bsd-3": f"{_BSD} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "bsd-4": f"{_BSD} {_BSD_ADVERTISING} {_BSD_NAMES} {_BSD_DISCLAIMER}",
+    "bsd-2/notice": "under the bsd 2 clause [[simplified]] license",
+    "bsd-3/notice": "under the bsd 3 clause [[new]] [[or]] [[revised]] license",
+    "isc": "permission to use copy modify and [[or]] distribute this software for any purpose with or without fee is hereby granted provided that the above copyright notice and this permission notice appear in all copies the software is provided as is and {{1,12}} disclaims all warranties with regard to this software including all implied warranties of merchantability and fitness in no event shall {{1,12}} be liable for any special direct indirect or consequential damages or any damages whatsoever resulting from loss of use data or profits whether in an action of contract negligence or other tortious action arising out of or in connection with the use or performance of this software",
+    "isc/notice": "under the isc license",
     "all-rights-reserved": "all rights reserved",
 }
 
@@ -140,7 +153,7 @@ TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(
 
 def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates: dict[str, str]) -> Iterator[pa.RecordBatch]:
     needles = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-    automata = [(label, compile_template(t)) for label, t in templates.items()]
+    automata = [(key.partition("/")[0], compile_template(t)) for key, t in templates.items()]
     for batch in batches:
         texts = pc.cast(batch.column(1), pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
         rows = [scan(t.as_py(), needles, automata) for t in texts]
@@ -151,7 +164,7 @@ def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates:
 def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates: dict[str, str] = TEMPLATES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """License phrases and templates found in each text, a row for each row of docs.
 
-    phrases give the base labels, templates those of the method: a template is compiled
+    phrases give the base labels, templates those of the method (a key up to any slash): a template is compiled
     to a word automaton that is run from each place of its leading words and accepts when
     all mandatory wording was read, with optional regions taken or left out and
     replaceable ones of any words. score is 1 with any label, else the largest share of a

@@ -297,6 +297,20 @@ def test_templates_accept_optional_and_replaceable_regions():
     assert places[:4] == (6, 2, 0, 3)
 
 
+def test_license_texts_need_their_conditions_and_take_any_holder(spark):
+    text = lambda key, *holders: re.sub(r"\{\{\d+,\d+\}\}", lambda _, h=iter(holders): next(h), re.sub(r"\[\[.*?\]\]", "", license_scan.TEMPLATES[key]))
+    mit, isc = text("mit", "the authors or copyright holders"), text("isc", "Jane Doe", "Jane Doe")
+    bsd = [text("bsd-2", "Acme Ltd", "Acme Ltd"), text("bsd-3", "Acme Ltd", "its", "Acme Ltd", "Acme Ltd"), text("bsd-4", "Acme Ltd", "Acme Ltd", "its", "Acme Ltd", "Acme Ltd")]
+    cases = [
+        (mit, "mit"), (mit.replace("the authors or copyright holders", "Jane Doe of Example Institute"), "mit"), (mit.replace("shall be included", "shall be shown to a fee collector"), ""),
+        (mit[: mit.index("the above copyright")] + "no military use", ""), (isc, "isc"), (isc.replace("Jane Doe", "the author"), "isc"), (isc.replace("in all copies", "in all copies sold at cost"), ""),
+        (bsd[0], "bsd-2"), (bsd[1], "bsd-3"), (bsd[2], "bsd-4"), (bsd[0].replace("must retain", "need not retain"), ""), ("Under the ISC License.", "isc"), ("under the BSD 3-Clause License", "bsd-3"),
+    ]
+    got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame([(i, f"(c) 2020\n{t}. end") for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")).collect()}
+    for i, (_, label) in enumerate(cases):
+        assert got[i].labels == label and (got[i].score == 1.0) == bool(label), i
+
+
 def shingles(text):
     words = [w.lower() for w in WORD.findall(text or "")]
     return frozenset(tuple(words[i : i + 5]) for i in range(len(words) - 4)) if len(words) >= 5 else frozenset([tuple(words)]) if words else frozenset()
