@@ -25,11 +25,6 @@ def normal_line(line: Column) -> Column:
     return F.lower(F.trim(F.regexp_replace(line, BLANK, " ")))
 
 
-def text_key(text: Column) -> Column:
-    """60 bits that name a text."""
-    return F.conv(F.substring(F.md5(text), 1, 15), 16, 10).cast("long")
-
-
 def line_key(line: Column) -> Column:
     return F.xxhash64(normal_line(line))
 
@@ -67,8 +62,8 @@ def repeated_words(words: Column, width: int = 5) -> Column:
     return let(words, lambda w: F.when(F.size(w) < width, F.lit(0).cast("long")).otherwise(count(w)))
 
 
-def text_figures(docs: DataFrame, text: Column) -> DataFrame:
-    """docs with _f: n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of each text."""
+def text_figures(text: Column) -> Column:
+    """n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words of a text."""
 
     def figures(w: Column) -> Column:
         return F.struct(
@@ -79,51 +74,46 @@ def text_figures(docs: DataFrame, text: Column) -> DataFrame:
             repeated_words(w).alias("n_repeat_words"),
         )
 
-    return docs.withColumn("_f", let(words_of(text), figures))
+    return let(words_of(text), figures)
 
 
-def common_lines(docs: DataFrame, share: float, least: int, host_col: str = "source", text_col: str = "text") -> DataFrame:
-    """(host, common): for each host that has any, its lines above the limit as structs of key and first_text.
+def common_lines(rows: DataFrame, share: float, least: int) -> DataFrame:
+    """(host, common): for each host of rows (host, text) that has any, the keys of its lines above the limit.
 
-    A line is above the limit if more than max(least, share of the host's distinct texts)
-    distinct texts of the host hold it. Copies of one text count once: removing copies is
-    another operator's task. The text with the least hash that holds a line keeps it, so
-    a line is never removed everywhere. Counting is by (host, line, text) first, so a host
-    or a line with a third of all rows is spread over many tasks. A host's array has at
-    most (lines a text) / share entries, as each entry takes that share of the texts.
+    A line is above the limit if more than max(least, share of the host's documents)
+    documents of the host hold it. Each row is a document, copies included; a document
+    counts once however often it has the line. Counts are partial before they are
+    shuffled, so a host or a line with a third of all rows costs a row a task. A host's
+    array has at most (lines a document) / share entries, as each takes that share of the
+    documents.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), text_key(text).alias("t"), F.array_distinct(F.transform(lines_of(text), line_key)).alias("keys"))
-    limits = rows.groupBy("host", "t").agg(F.lit(1).alias("one")).groupBy("host").agg(F.greatest(F.lit(least).cast("double"), F.count("*") * F.lit(share)).alias("most"))
-    held = rows.select("host", "t", F.explode("keys").alias("key")).groupBy("host", "key", "t").agg(F.lit(1).alias("one"))
-    counted = held.groupBy("host", "key").agg(F.count("*").alias("n"), F.min("t").alias("first_text")).filter(F.col("n") > least)
+    keys = rows.select("host", F.explode(F.array_distinct(F.transform(lines_of(F.col("text")), line_key))).alias("key"))
+    limits = rows.groupBy("host").agg(F.greatest(F.lit(least).cast("double"), F.count("*") * F.lit(share)).alias("most"))
+    counted = keys.groupBy("host", "key").agg(F.count("*").alias("n")).filter(F.col("n") > least)
     above = counted.join(limits, "host").filter(F.col("n") > F.col("most"))
-    return above.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("key", "first_text"))).alias("common"))
+    return above.groupBy("host").agg(F.sort_array(F.collect_list("key")).alias("common"))
 
 
 def _matched(docs: DataFrame, share: float, least: int, host_col: str, text_col: str) -> DataFrame:
-    """docs with _drop: keys of the lines to remove from each text, null where its host has none.
+    """(row, host, text, drop) for each row of docs: drop has the keys of the lines to remove from its text, null where its host has none.
 
     The common lines are read back from a written table: its size tells the planner
     whether to broadcast it.
     """
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    common = materialize(common_lines(docs, share, least, host_col, text_col), "common-lines").withColumnsRenamed({"host": "_host2", "common": "_common"})
-    own = docs.withColumn("_host", F.coalesce(F.col(host_col).cast("string"), F.lit("")))
-    both = own.join(common, F.col("_host") == F.col("_host2"), "left")
-    return both.withColumn("_drop", F.when(F.col("_common").isNotNull(), let(text_key(text), lambda t: F.transform(F.filter("_common", lambda x: x["first_text"] != t), lambda x: x["key"]))))
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.coalesce(F.col(host_col).cast("string"), F.lit("")).alias("host"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    common = materialize(common_lines(rows.select("host", "text"), share, least), "common-lines")
+    return rows.join(common.withColumnRenamed("common", "drop"), "host", "left")
 
 
-def removed(text: Column) -> Column:
-    """(lines, words) that _drop takes out of a text."""
+def removed(text: Column, drop: Column) -> Column:
+    """(lines, words) that drop takes out of a text."""
     none = F.struct(F.lit(0).cast("long").alias("lines"), F.lit(0).cast("long").alias("words"))
 
-    def gone(drop: Column) -> Column:
-        hits = F.transform(F.filter(lines_of(text), lambda line: F.array_contains(drop, line_key(line))), lambda line: F.size(words_of(line)))
-        found = let(hits, lambda h: F.struct(F.size(h).cast("long").alias("lines"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x).alias("words")))
-        return F.when(F.coalesce(F.size(drop), F.lit(0)) > 0, found).otherwise(none)
+    def gone(keys: Column) -> Column:
+        hits = F.transform(F.filter(lines_of(text), lambda line: F.array_contains(keys, line_key(line))), lambda line: F.size(words_of(line)))
+        return let(hits, lambda h: F.struct(F.size(h).cast("long").alias("lines"), F.aggregate(h, F.lit(0).cast("long"), lambda a, x: a + x).alias("words")))
 
-    return let(F.col("_drop"), gone)
+    return let(drop, lambda d: F.when(F.coalesce(F.size(d), F.lit(0)) > 0, gone(d)).otherwise(none))
 
 
 def base_failed(n_words: Column, n_repeat_words: Column) -> Column:
@@ -142,24 +132,30 @@ def quality_rules(docs: DataFrame, share: float = 0.1, least: int = 8, host_col:
     limit removed (see common_lines), fewer than 10 words are left, or under half.
 
     Null texts are empty and fail; null hosts are one host named ''; null ids pass
-    through; repeated rows give a row each and count as one text; other columns are
-    ignored; an empty table gives an empty result.
+    through; repeated rows give a row each and are documents each; a host with `least`
+    documents or fewer has no line above the limit; very long texts are one row and are
+    worked on whole; other columns are ignored, whatever their names; an empty table gives
+    an empty result.
     """
-    docs = docs.select(F.col(id_col).alias("_id"), F.col(host_col).alias("_h"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("_text"))
-    out = _matched(docs, share, least, "_h", "_text").withColumn("_gone", removed(F.col("_text")))
-    out = text_figures(out, F.col("_text"))
-    f, gone = F.col("_f"), F.col("_gone.words")
+    slim = docs.select(F.col(id_col).alias("id"), F.col(host_col).alias("h"), F.col(text_col).alias("t"))
+    out = _matched(slim, share, least, "h", "t").select(F.col("row.id").alias("id"), text_figures(F.col("text")).alias("f"), removed(F.col("text"), F.col("drop")).alias("gone"))
+    f, gone = F.col("f"), F.col("gone.words")
     failed = base_failed(f["n_words"], f["n_repeat_words"])
     figures = [f[c].alias(c) for c in ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")]
-    return out.select(F.col("_id").alias(id_col), *figures, failed.alias("base_failed"), F.col("_gone.lines").alias("n_removed_lines"), gone.alias("n_removed_words"), (~failed & ~depleted(f["n_words"], gone)).alias("kept"))
+    return out.select(F.col("id").alias(id_col), *figures, failed.alias("base_failed"), F.col("gone.lines").alias("n_removed_lines"), gone.alias("n_removed_words"), (~failed & ~depleted(f["n_words"], gone)).alias("kept"))
 
 
 def filtered(docs: DataFrame, share: float = 0.1, least: int = 8, host_col: str = "source", text_col: str = "text", chars_col: str = "n_chars") -> DataFrame:
-    """The kept documents with the columns of docs, lines above the limit taken out of their texts and chars_col set anew where it exists."""
-    text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
+    """The documents that quality_rules keeps, with the columns of docs, lines above the limit taken out of their texts and chars_col set anew where it exists.
+
+    Nulls, empty and very long texts, repeated rows, small hosts and empty tables are as
+    in quality_rules; columns of any names are passed on; a text without a line to remove
+    is passed on as it is.
+    """
+    text, drop = F.col("text"), F.col("drop")
     # One expression a row, so that no part of it is worked out twice.
-    keep = let(F.struct(words_of(text).alias("w"), removed(text)["words"].alias("gone")), lambda s: let(F.size(s["w"]), lambda n: ~depleted(n, s["gone"]) & ~base_failed(n, repeated_words(s["w"]))))
-    rest = let(F.col("_drop"), lambda drop: F.when(F.coalesce(F.size(drop), F.lit(0)) > 0, F.array_join(F.filter(F.split(F.col(text_col), "\n"), lambda line: ~F.array_contains(drop, line_key(line))), "\n")).otherwise(F.col(text_col)))
-    out = _matched(docs, share, least, host_col, text_col).filter(keep).withColumn("_clean", rest)
-    columns = [F.col("_clean").alias(c) if c == text_col else (F.length("_clean").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col(c)) for c in docs.columns]
+    keep = let(F.struct(words_of(text).alias("w"), removed(text, drop)["words"].alias("gone")), lambda s: let(F.size(s["w"]), lambda n: ~depleted(n, s["gone"]) & ~base_failed(n, repeated_words(s["w"]))))
+    rest = let(drop, lambda d: F.when(F.coalesce(F.size(d), F.lit(0)) > 0, F.array_join(F.filter(F.split(text, "\n"), lambda line: ~F.array_contains(d, line_key(line))), "\n")).otherwise(text))
+    out = _matched(docs, share, least, host_col, text_col).filter(keep).select("row", rest.alias("clean"))
+    columns = [F.col("clean").alias(c) if c == text_col else (F.length("clean").cast(docs.schema[c].dataType).alias(c) if c == chars_col else F.col("row")[c].alias(c)) for c in docs.columns]
     return out.select(*columns)
