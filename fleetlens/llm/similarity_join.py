@@ -7,10 +7,10 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Observation
 from pyspark.sql import functions as F
 
-from fleetlens.llm.common import materialize
+from fleetlens.llm.common import discard, materialize
 from fleetlens.llm.tokens import chunks
 from fleetlens.llm.wordhash import mixed, powers, word_hashes
 
@@ -19,8 +19,8 @@ STEP = np.uint64(0xC2B2AE3D27D4EB4F)
 HASHES, BANDS, ROWS = 128, 25, 5
 #: Values compared at a time by the pruning.
 ROUND = 32
-#: Texts of a block, the unit in which candidates are compared.
-BLOCK = 256
+#: Texts of a block and about their bytes, the unit in which candidates are compared.
+BLOCK, BLOCK_BYTES = 256, 16_000_000
 #: Pairs above which a block's intersections are counted by a matrix product.
 MANY = 400
 
@@ -72,12 +72,14 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
 
 def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
     for batch in batches:
-        keys, bands = [], []
+        keys, bands, signatures = [], [], []
         for _, part in chunks(batch.column(1).to_pylist()):
             for s in shingle_sets(part, width):
+                signature = minhash(s) if len(s) else None
                 keys.append(set_key(s) if len(s) else None)
-                bands.append(band_keys(minhash(s)).view(np.int64) if len(s) else None)
-        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], ["id", "c", "bands"])
+                bands.append(band_keys(signature).view(np.int64) if len(s) else None)
+                signatures.append(signature.astype("<u4").tobytes() if len(s) else None)
+        yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(keys, pa.binary()), pa.array(bands, pa.list_(pa.int64())), pa.array(signatures, pa.binary())], ["id", "c", "bands", "signature"])
 
 
 def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
@@ -99,17 +101,25 @@ def least_matches(threshold: float, tolerance: float) -> list[tuple[int, int]]:
     return out
 
 
-def candidates(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]]) -> np.ndarray:
-    """Pairs of signatures (rows of a and b) that the pruning leaves, as a matrix of booleans: values are compared a round at a time, and it ends when no pair is left."""
-    matches, at = np.zeros((len(a), len(b)), np.int16), 0
-    alive = np.ones(matches.shape, bool)
-    for n, m in least:
-        matches += (a[:, None, at:n] == b[None, :, at:n]).sum(axis=2, dtype=np.int16)
-        at = n
-        alive &= matches >= m
-        if not alive.any():
+def candidates(a: np.ndarray, b: np.ndarray, least: list[tuple[int, int]], once: bool = False) -> np.ndarray:
+    """Pairs (i, j) of signatures (rows of a and b) that the pruning leaves; with once, only i < j.
+
+    Values are compared a round at a time. A dropped pair is never looked at again: after
+    the first round only the live pairs are compared.
+    """
+    n, m = least[0]
+    matches = np.zeros((len(a), len(b)), np.int16)
+    for k in range(n):
+        matches += a[:, None, k] == b[None, :, k]
+    pairs = np.argwhere(np.triu(matches >= m, 1) if once else matches >= m)
+    found, at = matches[pairs[:, 0], pairs[:, 1]].astype(np.int64), n
+    for n, m in least[1:]:
+        found += (a[pairs[:, 0], at:n] == b[pairs[:, 1], at:n]).sum(axis=1)
+        live = found >= m
+        pairs, found, at = pairs[live], found[live], n
+        if not len(pairs):
             break
-    return alive
+    return pairs
 
 
 def shared_counts(a: list[np.ndarray], b: list[np.ndarray], pairs: np.ndarray) -> np.ndarray:
@@ -146,117 +156,157 @@ def _roots(n: int, pairs: np.ndarray) -> list[int]:
     return [find(i) for i in range(n)]
 
 
-def compare(signatures: np.ndarray, sets: list[np.ndarray], left: np.ndarray, right: np.ndarray, threshold: float, least: list[tuple[int, int]]) -> np.ndarray:
-    """Linked pairs (i, j) between the members numbered in left and right; for one block both are the same, and each pair is taken once."""
-    alive = candidates(signatures[left], signatures[right], least)
-    if left is right:
-        alive = np.triu(alive, 1)
-    pairs = np.argwhere(alive)
-    if not len(pairs):
-        return np.zeros((0, 2), np.int64)
-    a, b = [sets[i] for i in left.tolist()], [sets[j] for j in right.tolist()]
-    both = shared_counts(a, b, pairs)
-    sizes = np.array([len(x) for x in a])[pairs[:, 0]] + np.array([len(x) for x in b])[pairs[:, 1]]
-    good = both >= threshold * (sizes - both) - 1e-9
-    return np.stack([left[pairs[good, 0]], right[pairs[good, 1]]], axis=1)
-
-
-def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float, least: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
-    """Rows (x, y, block, c, text) sorted by (x, y): compares block x with block y. Gives for each linked member its number of links there and a member it is linked to."""
-    key, members = None, {}
-
-    def done() -> pa.RecordBatch | None:
-        found = shingle_sets([text for _, text in members.values()], width)
-        # An id that several texts share brings them all; only the one of this class counts.
-        own = [(name, block, s) for ((name, _), (block, _)), s in zip(members.items(), found, strict=True) if set_key(s) == name]
-        if len(own) < 2:
-            return None
-        names, sets = [m[0] for m in own], [m[2] for m in own]
-        signatures = np.stack([minhash(s) for s in sets])
-        side = np.array([m[1] == key[0] for m in own])
+def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
+    """Rows sorted by (x, y), gathered a pair of blocks at a time."""
+    key, rows = None, []
+    for batch in batches:
+        for row in batch.to_pylist():
+            if (row["x"], row["y"]) != key:
+                if rows:
+                    yield key, rows
+                key, rows = (row["x"], row["y"]), []
+            rows.append(row)
+    if rows:
+        yield key, rows
+
+
+def _prune(batches: Iterator[pa.RecordBatch], least: list[tuple[int, int]]) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, block, c, id, t, signature): for each class of a pair of blocks that has live candidates in the other, its number there and the numbers of those that follow it (int32)."""
+    for (x, y), rows in _runs(batches):
+        if len(rows) < 2:
+            continue
+        signatures = np.frombuffer(b"".join(r["signature"] for r in rows), "<u4").reshape(len(rows), HASHES)
+        side = np.array([r["block"] == x for r in rows])
         left = np.flatnonzero(side)
-        right = left if key[0] == key[1] else np.flatnonzero(~side)
-        pairs = compare(signatures, sets, left, right, threshold, least)
+        right = left if x == y else np.flatnonzero(~side)
+        pairs = candidates(signatures[left], signatures[right], least, once=x == y)
+        if not len(pairs):
+            continue
+        i, j = left[pairs[:, 0]], right[pairs[:, 1]]
+        order = np.argsort(i, kind="stable")
+        i, j = i[order], j[order]
+        live = np.unique(np.concatenate([i, j]))
+        number = np.zeros(len(rows), np.int32)
+        number[live] = np.arange(len(live))
+        at = np.searchsorted(i, [live, live + 1])
+        partners = [number[j[a:b]].astype("<i4").tobytes() for a, b in zip(*at.tolist(), strict=True)]
+        own = [rows[k] for k in live.tolist()]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([x] * len(own), pa.int64()), pa.array([y] * len(own), pa.int64()), pa.array([r["c"] for r in own], pa.binary()), pa.array([r["id"] for r in own], pa.int64()), pa.array([r["t"] for r in own], pa.int64()), pa.array(range(len(own)), pa.int32()), pa.array(partners, pa.binary())],
+            ["x", "y", "c", "id", "t", "number", "partners"],
+        )
+
+
+def _verify(batches: Iterator[pa.RecordBatch], width: int, threshold: float) -> Iterator[pa.RecordBatch]:
+    """Rows (x, y, c, number, partners, text) sorted by (x, y): checks the live pairs exactly. Gives for each linked class its number of links there and a class it is linked to."""
+    for _, rows in _runs(batches):
+        members: dict[int, tuple[bytes, np.ndarray, np.ndarray]] = {}
+        # Equal rows bring their text several times; texts whose hashes clash are told apart here.
+        for row, s in zip(rows, shingle_sets([r["text"] for r in rows], width), strict=True):
+            if row["number"] not in members and set_key(s) == row["c"]:
+                members[row["number"]] = (row["c"], s, np.frombuffer(row["partners"], "<i4"))
+        numbers = sorted(members)
+        sets = [members[i][1] for i in numbers]
+        place = {n: k for k, n in enumerate(numbers)}
+        pairs = np.array([(place[n], place[j]) for n in numbers for j in members[n][2].tolist() if j in place], np.int64).reshape(-1, 2)
         if not len(pairs):
-            return None
+            continue
+        (left, i), (right, j) = (np.unique(pairs[:, k], return_inverse=True) for k in (0, 1))
+        both = shared_counts([sets[k] for k in left.tolist()], [sets[k] for k in right.tolist()], np.stack([i, j], axis=1))
+        sizes = np.fromiter(map(len, sets), np.int64, len(sets))
+        total = sizes[pairs[:, 0]] + sizes[pairs[:, 1]]
+        pairs = pairs[both >= threshold * (total - both) - 1e-9]
+        if not len(pairs):
+            continue
+        names = [members[n][0] for n in numbers]
         counts = np.bincount(pairs.ravel(), minlength=len(names))
         roots = _roots(len(names), pairs)
         hit = np.flatnonzero(counts).tolist()
-        return pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], pa.binary()), pa.array([names[roots[i]] for i in hit], pa.binary()), pa.array(counts[hit].astype(np.int64))], ["a", "b", "n"])
-
-    for batch in batches:
-        x, y, block, c, text = (batch.column(i).to_pylist() for i in range(5))
-        for i in range(len(x)):
-            if (x[i], y[i]) != key:
-                if len(members) > 1 and (out := done()) is not None:
-                    yield out
-                key, members = (x[i], y[i]), {}
-            members[(c[i], hash(text[i]))] = (block[i], text[i])  # repeated rows once
-    if len(members) > 1 and (out := done()) is not None:
-        yield out
+        yield pa.RecordBatch.from_arrays([pa.array([names[i] for i in hit], pa.binary()), pa.array([names[roots[i]] for i in hit], pa.binary()), pa.array(counts[hit].astype(np.int64))], ["a", "b", "n"])
 
 
 def sketches(docs: DataFrame, width: int, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, t, c, bands): t is a hash of the text, c names its shingle set; c and bands are null without words."""
+    """(id, t, bytes, c, bands, signature): t is a hash of the text, c names its shingle set; the last three are null without words."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t")).alias("id"), text.alias("text"))
-    out = rows.mapInArrow(partial(_sketch, width=width), "id struct<id: bigint, t: bigint>, c binary, bands array<bigint>")
-    return out.select("id.id", "id.t", "c", "bands")
+    rows = docs.select(F.struct(F.col(id_col).cast("long").alias("id"), F.xxhash64(text).alias("t"), F.octet_length(text).cast("long").alias("bytes")).alias("id"), text.alias("text"))
+    out = rows.mapInArrow(partial(_sketch, width=width), "id struct<id: bigint, t: bigint, bytes: bigint>, c binary, bands array<bigint>, signature binary")
+    return out.select("id.*", "c", "bands", "signature")
+
 
+def blocks_of(hits: DataFrame, sizes: DataFrame) -> DataFrame:
+    """(r, block) for the classes r of hits (r, bucket); sizes (r, bytes).
+
+    Classes of one least bucket stand together, split by r if they are more than a block;
+    small ones are put together with those of a neighbouring least bucket. Counts of a
+    bucket are summed before they are shuffled, and only those above a block are joined
+    back, so that the many rows of a large bucket meet one small row.
+    """
+    leaders = materialize(hits.groupBy("r").agg(F.min("bucket").alias("leader")).join(sizes, "r"), "join-leaders")
+    lows = hits.join(leaders.select("r", "leader"), "r").groupBy("bucket").agg(F.min("leader").alias("low"))
+    labels = materialize(hits.join(lows, "bucket").groupBy("r").agg(F.min("low").alias("label")).join(leaders, "r"), "join-labels")
+
+    def parts(key: str, name: str) -> DataFrame:
+        found = labels.groupBy(key).agg(F.greatest(F.ceil(F.count("*") / BLOCK), F.ceil(F.sum("bytes") / BLOCK_BYTES)).alias(name))
+        return found.filter(F.col(name) > 1)
+
+    rows = labels.join(parts("leader", "own"), "leader", "left").join(parts("label", "near"), "label", "left")
+    block = F.when(F.col("own") > 1, F.xxhash64(F.lit(1), "leader", F.pmod("r", "own"))).otherwise(F.xxhash64(F.lit(0), "label", F.pmod("leader", F.coalesce("near", F.lit(1)))))
+    out = materialize(rows.select("r", block.alias("block")), "join-blocks")
+    discard(leaders, labels)
+    return out
 
-def links(docs: DataFrame, sketch: DataFrame, classes: DataFrame, width: int, threshold: float, tolerance: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(a, b, n): for each class with links, n of them, and a class b it is linked to, directly or over others. A class may have several rows.
 
-    Classes that share a band are candidates. They are dealt into blocks of about BLOCK
-    texts: those of one least bucket together, split if they are more, and small ones put
-    together with those of a neighbouring least bucket. Blocks that share a bucket are compared
-    with each other. So pairs of texts exist only inside a task, where the pruning and the
-    exact check run over whole blocks, and what is shuffled is texts a block pair, not
-    pairs of texts; no bucket or group is gathered in one task.
+def links(docs: DataFrame, heads: DataFrame, width: int, threshold: float, tolerance: float, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """(a, b, n), written: for each class with links, n of them, and a class b it is linked to, directly or over others. A class may have several rows.
+
+    Classes that share a band are candidates. They are dealt into blocks (blocks_of), and
+    blocks that share a bucket meet in a task: first with their signatures alone, where
+    the pruning drops pair by pair; then only classes with live pairs send a text there,
+    for the exact check. So pairs exist only inside a task, and no bucket or group is
+    gathered in one.
     """
-    heads = sketch.join(classes, (sketch["c"] == classes["k"]) & sketch["id"].eqNullSafe(classes["rep"])).select("id", "c", "bands", F.xxhash64("c").alias("r"))
-    heads = materialize(heads, "join-heads")
     # Until texts meet, a class is known by a 64-bit number; classes that share one go on together.
     rows = heads.select("r", F.explode("bands").alias("bucket"))
     shared = rows.groupBy("bucket").agg(F.count("*").alias("n")).filter("n > 1")
     hits = materialize(rows.join(shared.select("bucket"), "bucket"), "join-buckets")
-    leaders = materialize(hits.groupBy("r").agg(F.min("bucket").alias("leader")), "join-leaders")
-    lows = hits.join(leaders, "r").groupBy("bucket").agg(F.min("leader").alias("low"))
-    labels = hits.join(lows, "bucket").groupBy("r").agg(F.min("low").alias("label"))
-    rows = leaders.join(leaders.groupBy("leader").agg(F.count("*").alias("n")), "leader").join(labels, "r")
-    rows = rows.join(rows.groupBy("label").agg(F.count("*").alias("m")), "label")
-    own, near = F.pmod(F.col("r"), F.ceil(F.col("n") / BLOCK)), F.pmod(F.col("leader"), F.ceil(F.col("m") / BLOCK))
-    block = F.when(F.col("n") > BLOCK, F.xxhash64(F.lit(1), "leader", own)).otherwise(F.xxhash64(F.lit(0), "label", near))
-    blocks = materialize(rows.select("r", block.alias("block")), "join-blocks")
+    blocks = blocks_of(hits, heads.groupBy("r").agg(F.sum("bytes").alias("bytes")))
     places = materialize(hits.join(blocks, "r").select("bucket", "block").distinct(), "join-places")
     x, y = places.withColumnRenamed("block", "x"), places.withColumnRenamed("block", "y")
-    meets = materialize(x.join(y, "bucket").filter("x <= y").select("x", "y").distinct(), "join-meets")
-    texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    needed = heads.join(blocks, "r").select("id", "c", "block")
-    texts = needed.join(texts, F.col("id").eqNullSafe(F.col("text_id"))).select("block", "c", "text")
+    meets = x.join(y, "bucket").filter("x <= y").select("x", "y").distinct()
     sides = meets.select("x", "y", F.explode(F.array_distinct(F.array("x", "y"))).alias("block"))
-    dealt = sides.join(texts, "block").select("x", "y", "block", "c", "text").repartition("x", "y").sortWithinPartitions("x", "y")
-    return dealt.mapInArrow(partial(_verify, width=width, threshold=threshold, least=least_matches(threshold, tolerance)), "a binary, b binary, n bigint")
+    members = heads.join(blocks, "r").select("block", "c", F.col("rep").alias("id"), "t", "signature")
+    dealt = sides.join(members, "block").select("x", "y", "block", "c", "id", "t", "signature").repartition("x", "y").sortWithinPartitions("x", "y")
+    live = materialize(dealt.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance)), "x bigint, y bigint, c binary, id bigint, t bigint, number int, partners binary"), "join-live")
+    discard(hits, blocks, places)
+    texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    dealt = live.join(texts, F.col("id").eqNullSafe(F.col("text_id")) & (F.col("t") == F.xxhash64("text"))).select("x", "y", "c", "number", "partners", "text").repartition("x", "y").sortWithinPartitions("x", "y")
+    out = materialize(dealt.mapInArrow(partial(_verify, width=width, threshold=threshold), "a binary, b binary, n bigint"), "join-links")
+    discard(live)
+    return out
 
 
-def components(edges: DataFrame, most_rounds: int = 40) -> DataFrame:
-    """(c, label): the least name of each connected component, for every name in edges (a, b).
+def components(edges: DataFrame) -> DataFrame:
+    """(c, label), written: the least name of each connected component, for every name in edges (a, b).
 
     Each round gives a name the least label of its neighbours and then that label's own
-    label; rounds end when nothing changes. Labels are written each round, so that a lost
-    executor costs one round at most.
+    label. A label only ever falls, so rounds end, when one changes nothing. Labels are
+    written each round, so that a lost executor costs one round at most.
     """
     both = materialize(edges.select(F.col("a").alias("x"), F.col("b").alias("y")).union(edges.select("b", "a")).distinct(), "edges")
     labels = materialize(both.groupBy(F.col("x").alias("c")).agg(F.least(F.col("c"), F.min("y")).alias("label")), "labels")
-    for _ in range(most_rounds):
+    while True:
         around = both.join(labels.select(F.col("c").alias("y"), "label"), "y").groupBy(F.col("x").alias("c")).agg(F.min("label").alias("near"))
         near = labels.join(around, "c").select("c", F.col("label").alias("old"), F.least("label", "near").alias("near"))
         jump = labels.select(F.col("c").alias("near"), F.col("label").alias("far"))
-        step = materialize(near.join(jump, "near", "left").select("c", "old", F.least("near", F.coalesce("far", "near")).alias("label")), "labels")
+        seen = Observation()
+        step = near.join(jump, "near", "left").select("c", "old", F.least("near", F.coalesce("far", "near")).alias("label"))
+        step = materialize(step.observe(seen, F.count_if(F.col("label") != F.col("old")).alias("changed")), "labels")
+        discard(labels)
         labels = step.select("c", "label")
-        if not step.filter(F.col("label") != F.col("old")).head(1):
+        labels.scratch = step.scratch
+        if not seen.get["changed"]:
+            discard(both)
             return labels
-    raise RuntimeError(f"labels still change after {most_rounds} rounds")
 
 
 def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -274,34 +324,48 @@ def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8,
     own id and 1 copy. Null ids are one id; repeated rows give a row each and count as
     copies; other columns are ignored; an empty table gives an empty result.
     """
-    return _classes(docs, width, threshold, tolerance, id_col, text_col).select(F.col("id").alias(id_col), "class_id", "copy_id", "n_copies", "n_links")
+    return _classes(docs, width, threshold, tolerance, id_col, text_col)[0].select(F.col("id").alias(id_col), "class_id", "copy_id", "n_copies", "n_links")
 
 
 def one_of_each(docs: DataFrame, width: int = 5, threshold: float = 0.8, tolerance: float = 1e-4, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The row with the least id of each class, with the columns of docs; equal rows are one. Of texts that share the least id the one with the least hash stays; rows without words all stay."""
-    classes = _classes(docs, width, threshold, tolerance, id_col, text_col)
-    kept = classes.groupBy("group").agg(F.min(F.struct("id", "t")).alias("k")).select(F.col("k.id").alias("_id"), F.col("k.t").alias("_t"))
-    kept = materialize(kept.distinct(), "join-kept")
+    """The row with the least id of each class, with the columns of docs; equal rows are one.
+
+    Of texts that share the least id the one with the least hash stays. Rows without words
+    (null, empty) are a class each and all stay, but equal ones are one. Null ids are one
+    id; columns of any names are passed on; very long texts are compared whole; an empty
+    table gives an empty result.
+    """
+    classes, used = _classes(docs, width, threshold, tolerance, id_col, text_col)
+    found = classes.groupBy("group").agg(F.min(F.struct("id", "t")).alias("k")).select(F.col("k.id").alias("id"), F.col("k.t").alias("t"))
+    kept = materialize(found.distinct(), "join-kept")
+    repeated = used[0].groupBy("id", "t").agg(F.count("*").alias("n")).filter("n > 1").head(1)
+    discard(*used)
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
-    rows = docs.withColumn("_h", F.xxhash64(text)).join(kept, F.col(id_col).cast("long").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_t")), "left_semi")
-    repeated = classes.groupBy("id", "t").agg(F.count("*").alias("n")).filter("n > 1").head(1)
-    return (rows.dropDuplicates([id_col, "_h"]) if repeated else rows).select(*docs.columns)
+    rows = docs.select(F.struct(*docs.columns).alias("row"), F.col(id_col).cast("long").alias("own"), F.xxhash64(text).alias("h"))
+    rows = rows.join(kept, F.col("own").eqNullSafe(F.col("id")) & (F.col("h") == F.col("t")), "left_semi")
+    return (rows.dropDuplicates(["own", "h"]) if repeated else rows).select("row.*")
 
 
-def _classes(docs: DataFrame, width: int, threshold: float, tolerance: float, id_col: str, text_col: str) -> DataFrame:
-    """(id, t, group, class_id, copy_id, n_copies, n_links); group names the class, also where ids are null or shared."""
+def _classes(docs: DataFrame, width: int, threshold: float, tolerance: float, id_col: str, text_col: str) -> tuple[DataFrame, list[DataFrame]]:
+    """(id, t, group, class_id, copy_id, n_copies, n_links), and the written tables it reads, the sketches first; group names the class, also where ids are null or shared."""
     sketch = materialize(sketches(docs, width, id_col, text_col), "join-sketches")
     worded = sketch.filter(F.col("c").isNotNull())
-    classes = materialize(worded.groupBy(F.col("c").alias("k")).agg(F.min("id").alias("rep"), F.count("*").alias("n_copies")), "join-classes")
-    edges = materialize(links(docs, worded, classes, width, threshold, tolerance, id_col, text_col), "join-links")
-    ends = edges.groupBy(F.col("a").alias("k")).agg(F.sum("n").alias("n_links"))
+    # Texts with one shingle set have one signature and the same bands: any of them will do.
+    rep = F.min(F.struct(F.col("id").isNull().alias("none"), "id", "t")).alias("rep")
+    heads = worded.groupBy("c").agg(rep, F.count("*").alias("n_copies"), F.max("bytes").alias("bytes"), F.first("bands").alias("bands"), F.first("signature").alias("signature"))
+    heads = materialize(heads.select("c", F.col("rep.id").alias("rep"), F.col("rep.t").alias("t"), "n_copies", "bytes", "bands", "signature", F.xxhash64("c").alias("r")), "join-heads")
+    edges = links(docs, heads, width, threshold, tolerance, id_col, text_col)
+    ends = edges.groupBy(F.col("a").alias("c")).agg(F.sum("n").alias("n_links"))
     labels = components(edges.select("a", "b"))
-    named = classes.join(ends, "k", "left").join(labels.select(F.col("c").alias("k"), "label"), "k", "left").withColumn("label", F.coalesce("label", "k"))
+    named = heads.select("c", "rep", "n_copies").join(ends, "c", "left").join(labels, "c", "left").withColumn("label", F.coalesce("label", "c"))
+    named = materialize(named, "join-named")
+    discard(edges, labels, heads)
     least = named.groupBy("label").agg(F.min("rep").alias("class_id"))
-    named = named.join(least, "label").select("k", "rep", "label", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id")
+    figures = named.join(least, "label").select(F.col("c").alias("k"), "rep", "label", "n_copies", F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"), "class_id")
     own: Column = F.col("k").isNull()
-    return sketch.select("id", "t", "c").join(named, F.col("c") == F.col("k"), "left").select(
+    out = sketch.select("id", "t", "c").join(figures, F.col("c") == F.col("k"), "left").select(
         "id", "t", F.when(own, F.concat(F.lit("-"), F.coalesce(F.col("id").cast("string"), F.lit("")), F.lit(":"), F.col("t").cast("string"))).otherwise(F.hex("label")).alias("group"),
         F.when(own, F.col("id")).otherwise(F.col("class_id")).alias("class_id"), F.when(own, F.col("id")).otherwise(F.col("rep")).alias("copy_id"),
         F.coalesce("n_copies", F.lit(1).cast("long")).alias("n_copies"), F.coalesce("n_links", F.lit(0).cast("long")).alias("n_links"),
     )
+    return out, [sketch, named]
