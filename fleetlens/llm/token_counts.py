@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fleetlens.llm.tokens import UnitCache, chunks, sums_by
+from fleetlens.llm.tokens import CACHE_BYTES, Pool, UnitCache, chunks, exotic, sums_by
 
 #: How byte-level vocabularies cut a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
@@ -38,7 +38,10 @@ class MergeCounter:
             spec = json.load(f)
         merges = [tuple(m.split(" ")) if isinstance(m, str) else tuple(m) for m in spec["model"]["merges"]]
         self.ranks = {pair: i for i, pair in enumerate(merges)}
-        self.special = [t["content"] for t in spec["added_tokens"]]
+        if odd := [t["content"] for t in spec["added_tokens"] if t.get("lstrip") or t.get("rstrip") or t.get("single_word")]:
+            raise ValueError(f"special strings that take in what stands beside them are not supported: {odd}")
+        # The longest first: of several that begin at one place the library takes that.
+        self.special = sorted((t["content"] for t in spec["added_tokens"]), key=len, reverse=True)
         self.cut = regex.compile("|".join(map(regex.escape, self.special))) if self.special else None
         self.pieces = regex.compile(PATTERN)
         self.symbols = byte_symbols()
@@ -46,8 +49,9 @@ class MergeCounter:
 
     def _reset(self) -> None:
         self.cache = UnitCache(spaced=True)
+        self.lengths = Pool(np.int64)
         self.known: dict[str, int] = {}
-        self.lengths = np.zeros(0, np.int64)
+        self.known_bytes = 0
 
     def merged(self, piece: str) -> int:
         """Symbols left when no adjacent pair of the piece can be merged.
@@ -82,10 +86,15 @@ class MergeCounter:
 
     def _plain(self, text: str) -> int:
         total = 0
-        for piece in self.pieces.findall(text):
+        for found in self.pieces.finditer(text):
+            piece = found.group()
             n = self.known.get(piece)
             if n is None:
-                n = self.known[piece] = self.merged(piece)
+                n = self.merged(piece)
+                if self.known_bytes > CACHE_BYTES:
+                    self.known, self.known_bytes = {}, 0
+                self.known[piece] = n
+                self.known_bytes += 4 * len(piece) + 100
             total += n
         return total
 
@@ -95,13 +104,22 @@ class MergeCounter:
             return self._plain(text)
         return len(self.cut.findall(text)) + sum(map(self._plain, self.cut.split(text)))
 
-    def counts(self, texts: list[str]) -> np.ndarray:
+    def _cached(self, texts: list[str]) -> np.ndarray:
         if self.cache.full:
             self._reset()
         units, per_text, fresh = self.cache.number(texts)
         if fresh:
-            self.lengths = np.concatenate([self.lengths, np.fromiter(map(self.count, fresh), dtype=np.int64, count=len(fresh))])
-        return sums_by(self.lengths[units], per_text)
+            self.lengths.add(np.fromiter(map(self.count, fresh), dtype=np.int64, count=len(fresh)))
+        return sums_by(self.lengths.all[units], per_text)
+
+    def counts(self, texts: list[str]) -> np.ndarray:
+        whole = exotic(texts)
+        if not whole:
+            return self._cached(texts)
+        apart, out = set(whole), np.zeros(len(texts), np.int64)
+        out[np.delete(np.arange(len(texts)), whole)] = self._cached([t for i, t in enumerate(texts) if i not in apart])
+        out[whole] = [self.count(texts[i]) for i in whole]
+        return out
 
 
 _COUNTERS: dict[str, MergeCounter] = {}

@@ -2,9 +2,10 @@
 
 White space always ends a token in the vocabularies used here, so a text's ids are the
 ids of its units: each run of white space with the run of other characters behind it.
-Units repeat, so each task encodes a unit once and copies its ids after that.
+Units repeat, so each task encodes a unit once and copies its ids after that. Units are
+found by a hash of their bytes, and the bytes are compared on every hit.
 Texts with white space beyond blank, tab, line feed and carriage return are given to the
-library whole.
+library whole and are not kept. The cache is emptied when it holds CACHE_BYTES of units.
 """
 
 from __future__ import annotations
@@ -17,30 +18,41 @@ import numpy as np
 
 from fleetlens.llm.wordhash import BACK, MIX, STEP, mixed, powers
 
-#: White space of any Unicode kind but blank, tab, LF and CR, and the separator used below.
+#: White space of any Unicode kind but blank, tab, LF and CR, and the zero byte that parts texts below.
 EXOTIC = re.compile("[\0\x0b\x0c\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200a\u2028\u2029\u202f\u205f\u3000\ufeff]")
-RUN = re.compile(r"[ \t\n\r]{2}")
+#: Those of them that are ASCII.
+RARE = "\0\x0b\x0c\x1c\x1d\x1e\x1f"
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
-MAX_UNITS = 2_000_000
+#: Units and bytes of units after which the cache is emptied; one call may go beyond by the texts it is given.
+MAX_UNITS, CACHE_BYTES = 2_000_000, 48_000_000
 TABLE_BITS = 22
+#: Bytes that are hashed and compared at a time.
+PIECE = 1 << 21
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32]] = True
-#: Bytes of the white space in EXOTIC below 128, but for the zero byte.
-ODD = np.zeros(256, bool)
-ODD[[11, 12, 28, 29, 30, 31]] = True
 ALNUM = np.array([b < 128 and chr(b).isalnum() for b in range(256)])
 
 
-def spaced_units(text: str) -> list[str]:
-    """Units that keep their leading white space, for vocabularies that encode it."""
-    return [text] if EXOTIC.search(text) else UNIT.findall(text)
+class Pool:
+    """An array that grows at its end without copying all of it each time."""
 
+    def __init__(self, kind: type) -> None:
+        self.data, self.size = np.zeros(1024, kind), 0
 
-def bare_units(text: str) -> list[str]:
-    """Units without white space, for vocabularies that drop it."""
-    return [text] if EXOTIC.search(text) else text.split()
+    def add(self, values: np.ndarray) -> None:
+        need = self.size + len(values)
+        if need > len(self.data):
+            grown = np.zeros(max(need, 2 * len(self.data)), self.data.dtype)
+            grown[: self.size] = self.data[: self.size]
+            self.data = grown
+        self.data[self.size : need] = values
+        self.size = need
+
+    @property
+    def all(self) -> np.ndarray:
+        return self.data[: self.size]
 
 
 class HashTable:
@@ -84,22 +96,27 @@ class HashTable:
 class UnitCache:
     """Maps texts to the numbers of their units; new units are given out once.
 
-    Texts whose units are parted by single blanks are handled all at once: a unit is known
-    by a 64-bit hash of its bytes and the blank before it. A comma or full stop that ends a
-    unit behind an ASCII letter or digit is a unit of its own, as it always is a token's
-    begin. Other texts are cut one by one.
+    Texts whose units are parted by single blanks are handled all at once: a unit is looked
+    up by a 64-bit hash of its bytes and the blank before it, and its bytes are compared
+    with those of the unit found. A unit whose hash another unit has already is kept by its
+    own characters. A comma or full stop that ends a unit behind an ASCII letter or digit
+    is a unit of its own, as it always is a token's begin. Other texts are cut one by one.
     """
 
     def __init__(self, spaced: bool) -> None:
         self.spaced = spaced
-        self.units = spaced_units if spaced else bare_units
+        self.units = UNIT.findall if spaced else str.split
         self.table = HashTable()
+        self.bytes, self.starts, self.lengths = Pool(np.uint8), Pool(np.int64), Pool(np.int64)
         self.odd: dict[str, int] = {}
-        self.size = 0
+        self.odd_bytes = 0
 
-    def _plain(self, data: list[bytes], buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(keys, starts, ends, units of each text) of texts in one buffer, each behind a zero byte."""
-        raw = np.frombuffer(buffer, np.uint8)
+    @property
+    def size(self) -> int:
+        return self.starts.size
+
+    def _cut(self, raw: np.ndarray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, starts, ends) of the units of texts in a row, each behind a zero byte; raw begins at a blank or zero byte."""
         apart = BLANK[raw] | (raw == 0)
         edge = np.diff(np.concatenate(([True], apart, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -115,40 +132,75 @@ class UnitCache:
             before = np.where(glued, np.uint8(255), raw[starts - 1])
             keys = keys + (before.astype(np.uint64) + np.uint64(1)) * MIX
             starts = np.where(BLANK[before], starts - 1, starts)
-        keys = mixed(keys) | np.uint64(1)
+        return mixed(keys) | np.uint64(1), starts + first, ends + first
+
+    def _plain(self, data: list[bytes], buffer: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """(keys, starts, ends, units of each text) of texts in one buffer, each behind a zero byte; taken in pieces, so that a long text needs no more memory than its units do."""
+        raw, at, found = np.frombuffer(buffer, np.uint8), 0, []
+        while at < len(raw):
+            end = min(at + PIECE, len(raw))
+            if end < len(raw):
+                apart = np.flatnonzero(BLANK[raw[at + 1 : end]] | (raw[at + 1 : end] == 0))
+                while not len(apart) and end < len(raw):  # a unit longer than a piece
+                    low, end = end, min(end + PIECE, len(raw))
+                    apart = np.flatnonzero(BLANK[raw[low:end]] | (raw[low:end] == 0)) + low - at - 1
+                end = at + 1 + int(apart[-1]) if len(apart) else len(raw)
+            found.append(self._cut(raw[at:end], at))
+            at = end
+        keys, starts, ends = (np.concatenate(x) for x in zip(*found, strict=True)) if found else (np.zeros(0, np.uint64), np.zeros(0, np.int64), np.zeros(0, np.int64))
         ends_of_texts = np.cumsum(np.fromiter(map(len, data), np.int64, len(data)))
         return keys, starts, ends, np.diff(np.concatenate(([0], np.searchsorted(starts, ends_of_texts))))
 
     def _is_plain(self, text: str) -> bool:
-        if "\0" in text or (not text.isascii() and EXOTIC.search(text)):
-            return False
         return not self.spaced or text[-1:] not in (" ", "\n", "\t", "\r")
 
+    def _differ(self, raw: np.ndarray, starts: np.ndarray, ends: np.ndarray, numbers: np.ndarray) -> np.ndarray:
+        """The places at which the bytes are not those of the unit that the hash found."""
+        lengths = ends - starts
+        wrong = self.lengths.all[numbers] != lengths
+        own, bounds = self.starts.all[numbers], np.searchsorted(starts, np.arange(0, len(raw), PIECE))
+        for lo, hi in zip(bounds, [*bounds[1:], len(starts)], strict=True):
+            n = np.where(wrong[lo:hi], 0, lengths[lo:hi])
+            ahead = np.cumsum(n)
+            place = np.arange(int(ahead[-1]) if len(n) else 0)
+            at = np.flatnonzero(raw[np.repeat(starts[lo:hi] - ahead + n, n) + place] != self.bytes.all[np.repeat(own[lo:hi] - ahead + n, n) + place])
+            if len(at):
+                wrong[lo + np.searchsorted(ahead, at, "right")] = True
+        return np.flatnonzero(wrong)
+
+    def _add(self, buffer: bytes, starts: np.ndarray, ends: np.ndarray) -> list[str]:
+        units = [buffer[a:b] for a, b in zip(starts.tolist(), ends.tolist(), strict=True)]
+        lengths = ends - starts
+        self.starts.add(self.bytes.size + np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.bytes.add(np.frombuffer(b"".join(units), np.uint8))
+        return [u.decode() for u in units]
+
     def number(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray, list[str]]:
-        """Unit numbers of all texts in a row, units of each text, and the units not seen before."""
+        """Unit numbers of all texts in a row, units of each text, and the units not seen before. No text may match EXOTIC."""
         plain = np.fromiter(map(self._is_plain, texts), bool, len(texts))
         data = [b"\0" + t.encode() for t, p in zip(texts, plain.tolist(), strict=True) if p]
         buffer = b"".join(data)
-        raw = np.frombuffer(buffer, np.uint8)
-        blank = BLANK[raw]
-        bad = ODD[raw]
-        bad[1:] |= self.spaced & blank[1:] & blank[:-1]
-        if bad.any():
-            owner = np.searchsorted(np.cumsum(np.fromiter(map(len, data), np.int64, len(data))), np.flatnonzero(bad), "right")
-            out = np.unique(owner)
-            plain[np.flatnonzero(plain)[out]] = False
-            gone = set(out.tolist())
-            data = [x for k, x in enumerate(data) if k not in gone]
-            buffer = b"".join(data)
+        if self.spaced:
+            blank = BLANK[np.frombuffer(buffer, np.uint8)]
+            bad = np.flatnonzero(blank[1:] & blank[:-1])
+            if len(bad):
+                owner = np.searchsorted(np.cumsum(np.fromiter(map(len, data), np.int64, len(data))), bad, "right")
+                out = np.unique(owner)
+                plain[np.flatnonzero(plain)[out]] = False
+                gone = set(out.tolist())
+                data = [x for k, x in enumerate(data) if k not in gone]
+                buffer = b"".join(data)
         keys, starts, ends, counts = self._plain(data, buffer)
         numbers = self.table.find(keys)
         new, first = np.unique(keys[numbers < 0], return_index=True)
         at = np.flatnonzero(numbers < 0)[first]
-        fresh = [buffer[a:b].decode() for a, b in zip(starts[at].tolist(), ends[at].tolist(), strict=True)]
         self.table.add(new, np.arange(self.size, self.size + len(new), dtype=np.int32))
-        self.size += len(new)
+        fresh = self._add(buffer, starts[at], ends[at])
         if len(new):
             numbers = np.where(numbers < 0, self.table.find(keys), numbers)
+        for i in self._differ(np.frombuffer(buffer, np.uint8), starts, ends, numbers).tolist():
+            numbers[i] = self._odd(buffer[starts[i] : ends[i]].decode(), fresh)
         if plain.all():
             return numbers, counts, fresh
         rows, ends_of_rows, k = [], np.cumsum(counts), 0
@@ -164,24 +216,26 @@ class UnitCache:
         i = self.odd.get(unit)
         if i is None:
             i = self.odd[unit] = self.size
-            self.size += 1
+            self.starts.add(np.zeros(1, np.int64))
+            self.lengths.add(np.full(1, -1))  # not among the bytes: no hash leads here
+            self.odd_bytes += 4 * len(unit) + 100
             fresh.append(unit)
         return i
 
     @property
     def full(self) -> bool:
-        return self.size > MAX_UNITS or len(self.odd) > MAX_UNITS // 4
+        return self.size > MAX_UNITS or self.bytes.size + self.odd_bytes > CACHE_BYTES
 
 
 _POWERS: dict[int, np.ndarray] = {}
 
 
 def powers_of(base: np.uint64, n: int) -> np.ndarray:
-    """The first n powers of base; kept for the next call up to a few million."""
+    """The first n powers of base; those of a piece are kept for the next call."""
     key = int(base)
     if key not in _POWERS or len(_POWERS[key]) < n:
-        found = powers(base, max(n, 1 << 21))
-        if n > 1 << 23:
+        found = powers(base, max(n, PIECE))
+        if n > PIECE:
             return found
         _POWERS[key] = found
     return _POWERS[key][:n]
@@ -206,6 +260,11 @@ def chunks(texts: list[str], most_chars: int = 1_000_000) -> Iterator[tuple[int,
         yield start, texts[start:]
 
 
+def exotic(texts: list[str]) -> list[int]:
+    """Places of the texts that must not be cut."""
+    return [i for i, t in enumerate(texts) if (any(c in t for c in RARE) if t.isascii() else EXOTIC.search(t))]
+
+
 class Encoder:
     """Token ids by the tokenizers library."""
 
@@ -219,30 +278,46 @@ class Encoder:
 
     def _reset(self) -> None:
         self.cache = UnitCache(self.spaced)
-        self.starts = np.zeros(0, np.int64)
-        self.lengths = np.zeros(0, np.int64)
-        self.flat = np.zeros(0, np.uint32)
+        self.starts, self.lengths, self.flat = Pool(np.int64), Pool(np.int64), Pool(np.uint32)
 
-    def _learn(self, fresh: list[str]) -> None:
-        ids = [x.ids for x in self.library.encode_batch(fresh, add_special_tokens=False)]
+    def _library(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        ids = [x.ids for x in self.library.encode_batch(texts, add_special_tokens=False)]
         lengths = np.fromiter(map(len, ids), dtype=np.int64, count=len(ids))
-        starts = len(self.flat) + np.cumsum(lengths) - lengths
-        self.flat = np.concatenate([self.flat, np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum()))])
-        self.starts = np.concatenate([self.starts, starts])
-        self.lengths = np.concatenate([self.lengths, lengths])
+        return np.fromiter((i for x in ids for i in x), dtype=np.uint32, count=int(lengths.sum())), lengths
 
-    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
-        """All ids in a row (uint32) and the number of ids of each text."""
+    def _learn(self, fresh: list[str]) -> None:
+        flat, lengths = self._library(fresh)
+        self.starts.add(self.flat.size + np.cumsum(lengths) - lengths)
+        self.lengths.add(lengths)
+        self.flat.add(flat)
+
+    def _cached(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         if self.cache.full:
             self._reset()
         units, counts, fresh = self.cache.number(texts)
         if fresh:
             self._learn(fresh)
-        lengths = self.lengths[units]
+        lengths = self.lengths.all[units]
         at = np.cumsum(lengths) - lengths
-        ids = self.flat[np.repeat(self.starts[units] - at, lengths) + np.arange(int(lengths.sum()))]
+        ids = self.flat.all[np.repeat(self.starts.all[units] - at, lengths) + np.arange(int(lengths.sum()))]
         return ids, sums_by(lengths, counts)
 
+    def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """All ids in a row (uint32) and the number of ids of each text."""
+        whole = exotic(texts)
+        if not whole:
+            return self._cached(texts)
+        apart = set(whole)
+        ids, counts = self._cached([t for i, t in enumerate(texts) if i not in apart])
+        others, sizes = self._library([texts[i] for i in whole])
+        rest = np.delete(np.arange(len(texts)), whole)
+        parts: list[np.ndarray] = [np.zeros(0, np.uint32)] * len(texts)
+        for places, values, n in ((rest, ids, counts), (whole, others, sizes)):
+            ends = np.cumsum(n)
+            for i, e, k in zip(places, ends.tolist(), n.tolist(), strict=True):
+                parts[i] = values[e - k : e]
+        return np.concatenate(parts), np.fromiter(map(len, parts), np.int64, len(parts))
+
 
 def _keeps_space(library) -> bool:
     return library.encode("a a", add_special_tokens=False).ids != library.encode("a\na", add_special_tokens=False).ids
