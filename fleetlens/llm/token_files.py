@@ -1,13 +1,15 @@
 """Token ids in grammar-compressed files, with random access.
 
-File format, one Parquet row a block (Spark's writer commits a block whole or not at all):
+File format, one Parquet row a shard (Spark's writer commits a shard whole or not at all).
+A shard holds whole documents, about a million ids, or one longer document; it has a
+grammar of its own, so it is written and read in memory that does not grow with the corpus.
 
-* shard, block: place of the block; shards and blocks follow ascending document id.
-* doc_ids, counts: documents of the block in order, ids of each with the end id.
+* part, shard: place of the shard; parts (one a task) and shards follow ascending document id.
+* doc_ids, counts: documents of the shard in order, ids of each with the end id.
 * rules: little-endian uint32 pairs. Nonterminal base + i stands for the pair rules[i],
   each half an id or an earlier nonterminal.
 * lengths: little-endian uint32, ids that nonterminal base + i expands to.
-* stream: the block's ids after replacement, little-endian uint32.
+* stream: the shard's ids after replacement, little-endian uint32.
 * base: the first nonterminal.
 
 A document is decoded without its neighbours: the running sum of expansion lengths over
@@ -28,7 +30,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.llm.tokens import chunks, encoder, with_end
 
-BLOCK_SCHEMA = "shard int, block int, doc_ids array<bigint>, counts array<bigint>, base bigint, rules binary, lengths binary, stream binary"
+SHARD_SCHEMA = "part int, shard int, doc_ids array<bigint>, counts array<bigint>, base bigint, rules binary, lengths binary, stream binary"
 
 
 SLOT_BITS = 20
@@ -74,12 +76,13 @@ def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
 
 
 def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int = 8) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Re-Pair over one block: (stream, rules, lengths).
+    """Re-Pair over one shard: (stream, rules, lengths).
 
     Each round counts the adjacent pairs and replaces all that are seen at least `least`
     times, the more frequent first where they overlap; a pair left with less than half of
     `least` places waits for the next round. It ends when no pair is frequent (or after
-    `rounds`, where given). ids must be below base.
+    `rounds`, where given). A rule takes three numbers, so replacing a pair seen fewer than
+    four times saves nothing; `least` is the count from which a pair is frequent. ids must be below base.
     """
     seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
     while len(seq) > 1 and rounds != 0:
@@ -122,7 +125,7 @@ def expand(stream: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
 
 
 def slice_ids(stream: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
-    """ids[start:stop] of a block, expanding only the symbols that cover them."""
+    """ids[start:stop] of a shard, expanding only the symbols that cover them."""
     size = np.ones(len(stream), np.int64)
     deep = stream >= base
     size[deep] = lengths[stream[deep] - base]
@@ -132,21 +135,21 @@ def slice_ids(stream: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base:
     return expand(stream[lo:hi], rules, base)[start - skipped : stop - skipped]
 
 
-def _block(shard: int, block: int, doc_ids: list[int], parts: list[tuple[np.ndarray, np.ndarray]], base: int) -> pa.RecordBatch:
+def _shard(part: int, shard: int, doc_ids: list[int], parts: list[tuple[np.ndarray, np.ndarray]], base: int) -> pa.RecordBatch:
     ids = np.concatenate([p[0] for p in parts])
     counts = np.concatenate([p[1] for p in parts])
     stream, rules, lengths = compress(ids, base)
     return pa.RecordBatch.from_arrays(
         [
-            pa.array([shard], pa.int32()), pa.array([block], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())),
+            pa.array([part], pa.int32()), pa.array([shard], pa.int32()), pa.array([doc_ids], pa.list_(pa.int64())), pa.array([counts.tolist()], pa.list_(pa.int64())),
             pa.array([base], pa.int64()), pa.array([rules.astype("<u4").tobytes()]), pa.array([lengths.astype("<u4").tobytes()]), pa.array([stream.astype("<u4").tobytes()]),
         ],
-        ["shard", "block", "doc_ids", "counts", "base", "rules", "lengths", "stream"],
+        ["part", "shard", "doc_ids", "counts", "base", "rules", "lengths", "stream"],
     )
 
 
-def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, block_ids: int) -> Iterator[pa.RecordBatch]:
-    own, shard, block = encoder(path), TaskContext.get().partitionId(), 0
+def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, shard_ids: int) -> Iterator[pa.RecordBatch]:
+    own, part_number, shard = encoder(path), TaskContext.get().partitionId(), 0
     base = max(own.library.get_vocab_size(True), end + 1)
     doc_ids, parts, size = [], [], 0
     for batch in batches:
@@ -156,23 +159,26 @@ def _encode(batches: Iterator[pa.RecordBatch], path: str, end: int, block_ids: i
             doc_ids += keys[at : at + len(part)]
             parts.append((ids, counts))
             size += len(ids)
-            if size >= block_ids:
-                yield _block(shard, block, doc_ids, parts, base)
-                doc_ids, parts, size, block = [], [], 0, block + 1
+            if size >= shard_ids:
+                yield _shard(part_number, shard, doc_ids, parts, base)
+                doc_ids, parts, size, shard = [], [], 0, shard + 1
     if doc_ids:
-        yield _block(shard, block, doc_ids, parts, base)
+        yield _shard(part_number, shard, doc_ids, parts, base)
 
 
-def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, block_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text, append the id end, and write the blocks to path in ascending id_col order.
+def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, shard_ids: int = 1_000_000, id_col: str = "doc_id", text_col: str = "text") -> None:
+    """Encode every text, append the id end, and write the shards to path in ascending id_col order.
 
-    Texts are dealt by ranges of id_col, so shard s holds ids below those of shard s + 1.
-    Null texts are empty (the end id alone); null ids come first; repeated ids stand
-    together, ordered by text. An empty table writes no block.
+    Texts are dealt by ranges of id_col and a hash of the text, so part p holds ids up to
+    those of part p + 1, and rows that share an id may lie in several parts. Null texts are
+    empty (the end id alone); null ids come first; rows that share an id stand together,
+    ordered by that hash; other columns are ignored; a text longer than a shard is a shard
+    of its own; an empty table writes no shard.
     """
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = rows.repartitionByRange(F.col("id").asc_nulls_first()).sortWithinPartitions(F.col("id").asc_nulls_first(), "text")
-    dealt.mapInArrow(partial(_encode, path=tokenizer, end=end, block_ids=block_ids), BLOCK_SCHEMA).write.option("compression", "zstd").parquet(path)
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text")).withColumn("h", F.xxhash64("text"))
+    order = [F.col("id").asc_nulls_first(), F.col("h")]
+    dealt = rows.repartitionByRange(*order).sortWithinPartitions(*order, "text").select("id", "text")
+    dealt.mapInArrow(partial(_encode, path=tokenizer, end=end, shard_ids=shard_ids), SHARD_SCHEMA).write.option("compression", "zstd").parquet(path)
 
 
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -186,22 +192,45 @@ def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             crc = [zlib.crc32(view[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
             n = len(counts)
             yield pa.RecordBatch.from_arrays(
-                [pa.array([row["shard"]] * n, pa.int32()), pa.array([row["block"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
-                ["shard", "block", "id", "within", "n_tokens", "ids_crc32"],
+                [pa.array([row["part"]] * n, pa.int32()), pa.array([row["shard"]] * n, pa.int32()), pa.array(row["doc_ids"], pa.int64()), pa.array(ends - counts, pa.int64()), pa.array(counts, pa.int64()), pa.array(crc, pa.int64())],
+                ["part", "shard", "id", "within", "n_tokens", "ids_crc32"],
             )
 
 
 def read_token_files(spark: SparkSession, path: str, id_col: str = "doc_id") -> DataFrame:
     """(id_col, start, n_tokens, ids_crc32) of each document, decoded from the files at path.
 
-    start counts the ids of all documents before it: shard totals are summed over shards
-    and block totals over the blocks of a shard, so no task sees a row for each document.
+    start counts the ids of all documents before it: part totals are summed over parts
+    and shard totals over the shards of a part, so no task sees a row for each document.
     """
-    blocks = spark.read.schema(BLOCK_SCHEMA).parquet(path)
-    rows = blocks.mapInArrow(_decode, "shard int, block int, id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
-    sizes = blocks.select("shard", "block", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    rows = shards.mapInArrow(_decode, "part int, shard int, id bigint, within bigint, n_tokens bigint, ids_crc32 bigint")
+    sizes = shards.select("part", "shard", F.aggregate("counts", F.lit(0).cast("long"), lambda a, x: a + x).alias("size"))
     before = lambda w: F.coalesce(F.sum("size").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    shards = sizes.groupBy("shard").agg(F.sum("size").alias("size"))
-    shards = shards.select("shard", before(Window.orderBy("shard")).alias("shard_start"))
-    starts = sizes.select("shard", "block", before(Window.partitionBy("shard").orderBy("block")).alias("block_start")).join(shards, "shard")
-    return rows.join(starts, ["shard", "block"]).select(F.col("id").alias(id_col), (F.col("shard_start") + F.col("block_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+    parts = sizes.groupBy("part").agg(F.sum("size").alias("size"))
+    parts = parts.select("part", before(Window.orderBy("part")).alias("part_start"))
+    starts = sizes.select("part", "shard", before(Window.partitionBy("part").orderBy("shard")).alias("shard_start")).join(parts, "part")
+    return rows.join(starts, ["part", "shard"]).select(F.col("id").alias(id_col), (F.col("part_start") + F.col("shard_start") + F.col("within")).alias("start"), "n_tokens", "ids_crc32")
+
+
+def _pick(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        for row in batch.to_pylist():
+            rules, lengths, stream = (np.frombuffer(row[c], "<u4") for c in ("rules", "lengths", "stream"))
+            ends = np.cumsum(np.array(row["counts"], np.int64)).tolist()
+            places = row["places"]
+            found = [slice_ids(stream, rules.reshape(-1, 2), lengths, row["base"], ends[i] - row["counts"][i], ends[i]).astype(np.int64) for i in places]
+            yield pa.RecordBatch.from_arrays([pa.array([row["doc_ids"][i] for i in places], pa.int64()), pa.array(found, pa.list_(pa.int64()))], ["id", "ids"])
+
+
+def read_documents(spark: SparkSession, path: str, wanted: DataFrame, id_col: str = "doc_id") -> DataFrame:
+    """(id_col, ids) of the documents whose ids wanted has, each decoded from its place without expanding the rest of its shard.
+
+    Ids that no file holds give no row; an id that several documents share gives a row for
+    each; a null id finds documents without one; repeated rows of wanted count once.
+    """
+    shards = spark.read.schema(SHARD_SCHEMA).parquet(path)
+    index = shards.select("part", "shard", F.posexplode("doc_ids").alias("place", "id"))
+    keys = wanted.select(F.col(id_col).cast("long").alias("want")).distinct()
+    places = index.join(keys, F.col("id").eqNullSafe(F.col("want"))).groupBy("part", "shard").agg(F.sort_array(F.collect_list("place")).alias("places"))
+    return shards.join(places, ["part", "shard"]).mapInArrow(_pick, "id bigint, ids array<bigint>").withColumnRenamed("id", id_col)
