@@ -18,16 +18,15 @@ from fleetlens.llm.tokens import chunks, encoder, with_end
 SCHEMA = "doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, sequence_id bigint, offset bigint"
 
 
-def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int, gap: int) -> tuple[np.ndarray, np.ndarray]:
+def cut_places(doc_ends: np.ndarray, sentence_ends: np.ndarray, window: int) -> tuple[np.ndarray, np.ndarray]:
     """Places where a window may end, ascending from 0 to the last document's end, and what a cut there does.
 
-    0: between documents, 1: after a sentence, 2: inside one. Sentence ends closer than
-    gap behind another place are left out; where no place is left within a window, cuts
-    inside a sentence are put in at multiples of the window from the last place.
+    0: between documents, 1: after a sentence, 2: inside one. Every end of a document or
+    sentence is a place; where two neighbours are more than a window apart, cuts inside
+    the sentence are put in at multiples of the window from the first of them.
     """
     total = int(doc_ends[-1])
-    slots = np.unique(sentence_ends // gap, return_index=True)[1] if len(sentence_ends) else np.zeros(0, np.int64)
-    places = np.unique(np.concatenate([[0], doc_ends, sentence_ends[slots]]))
+    places = np.unique(np.concatenate([[0], doc_ends, sentence_ends]))
     places = places[places <= total]
     wide = np.flatnonzero(np.diff(places) > window)
     forced = [np.arange(places[i] + window, places[i + 1], window) for i in wide]
@@ -80,11 +79,11 @@ def best_cuts(places: np.ndarray, penalty: np.ndarray, window: int) -> np.ndarra
     return np.array(ends[::-1], np.int64)
 
 
-def pack_block(ids: np.ndarray, counts: np.ndarray, is_end: np.ndarray, window: int, gap: int, costs: tuple[int, int, int]) -> dict[str, np.ndarray]:
+def pack_block(ids: np.ndarray, counts: np.ndarray, is_end: np.ndarray, window: int, costs: tuple[int, int, int]) -> dict[str, np.ndarray]:
     """Pieces of a block of documents: doc (its number), start, length, doc_tokens, sequence, offset, ids_crc32."""
     doc_ends = np.cumsum(counts)
     sentences = np.flatnonzero(is_end[ids]) + 1
-    places, kind = cut_places(doc_ends, sentences, window, gap)
+    places, kind = cut_places(doc_ends, sentences, window)
     ends = best_cuts(places, np.array(costs)[kind], window)
     stops = np.unique(np.concatenate([ends, doc_ends]))
     starts = np.concatenate(([0], stops[:-1]))
@@ -106,7 +105,7 @@ def sentence_end_ids(library) -> np.ndarray:
     return out
 
 
-def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, block_tokens: int, gap: int, costs: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
+def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, block_tokens: int, costs: tuple[int, int, int]) -> Iterator[pa.RecordBatch]:
     own = encoder(path)
     is_end = sentence_end_ids(own.library)
     next_sequence = TaskContext.get().partitionId() << 40
@@ -114,7 +113,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, b
 
     def block() -> pa.RecordBatch:
         nonlocal next_sequence
-        x = pack_block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), is_end, window, gap, costs)
+        x = pack_block(np.concatenate([p[0] for p in parts]), np.concatenate([p[1] for p in parts]), is_end, window, costs)
         first, next_sequence = next_sequence, next_sequence + int(x["sequence"][-1]) + 1
         doc_ids = pa.array(keys, pa.int64()).take(pa.array(x["doc"]))
         columns = [doc_ids, *(pa.array(v, pa.int64()) for v in (x["start"], x["length"], x["ids_crc32"], x["doc_tokens"], x["sequence"] + first, x["offset"]))]
@@ -133,7 +132,7 @@ def _pack(batches: Iterator[pa.RecordBatch], path: str, end: int, window: int, b
         yield block()
 
 
-def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, block_tokens: int = 2_000_000, gap: int = 12, costs: tuple[int, int, int] = (0, 2, 32), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, block_tokens: int = 2_000_000, costs: tuple[int, int, int] = (0, 2, 32), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Pack every document (its ids, then the id end) into sequences of at most window tokens, one row a piece.
 
     Documents keep the order of their partition. Each partition is cut into blocks of
@@ -147,4 +146,4 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, block_to
     narrow stage, no shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return rows.mapInArrow(partial(_pack, path=tokenizer, end=end, window=window, block_tokens=block_tokens, gap=gap, costs=costs), SCHEMA)
+    return rows.mapInArrow(partial(_pack, path=tokenizer, end=end, window=window, block_tokens=block_tokens, costs=costs), SCHEMA)
