@@ -9,13 +9,13 @@ BLANKS = r"'[\x20\x09-\x0D]+'"
 
 OP2 = rf"""
 with d as (select row_number() over () as r, doc_id, coalesce(source, '') as host, coalesce(text, '') as text from documents),
-x as (select *, {WORDS} as ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines, ('0x' || substr(md5(text), 1, 15))::bigint as t from d),
+x as (select *, {WORDS} as ws, list_filter(string_split(text, chr(10)), lambda l: regexp_matches(l, '[^\x20\x09-\x0D]')) as lines from d),
 win as (select r, i, array_to_string(ws[i:i + 4], chr(1)) as w from x, unnest(range(1, len(ws) - 3)) as u(i)),
 rep as (select r, count(distinct p) as n from (select r, unnest(range(i, i + 5)) as p from (select *, count(*) over (partition by r, w) as k from win) q where k > 1) z group by r),
-l as (select r, host, t, line, lower(trim(regexp_replace(line, {BLANKS}, ' ', 'g'))) as norm from (select r, host, t, unnest(lines) as line from x) q),
-lim as (select host, greatest(8.0::double, count(distinct t) * 0.1::double) as most from x group by host),
-com as (select l.host, norm, min(t) as first_text from l join lim using (host) group by l.host, norm, most having count(distinct t) > most),
-gone as (select r, count(*) as n, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as words from l join com on com.host = l.host and com.norm = l.norm and com.first_text <> l.t group by r),
+l as (select r, host, line, lower(trim(regexp_replace(line, {BLANKS}, ' ', 'g'))) as norm from (select r, host, unnest(lines) as line from x) q),
+lim as (select host, greatest(8.0::double, count(*) * 0.1::double) as most from x group by host),
+com as (select l.host, norm from l join lim using (host) group by l.host, norm, most having count(distinct r) > most),
+gone as (select r, count(*) as n, sum(len(regexp_extract_all(line, '[^\x20\x09-\x0D]+'))) as words from l join com on com.host = l.host and com.norm = l.norm group by r),
 f as (select doc_id, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, (length(text) - length(regexp_replace(text, '[#*$%&|<>]', '', 'g')))::bigint as n_symbols,
         (len(lines) - len(list_distinct(lines)))::bigint as n_dup_lines, coalesce(rep.n, 0)::bigint as n_repeat_words, coalesce(gone.n, 0)::bigint as n_removed_lines, coalesce(gone.words, 0)::bigint as n_removed_words
       from x left join rep using (r) left join gone using (r))
@@ -78,9 +78,10 @@ e as (select o.doc_id, o.text, coalesce(nx, f) as nx, length(o.text)::bigint as
 dc as (select e.doc_id, da.v from e join da on da.doc_id = e.nx),{_sketch("fa", "da")},{_sketch("fb", "db")},
 na as (select doc_id, count(*) as n from da group by doc_id), nb as (select doc_id, count(*) as n from db group by doc_id), nc as (select doc_id, count(*) as n from dc group by doc_id),
 ib as (select da.doc_id, count(db.v) as n from da left join db on db.doc_id = da.doc_id and db.v = da.v group by da.doc_id),
-ic as (select da.doc_id, count(dc.v) as n from da left join dc on dc.doc_id = da.doc_id and dc.v = da.v group by da.doc_id)
-select e.doc_id, n_chars, sha256(edited) as edited_sha256, fa.fp as fingerprint, fb.fp as edited_fingerprint, na.n as n_paragraphs,
+ic as (select da.doc_id, count(dc.v) as n from da left join dc on dc.doc_id = da.doc_id and dc.v = da.v group by da.doc_id),
+rm as (select doc_id, string_agg(v::varchar, ',' order by v) as l from da anti join db using (doc_id, v) group by doc_id), ad as (select doc_id, string_agg(v::varchar, ',' order by v) as l from db anti join da using (doc_id, v) group by doc_id)
+select e.doc_id, n_chars, sha256(edited) as edited_sha256, fa.fp as fingerprint, fb.fp as edited_fingerprint, na.n as n_paragraphs, coalesce(rm.l, '') as removed, coalesce(ad.l, '') as added,
        (2 * ib.n)::double / (2 * (na.n + nb.n - ib.n))::double as near_edited, (2 * ic.n)::double / (2 * (na.n + nc.n - ic.n))::double as near_next
-from e join fa using (doc_id) join fb using (doc_id) join na using (doc_id) join nb using (doc_id) join nc using (doc_id) join ib using (doc_id) join ic using (doc_id)"""
+from e join fa using (doc_id) join fb using (doc_id) join na using (doc_id) join nb using (doc_id) join nc using (doc_id) join ib using (doc_id) join ic using (doc_id) left join rm using (doc_id) left join ad using (doc_id)"""
 
 ORACLE: dict[str, str] = {"op1_mixing": OP1, "op2_quality_rules": OP2, "op9_fingerprints": OP9}
