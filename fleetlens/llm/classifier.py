@@ -11,10 +11,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: An odd number and its inverse modulo 2^64: powers of it make hashes of all substrings comparable.
-STEP = np.uint64(0x9E3779B97F4A7C15)
-BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
-MIX = np.uint64(0xD6E8FEB86659FD93)
+from fleetlens.llm.wordhash import BACK, MIX, STEP, powers
 
 #: Bytes with white space as one kind of blank; a zero byte begins each text.
 BLANKS = bytes(32 if b in (0, 9, 10, 11, 12, 13, 32) else b for b in range(256))
@@ -34,12 +31,6 @@ class Settings:
     seed: int = 7
 
 
-def _powers(base: np.uint64, n: int) -> np.ndarray:
-    out = np.full(n, base, np.uint64)
-    out[0] = 1
-    return np.multiply.accumulate(out)
-
-
 def features(data: bytes, settings: Settings, before: np.uint64 | None = None) -> tuple[np.ndarray, np.ndarray, np.uint64 | None]:
     """Hashed features of texts, each behind a zero byte: (feature numbers, byte at which each begins, hash of the last word).
 
@@ -53,8 +44,8 @@ def features(data: bytes, settings: Settings, before: np.uint64 | None = None) -
     if not n:
         return np.zeros(0, np.int64), np.zeros(0, np.int64), before
     with np.errstate(over="ignore"):
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * _powers(STEP, n))])
-        back = _powers(BACK, n)
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * powers(STEP, n))])
+        back = powers(BACK, n)
         blank = (raw == 32) | (raw == 0)
         edge = np.diff(np.concatenate(([True], blank, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
@@ -108,33 +99,33 @@ def document_features(text: str | None, settings: Settings) -> tuple[np.ndarray,
     return np.unique(np.concatenate([*_features_of(_normal(text), settings), [1 << settings.bits]]), return_counts=True)
 
 
-def train(texts: list[str | None], labels: np.ndarray, settings: Settings) -> np.ndarray:
-    """Stochastic gradient descent on the mean log loss; returns, for each feature, its share in the log odds of label 1.
+def train(documents: list[tuple[np.ndarray, np.ndarray]], labels: np.ndarray, settings: Settings) -> np.ndarray:
+    """Stochastic gradient descent on the mean log loss over documents, given by their features and counts; returns, for each feature, its share in the log odds of label 1.
 
     The score of a document is softmax(W . mean of its features' embeddings). As both
     steps are linear, W . embedding can be taken once for each feature.
     """
     rng = np.random.default_rng(settings.seed)
     size = (1 << settings.bits) + 1
-    embedding = rng.uniform(-1.0 / settings.dim, 1.0 / settings.dim, (size, settings.dim))
-    output = np.zeros((2, settings.dim))
-    docs = [document_features(t, settings) for t in texts]
-    epochs = -(-settings.steps // len(docs)) if docs else 0
-    steps, total = 0, max(1, epochs * len(docs))
+    embedding = rng.uniform(-1.0 / settings.dim, 1.0 / settings.dim, (size, settings.dim)).astype(np.float32)
+    output = np.zeros((2, settings.dim), np.float32)
+    epochs = -(-settings.steps // len(documents)) if documents else 0
+    steps, total = 0, max(1, epochs * len(documents))
     for _ in range(epochs):
-        for i in rng.permutation(len(docs)):
-            numbers, counts = docs[i]
-            weight = counts / counts.sum()
-            hidden = weight @ embedding[numbers]
+        for i in rng.permutation(len(documents)):
+            numbers, counts = documents[i]
+            weight = counts / counts.sum(dtype=np.float32)
+            own = embedding[numbers]
+            hidden = weight @ own
             logits = output @ hidden
             p = np.exp(logits - logits.max())
             p /= p.sum()
             p[labels[i]] -= 1
-            rate = settings.rate * (1 - steps / total)
+            rate = np.float32(settings.rate * (1 - steps / total))
             down = output.T @ p
             output -= rate * np.outer(p, hidden)
             # The mean divides a document's gradient among its features; scaled back, so that long documents train them as short ones do.
-            embedding[numbers] -= rate * np.minimum(1.0, weight * len(numbers))[:, None] * down[None, :]
+            embedding[numbers] = own - np.minimum(np.float32(1), weight * np.float32(len(numbers)))[:, None] * (rate * down)[None, :]
             steps += 1
     return ((output[1] - output[0]) @ embedding.T).astype(np.float32)
 
@@ -171,43 +162,71 @@ def _score(batches: Iterator[pa.RecordBatch], model, settings: Settings) -> Iter
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0), pa.float64())], ["id", "score"])
 
 
-def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, most: int) -> tuple[list[str | None], np.ndarray]:
-    """Texts and labels of at most `most` labelled documents outside the held-out fold, those with the least hash of their id.
+def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, most: int) -> DataFrame:
+    """(label, text) of at most `most` labelled documents outside the held-out fold, those with the least hash of their id, in that order in one partition.
 
-    Only ids and labels of the sample are broadcast (most rows at the most).
+    An id with several labels has the least of them; of several documents with one id, the
+    text with the least hash is taken. Only ids and labels of the sample are broadcast
+    (`most` rows at the most), and each task gives one text an id at the most.
     """
-    own = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col(label_col).cast("int").alias("label")).filter(F.col("doc_id").isNotNull() & F.col("label").isin(0, 1) & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % folds != 0))
-    own = own.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(most)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).join(F.broadcast(own), "doc_id")
-    got = sorted(((r.doc_id, r.text or "", r.label) for r in rows.toLocalIterator()))
-    return [t for _, t, _ in got], np.array([x for _, _, x in got], np.int64)
+    key = F.col("doc_id").cast("string")
+    own = labels.select(key.alias("key"), F.col(label_col).cast("int").alias("label")).filter(F.col("key").isNotNull() & F.col("label").isin(0, 1) & (F.crc32(F.col("key").cast("binary")) % folds != 0))
+    own = own.groupBy("key").agg(F.min("label").alias("label")).orderBy(F.xxhash64("key"), "key").limit(most)
+    text = F.coalesce(F.col("text").cast("string"), F.lit(""))
+    rows = docs.select(key.alias("key"), text.alias("text")).join(F.broadcast(own), "key")
+    rows = rows.groupBy("key", "label").agg(F.min(F.struct(F.xxhash64("text").alias("h"), "text")).alias("x"))
+    return rows.repartition(1).sortWithinPartitions(F.xxhash64("key"), "key").select("label", "x.text")
+
+
+def _learn(batches: Iterator[pa.RecordBatch], most_bytes: int, settings: Settings) -> Iterator[pa.RecordBatch]:
+    documents, labels, size = [], [], 0
+    for batch in batches:
+        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            if size + len(text) > most_bytes and documents:
+                break
+            numbers, counts = document_features(text, settings)
+            documents.append((numbers.astype(np.int32), counts.astype(np.float32)))
+            labels.append(label)
+            size += len(text)
+    if documents:
+        yield pa.RecordBatch.from_arrays([pa.array([train(documents, np.array(labels), settings).astype("<f4").tobytes()], pa.binary())], ["odds"])
 
 
-def _trained(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, most_labelled: int, settings: Settings):
-    texts, y = training_sample(docs, labels, label_col, folds, most_labelled)
-    return docs.sparkSession.sparkContext.broadcast(train(texts, y, settings))
+def trained(docs: DataFrame, labels: DataFrame, label_col: str, folds: int, most_labelled: int, most_bytes: int, settings: Settings):
+    """A broadcast of what train gives. The sample is bounded, so one task trains, and the driver gets four bytes a feature; without labelled rows all are 0."""
+    sample = training_sample(docs, labels, label_col, folds, most_labelled)
+    found = sample.mapInArrow(partial(_learn, most_bytes=most_bytes, settings=settings), "odds binary").collect()
+    odds = np.frombuffer(found[0].odds, "<f4") if found else np.zeros((1 << settings.bits) + 1, np.float32)
+    return docs.sparkSession.sparkContext.broadcast(odds)
 
 
-def filtered(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, threshold: float = 0.3, most_labelled: int = 4000, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
-    """The documents that score threshold or more, with the columns of docs, in one narrow stage."""
-    model = _trained(docs, labels, label_col, folds, most_labelled, settings)
+def filtered(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, threshold: float = 0.3, most_labelled: int = 4000, most_bytes: int = 32_000_000, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+    """The documents that score threshold or more, with the columns of docs, in one narrow stage.
+
+    Nulls, empty and very long texts, repeated rows and ids, missing labels and empty
+    tables are as in quality_scores; columns of any names are passed on.
+    """
+    model = trained(docs, labels, label_col, folds, most_labelled, most_bytes, settings)
     rows = docs.select(F.struct(*docs.columns).alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
     return rows.mapInArrow(partial(_score, model=model, settings=settings), f"id {kind}, score double").filter(F.col("score") >= threshold).select("id.*")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, threshold: float = 0.3, most_labelled: int = 4000, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
+def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality", folds: int = 5, threshold: float = 0.3, most_labelled: int = 4000, most_bytes: int = 32_000_000, settings: Settings = Settings()) -> DataFrame:  # noqa: B008
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     Trains on at most most_labelled labelled documents whose crc32(doc_id) modulo folds is
-    not 0 (the bound is on labelled rows only; every text is scored whole), then scores
-    all texts in one narrow stage. The score depends on the text alone.
+    not 0, and stops at about most_bytes characters of them (both bounds are on labelled
+    rows only; texts are never cut, and every text is scored whole), then scores all texts
+    in one narrow stage. The score depends on the text alone.
 
     Null and empty texts get the score of the document feature alone; null ids are not
-    held out and are not trained on; repeated rows give a row each; other columns are
-    ignored; without labelled rows every score is 0.5; an empty table gives no rows.
+    held out and are not trained on; ids may be numbers or strings; an id with several
+    labels has the least, and of several texts of an id one trains; repeated rows give a
+    row each; other columns are ignored; without labelled rows every score is 0.5; very
+    long texts are scored piece by piece; an empty table gives no rows.
     """
-    model = _trained(docs, labels, label_col, folds, most_labelled, settings)
+    model = trained(docs, labels, label_col, folds, most_labelled, most_bytes, settings)
     kind = docs.schema["doc_id"].dataType.simpleString()
     rows = docs.select(F.col("doc_id").alias("id"), F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
     out = rows.mapInArrow(partial(_score, model=model, settings=settings), f"id {kind}, score double")
