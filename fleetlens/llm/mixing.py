@@ -23,6 +23,25 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
     return out
 
 
+WIDE = "decimal(19,0)"
+
+
+def ranged(nodes: DataFrame, parents: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
+    """nodes, written, with the running sums of some columns in the given order among the children of a parent, the row itself included.
+
+    Rows are dealt by ranges of (parents, order). A range is summed within itself, and only
+    a row for each parent and range meets in one task, so a parent may have any number of
+    children.
+    """
+    dealt = materialize(nodes.repartitionByRange(*parents, *order).withColumn("_range", F.spark_partition_id()), "mix-nodes")
+    totals = dealt.groupBy(*parents, "_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
+    ahead = Window.partitionBy(*parents).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
+    totals = totals.select(*parents, "_range", *(F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0).cast("long")).alias(f"_b_{c}") for c in sums))
+    within = Window.partitionBy(*parents, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
+    out = dealt.select("*", *(F.sum(c).over(within).alias(f"_w_{c}") for c in sums)).join(totals, [*parents, "_range"])
+    return out.select(*nodes.columns, *((F.col(f"_w_{c}") + F.col(f"_b_{c}")).alias(name) for c, name in sums.items()))
+
+
 def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     """nodes (parents..., name, cap, w, given) with grant: the parent's tokens dealt to its children.
 
@@ -30,20 +49,25 @@ def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
     the cap, and its siblings share the rest. In order of cap / weight, the children that
     get their cap are the first ones, so running sums find them without a loop. Tokens
     are whole: the shares are differences of rounded running shares, and so add up.
+    Products are decimals: two counts of 10^18 do not overflow.
     """
-    group = Window.partitionBy(*(parents or [F.lit(0)]))
-    order = group.orderBy(F.col("cap") / F.col("w"), name)
-    so_far, before, rest = (order.rowsBetween(a, b) for a, b in ((Window.unboundedPreceding, 0), (Window.unboundedPreceding, -1), (0, Window.unboundedFollowing)))
+    nodes = nodes.withColumns({"_root": F.lit(0), "_key": F.col("cap") / F.col("w")})
+    group = ["_root", *parents]
+    rows = ranged(nodes, group, ["_key", name], {"cap": "_caps", "w": "_ws"})
+    rows = rows.join(nodes.groupBy(*group).agg(F.sum("w").alias("_all")), group)
+    wide = lambda c: c.cast(WIDE)
+    rest, left = F.col("_all") - F.col("_ws") + F.col("w"), F.col("given") - F.col("_caps") + F.col("cap")
+    rows = rows.withColumn("_meets", wide(F.col("cap")) * wide(rest) <= wide(left) * wide(F.col("w")))
+    at = F.struct("_key", name)
+    stops = rows.groupBy(*group).agg(F.min(F.when(~F.col("_meets"), at)).alias("_stop"))
+    rows = rows.join(stops, group).withColumn("_full", F.col("_stop").isNull() | (at < F.col("_stop")))
     zero = F.lit(0).cast("long")
-    out = nodes.withColumn("_before", F.coalesce(F.sum("cap").over(before), zero)).withColumn("_rest", F.sum("w").over(rest))
-    out = out.withColumn("_meets", F.col("cap") * F.col("_rest") <= (F.col("given") - F.col("_before")) * F.col("w"))
-    out = out.withColumn("_full", F.min(F.col("_meets").cast("int")).over(so_far) == 1)
-    whole = group.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
-    out = out.withColumn("_left", F.col("given") - F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(zero)).over(whole))
-    open_w = F.when(F.col("_full"), zero).otherwise(F.col("w"))
-    out = out.withColumn("_all", F.sum(open_w).over(whole)).withColumn("_upto", F.sum(open_w).over(so_far))
-    part = F.expr("(_left * _upto) div _all - (_left * (_upto - w)) div _all")
-    return out.withColumn("grant", F.when(F.col("_full"), F.col("cap")).otherwise(part)).drop("_before", "_rest", "_meets", "_full", "_left", "_all", "_upto")
+    full = rows.groupBy(*group).agg(F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(zero)).alias("_full_cap"), F.sum(F.when(F.col("_full"), F.col("w")).otherwise(zero)).alias("_full_w"))
+    rows = rows.join(full, group)
+    more, open_w, upto = wide(F.col("given") - F.col("_full_cap")), wide(F.col("_all") - F.col("_full_w")), wide(F.col("_ws") - F.col("_full_w"))
+    rows = rows.withColumns({"_open": open_w, "_high": more * upto, "_low": more * (upto - wide(F.col("w")))})
+    part = F.expr("(_high div _open) - (_low div _open)")
+    return rows.withColumn("grant", F.when(F.col("_full"), F.col("cap")).otherwise(part)).select(*nodes.columns, "grant").drop("_root", "_key")
 
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int) -> DataFrame:
@@ -54,14 +78,14 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[
     made up by siblings first, and reaches an ancestor's siblings only when the whole
     subtree is exhausted.
     """
-    caps = leaves.withColumn("cap", F.col("supply") * epochs)
+    caps = leaves.withColumn("cap", F.col("supply") * epochs)  # tokens of all epochs together must stay below 2^63
     total = caps.agg(F.sum("cap").alias("cap"), F.sum("supply").alias("supply"))
     given = total.select(F.least(F.col("cap"), F.expr(f"(supply * {share[0]}L) div {share[1]}L")).alias("given"))
     for depth, level in enumerate(LEVELS):
         parents = list(LEVELS[:depth])
         nodes = caps.groupBy(*parents, level).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, weights))
         nodes = nodes.crossJoin(given) if not parents else nodes.join(given, parents)  # the first given is one row
-        given = fill(nodes, parents, level).select(*parents, level, F.col("grant").alias("given"))
+        given = materialize(fill(nodes, parents, level).select(*parents, level, F.col("grant").alias("given")), "mix-grants")
     return caps.join(given.withColumnRenamed("given", "tokens"), list(LEVELS)).drop("cap")
 
 
@@ -130,7 +154,14 @@ def mix_table(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, sha
 
 
 def mix_documents(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, share: tuple[int, int] = (9, 10), seed: int = 17) -> DataFrame:
-    """The documents that one epoch of the mix draws, whole, with the columns of docs."""
+    """The documents that one epoch of the mix draws, whole, with the columns of docs.
+
+    The document that crosses its leaf's line is drawn whole; documents without tokens
+    (null and empty texts) are all drawn, as they cost nothing. Null names are leaves named
+    ''; null ids are ordered by an empty id; ties in the order are broken by id and tokens;
+    repeated rows are documents of their own; columns of any names are passed on; very long
+    texts are one document; an empty table gives an empty result.
+    """
     own = docs.select(F.struct("*").alias("_row"), "doc_id", "text", "lang", "source")
     rows = with_domain(own).drop("text")
     return mixed(rows, weights, share, 1, seed).filter("epochs > 0 or last_tokens > 0 or n_tokens = 0").select("_row.*")
