@@ -24,6 +24,8 @@ _BSD_ADVERTISING = "[[3]] [[c]] all advertising materials mentioning features or
 _BSD_NAMES = "[[3]] [[4]] [[c]] [[d]] neither the name of {{1,12}} nor the names of {{0,8}} contributors may be used to endorse or promote products derived from this software without specific prior written permission"
 _BSD_DISCLAIMER = "this software is provided by {{1,12}} as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed in no event shall {{1,12}} be liable for any direct indirect incidental special exemplary or consequential damages including but not limited to procurement of substitute goods or services loss of use data or profits or business interruption however caused and on any theory of liability whether in contract strict liability or tort including negligence or otherwise arising in any way out of the use of this software even if advised of the possibility of such damage"
 
+_NO_WARRANTY = "{{1,8}} is distributed in the hope that it will be useful but without any warranty without even the implied warranty of merchantability or fitness for a particular purpose see the gnu general public license for more details"
+
 #: Public license wording. [[ ]] encloses what may be missing; {{a,b}} stands
 #: for a to b words of any kind (names of holders); all else is mandatory. Texts are whole,
 #: with conditions and disclaimer; a label's short notices are templates of their own, whose
@@ -32,9 +34,14 @@ TEMPLATES = {
     "mit": "permission is hereby granted free of charge to any person obtaining a copy of this software and associated documentation files [[the software]] to deal in the software without restriction including without limitation the rights to use copy modify merge publish distribute sublicense and or sell copies of the software and to permit persons to whom the software is furnished to do so subject to the following conditions the above copyright notice and this permission notice [[including the next paragraph]] shall be included in all copies or substantial portions of the software the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall {{1,12}} be liable for any claim damages or other liability whether in an action of contract tort or otherwise arising from out of or in connection with the software or the use or other dealings in the software",
     "mit/notice": "under the mit license",
     "apache-2": "licensed under the apache license version 2",
+    "apache-2/header": "licensed under the apache license version 2 0 the license you may not use [[this file]] {{0,6}} except in compliance with the license you may obtain a copy of the license at [[http]] [[https]] www apache org licenses license 2 0 unless required by applicable law or agreed to in writing software distributed under the license is distributed on an as is basis without warranties or conditions of any kind either express or implied see the license for the specific language governing permissions and limitations under the license",
     "cc-by-nc": "licensed under [[a]] [[the]] [[creative commons]] cc by nc",
     "gpl-3": "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 3",
     "gpl-2": "under the [[terms of the]] gnu general public license [[as published by the free software foundation]] [[either]] version 2",
+    "gpl-3/header": f"is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 3 of the license or [[at your option]] any later version {_NO_WARRANTY}",
+    "gpl-2/header": f"is free software you can redistribute it and or modify it under the terms of the gnu general public license as published by the free software foundation either version 2 of the license or [[at your option]] any later version {_NO_WARRANTY}",
+    "mpl-2": "this source code form is subject to the terms of the mozilla public license v 2 0 if a copy of the mpl was not distributed with this file you can obtain one at [[http]] [[https]] [[www]] mozilla org mpl 2 0",
+    "unlicense": "this is free and unencumbered software released into the public domain anyone is free to copy modify publish use compile sell or distribute this software either in source code form or as a compiled binary for any purpose commercial or non commercial and by any means",
     "bsd-2": f"{_BSD} {_BSD_DISCLAIMER}",
     "bsd-3": f"{_BSD} {_BSD_NAMES} {_BSD_DISCLAIMER}",
     "bsd-4": f"{_BSD} {_BSD_ADVERTISING} {_BSD_NAMES} {_BSD_DISCLAIMER}",
@@ -127,8 +134,13 @@ def places(line: bytes, phrase: bytes) -> Iterator[int]:
         at = line.find(phrase, at + 1)
 
 
-def scan(text: bytes, phrases: list[tuple[bytes, str]], automata: list[tuple[str, Automaton]]) -> tuple:
-    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text."""
+def scan(text: bytes, phrases: list[tuple[bytes, str]], automata: list[tuple[str, bool, Automaton]]) -> tuple:
+    """(n_words, n_base, first_word, last_word, base_labels, labels, score) of one text.
+
+    automata: (label, whether it is a short notice, automaton). The score is the largest
+    share of a whole license text's mandatory words that was read; a notice or a base
+    phrase alone is worth half.
+    """
     words = text.translate(BYTES).split()
     line = b" " + b" ".join(words) + b" "
     base, starts = set(), []
@@ -136,24 +148,32 @@ def scan(text: bytes, phrases: list[tuple[bytes, str]], automata: list[tuple[str
         if found := list(places(line, phrase)):
             starts += found
             base.add(label)
-    labels, score = set(base), 0.0
-    for label, automaton in automata:
+    labels, score = set(base), NOTICE_SCORE if base else 0.0
+    for label, notice, automaton in automata:
         for at in places(line, automaton.anchor):
             got = run(automaton, words, at)
-            score = max(score, got)
+            score = max(score, got * NOTICE_SCORE if notice else got)
             if got == 1.0:
                 labels.add(label)
                 break
-    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), 1.0 if labels else score
+    return len(words), len(starts), min(starts, default=None), max(starts, default=None), ",".join(sorted(base)), ",".join(sorted(labels)), score
+
+
+def compiled(templates: dict[str, str]) -> list[tuple[str, bool, Automaton]]:
+    """Label, whether the template is a short notice (under NOTICE_WORDS mandatory words), and automaton."""
+    found = [(key.partition("/")[0], compile_template(t)) for key, t in templates.items()]
+    return [(label, a.done[-1] < NOTICE_WORDS, a) for label, a in found]
 
 
+#: Mandatory words from which a template is a whole license text or header, and what a full match of a shorter one scores.
+NOTICE_WORDS, NOTICE_SCORE = 30, 0.5
 NAMES = ["n_words", "n_base", "first_word", "last_word", "base_labels", "labels", "score"]
 TYPES = [pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.string(), pa.float64()]
 
 
 def _scan(batches: Iterator[pa.RecordBatch], phrases: dict[str, str], templates: dict[str, str]) -> Iterator[pa.RecordBatch]:
     needles = [(b" " + p.encode() + b" ", label) for p, label in phrases.items()]
-    automata = [(key.partition("/")[0], compile_template(t)) for key, t in templates.items()]
+    automata = compiled(templates)
     for batch in batches:
         texts = pc.cast(batch.column(1), pa.large_binary() if pa.types.is_large_string(batch.column(1).type) else pa.binary())
         rows = [scan(t.as_py(), needles, automata) for t in texts]
@@ -167,12 +187,13 @@ def license_scan(docs: DataFrame, phrases: dict[str, str] = PHRASES, templates:
     phrases give the base labels, templates those of the method (a key up to any slash): a template is compiled
     to a word automaton that is run from each place of its leading words and accepts when
     all mandatory wording was read, with optional regions taken or left out and
-    replaceable ones of any words. score is 1 with any label, else the largest share of a
-    template's mandatory words that was read.
+    replaceable ones of any words. score is 1 where a whole license text or header was
+    accepted, and else the largest share of one's mandatory words that was read, or half
+    for a full match of a short notice or a base phrase.
 
     Null and empty texts have 0 words, no labels ('') and null first_word and last_word;
-    null ids pass through; repeated rows give a row each; other columns are ignored; an
-    empty table gives an empty result. One narrow stage, no shuffle.
+    null ids pass through; repeated rows give a row each; very long texts are read whole;
+    other columns are ignored; an empty table gives an empty result. One narrow stage, no shuffle.
     """
     kind = docs.schema[id_col].dataType.simpleString()
     rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
