@@ -111,7 +111,7 @@ def test_token_counts(docs, empty):
 def test_token_files_round_trip(spark, docs, empty, tmp_path):
     library = Tokenizer.from_file(BYTE_BPE)
     path = f"file://{tmp_path}/ids"
-    token_files.write_token_files(docs, path, BYTE_BPE, end=2, block_ids=500)
+    token_files.write_token_files(docs, path, BYTE_BPE, end=2, shard_ids=500)
     got = sorted((r.start, r.doc_id, r.n_tokens, r.ids_crc32) for r in token_files.read_token_files(spark, path).collect())
     want, start = [], 0
     for i, t in sorted(((i, t or "") for i, t, _, _ in ROWS), key=lambda x: (x[0] is not None, x[0] or 0, x[1])):
@@ -162,7 +162,8 @@ def test_cuts_are_the_cheapest():
         window = int(2 ** rng.integers(3, 7))
         doc_ends = np.cumsum(rng.integers(1, 2 * window, rng.integers(1, 12)))
         sentences = np.unique(rng.integers(1, doc_ends[-1] + 1, 20))
-        places, kind = packing.cut_places(doc_ends, sentences, window, 2)
+        places, kind = packing.cut_places(doc_ends, sentences, window)
+        assert set(sentences.tolist()) <= set(places.tolist())
         penalty = np.array((0, 2, 9))[kind]
         ends = packing.best_cuts(places, penalty, window)
         sizes = np.diff(np.concatenate(([0], ends)))
@@ -222,13 +223,16 @@ def test_lines_above_the_limit_are_removed(spark):
         rows.append((i, f"{common}\n{prose(100 + i, 30)}" if i % 2 else prose(100 + i, 30), "a"))
     rows.append((90, common.lower() + "\nfew own words here", "a"))
     rows.append((91, f"{common}\n{prose(200, 30)}", "b"))
-    rows += [(200 + i, prose(999, 40), "a") for i in range(20)]
+    rows += [(200 + i, prose(999, 40), "a") for i in range(20)] + [(300 + i, prose(998, 40) + "\nseen often", "a") for i in range(12)]
+    rows += [(400 + i, f"three hold this\n{prose(300 + i, 30)}", "c") for i in range(3)] + [(410 + i, f"four hold this\n{prose(310 + i, 30)}", "d") for i in range(4)]
     docs = spark.createDataFrame(rows, "doc_id bigint, text string, source string").withColumn("n_chars", F.length("text"))
     got = {r.doc_id: r for r in quality_rules.quality_rules(docs, share=0.2, least=3).collect()}
     removed = [i for i in range(1, 30, 2) if got[i].n_removed_lines == 1]
-    assert len(removed) in (14, 15)  # one text keeps the line
+    assert len(removed) == 15  # 16 of 63 documents hold it, one of them in other letters
     assert all(got[i].kept for i in range(30)) and not got[90].kept and got[91].n_removed_lines == 0
-    assert all(got[200 + i].kept for i in range(20))  # copies of one text are one text
+    assert not any(got[200 + i].kept for i in range(20))  # copies are documents: 20 of 63 are above the limit
+    assert all(got[300 + i].kept for i in range(12))  # 12 are not
+    assert all(got[400 + i].n_removed_lines == 0 for i in range(3)) and all(got[410 + i].n_removed_lines == 1 for i in range(4))  # the least limit is 3
     texts = {r.doc_id: (r.text, r.n_chars) for r in quality_rules.filtered(docs, share=0.2, least=3).collect()}
     assert 90 not in texts and all(common not in texts[i][0] and texts[i][1] == len(texts[i][0]) for i in removed)
     assert quality_rules.filtered(docs).columns == docs.columns
@@ -280,7 +284,7 @@ def test_license_base_and_templates(docs, empty):
         starts = [k for p in license_scan.PHRASES for k in range(len(words)) if words[k : k + len(p.split())] == p.split()]
         for r in got[i]:
             assert (r.n_words, r.n_base, r.first_word, r.last_word) == (len(words), len(starts), min(starts, default=None), max(starts, default=None))
-    assert got[9][0].labels == "mit" and got[9][0].score == 1.0 and got[6][0].labels == ""
+    assert got[9][0].labels == "mit" and got[9][0].score == 0.5 and got[6][0].labels == ""
     assert license_scan.license_scan(empty).collect() == []
 
 
@@ -291,8 +295,8 @@ def test_templates_accept_optional_and_replaceable_regions():
     assert not accepts("one two five") and not accepts("one two x y z five") and not accepts("one three x five")
     with pytest.raises(ValueError):
         license_scan.compile_template("[[maybe]] one")
-    gpl = license_scan.scan(b"Under the terms of the GNU General Public License, version 3.", [], [(k, license_scan.compile_template(t)) for k, t in license_scan.TEMPLATES.items()])
-    assert gpl[5] == "gpl-3"
+    gpl = license_scan.scan(b"Under the terms of the GNU General Public License, version 3.", [], license_scan.compiled(license_scan.TEMPLATES))
+    assert gpl[5] == "gpl-3" and gpl[6] == 0.5
     places = license_scan.scan(b"CC BY NC cc-by-nc", [(b" cc by nc ", "cc-by-nc")], [])
     assert places[:4] == (6, 2, 0, 3)
 
@@ -308,7 +312,8 @@ def test_license_texts_need_their_conditions_and_take_any_holder(spark):
     ]
     got = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame([(i, f"(c) 2020\n{t}. end") for i, (t, _) in enumerate(cases)], "doc_id bigint, text string")).collect()}
     for i, (_, label) in enumerate(cases):
-        assert got[i].labels == label and (got[i].score == 1.0) == bool(label), i
+        assert got[i].labels == label, i
+        assert got[i].score == (1.0 if label and i < 10 else 0.5 if label else got[i].score) and (label or 0 < got[i].score < 1), i
 
 
 def shingles(text):
@@ -369,7 +374,7 @@ def test_pruning_keeps_pairs_at_the_threshold():
         a = rng.integers(0, 1 << 62, 500).astype(np.uint64)
         b = a.copy()
         b[:55] = rng.integers(0, 1 << 62, 55).astype(np.uint64)  # 445 of 555
-        lost += not similarity_join.candidates(similarity_join.minhash(a)[None], similarity_join.minhash(b)[None], least)[0, 0]
+        lost += not len(similarity_join.candidates(similarity_join.minhash(a)[None], similarity_join.minhash(b)[None], least))
     assert lost <= 2
 
 
