@@ -76,9 +76,9 @@ def split_display(display: Column | str) -> Column:
 
 
 def parse_bytes(text: Column | str, strict: bool = False) -> Column:
-    """Bytes of a size such as `1.5 GiB`, `20k` or `3 MB/s`; null (strict: an error) where it does not parse or is negative."""
+    """Bytes of a size such as `1.5 GiB`, `20k` or `.5GB`; null (strict: an error) where it does not parse or is negative."""
     t = F.trim(F.lower(_c(text)))
-    shape = r"^([0-9]+(?:\.[0-9]+)?)\s*([kmgtp]?i?b?)(?:/s)?$"
+    shape = r"^\+?([0-9]+\.?[0-9]*|\.[0-9]+)\s*([kmgtp]?i?b?)$"
     unit, factor = F.regexp_extract(t, shape, 2), F.lit(None).cast("double")
     for name, size in UNITS.items():
         factor = F.when(unit == name, F.lit(float(size))).otherwise(factor)
@@ -86,6 +86,11 @@ def parse_bytes(text: Column | str, strict: bool = False) -> Column:
     return F.when(value.isNull() & _c(text).isNotNull(), F.raise_error(F.concat(F.lit("not a size: "), t)).cast("long")).otherwise(value) if strict else value
 
 
+def parse_rate(text: Column | str, strict: bool = False) -> Column:
+    """Bytes a second of a rate such as `50MB/s` or `50 MB`: a size with an optional `/s`."""
+    return parse_bytes(F.regexp_replace(F.trim(_c(text)), r"\s*/[sS]$", ""), strict)
+
+
 def parse_duration(text: Column | str) -> Column:
     """Seconds of a duration such as `30d`, `2w` or `1h30m`; null where it does not parse."""
     t = F.trim(_c(text))
@@ -102,9 +107,9 @@ def parse_duration(text: Column | str) -> Column:
 
 
 def clean_member(path: Column | str) -> Column:
-    """(path, is_dir) of an archive member; a null path for the root."""
+    """(path, is_dir) of an archive member: one leading `./` and outer slashes taken off; a null path for the root."""
     p = _c(path)
-    clean = F.regexp_replace(F.regexp_replace(p, r"^(\./)+|^\.$", ""), r"^/+|/+$", "")
+    clean = F.regexp_replace(F.regexp_replace(p, r"^\./", ""), r"^/+|/+$", "")
     return F.struct(F.when(clean != "", clean).alias("path"), p.endswith("/").alias("is_dir"))
 
 
@@ -155,15 +160,19 @@ def dump_rate(size: Column | str, seconds: Column | str) -> Column:
     return F.when(s > 0, F.round(_c(size) / s, 6))
 
 
-def monthly_cost(size: Column | str, objects: Column | str, gib_month: Column | str, per_1000: Column | str) -> Column:
+def priced(gib_month: Column | str, gib_egress: Column | str, per_1000: Column | str) -> Column:
+    """Whether a medium has any rate."""
+    return (_c(gib_month) > 0) | (_c(gib_egress) > 0) | (_c(per_1000) > 0)
+
+
+def monthly_cost(size: Column | str, gib_month: Column | str, gib_egress: Column | str, per_1000: Column | str) -> Column:
     """Price of storing size bytes for a month, null for a medium without any rate."""
-    rate, get = _c(gib_month), _c(per_1000)
-    return F.when((rate > 0) | (get > 0), F.round(_c(size) / F.lit(float(1 << 30)) * rate, 6))
+    return F.when(priced(gib_month, gib_egress, per_1000), F.round(_c(size) / F.lit(float(1 << 30)) * _c(gib_month), 6))
 
 
-def read_cost(size: Column | str, objects: Column | str, gib_egress: Column | str, per_1000: Column | str) -> Column:
-    egress, get = _c(gib_egress), _c(per_1000)
-    return F.when((egress > 0) | (get > 0), F.round(_c(size) / F.lit(float(1 << 30)) * egress + _c(objects) / F.lit(1000.0) * get, 6))
+def read_cost(size: Column | str, objects: Column | str, gib_month: Column | str, gib_egress: Column | str, per_1000: Column | str) -> Column:
+    """Price of reading size bytes in that many objects once, null for a medium without any rate."""
+    return F.when(priced(gib_month, gib_egress, per_1000), F.round(_c(size) / F.lit(float(1 << 30)) * _c(gib_egress) + _c(objects) / F.lit(1000.0) * _c(per_1000), 6))
 
 
 def file_cost(kind: Column | str, payload: Column | str) -> Column:
@@ -181,9 +190,9 @@ def pool_bytes(volumes: Column | str, size: Column | str) -> Column:
 
 
 def weight_bucket(value: Column | str, most: Column | str) -> Column:
-    """1 to 4 by the share of the largest value, 0 for none."""
+    """0 for none, else 1 more than the whole thirds of the largest value, at most 4."""
     v, m = _c(value), _c(most)
-    return F.when((v <= 0) | (m <= 0), 0).otherwise(F.greatest(F.lit(1), F.least(F.lit(4), F.ceil(v * 4 / m).cast("int"))))
+    return F.when((v <= 0) | (m <= 0), 0).otherwise(F.least(F.lit(4), F.lit(1) + F.floor(v.cast("double") * 3.0 / m.cast("double")).cast("int")))
 
 
 def balance_verdict(cv: Column | str) -> Column:

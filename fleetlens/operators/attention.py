@@ -7,14 +7,14 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
 
-#: Failure classes of drills, whether each is the fault of the stored data, and what to do.
+#: Failure classes of drills, whether each is a failure, and what to do.
 DRILL_CLASSES = [
-    ("", False, ""),
+    ("ok", False, ""),
     ("integrity", True, "copy the archive again from another medium"),
     ("pipeline", True, "check decryption keys and filters"),
+    ("chain", True, "force a full dump"),
     ("missing", True, "rebuild the catalog or load the volume"),
-    ("broken", True, "force a full dump"),
-    ("environment", False, "repeat the drill"),
+    ("skipped", False, "load the volume and drill again"),
 ]
 
 
@@ -23,8 +23,8 @@ def drill_classes(spark) -> DataFrame:
 
 
 def classified(ledger: DataFrame, classes: DataFrame) -> DataFrame:
-    """ledger with is_failure and remedy of its class; unknown classes are failures without a remedy."""
-    return ledger.join(F.broadcast(classes), "class", "left").withColumn("is_failure", F.coalesce("is_failure", F.lit(True))).withColumn("remedy", F.coalesce("remedy", F.lit("")))
+    """ledger with is_failure and remedy of its class; an unknown or empty class is no failure and has no remedy. classes are the few of drill_classes."""
+    return ledger.join(F.broadcast(classes), "class", "left").withColumn("is_failure", F.coalesce("is_failure", F.lit(False))).withColumn("remedy", F.coalesce("remedy", F.lit("")))
 
 
 def attention(*parts: tuple[str, str, DataFrame]) -> DataFrame:
@@ -51,18 +51,40 @@ def route_alerts(run_log: DataFrame, channels: DataFrame) -> DataFrame:
     return rows.filter((F.col("kind") == "healthcheck") | loud | quiet).select("run_id", "command", "status", "channel")
 
 
-def metrics(summary: DataFrame, totals: DataFrame, medium_dim: DataFrame, last_runs: DataFrame) -> DataFrame:
-    """(metric, labels, value): fleet gauges. Sources without a dump and media without a capacity give no gauge of these."""
+def findings(last_runs: DataFrame, capacity: DataFrame, missing_volumes: DataFrame, ledger: DataFrame, overdue: DataFrame, stranded: DataFrame, stale: DataFrame, sizes: DataFrame, rates: DataFrame, posture: DataFrame) -> DataFrame:
+    """attention() over all findings of a fleet, from the tables that the other operators give.
+
+    Red: the last run of a command failed; a medium over its capacity, or one that what is
+    kept alone overfills; a volume that no scan has seen; a source whose newest archive
+    no chain restores; a failed drill. Amber: overdue drills, stale sources, odd sizes and
+    slow dumps, and rules of the copy posture that are not met.
+    """
+    name = lambda df, c: df.select(F.col(c).alias("subject"))
+    return attention(
+        ("red", "last run failed", name(last_runs.filter("status = 'FAILED'"), "command")), ("red", "over capacity", name(capacity.filter("over or infeasible"), "medium")), ("red", "volume not seen", name(missing_volumes, "label")),
+        ("red", "broken chain", name(stranded, "dle")), ("red", "drill failed", name(ledger.filter("not ok"), "dle")), ("amber", "drill overdue", name(overdue, "dle")), ("amber", "stale", name(stale, "dle")),
+        ("amber", "size", name(sizes, "dle")), ("amber", "slow", name(rates, "dle")), ("amber", "posture", name(posture.filter("not ok"), "rule")),
+    )
+
+
+def metrics(summary: DataFrame, totals: DataFrame, medium_dim: DataFrame, last_runs: DataFrame, counts: DataFrame) -> DataFrame:
+    """(metric, labels, value): fleet gauges. Sources without a dump, runs without an end and media without a capacity give no gauge of these; a run without a begin or an end took 0 seconds.
+
+    counts (metric, value) are gauges of the whole fleet: sources, stale ones, drills overdue and failing.
+    """
 
     def rows(name: str, df: DataFrame, label: str, value: Column) -> DataFrame:
         return df.select(F.lit(name).alias("metric"), F.concat(F.lit(label + "="), F.col(label)).alias("labels"), value.cast("double").alias("value"))
 
+    took = F.coalesce(C.epoch("ended_at") - C.epoch("started_at"), F.lit(0).cast("long"))
     parts = [
         rows("source_last_backup_seconds", summary.filter("last_at is not null"), "dle", C.epoch("last_at")),
         rows("medium_used_bytes", totals, "medium", F.col("bytes")),
         rows("medium_capacity_bytes", medium_dim.filter("capacity > 0"), "medium", F.col("capacity")),
         rows("command_last_success", last_runs, "command", (F.col("status") != "FAILED").cast("int")),
-        summary.agg(F.count("*").alias("n")).select(F.lit("sources").alias("metric"), F.lit("").alias("labels"), F.col("n").cast("double").alias("value")),
+        rows("command_last_end_seconds", last_runs.filter("ended_at is not null"), "command", C.epoch("ended_at")),
+        rows("command_last_duration_seconds", last_runs, "command", took),
+        counts.select("metric", F.lit("").alias("labels"), F.col("value").cast("double").alias("value")),
     ]
     out = parts[0]
     for p in parts[1:]:

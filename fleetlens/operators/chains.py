@@ -6,70 +6,90 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.plans.lineage import cut
+from fleetlens.plans.lineage import cut, cut_counting
 
-#: Levels fall along base links, so a chain has at most ten archives; a damaged catalog may hold longer ones.
-MOST_ROUNDS = 64
+#: Links followed before what was found is written: few jobs for the usual chain, and any length takes more of them.
+HOPS = 4
 
 
 def base_of(archive: DataFrame) -> DataFrame:
-    """archive with base (run of the archive it builds on), and named (whether a base is named at all).
+    """archive with base: the run of the archive it builds on, null for fulls and where it is not there.
 
     A recorded base counts only if an earlier run of the source has it; nothing stands in
-    for it. Without a record the base is the latest earlier archive one level down. Both
-    come from one window over the source's runs, so a source is shuffled once.
+    for it. Without a record the base is the latest earlier archive one level down.
+    Recorded bases are found by a join on (source, run), derived ones in one window over
+    the source's runs.
     """
-    by = Window.partitionBy("dle").orderBy(C.run_key("run"))
-    before = by.rowsBetween(Window.unboundedPreceding, -1)
-    earlier = F.collect_set(F.when(F.col("_wanted"), F.col("run"))).over(before)
-    wanted = archive.filter(F.col("base_run").isNotNull() & (F.col("base_run") != "")).select("dle", F.col("base_run").alias("run")).distinct().withColumn("_wanted", F.lit(True))
-    rows = archive.join(wanted, ["dle", "run"], "left").withColumn("_wanted", F.coalesce("_wanted", F.lit(False)))
+    before = Window.partitionBy("dle").orderBy(C.run_key("run")).rowsBetween(Window.unboundedPreceding, -1)
     lower = F.coalesce(*(F.when(F.col("level") == k + 1, F.last(F.when(F.col("level") == k, F.col("run")), ignorenulls=True).over(before)) for k in range(9)))
-    recorded = F.col("base_run").isNotNull() & (F.col("base_run") != "")
-    base = F.when(F.col("level") == 0, F.lit(None).cast("string")).when(recorded, F.when(F.array_contains(earlier, F.col("base_run")), F.col("base_run"))).otherwise(lower)
-    return rows.withColumn("base", base).drop("_wanted")
+    recorded = F.coalesce(F.col("base_run"), F.lit("")) != ""
+    there = archive.select("dle", F.col("run").alias("_want"), F.col("run").alias("_found")).distinct()
+    wanted = F.when((F.col("level") > 0) & recorded & (C.run_key("base_run") < C.run_key("run")), F.col("base_run"))
+    rows = archive.withColumns({"_lower": lower, "_want": wanted}).join(there, ["dle", "_want"], "left")
+    base = F.when(F.col("level") == 0, F.lit(None).cast("string")).when(recorded, F.col("_found")).otherwise(F.col("_lower"))
+    return rows.withColumn("base", base).select(*archive.columns, "base")
+
+
+def _covered(at: Column, run: Column) -> Column:
+    """Whether a point (point, bound) covers a run committed at `at`. Without a bound dates are compared, and an id without a date qualifies; else instants, where a run without a commit counts from midnight of its own date, and one without either from the beginning."""
+    date = C.run_date(run)
+    since = F.coalesce(at.cast("timestamp_ntz"), F.to_timestamp_ntz(F.when(date != "", date)), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+    return F.when(F.col("bound").isNull(), date <= F.col("point")).otherwise(since <= F.col("bound").cast("timestamp_ntz"))
+
+
+def _bounded(points: DataFrame) -> DataFrame:
+    return points if "bound" in points.columns else points.withColumn("bound", F.lit(None).cast("timestamp_ntz"))
 
 
 def as_of(archive: DataFrame, points: DataFrame) -> DataFrame:
-    """(point, run): the latest run at or before each point. points has `point` (a date as text, or an id) and bound (the last instant it covers, null: compare dates).
+    """(point, run): the latest run at or before each point. points has `point` (a date as text, or a name) and bound (the last instant it covers; null or missing: compare dates).
 
-    A run is dated by its latest commit, or by midnight of its own date; an id that does
-    not parse has no date and always qualifies. Runs are few beside archives, and are
-    joined to the points after they have been reduced to one row each.
+    A run is dated by its latest commit. Points are the few instants a user asks for; they
+    are sent to the runs, which have been reduced to one row each.
     """
-    runs = archive.groupBy("run").agg(F.max("created_at").alias("at")).withColumn("date", C.run_date("run"))
-    at = F.coalesce(C.epoch("at"), C.epoch(F.to_timestamp_ntz("date")), F.lit(0).cast("long"))
-    ok = F.when(F.col("bound").isNull(), F.col("date") <= F.col("point")).otherwise((F.col("date") == "") | (at <= C.epoch("bound")))
-    return runs.join(F.broadcast(points), ok).groupBy("point").agg(F.max_by("run", C.run_key("run")).alias("run"))
+    runs = archive.groupBy("run").agg(F.max("created_at").alias("at"))
+    return runs.join(F.broadcast(_bounded(points)), _covered(F.col("at"), F.col("run"))).groupBy("point").agg(F.max_by("run", C.run_key("run")).alias("run"))
 
 
-def as_of_by_dle(archive: DataFrame, dates: DataFrame) -> DataFrame:
-    """(dle, point, run, level): each source's newest archive at or before each date. dates holds a few rows."""
-    hit = archive.join(F.broadcast(dates), C.run_date("run") <= F.col("point"))
+def as_of_by_dle(archive: DataFrame, points: DataFrame) -> DataFrame:
+    """(dle, point, run, level): each source's newest archive at or before each point (see as_of)."""
+    hit = archive.select("dle", "run", "level", "created_at").join(F.broadcast(_bounded(points)), _covered(F.col("created_at"), F.col("run")))
     tip = F.max_by(F.struct("run", "level"), C.run_key("run"))
     return hit.groupBy("dle", "point").agg(tip.alias("t")).select("dle", "point", "t.run", "t.level")
 
 
-def chains(based: DataFrame, targets: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def chains(based: DataFrame, targets: DataFrame) -> DataFrame:
     """(dle, point, run, level, depth, broken): archives that a restore of each target replays, from the tip (depth 0) down.
 
-    based comes from base_of; targets has dle, point, run. Each round joins the open ends
-    with their bases; a chain ends at a full, or broken where a base is not there.
+    based comes from base_of; targets has dle, point, run. A run that skipped the source
+    stands for the source's newest archive before it. Each target is one row that follows
+    HOPS links in one job; what is still open then goes on in the next. Bases are earlier
+    runs, so every chain ends: at a full, or broken where a base is not there.
     """
-    slim = based.select("dle", F.col("run").alias("b_run"), F.col("level").alias("b_level"), F.col("base").alias("b_base"))
-    tips = targets.join(slim, (targets["dle"] == slim["dle"]) & (targets["run"] == slim["b_run"])).select(targets["dle"], "point", "run", F.col("b_level").alias("level"), F.col("b_base").alias("base"))
-    front = cut(tips.withColumn("depth", F.lit(0)))
-    found = front
-    for depth in range(1, most_rounds + 1):
-        step = front.filter("base is not null").join(slim, (front["dle"] == slim["dle"]) & (front["base"] == slim["b_run"]))
-        front = cut(step.select(front["dle"], "point", F.col("b_run").alias("run"), F.col("b_level").alias("level"), F.col("b_base").alias("base"), F.lit(depth).alias("depth")))
-        if not front.head(1):
+    slim = based.select(F.col("dle").alias("b_dle"), F.col("run").alias("b_run"), F.col("level").alias("b_level"), F.col("base").alias("b_base"))
+    there = targets.join(slim, (targets["dle"] == F.col("b_dle")) & (targets["run"] == F.col("b_run")), "left").select(targets["dle"], "point", "run", "b_level", "b_base")
+    skipped = there.filter("b_level is null").select("dle", "point", "run").join(slim, (F.col("dle") == F.col("b_dle")) & (C.run_key("b_run") < C.run_key("run")))
+    tip = F.max_by(F.struct("b_run", "b_level", "b_base"), C.run_key("b_run")).alias("t")
+    tips = there.filter("b_level is not null").select("dle", "point", F.col("run").alias("b_run"), "b_level", "b_base").unionByName(skipped.groupBy("dle", "point").agg(tip).select("dle", "point", "t.*"))
+    link = F.struct(F.col("b_run").alias("run"), F.col("b_level").alias("level"))
+    front = tips.select("dle", "point", F.array(link).alias("path"), F.col("b_base").alias("next"), F.lit(0).alias("first"))
+    batches = []
+    while True:
+        for _ in range(HOPS):
+            step = front.join(slim, (front["dle"] == F.col("b_dle")) & (front["next"] == F.col("b_run")), "left")
+            front = step.select(front["dle"], "point", F.when(F.col("b_run").isNull(), F.col("path")).otherwise(F.concat("path", F.array(link))).alias("path"), F.col("b_base").alias("next"), "first")
+        rows, open_rows = cut_counting(front, F.col("next").isNotNull())
+        batches.append(rows)
+        if not open_rows:
             break
-        found = found.unionByName(front)
-    else:
-        raise RuntimeError(f"chains longer than {most_rounds}")
-    whole = Window.partitionBy("dle", "point")
-    return found.withColumn("broken", F.min("level").over(whole) > 0).drop("base")
+        front = rows.filter("next is not null").select("dle", "point", F.slice("path", 1, 0).alias("path"), "next", (F.col("first") + F.size("path")).alias("first"))
+    ends = [b.filter("next is null").select("dle", "point", (F.element_at("path", -1)["level"] > 0).alias("broken")) for b in batches]
+    found, broken = batches[0], ends[0]
+    for b, e in zip(batches[1:], ends[1:], strict=True):
+        found, broken = found.unionByName(b), broken.unionByName(e)
+    found = found.join(broken, ["dle", "point"]) if len(batches) > 1 else found.withColumn("broken", F.element_at("path", -1)["level"] > 0)
+    found = found.select("dle", "point", "first", "broken", F.posexplode("path").alias("at", "a"))
+    return found.select("dle", "point", "a.run", "a.level", (F.col("first") + F.col("at")).alias("depth"), "broken")
 
 
 def chain_summary(chain: DataFrame, archive: DataFrame) -> DataFrame:
@@ -79,62 +99,63 @@ def chain_summary(chain: DataFrame, archive: DataFrame) -> DataFrame:
     return sized.groupBy("dle", "point").agg(F.array_join(F.transform(ordered, lambda x: x["run"]), ",").alias("runs"), F.count("*").alias("links"), F.sum("compressed").alias("bytes"), F.max("broken").alias("broken"))
 
 
-def stranded(based: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def stranded(based: DataFrame) -> DataFrame:
     """(dle, run, level, stranded) for each archive: incrementals whose chain does not reach a full.
 
-    A full reaches itself; in each round an archive whose base reaches one does too.
+    Each round an archive takes over where its base points, so the links it looks past
+    double: a chain of n archives takes log n rounds, each one join.
     """
-    slim = based.select("dle", "run", "level", "base")
-    reached = cut(slim.filter("level = 0").select("dle", "run"))
-    front = reached
-    children = slim.filter("base is not null").select("dle", F.col("base").alias("from_run"), "run")
-    for _ in range(most_rounds):
-        up = front.withColumnRenamed("run", "from_run")
-        front = cut(children.join(up, ["dle", "from_run"], "left_semi").select("dle", "run"))
-        if not front.head(1):
-            break
-        reached = reached.unionByName(front)
-    else:
-        raise RuntimeError(f"chains longer than {most_rounds}")
-    ok = reached.withColumn("_ok", F.lit(True))
-    return slim.join(ok, ["dle", "run"], "left").select("dle", "run", "level", F.coalesce(~F.col("_ok"), F.lit(True)).alias("stranded"))
-
-
-def restorability(archive: DataFrame, is_stranded: DataFrame, placement: DataFrame) -> DataFrame:
-    """One row: stranded newest archives, stranded ones that a newer archive supersedes, and of all stranded ones those only on labelled volumes."""
-    newest = Window.partitionBy("dle").orderBy(C.run_key("run").desc())
-    rows = is_stranded.withColumn("_newest", F.row_number().over(newest) == 1).filter("stranded")
-    loose = placement.filter(F.col("medium") != "tape").select("dle", "run").distinct().withColumn("_loose", F.lit(True))
-    held = placement.select("dle", "run").distinct().withColumn("_held", F.lit(True))
-    rows = rows.join(loose, ["dle", "run"], "left").join(held, ["dle", "run"], "left")
+    state = based.select("dle", "run", "level", F.col("base").alias("next"), (F.col("level") == 0).alias("whole"))
+    while True:
+        ahead = state.select("dle", F.col("run").alias("next"), F.col("next").alias("_next"), F.col("whole").alias("_whole"))
+        step = state.join(ahead, ["dle", "next"], "left").select("dle", "run", "level", F.col("_next").alias("next"), F.coalesce("_whole", "whole").alias("whole"))
+        state, open_rows = cut_counting(step, F.col("next").isNotNull())
+        if not open_rows:
+            return state.select("dle", "run", "level", (~F.col("whole")).alias("stranded"))
+
+
+def restorability(is_stranded: DataFrame, placement: DataFrame, medium_dim: DataFrame) -> DataFrame:
+    """One row of stranded archives: those that are a source's newest; of the others superseded ones, which have a copy on a medium without labelled volumes that a prune can reach, and debris, which have none."""
+    newest = is_stranded.groupBy("dle").agg(F.max_by("run", C.run_key("run")).alias("_newest"))
+    loose = placement.join(F.broadcast(medium_dim.filter("not labeled").select("medium")), "medium", "left_semi").select("dle", "run").distinct().withColumn("_loose", F.lit(True))
+    rows = is_stranded.filter("stranded").join(newest, "dle").join(loose, ["dle", "run"], "left")
     count = lambda c: F.coalesce(F.sum(F.when(c, 1).otherwise(0)), F.lit(0)).cast("long")
-    return rows.agg(count(F.col("_newest")).alias("latest_stranded"), count(~F.col("_newest")).alias("superseded"), count(F.col("_held").isNotNull() & F.col("_loose").isNull()).alias("tape_only"))
+    tip, held = F.col("run") == F.col("_newest"), F.col("_loose").isNotNull()
+    return rows.agg(count(tip).alias("latest_stranded"), count(~tip & held).alias("superseded"), count(~tip & ~held).alias("debris"))
 
 
-def recovery_points(based: DataFrame, placement: DataFrame, most_rounds: int = MOST_ROUNDS) -> DataFrame:
+def recovery_points(archive: DataFrame, placement: DataFrame) -> DataFrame:
     """(dle, run, level, links, verdict) for every archive as a tip: complete, no copy, base missing or cycle.
 
-    Only recorded bases count here, so a derived base that is not recorded is missing.
+    Only recorded bases count here, so a base that is not recorded is missing. The first
+    fault met from the tip is named, and a cycle before any other. links are the archives
+    walked, the tip included. HOPS links are followed in one job.
     """
     copies = placement.select("dle", "run").distinct().withColumn("_copy", F.lit(True))
-    nodes = cut(based.join(copies, ["dle", "run"], "left").select("dle", "run", "level", "base_run", F.coalesce("_copy", F.lit(False)).alias("copy")))
+    nodes = cut(archive.select("dle", "run", "level", "base_run").join(copies, ["dle", "run"], "left").select("dle", "run", "level", F.coalesce("base_run", F.lit("")).alias("base_run"), F.coalesce("_copy", F.lit(False)).alias("copy")))
     slim = nodes.select(F.col("dle").alias("n_dle"), F.col("run").alias("n_run"), F.col("level").alias("n_level"), F.col("base_run").alias("n_base"), F.col("copy").alias("n_copy"))
-    front = nodes.select("dle", "run", F.col("level").alias("tip_level"), F.col("level").alias("at_level"), F.col("base_run").alias("next"), F.array("run").alias("seen"), F.col("copy").alias("copies"))
+
+    def judged(df: DataFrame) -> DataFrame:
+        fault = F.when(F.col("bare"), "no copy")
+        ends = F.when(F.col("at_level") == 0, F.coalesce(fault, F.lit("complete"))).when(F.col("next") == "", F.coalesce(fault, F.lit("base missing"))).when(F.array_contains("seen", F.col("next")), "cycle")
+        return df.withColumn("verdict", F.coalesce("verdict", ends))
+
+    front = judged(nodes.select("dle", "run", "level", F.col("level").alias("at_level"), F.col("base_run").alias("next"), F.array("run").alias("seen"), (~F.col("copy")).alias("bare"), F.lit(None).cast("string").alias("verdict")))
     done: DataFrame | None = None
-    for _ in range(most_rounds):
-        ended = F.col("at_level") == 0
-        looped = ~ended & F.array_contains("seen", F.col("next"))
-        missing = ~ended & (F.col("next").isNull() | (F.col("next") == ""))
-        verdict = F.when(ended, F.when(F.col("copies"), "complete").otherwise("no copy")).when(missing, "base missing").when(looped, "cycle")
-        judged = front.withColumn("verdict", verdict)
-        step = judged.filter("verdict is null").join(slim, (F.col("dle") == F.col("n_dle")) & (F.col("next") == F.col("n_run")), "left")
-        lost = step.filter("n_run is null").select("dle", "run", F.col("tip_level").alias("level"), F.size("seen").alias("links"), F.lit("base missing").alias("verdict"))
-        ends = judged.filter("verdict is not null").select("dle", "run", F.col("tip_level").alias("level"), F.size("seen").alias("links"), "verdict").unionByName(lost)
+    while True:
+        for _ in range(HOPS):
+            to = F.when(F.col("verdict").isNull(), F.col("next"))
+            step = front.join(slim, (F.col("dle") == F.col("n_dle")) & (to == F.col("n_run")), "left")
+            ended, lost = F.col("verdict").isNotNull(), F.col("n_run").isNull()
+            verdict = F.when(ended, F.col("verdict")).when(lost, F.when(F.col("bare"), "no copy").otherwise("base missing"))
+            go = ~ended & ~lost
+            front = judged(step.select("dle", "run", "level", F.coalesce("n_level", "at_level").alias("at_level"), F.coalesce("n_base", "next").alias("next"), F.when(go, F.concat("seen", F.array("n_run"))).otherwise(F.col("seen")).alias("seen"), (F.col("bare") | (go & ~F.col("n_copy"))).alias("bare"), verdict.alias("verdict")))
+        rows, open_rows = cut_counting(front, F.col("verdict").isNull())
+        ends = rows.filter("verdict is not null").select("dle", "run", "level", F.size("seen").alias("links"), "verdict")
         done = ends if done is None else done.unionByName(ends)
-        front = cut(step.filter("n_run is not null").select("dle", "run", "tip_level", F.col("n_level").alias("at_level"), F.col("n_base").alias("next"), F.concat("seen", F.array("n_run")).alias("seen"), (F.col("copies") & F.col("n_copy")).alias("copies")))
-        if not front.head(1):
+        if not open_rows:
             return done
-    raise RuntimeError(f"chains longer than {most_rounds}")
+        front = rows.filter("verdict is null")
 
 
 def tree_as_of(chain: DataFrame, member: DataFrame, delta: bool = False) -> DataFrame:
@@ -226,16 +247,17 @@ def drill_medium(media: DataFrame, route: DataFrame, targets: DataFrame, landing
     return targets.select("dle", "point").join(whole, ["dle", "point"], "left").join(first, "dle", "left").select("dle", "point", F.coalesce("_whole", "_first", F.lit(landing)).alias("medium"))
 
 
-def located(refs: DataFrame, placement: DataFrame, landing: str, order: Column | None = None) -> DataFrame:
-    """refs (dle, run, level, ...) with the medium to read each from: the landing first, then the others by name."""
+def located(refs: DataFrame, placement: DataFrame, landing: str, order: Column | None = None, forced: str | None = None) -> DataFrame:
+    """refs (dle, run, level, ...) with the medium to read each from: the landing first, then the others by name; with `forced` that medium only."""
+    placement = placement if forced is None else placement.filter(F.col("medium") == forced)
     rank = Window.partitionBy("dle", "run", "level").orderBy((F.col("medium") != landing).cast("int"), order if order is not None else F.col("medium"))
     best = placement.withColumn("_rank", F.row_number().over(rank)).filter("_rank = 1").select("dle", "run", "level", "medium", "parts", "bytes")
     return refs.join(best, ["dle", "run", "level"], "left")
 
 
 def match_units(unit: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(dle, arg, path): the unit each argument names: the one of that name, else the one that contains it; several are an error. wanted has dle and arg, and is small beside the units."""
-    rows = unit.select("dle", "path").join(F.broadcast(wanted), "dle").filter(F.instr("path", F.col("arg")) > 0)
+    """(dle, arg, path): the unit each argument names: the one of that name, else the one that contains it; several are an error. wanted has dle and arg."""
+    rows = unit.select("dle", "path").join(wanted, "dle").filter(F.instr("path", F.col("arg")) > 0)
     found = rows.groupBy("dle", "arg").agg(F.max(F.when(F.col("path") == F.col("arg"), F.col("path"))).alias("_exact"), F.count("*").alias("_n"), F.min("path").alias("_one"))
     several = F.raise_error(F.concat(F.lit("several units match "), F.col("arg"))).cast("string")
     return found.select("dle", "arg", F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_n") == 1, F.col("_one")).otherwise(several).alias("path"))

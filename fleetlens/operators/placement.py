@@ -62,9 +62,14 @@ def copy_class(archive: DataFrame, placement: DataFrame, route: DataFrame, sync_
     landings = route.select(F.col("medium").alias("dst")).distinct()
     rules = sync_rule.filter("dst <> '' and dst <> src")
     auto = rules.filter("src = ''").join(landings, "dst", "left_anti")
-    runs = archive.select("run").distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy(F.lit(0)).orderBy(C.run_key("run").desc())))
-    mirrored = base.join(F.broadcast(auto), F.lit(True)).join(F.broadcast(medium_dim.select(F.col("medium").alias("dst"), "min_age_days")), "dst").join(runs, "run")
-    mirrored = mirrored.filter("last_n <= 0 or _rank <= last_n").select(*KEY, F.col("dst").alias("medium"), F.when(owed(F.col("min_age_days"), now), 2).otherwise(1).alias("class"))
+    # A rule that promises the last n runs promises all from the n-th newest on; only the newest runs are ordered for it.
+    runs = archive.select(C.run_key("run").alias("_key")).distinct()
+    limits = [r.last_n for r in auto.select("last_n").distinct().collect() if r.last_n > 0]  # rules are configuration
+    since = auto.filter("last_n <= 0").select("last_n", F.lit("").alias("_since")).distinct()
+    for n in limits:
+        since = since.unionByName(runs.orderBy(F.col("_key").desc()).limit(n).agg(F.min("_key").alias("_since")).select(F.lit(n).alias("last_n"), "_since"))
+    mirrored = base.join(F.broadcast(auto.join(since, "last_n")), C.run_key("run") >= F.col("_since")).join(F.broadcast(medium_dim.select(F.col("medium").alias("dst"), "min_age_days")), "dst")
+    mirrored = mirrored.select(*KEY, F.col("dst").alias("medium"), F.when(owed(F.col("min_age_days"), now), 2).otherwise(1).alias("class"))
     sources = placement.select("medium", *KEY).distinct().withColumnRenamed("medium", "src")
     ranked = sources.select("src", "run").distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy("src").orderBy(C.run_key("run").desc())))
     pulled = sources.join(F.broadcast(rules.filter("src <> ''")), "src").join(ranked, ["src", "run"]).filter("last_n <= 0 or _rank <= last_n")
@@ -137,11 +142,16 @@ def posture(archive: DataFrame, placement: DataFrame, route: DataFrame, status:
     return out
 
 
-def sync_backlog(archive: DataFrame, placement: DataFrame, classes: DataFrame, medium: str, landing: str) -> DataFrame:
+def sync_backlog(archive: DataFrame, placement: DataFrame, classes: DataFrame, medium: str, landing: str, source: str | None = None) -> DataFrame:
     """(run, source, archives, bytes): what each run still owes the medium and from where to copy it.
 
-    The source is the first medium, the landing first and then by name, that holds all that is missing; null where none does.
+    The source is the first medium, the landing first and then by name, that holds all that
+    is missing; null where none does. With an explicit source a run owes what that holds.
     """
+    if source is not None:
+        placement_of = placement.filter(F.col("medium") == source).select(*KEY)
+        classes = classes.join(placement_of, KEY, "left_semi")
+        placement = placement.filter(F.col("medium").isin(source, medium))
     owed_here = classes.filter((F.col("medium") == medium) & (F.col("class") >= 2)).select(*KEY)
     missing = owed_here.join(placement.filter(F.col("medium") == medium), KEY, "left_anti").join(archive.select(*KEY, "compressed"), KEY)
     wanted = missing.groupBy("run").agg(F.count("*").alias("archives"), F.sum("compressed").alias("bytes"))
@@ -150,6 +160,14 @@ def sync_backlog(archive: DataFrame, placement: DataFrame, classes: DataFrame, m
     return wanted.join(full, "run", "left").select("run", F.col("s.source").alias("source"), "archives", "bytes")
 
 
+def sync_capacity(backlog: DataFrame, totals: DataFrame, medium_dim: DataFrame, medium: str) -> DataFrame:
+    """(medium, projected, capacity, over): what the medium holds once the backlog has landed; 0 is unbounded."""
+    lands = backlog.agg(F.coalesce(F.sum("bytes"), F.lit(0)).alias("_more"))
+    rows = medium_dim.filter(F.col("medium") == medium).join(totals.select("medium", "bytes"), "medium", "left").join(lands, F.lit(True))
+    projected = F.coalesce("bytes", F.lit(0)) + F.col("_more")
+    return rows.select("medium", projected.cast("long").alias("projected"), "capacity", ((F.col("capacity") > 0) & (projected > F.col("capacity"))).alias("over"))
+
+
 def sync_lag(backlog: DataFrame) -> DataFrame:
     return backlog.agg(F.count("*").alias("runs"), F.coalesce(F.sum("bytes"), F.lit(0)).alias("bytes"))
 
@@ -202,18 +220,20 @@ def intended_dles(configured: DataFrame, resolved: DataFrame) -> DataFrame:
     return configured.unionByName(resolved.join(configured.select("dle"), "dle", "left_anti"))
 
 
-def reachable_media(route: DataFrame, sync_rule: DataFrame, most_rounds: int = 32) -> DataFrame:
-    """(dle, medium): media a source's data gets to over its route and then over sync rules."""
+def reachable_media(route: DataFrame, sync_rule: DataFrame) -> DataFrame:
+    """(dle, medium): media a source's data gets to over its route and then over sync rules.
+
+    Each round adds media that are not there yet, and media are few, so rounds end.
+    """
     rules = F.broadcast(sync_rule.filter("src <> ''").select("src", "dst"))
     auto = route.select("dle").distinct().join(F.broadcast(sync_rule.filter("src = ''").select(F.col("dst").alias("medium"))), F.lit(True))
     found = cut(route.select("dle", "medium").unionByName(auto).distinct())
-    for _ in range(most_rounds):
+    while True:
         more = found.join(rules, found["medium"] == rules["src"]).select("dle", F.col("dst").alias("medium")).distinct().join(found, ["dle", "medium"], "left_anti")
         more = cut(more)
         if not more.head(1):
             return found
         found = found.unionByName(more)
-    raise RuntimeError("sync rules reach too far")
 
 
 def force_full_after(force_full: DataFrame, archive: DataFrame) -> DataFrame:
@@ -223,10 +243,15 @@ def force_full_after(force_full: DataFrame, archive: DataFrame) -> DataFrame:
 
 
 def refresh_resolved(planned: DataFrame, failed: DataFrame, previous: DataFrame) -> DataFrame:
-    """(dle, origin, via): planned sources, then known ones that failed, then the last units of an origin that could not be listed; the first wins."""
-    carried = previous.join(failed.select("origin").distinct(), "origin", "left_semi")
+    """(dle, origin, via): planned sources, then units that failed before their dump, known or not, then the last units of an origin that could not be listed; the first wins.
+
+    failed has dle, origin and source: a failure with a source is of the unit dle, one
+    without (null or empty) is of the whole origin, which cannot name its units.
+    """
+    named = F.coalesce("source", F.lit("")) != ""
+    carried = previous.join(failed.filter(~named).select("origin").distinct(), "origin", "left_semi")
     rows = planned.select("dle", "origin", F.lit("planned").alias("via"), F.lit(0).alias("_p"))
-    rows = rows.unionByName(failed.join(previous.select("dle"), "dle", "left_semi").select("dle", "origin", F.lit("failed").alias("via"), F.lit(1).alias("_p")))
+    rows = rows.unionByName(failed.filter(named).select("dle", "origin", F.lit("failed").alias("via"), F.lit(1).alias("_p")))
     rows = rows.unionByName(carried.select("dle", "origin", F.lit("carried").alias("via"), F.lit(2).alias("_p")))
     w = Window.partitionBy("dle").orderBy("_p", "origin")
     return rows.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("dle", "origin", "via")

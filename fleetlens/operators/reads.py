@@ -64,13 +64,23 @@ def fetch_groups(ranges: DataFrame, frame: DataFrame, totals: DataFrame, keys: l
     return _merged(hit, k, "enc_start", "enc_end")
 
 
-def part_segments(ranges: DataFrame, part_file: DataFrame, keys: list[str]) -> DataFrame:
-    """(keys, part_no, from, to): pieces of parts that hold byte ranges (start, end) of an archive; archives with an unsealed part (null size) give none."""
+#: Bytes of one bucket where parts of archives meet ranges.
+PART_BUCKET = 1 << 28
+
+
+def part_segments(ranges: DataFrame, part_file: DataFrame, keys: list[str], bucket: int = PART_BUCKET) -> DataFrame:
+    """(keys, part_no, from, to): pieces of parts that hold byte ranges (start, end) of an archive; archives with an unsealed part (null size) give none.
+
+    Ranges and parts meet by equality in the buckets they touch; a pair is taken in the
+    first bucket they share.
+    """
     order = Window.partitionBy(*keys).orderBy("part_no")
     sealed = F.min(F.col("size").isNotNull()).over(Window.partitionBy(*keys))
     p = part_file.withColumn("_ok", sealed).filter("_ok").withColumn("_end", F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, 0)))
-    p = p.select(*keys, "part_no", (F.col("_end") - F.col("size")).alias("_start"), "_end")
-    hit = ranges.join(p, keys).filter((F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start")))
+    p = p.select(*keys, "part_no", (F.col("_end") - F.col("size")).alias("_start"), "_end").withColumn("_b", F.explode(_buckets(F.col("_start"), F.col("_end"), bucket)))
+    total = part_file.groupBy(*keys).agg(F.sum("size").alias("_total"))
+    r = ranges.join(total, keys).withColumn("_b", F.explode(_buckets(F.col("start"), F.greatest("start", F.least("end", "_total")), bucket))).drop("_total")
+    hit = r.join(p, [*keys, "_b"]).filter((F.col("_start") < F.col("end")) & (F.col("_end") > F.col("start")) & (F.floor(F.greatest("start", "_start") / bucket) == F.col("_b")))
     return hit.select(*keys, "start", "end", "part_no", (F.greatest("start", "_start") - F.col("_start")).alias("from"), (F.least("end", "_end") - F.col("_start")).alias("to"))
 
 
@@ -86,13 +96,30 @@ def selection_plan(groups: DataFrame, ranges: DataFrame, totals: DataFrame, cost
     return rows.join(F.broadcast(rates), F.lit(True)).select(*k, "mode", "fetches", "bytes", price.alias("price"))
 
 
+#: A frame's members may reach over so many frames before it is passed over.
+SPAN_FRAMES = 4
+
+
 def frame_sample(member: DataFrame, frame: DataFrame, n: int, keys: list[str] | None = None) -> DataFrame:
-    """(keys, seq, raw, path): the frame of each archive to test: the next one from n on (in a circle) in which a member begins, else the one whose first member is shortest."""
+    """(keys, seq, raw, path, span): the frame of each archive to test, its first member, and the bytes from there to the end of its last one.
+
+    Frames are taken in turn from number n on (in a circle) among those in which a member
+    begins. The first whose span is at most SPAN_FRAMES frames is chosen; where none is,
+    the one with the least span. The last member of an archive ends a frame after the last
+    frame begins. Members find their frame in the buckets that both touch.
+    """
     k = keys or KEY
     line = Window.partitionBy(*k).orderBy("seq")
-    f = frame.withColumn("_raw_end", F.coalesce(F.lead("raw").over(line), F.lit(OPEN))).withColumn("_n", F.count("*").over(Window.partitionBy(*k)))
-    m = member.withColumn("_end", F.coalesce(F.lead("off").over(line), F.lit(OPEN))).filter("off >= 0").select(*k, F.col("off"), "_end", "path")
-    first = m.join(f, k).filter((F.col("off") >= F.col("raw")) & (F.col("off") < F.col("_raw_end")))
+    facts = frame.groupBy(*k).agg(F.count("*").alias("_n"), F.max("raw").alias("_last"), F.min(F.when(F.col("seq") == 1, F.col("raw"))).alias("_r1"), F.min(F.when(F.col("seq") == 0, F.col("raw"))).alias("_r0"))
+    facts = facts.select(*k, "_n", "_last", F.coalesce(F.col("_r1") - F.col("_r0"), F.lit(0)).alias("_stride"))
+    m = member.withColumn("_next", F.lead("off").over(line)).filter("off >= 0").select(*k, F.col("seq").alias("_m"), "off", F.when(F.col("_next") >= 0, F.col("_next")).alias("_next"), "path")
+    ends = m.groupBy(*k).agg((F.max("off") + 1).alias("_most"))
+    f = frame.join(ends, k).withColumn("_raw_end", F.coalesce(F.lead("raw").over(line), F.greatest("_most", F.col("raw") + 1))).filter("_raw_end > raw")
+    f = f.select(*k, "seq", "raw", "_raw_end", F.explode(_buckets(F.col("raw"), F.col("_raw_end"), BUCKET)).alias("_b"))
+    found = m.withColumn("_b", F.floor(F.col("off") / BUCKET)).join(f, [*k, "_b"]).filter((F.col("off") >= F.col("raw")) & (F.col("off") < F.col("_raw_end")))
+    spans = found.groupBy(*k, "seq", "raw").agg(F.min("off").alias("_start"), F.min_by("path", "_m").alias("path"), F.max_by("_next", "_m").alias("_end")).join(facts, k)
+    spans = spans.withColumn("span", F.coalesce("_end", F.col("_last") + F.col("_stride")) - F.col("_start"))
     turn = F.pmod(F.col("seq") - F.lit(n) % F.col("_n"), F.col("_n"))
-    pick = first.groupBy(*k, "seq", "raw", "_n").agg(F.min(F.struct("off", "path", (F.col("_end") - F.col("off")).alias("span"))).alias("m"))
-    return pick.groupBy(*k).agg(F.min_by(F.struct("seq", "raw", F.col("m.path").alias("path")), F.struct(turn.alias("t"), F.col("m.span").alias("s"))).alias("p")).select(*k, "p.*")
+    fits = (F.col("_stride") <= 0) | (F.col("span") <= SPAN_FRAMES * F.col("_stride"))
+    rank = F.struct((~fits).cast("int").alias("over"), F.when(fits, F.lit(0).cast("long")).otherwise(F.col("span")).alias("s"), turn.alias("t"))
+    return spans.groupBy(*k).agg(F.min_by(F.struct("seq", "raw", "path", "span"), rank).alias("p")).select(*k, "p.*")

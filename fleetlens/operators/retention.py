@@ -6,8 +6,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators.chains import base_of
-from fleetlens.plans.lineage import cut
+from fleetlens.operators.chains import base_of, stranded
+from fleetlens.plans.lineage import cut, cut_counting, preceding
 
 DAY = 86400
 
@@ -23,19 +23,27 @@ def held_archives(archive: DataFrame, placement: DataFrame, medium_dim: DataFram
     return copies.join(archive, ["run", "dle", "level"]).join(F.broadcast(medium_dim.select("medium", "capacity", "min_age_days", "labeled")), "medium")
 
 
-def retention_floor(held: DataFrame, stranded: DataFrame, now: Column, also_by: list[str] | None = None) -> DataFrame:
+def retention_floor(held: DataFrame, lost: DataFrame, now: Column) -> DataFrame:
     """held with kind: CONDEMNED, AGE, LAST_FULL, CHAIN, or null where nothing keeps the copy.
 
-    stranded is judged over the whole catalog, the rest for each medium. A source's
-    archives on a medium are numbered in run order and cut into segments at fulls; what
-    the segment needs is up to its last anchor: a restorable archive of a young run, or the
-    newest archive. Numbers and anchors are window results, so no chain is walked.
+    lost (dle, run, stranded) is judged over the whole catalog, the rest for each medium.
+    Whether a run is young is summed up by run and joined back, as a nightly run holds every source.
+    """
+    young_runs = held.groupBy("medium", "run").agg(F.max(young(F.col("min_age_days"), F.col("created_at"), now)).alias("_run_young"))
+    rows = held.withColumn("_young", young(F.col("min_age_days"), F.col("created_at"), now)).join(young_runs, ["medium", "run"])
+    gone = lost.filter("stranded").select("dle", "run", F.lit(True).alias("_lost"))
+    rows = rows.join(gone, ["dle", "run"], "left").withColumn("_lost", F.coalesce("_lost", F.lit(False)))
+    return _pinned(rows, ["medium"]).drop("_young", "_run_young", "_lost")
+
+
+def _pinned(rows: DataFrame, by: list[str]) -> DataFrame:
+    """rows (by..., dle, run, level, _young, _run_young, _lost) with kind.
+
+    A source's archives on a medium are numbered in run order and cut into segments at
+    fulls; what the segment needs is up to its last anchor: a restorable archive of a
+    young run, or the newest archive. Numbers and anchors are window results, so no chain
+    is walked.
     """
-    by = [*(also_by or []), "medium"]
-    lost = stranded.filter("stranded").select("dle", "run", F.lit(True).alias("_lost"))
-    rows = held.join(lost, ["dle", "run"], "left").withColumn("_lost", F.coalesce("_lost", F.lit(False)))
-    rows = rows.withColumn("_young", young(F.col("min_age_days"), F.col("created_at"), now))
-    rows = rows.withColumn("_run_young", F.max("_young").over(Window.partitionBy(*by, "run")))
     line = Window.partitionBy(*by, "dle").orderBy(C.run_key("run"))
     whole = Window.partitionBy(*by, "dle")
     rows = rows.withColumn("_i", F.row_number().over(line)).withColumn("_n", F.count("*").over(whole)).withColumn("_seg", F.sum((F.col("level") == 0).cast("int")).over(line.rowsBetween(Window.unboundedPreceding, 0)))
@@ -48,7 +56,7 @@ def retention_floor(held: DataFrame, stranded: DataFrame, now: Column, also_by:
         .when((F.col("level") == 0) & (F.col("_i") == F.col("_full")), "LAST_FULL")
         .when((F.col("_seg") > 0) & (F.col("_to") >= F.col("_i")), "CHAIN")
     )
-    return rows.withColumn("kind", kind).drop("_lost", "_young", "_run_young", "_i", "_n", "_seg", "_full", "_to")
+    return rows.withColumn("kind", kind).drop("_i", "_n", "_seg", "_full", "_to")
 
 
 def strength(kind: Column) -> Column:
@@ -68,21 +76,23 @@ def reusable_volumes(floor: DataFrame, part_file: DataFrame, volume: DataFrame)
     return volume.join(busy, "label", "left_anti").select("label", "last_run")
 
 
-def _order(nodes: DataFrame, edges: DataFrame, most_rounds: int = 64) -> DataFrame:
+def _order(nodes: DataFrame, edges: DataFrame) -> DataFrame:
     """nodes (medium, dle, run, k, wanted) that may go, with m: the latest (run, source) among the node and all that build on it.
 
-    A node is blocked while anything that builds on it stays.
+    A node is blocked while anything that builds on it stays. Each round a node hands what
+    it knows to the base that is twice as far away as in the round before, so a chain of n
+    archives takes log n rounds.
     """
-    state = cut(nodes.select("medium", "dle", "run", "k", F.struct("k", "dle").alias("m"), (~F.col("wanted")).alias("blocked")))
-    front = state.select("medium", "dle", "run", "m", "blocked")
-    for _ in range(most_rounds):
-        up = front.join(edges, ["medium", "dle", "run"]).groupBy("medium", "dle", F.col("base").alias("run")).agg(F.max("m").alias("m2"), F.max("blocked").alias("b2"))
-        merged = cut(state.join(up, ["medium", "dle", "run"], "left").select("medium", "dle", "run", "k", F.greatest("m", F.coalesce("m2", "m")).alias("m"), (F.col("blocked") | F.coalesce("b2", F.lit(False))).alias("blocked"), F.col("m2").isNotNull().alias("reached")))
-        front = merged.filter("reached").select("medium", "dle", "run", "m", "blocked")
-        state = merged.drop("reached")
-        if not front.head(1):
-            return state.filter("not blocked")
-    raise RuntimeError(f"chains longer than {most_rounds}")
+    state = nodes.select("medium", "dle", "run", "k", F.struct("k", "dle").alias("m"), (~F.col("wanted")).alias("blocked"))
+    state = cut(state.join(edges, ["medium", "dle", "run"], "left"))
+    while True:
+        up = state.filter("base is not null").groupBy("medium", "dle", F.col("base").alias("run")).agg(F.max("m").alias("m2"), F.max("blocked").alias("b2"))
+        far = state.select("medium", "dle", F.col("run").alias("base"), F.col("base").alias("base2"))
+        step = state.join(up, ["medium", "dle", "run"], "left").join(far, ["medium", "dle", "base"], "left")
+        step = step.select("medium", "dle", "run", "k", F.greatest("m", F.coalesce("m2", "m")).alias("m"), (F.col("blocked") | F.coalesce("b2", F.lit(False))).alias("blocked"), F.col("base2").alias("base"))
+        state, open_rows = cut_counting(step, F.col("base").isNotNull())
+        if not open_rows:
+            return state.filter("not blocked").drop("base")
 
 
 def reclaim_plan(floor: DataFrame, target_share: float = 1.0, targets: DataFrame | None = None) -> DataFrame:
@@ -95,13 +105,12 @@ def reclaim_plan(floor: DataFrame, target_share: float = 1.0, targets: DataFrame
     Deleting always the oldest copy on which nothing depends is the order by (m, newest
     first) with m from _order, as a base freed by its last dependent is older than all
     others that are ready. The plan is the prefix at which the running total meets the
-    target (targets: medium, target; else target_share of the capacity).
+    target (targets: medium, target; else target_share of the capacity). Totals and places
+    along the order are taken by ranges, so a medium may hold any number of copies.
     """
     rows = floor.filter("not labeled").withColumn("k", C.run_key("run"))
-    slim = rows.select("medium", "dle", "run", "k", "level", "base_run", "compressed", "capacity", F.coalesce("kind", F.lit("")).alias("kind"))
-    # Bases count where both copies are on the medium.
-    on_medium = slim.withColumn("dle0", F.col("dle")).withColumn("dle", F.concat_ws("|", "medium", "dle"))
-    edges = cut(base_of(on_medium.select("dle", "dle0", "medium", "run", "level", "base_run")).filter("base is not null").select("medium", F.col("dle0").alias("dle"), "run", "base"))
+    slim = cut(rows.select("medium", "dle", "run", "k", "level", "base_run", "compressed", "capacity", F.coalesce("kind", F.lit("")).alias("kind")))
+    edges = cut(medium_bases(slim).filter("base is not null").select("medium", "dle", "run", "base"))
     first = _order(slim.withColumn("wanted", F.col("kind") == "CONDEMNED"), edges)
     gone = first.select("medium", "dle", "run")
     left = slim.join(gone, ["medium", "dle", "run"], "left_anti")
@@ -113,27 +122,43 @@ def reclaim_plan(floor: DataFrame, target_share: float = 1.0, targets: DataFrame
     else:
         totals = totals.withColumn("target", (F.col("capacity") * target_share).cast("long"))
     size = slim.select("medium", "dle", "run", F.col("compressed").alias("bytes"))
-    w = Window.partitionBy("medium").orderBy(F.col("m"), F.col("k").desc(), F.col("dle").desc())
-    before = F.coalesce(F.sum("bytes").over(w.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long"))
-    over = second.join(size, ["medium", "dle", "run"]).join(F.broadcast(totals), "medium").filter("capacity > 0").withColumn("_before", before).filter(F.col("total") - F.col("_before") > F.greatest("target", F.lit(0)))
-    one = first.join(size, ["medium", "dle", "run"]).select("medium", "run", "dle", "bytes", "m", "k", F.lit(1).alias("phase"))
-    two = over.select("medium", "run", "dle", "bytes", "m", "k", F.lit(2).alias("phase"))
-    place = Window.partitionBy("medium").orderBy("phase", "m", F.col("k").desc(), F.col("dle").desc())
-    return one.unionByName(two).withColumn("place", F.row_number().over(place)).select("medium", "run", "dle", "bytes", "phase", "place")
-
-
-def capacity_status(floor: DataFrame, placement: DataFrame, medium_dim: DataFrame, incoming: int = 0) -> DataFrame:
-    """Stored, protected and reclaimable bytes of each medium against its capacity; room -1 means unbounded."""
-    used = floor.groupBy("medium").agg(F.sum("compressed").alias("stored"), F.sum(F.when(F.col("kind").isNotNull() & (F.col("kind") != "CONDEMNED"), F.col("compressed")).otherwise(0)).alias("protected"), F.sum(F.when(F.col("kind") == "AGE", F.col("compressed")).otherwise(0)).alias("by_age"))
-    rows = medium_dim.select("medium", "capacity").join(used, "medium", "left").fillna(0, ["stored", "protected", "by_age"])
+    both = first.withColumn("phase", F.lit(1)).unionByName(second.withColumn("phase", F.lit(2))).join(size, ["medium", "dle", "run"])
+    order = [F.col("phase"), F.col("m"), F.col("k").desc(), F.col("dle").desc()]
+    second_bytes = F.when(F.col("phase") == 2, F.col("bytes")).otherwise(F.lit(0))
+    ranked = preceding(both.withColumns({"_bytes": second_bytes, "_one": F.lit(1).cast("long")}), ["medium"], order, {"_before": (F.sum, "_bytes"), "_place": (F.sum, "_one")})
+    zero = F.lit(0).cast("long")
+    before = F.coalesce("_before", zero)
+    ranked = ranked.join(F.broadcast(totals), "medium", "left")  # a row for each medium
+    needed = (F.col("phase") == 1) | ((F.col("capacity") > 0) & (F.col("total") - before > F.greatest("target", zero)))
+    return ranked.filter(needed).select("medium", "run", "dle", "bytes", "phase", (F.coalesce("_place", zero) + 1).cast("int").alias("place"))
+
+
+def medium_bases(copies: DataFrame) -> DataFrame:
+    """copies (medium, dle, run, level, base_run, ...) with base: bases count where both copies are on the medium."""
+    line = F.struct("medium", "dle")
+    based = base_of(copies.withColumns({"_source": F.col("dle"), "dle": line}))
+    return based.withColumn("dle", F.col("_source")).drop("_source")
+
+
+def capacity_status(floor: DataFrame, medium_dim: DataFrame, incoming: int = 0) -> DataFrame:
+    """Stored, protected and reclaimable bytes of each medium against its capacity; room -1 means unbounded.
+
+    residual is what a prune to nothing leaves: stored less all that the floor clears
+    (with labelled volumes nothing is cleared copy by copy). age_bound: over, and all that
+    is kept is kept by its age.
+    """
+    kept = F.col("kind").isNotNull() & (F.col("kind") != "CONDEMNED")
+    used = floor.groupBy("medium").agg(
+        F.sum("compressed").alias("stored"), F.sum(F.when(kept, F.col("compressed")).otherwise(0)).alias("protected"), F.sum(F.when(kept | F.col("labeled"), F.col("compressed")).otherwise(0)).alias("residual"), F.sum((kept & (F.col("kind") != "AGE")).cast("long")).alias("chained"),
+    )
+    rows = medium_dim.select("medium", "capacity").join(used, "medium", "left").fillna(0, ["stored", "protected", "residual", "chained"])
     bounded = F.col("capacity") > 0
+    over = bounded & (F.col("residual") + incoming > F.col("capacity"))
     return rows.select(
-        "medium", "capacity", "stored", "protected", (F.col("stored") - F.col("protected")).alias("residual"),
-        (bounded & (F.col("stored") > F.col("capacity"))).alias("over"),
+        "medium", "capacity", "stored", "protected", "residual", (bounded & (F.col("stored") > F.col("capacity"))).alias("over"),
         F.when(bounded, F.expr("(stored * 100) div capacity")).otherwise(F.lit(0)).cast("long").alias("percent"),
         F.when(bounded, F.col("capacity") - F.col("protected")).otherwise(F.lit(-1)).cast("long").alias("room"),
-        (bounded & (F.col("protected") + incoming > F.col("capacity"))).alias("infeasible"),
-        (bounded & (F.col("protected") + incoming > F.col("capacity")) & (F.col("protected") - F.col("by_age") + incoming <= F.col("capacity"))).alias("age_bound"),
+        over.alias("infeasible"), (over & (F.col("chained") == 0)).alias("age_bound"),
     )
 
 
@@ -141,24 +166,82 @@ def room_checks(floor: DataFrame, medium_dim: DataFrame) -> DataFrame:
     """(medium, newest, need, room, fits): whether another run of the newest run's size has room beside what is protected."""
     runs = floor.groupBy("medium", "run").agg(F.sum("compressed").alias("bytes"))
     newest = runs.groupBy("medium").agg(F.max_by(F.struct("run", "bytes"), C.run_key("run")).alias("r"))
-    status = capacity_status(floor, floor, medium_dim)
+    status = capacity_status(floor, medium_dim)
     return status.join(newest, "medium").select("medium", F.col("r.run").alias("newest"), F.col("r.bytes").alias("need"), "room", ((F.col("room") < 0) & (F.col("capacity") == 0) | (F.col("room") >= F.col("r.bytes"))).alias("fits"))
 
 
-def protected_history(held: DataFrame, stranded: DataFrame, days: DataFrame) -> DataFrame:
-    """(day, medium, protected, copies): bytes that each sampled day's floor kept. days has `day`, the instant judged at.
+def kept_days(held: DataFrame, days: DataFrame) -> DataFrame:
+    """held with kept: the numbers of the sampled days (ascending, from 0) on which the floor of its medium kept a copy. days has `day`, the instants judged at, at most 62.
 
-    Every day sees the archives committed by then; copies of a source meet by (day,
-    medium, source), so days multiply rows, not the size of any group.
+    A day sees what the medium held by then, and judges broken chains by that alone. Days
+    are bits of one number, so a copy stays one row: a copy's days, a run's young days, the
+    days on which it is the newest, and the days it is an anchor for the archives before it are
+    sums of bits over the source's run order. This needs commits to come in run order
+    (to the day sampled); sources with others are few and are worked on day by day.
     """
-    rows = held.join(F.broadcast(days), F.col("created_at") <= F.col("day"))
-    floor = retention_floor(rows, stranded, F.col("day"), ["day"])
-    return floor.filter("kind is not null and kind <> 'CONDEMNED'").groupBy("day", "medium").agg(F.sum("compressed").alias("protected"), F.count("*").alias("copies"))
-
-
-def volumes_in_use_history(held: DataFrame, stranded: DataFrame, days: DataFrame, part_file: DataFrame) -> DataFrame:
-    """(day, volumes): labelled volumes that held a kept run on each sampled day."""
-    rows = held.join(F.broadcast(days), F.col("created_at") <= F.col("day"))
-    kept = retention_floor(rows, stranded, F.col("day"), ["day"]).filter("kind is not null and kind <> 'CONDEMNED'").select("day", "medium", "run").distinct()
-    labels = part_file.filter(F.col("label") != "").select("medium", "run", "label").distinct()
-    return kept.join(labels, ["medium", "run"]).groupBy("day").agg(F.countDistinct("label").alias("volumes"))
+    listed = days.agg(F.array_sort(F.collect_set("day")).alias("_days"))
+    if listed.select(F.size("_days")).first()[0] > 62:
+        raise ValueError("at most 62 days at once")
+    zero = F.lit(0).cast("long")
+
+    def bits(test) -> Column:
+        return F.aggregate(F.transform("_days", lambda d, k: F.when(test(d), F.call_function("shiftleft", F.lit(1).cast("long"), k)).otherwise(zero)), zero, lambda a, x: a.bitwiseOR(x))
+
+    at = F.col("created_at")
+    rows = held.join(F.broadcast(listed), F.lit(True))  # one row
+    rows = rows.withColumns({"_in": bits(lambda d: at.isNull() | (at <= d)), "_first": F.size(F.filter("_days", lambda d: at > d))})
+    rows = rows.withColumn("_young", bits(lambda d: (at <= d) & young(F.col("min_age_days"), at, d))).filter("_in <> 0").withColumn("_first", F.coalesce("_first", F.lit(0)))
+    rows = cut(medium_bases(rows.drop("_days")))
+    ordered = Window.partitionBy("medium", "dle").orderBy(C.run_key("run"))
+    late = rows.withColumn("_late", F.max("_first").over(ordered.rowsBetween(Window.unboundedPreceding, -1)) > F.col("_first"))
+    odd = cut(late.filter("_late").select("medium", "dle").distinct())
+    young_runs = rows.groupBy("medium", "run").agg(F.expr("bit_or(_young)").alias("_run_young"))
+    rows = rows.join(young_runs, ["medium", "run"])
+    even = rows.join(odd, ["medium", "dle"], "left_anti")
+    key = F.struct("medium", "dle")
+    lost = stranded(even.select(key.alias("dle"), "run", "level", "base")).filter("stranded").select("dle.*", "run", F.lit(True).alias("_lost"))
+    even = even.join(lost, ["medium", "dle", "run"], "left").withColumn("_lost", F.coalesce("_lost", F.lit(False)))
+    after = ordered.rowsBetween(1, Window.unboundedFollowing)
+    full = F.col("level") == 0
+    even = even.withColumn("_seg", F.sum(full.cast("int")).over(ordered.rowsBetween(Window.unboundedPreceding, 0)))
+    later = lambda c: F.coalesce(F.expr(f"bit_or({c})").over(after), zero)
+    even = even.withColumn("_fulls", F.when(full, F.col("_in")).otherwise(zero)).withColumns({"_newest": F.col("_in").bitwiseAND(F.bitwise_not(later("_in"))), "_last_full": F.col("_fulls").bitwiseAND(F.bitwise_not(later("_fulls")))})
+    even = even.withColumn("_anchor", F.when(F.col("_lost"), zero).otherwise(F.col("_in").bitwiseAND(F.col("_run_young").bitwiseOR(F.col("_newest")))))
+    onward = Window.partitionBy("medium", "dle", "_seg").orderBy(C.run_key("run")).rowsBetween(0, Window.unboundedFollowing)
+    chain = F.when(F.col("_seg") > 0, F.expr("bit_or(_anchor)").over(onward)).otherwise(zero)
+    pins = F.col("_young").bitwiseOR(F.when(F.col("_lost"), zero).otherwise(F.col("_last_full").bitwiseOR(chain)))
+    even = even.withColumn("_kept", F.col("_in").bitwiseAND(pins))
+    on = lambda c, d: F.call_function("shiftright", F.col(c), d).bitwiseAND(F.lit(1).cast("long")) == 1
+    numbers = lambda c: F.filter(F.sequence(F.lit(0), F.lit(61)), lambda d: on(c, d))
+    out = even.select(*held.columns, numbers("_kept").alias("kept"))
+    if odd.head(1):
+        each = rows.join(odd, ["medium", "dle"], "left_semi").withColumn("_day", F.explode(numbers("_in")))
+        each = each.withColumns({"_young": on("_young", F.col("_day")), "_run_young": on("_run_young", F.col("_day"))})
+        line = F.struct("medium", "dle", "_day")
+        based = base_of(each.select(line.alias("dle"), "run", "level", "base_run"))
+        lost = stranded(based).filter("stranded").select("dle.*", "run", F.lit(True).alias("_lost"))
+        each = each.join(lost, ["medium", "dle", "_day", "run"], "left").withColumn("_lost", F.coalesce("_lost", F.lit(False)))
+        pinned = _pinned(each, ["medium", "_day"]).withColumn("_keep", F.coalesce(F.col("kind") != "CONDEMNED", F.lit(False)))
+        kept = pinned.groupBy("medium", "dle", "run").agg(F.sort_array(F.collect_list(F.when(F.col("_keep"), F.col("_day")))).alias("kept"))
+        out = out.unionByName(held.join(kept, ["medium", "dle", "run"]).select(*held.columns, "kept"))
+    return out
+
+
+def _numbered(days: DataFrame) -> DataFrame:
+    """(k, day) of the sampled days."""
+    return days.agg(F.array_sort(F.collect_set("day")).alias("d")).select(F.posexplode("d").alias("k", "day"))
+
+
+def protected_history(held: DataFrame, days: DataFrame) -> DataFrame:
+    """(day, medium, protected, copies): bytes that each sampled day's floor kept."""
+    rows = kept_days(held, days).select("medium", "compressed", F.explode("kept").alias("k"))
+    sums = rows.groupBy("k", "medium").agg(F.sum("compressed").alias("protected"), F.count("*").alias("copies"))
+    return sums.join(F.broadcast(_numbered(days)), "k").select("day", "medium", "protected", "copies")
+
+
+def volumes_in_use_history(held: DataFrame, days: DataFrame, part_file: DataFrame, volume: DataFrame) -> DataFrame:
+    """(day, volumes): labelled volumes, written by then, that held a kept run on each sampled day. volume has label and written_at."""
+    kept = kept_days(held, days).select("medium", "run", F.explode("kept").alias("k")).distinct()
+    labels = part_file.filter(F.col("label") != "").select("medium", "run", "label").distinct().join(volume.select("label", "written_at"), "label")
+    rows = kept.join(labels, ["medium", "run"]).join(F.broadcast(_numbered(days)), "k").filter(F.col("written_at").isNull() | (F.col("written_at") <= F.col("day")))
+    return rows.groupBy("day").agg(F.countDistinct("label").alias("volumes"))

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
+from fleetlens.plans.lineage import cut
 
 KEY = ["run", "dle", "level"]
 
@@ -21,12 +22,16 @@ def run_summary(archive: DataFrame) -> DataFrame:
     return out.withColumn("date", C.run_date("run"))
 
 
-def dle_summary(archive: DataFrame, placement: DataFrame) -> DataFrame:
-    """(dle, runs, bytes, last_level, last_full, last_at, media) of each source."""
+def dle_summary(archive: DataFrame, placement: DataFrame, resolved: DataFrame | None = None) -> DataFrame:
+    """(dle, display, runs, bytes, last_level, last_full, last_at, media, rest) of each source; rest marks the remainder of a partitioned source by the latest resolved set (dle, rest)."""
     key = C.run_key("run")
-    own = archive.groupBy("dle").agg(F.count("*").alias("runs"), F.sum("compressed").alias("bytes"), F.max_by("level", key).alias("last_level"), F.max(F.when(F.col("level") == 0, C.run_date("run"))).alias("last_full"), F.max("created_at").alias("last_at"))
+    own = archive.groupBy("dle").agg(F.count("*").alias("runs"), F.sum("compressed").alias("bytes"), F.max_by("level", key).alias("last_level"), F.max(F.when(F.col("level") == 0, C.run_date("run"))).alias("last_full"), F.max("created_at").alias("last_at"), F.max_by(C.dle_display("host", "path", "dle"), key).alias("display"))
     media = placement.groupBy("dle").agg(F.array_join(F.sort_array(F.collect_set("medium")), ",").alias("media"))
-    return own.join(media, "dle", "left").fillna("", ["media"])
+    out = own.join(media, "dle", "left").fillna("", ["media"])
+    if resolved is None:
+        return out.withColumn("rest", F.lit(False))
+    marks = resolved.groupBy("dle").agg(F.max("rest").alias("rest"))
+    return out.join(marks, "dle", "left").withColumn("rest", F.coalesce("rest", F.lit(False)))
 
 
 def medium_totals(archive: DataFrame, placement: DataFrame) -> DataFrame:
@@ -36,11 +41,15 @@ def medium_totals(archive: DataFrame, placement: DataFrame) -> DataFrame:
 
 
 def comprate(archive: DataFrame) -> DataFrame:
-    """(dle, full_rate, incr_rate): compressed share of the latest full and the latest incremental in parts per million; each stands in for the other, 0 without either. Of equally new archives the first run counts."""
-    rate = F.expr("(compressed * 1000000) div uncompressed")
-    newest = lambda c: F.max_by(F.when(c & (F.col("uncompressed") > 0), rate), F.when(c & (F.col("uncompressed") > 0), F.struct(C.epoch("created_at").alias("a"), (-F.datediff(F.to_date(C.run_date("run")), F.lit("1970-01-01").cast("date"))).alias("r"))))
-    out = archive.groupBy("dle").agg(newest(F.col("level") == 0).alias("f"), newest(F.col("level") > 0).alias("i"))
-    return out.select("dle", F.coalesce("f", "i", F.lit(0)).cast("long").alias("full_rate"), F.coalesce("i", "f", F.lit(0)).cast("long").alias("incr_rate"))
+    """(dle, full_rate, incr_rate): compressed over original size of the latest full and the latest incremental that have both sizes; each stands in for the other, 0 without either. Of equally new archives the first run counts."""
+    usable = archive.filter((F.col("uncompressed") > 0) & (F.col("compressed") > 0))
+    rate = F.col("compressed") / F.col("uncompressed")
+    order = F.struct(F.col("created_at").alias("a"), (-F.datediff(F.to_date(C.run_date("run")), F.lit("1970-01-01").cast("date"))).alias("r"))
+    newest = lambda c: F.max_by(rate, F.when(c, order))
+    out = usable.groupBy("dle").agg(newest(F.col("level") == 0).alias("f"), newest(F.col("level") > 0).alias("i"))
+    rows = archive.select("dle").distinct().join(out, "dle", "left")
+    zero = F.lit(0.0)
+    return rows.select("dle", F.round(F.coalesce("f", "i", zero), 9).alias("full_rate"), F.round(F.coalesce("i", "f", zero), 9).alias("incr_rate"))
 
 
 def medium_stats(archive: DataFrame, placement: DataFrame) -> DataFrame:
@@ -105,7 +114,7 @@ def digest(run_log: DataFrame) -> DataFrame:
 
 
 def last_per_command(run_log: DataFrame) -> DataFrame:
-    return run_log.withColumn("status", C.run_status("outcome", "warnings")).groupBy("command").agg(F.max_by(F.struct("run_id", "status", "ended_at"), "ended_at").alias("r")).select("command", "r.*")
+    return run_log.withColumn("status", C.run_status("outcome", "warnings")).groupBy("command").agg(F.max_by(F.struct("run_id", "status", "started_at", "ended_at"), "ended_at").alias("r")).select("command", "r.*")
 
 
 def recovery_health(drill_health: DataFrame) -> DataFrame:
@@ -136,19 +145,34 @@ def drill_coverage(configured: DataFrame, ledger: DataFrame, window_days: int, n
     return rows.agg(F.count("*").alias("dles"), n(~never).alias("drilled"), n(never).alias("never"), n(failed).alias("failed"), n(never | failed | old).alias("overdue"))
 
 
+def drill_overdue(configured: DataFrame, ledger: DataFrame, window_days: int, now: Column) -> DataFrame:
+    """(dle): configured sources never drilled, failed, or drilled a window ago or more."""
+    rows = configured.select("dle").distinct().join(ledger, "dle", "left")
+    old = C.epoch(now) - C.epoch("last_drill") >= window_days * 86400
+    return rows.filter(F.col("last_drill").isNull() | F.coalesce(~F.col("ok"), F.lit(False)) | old).select("dle")
+
+
 def drill_select(configured: DataFrame, ledger: DataFrame, chain_links: DataFrame, window_days: int, now: Column, sample: int) -> DataFrame:
-    """The next sources to drill: never drilled first, then the oldest drill, the longest chain, the oldest full, the name. chain_links has dle, links, full_at. This is a top-n report."""
+    """The next sources to drill: never drilled first, then the oldest drill, the longest chain, the oldest full by its day, the name. chain_links has dle, links, full_at of chains that reach a full. This is a top-n report."""
     rows = configured.select("dle").distinct().join(chain_links, "dle").join(ledger.select("dle", "last_drill", "ok"), "dle", "left")
     recent = F.coalesce(F.col("ok") & (C.epoch(now) - C.epoch("last_drill") < window_days * 86400), F.lit(False))
-    order = [F.col("last_drill").isNotNull(), F.col("last_drill"), F.col("links").desc(), F.col("full_at"), F.col("dle")]
+    order = [F.col("last_drill").isNotNull(), F.col("last_drill"), F.col("links").desc(), C.run_date("full_at"), F.col("dle")]
     return rows.filter(~recent).orderBy(*order).limit(sample).select("dle", "last_drill", "links", "full_at")
 
 
-def sample_plan(chain: DataFrame, part_file: DataFrame, ledger: DataFrame) -> DataFrame:
-    """(dle, run, medium, part_no, parts): the part of each archive of a chain to test next: part number drills modulo parts."""
-    counted = part_file.groupBy("run", "dle", "medium").agg(F.count("*").alias("parts"))
-    rows = chain.select("dle", "run").distinct().join(counted, ["dle", "run"]).join(ledger.select("dle", "drills"), "dle", "left")
-    return rows.select("dle", "run", "medium", (F.coalesce("drills", F.lit(0)) % F.col("parts")).cast("int").alias("part_no"), "parts")
+def sample_plan(chain: DataFrame, part_file: DataFrame, ledger: DataFrame, drilled: DataFrame) -> DataFrame:
+    """(dle, run, medium, part_no, parts, size): the part of each archive of a chain to test next on the medium its source is drilled from (drilled: dle, medium): part number drills modulo parts, and its size.
+
+    A chain of which an archive has no copy there, or a part without a size, gives no row: it is to be checked whole.
+    """
+    links = chain.select("dle", "run").distinct()
+    rows = links.join(drilled.select("dle", "medium"), "dle").join(ledger.select("dle", "drills"), "dle", "left")
+    own = part_file.join(drilled.select("dle", "medium"), ["dle", "medium"], "left_semi")
+    counted = own.groupBy("run", "dle", "medium").agg(F.count("*").alias("parts"), F.min(F.col("size").isNotNull()).alias("_sealed"))
+    rows = rows.join(counted, ["dle", "run", "medium"], "left").withColumn("_good", F.coalesce("_sealed", F.lit(False)))
+    whole = rows.groupBy("dle").agg(F.min("_good").alias("_whole")).filter("_whole")
+    picked = rows.join(whole, "dle").select("dle", "run", "medium", (F.coalesce("drills", F.lit(0)) % F.col("parts")).cast("int").alias("part_no"), "parts")
+    return picked.join(own.select("run", "dle", "medium", "part_no", "size"), ["dle", "run", "medium", "part_no"]).select("dle", "run", "medium", "part_no", "parts", "size")
 
 
 def daily_load(archive: DataFrame) -> DataFrame:
@@ -187,12 +211,12 @@ def restore_cost(located: DataFrame, cost_rate: DataFrame) -> DataFrame:
     """(dle, point, medium, bytes, parts, price): reading each chain, priced at the rates of the medium its first archive is read from. located comes from chains.located."""
     totals = located.groupBy("dle", "point").agg(F.min_by("medium", F.when(F.col("medium").isNotNull(), C.run_key("run"))).alias("medium"), F.sum("bytes").alias("bytes"), F.sum("parts").alias("parts"))
     rated = totals.join(F.broadcast(cost_rate), "medium", "left")
-    return rated.select("dle", "point", "medium", "bytes", "parts", C.read_cost("bytes", "parts", "gib_egress", "per_1000").alias("price"))
+    return rated.select("dle", "point", "medium", "bytes", "parts", C.read_cost("bytes", "parts", "gib_month", "gib_egress", "per_1000").alias("price"))
 
 
 def storage_cost(totals: DataFrame, cost_rate: DataFrame) -> DataFrame:
     rated = totals.join(F.broadcast(cost_rate), "medium", "left")
-    return rated.select("medium", "bytes", C.monthly_cost("bytes", F.lit(0), "gib_month", "per_1000").alias("price"))
+    return rated.select("medium", "bytes", C.monthly_cost("bytes", "gib_month", "gib_egress", "per_1000").alias("price"))
 
 
 def read_order(refs: DataFrame) -> DataFrame:
@@ -207,8 +231,6 @@ def read_order(refs: DataFrame) -> DataFrame:
     order = [F.col("_eff"), F.col("level"), F.col("_own")]
     # Numbered by range: each range counts its rows, and only the counts are summed up in one task.
     dealt = keyed.repartitionByRange(*order).withColumn("_range", F.spark_partition_id())
-    from fleetlens.plans.lineage import cut
-
     dealt = cut(dealt)
     sizes = dealt.groupBy("_range").agg(F.count("*").alias("n"))
     before = sizes.select("_range", F.coalesce(F.sum("n").over(Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)).alias("_before"))
@@ -232,7 +254,8 @@ def cap_runs(archive: DataFrame, n: int) -> DataFrame:
 
 
 def expected_volume(volume: DataFrame, reusable: DataFrame, appendable: bool) -> DataFrame:
-    """(label): the volume to load next: the newest written if it takes more, else the oldest that may be written anew."""
-    if appendable:
-        return volume.orderBy(F.col("last_run").desc(), "label").limit(1).select("label")
-    return reusable.orderBy("last_run", "label").limit(1).select("label")
+    """(label, used, fresh): the volume to load next: the newest written with its fill if runs are appended, else the oldest that may be written anew; fresh, without a label, where there is none."""
+    pool = volume.select("label", "last_run", "used") if appendable else reusable.select("label", "last_run", F.lit(0).cast("long").alias("used"))
+    order = [F.col("last_run").desc() if appendable else F.col("last_run"), F.col("label")]
+    one = pool.orderBy(*order).limit(1).agg(F.max("label").alias("label"), F.coalesce(F.max("used"), F.lit(0)).alias("used"))
+    return one.select("label", "used", F.col("label").isNull().alias("fresh"))

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import attention, chains, placement, reads, summaries, trends, verify
-from fleetlens.plans.queries import EVOLUTION, RUN_LOG, configured, floor_of, floor_sql, query, run_log
+from fleetlens.operators import attention, chains, placement, reads, retention, summaries, trends, verify
+from fleetlens.plans.queries import EVOLUTION, RUN_LOG, configured, events_now, floor_of, floor_sql, now, query, run_log
 from fleetlens.plans.tables import Tables
 from fleetlens.sources import readers, sinks
 from fleetlens.streaming import live
@@ -35,7 +35,7 @@ def landing_stats(t: Tables) -> DataFrame:
     return summaries.landing_stats(t.write_interval.select("landing", "bytes", busy.alias("busy_seconds"), (busy * 2).alias("wall_seconds")))
 
 
-@query(f"with k as (select *, row_number() over (partition by command order by ts desc, id desc) as rk from {RUN_LOG}) select command, cast(id as string) as run_id, case when outcome = 'failure' then 'FAILED' when warns then 'WARNING' else 'OK' end as status, ts as ended_at from k where rk = 1")
+@query(f"with k as (select *, row_number() over (partition by command order by ts desc, id desc) as rk from {RUN_LOG}) select command, cast(id as string) as run_id, case when outcome = 'failure' then 'FAILED' when warns then 'WARNING' else 'OK' end as status, ts as started_at, ts as ended_at from k where rk = 1")
 def last_per_command(t: Tables) -> DataFrame:
     return summaries.last_per_command(run_log(t))
 
@@ -46,11 +46,16 @@ def recovery_health(t: Tables) -> DataFrame:
     return summaries.recovery_health(t.drill_ledger.select((d > 3).alias("drilled"), "ok", (d % 2 == 0).alias("was_ok"), (d < 6).alias("overdue")))
 
 
-@query("select label from volume order by last_run desc, label limit 1")
+@query("select label, used, false as fresh from volume order by last_run desc, label limit 1")
 def expected_volume(t: Tables) -> DataFrame:
     return summaries.expected_volume(t.volume, t.volume, True)
 
 
+@query(floor_sql() + ", kept as (select distinct medium, run from floor where kind is not null and kind <> 'CONDEMNED'), r as (select label, last_run from volume where label not in (select p.label from part_file p join kept k on k.medium = p.medium and k.run = p.run)), o as (select min(label) as label from r where last_run = (select min(last_run) from r)) select label, 0::bigint as used, label is null as fresh from o")
+def expected_volume_anew(t: Tables) -> DataFrame:
+    return summaries.expected_volume(t.volume, retention.reusable_volumes(floor_of(t), t.part_file, t.volume), False)
+
+
 @query("select run, dle, level, medium, arch_key, case when arch_key % 3 = 0 then parts + 100 else parts end as parts, bytes from placement")
 def merge_catalogs(t: Tables) -> DataFrame:
     newer = t.placement.filter("arch_key % 3 = 0").withColumn("parts", F.col("parts") + 100)
@@ -81,11 +86,14 @@ def force_full_after(t: Tables) -> DataFrame:
     return placement.force_full_after(flags, t.archive)
 
 
-@query("with s as (select distinct dle, host as origin, cast(substr(dle, 2) as int) as n from archive) select dle, origin, case when n % 3 = 0 then 'planned' when n % 3 = 1 then 'failed' else 'carried' end as via from s where n % 3 <> 2 or origin in (select origin from s where n % 3 = 1)")
+@query("""with s as (select distinct dle, host as origin, cast(substr(dle, 2) as int) as n from archive), p as (select dle, origin, 'planned' as via from s where n % 3 = 0),
+    f as (select concat('new-', dle) as dle, origin, 'failed' as via from s where n % 3 = 1 and n % 2 = 0 union all select dle, origin, 'failed' from s where n % 3 = 1 and n % 2 = 1),
+    c as (select dle, origin, 'carried' as via from s where origin in ('h3', 'h8') and dle not in (select dle from p) and dle not in (select dle from f)) select * from p union all select * from f union all select * from c""")
 def refresh_resolved(t: Tables) -> DataFrame:
-    known = t.archive.select("dle", F.col("host").alias("origin")).distinct()
-    third = F.substring("dle", 2, 20).cast("int") % 3
-    return placement.refresh_resolved(known.filter(third == 0), known.filter(third == 1), known)
+    known = t.archive.select("dle", F.col("host").alias("origin")).distinct().withColumn("n", F.substring("dle", 2, 20).cast("int"))
+    units = known.filter("n % 3 = 1").select(F.when(F.col("n") % 2 == 0, F.concat(F.lit("new-"), "dle")).otherwise(F.col("dle")).alias("dle"), "origin", F.lit("s").alias("source"))
+    whole = t.spark.createDataFrame([(None, "h3", None), (None, "h8", "")], "dle string, origin string, source string")
+    return placement.refresh_resolved(known.filter("n % 3 = 0").drop("n"), units.unionByName(whole), known.drop("n"))
 
 
 @query("with k as (select concat('B', pos % 50) as barcode, label, row_number() over (partition by pos % 50 order by pos desc, label) as rk from part_file where label <> '') select barcode, label from k where rk = 1")
@@ -170,10 +178,17 @@ def inventory(t: Tables) -> DataFrame:
     k as (select *, row_number() over (partition by command order by ts desc, id desc) as rk from {RUN_LOG})
     select 'source_last_backup_seconds' as metric, concat('dle=', dle) as labels, floor(epoch(l))::double as value from s union all select 'medium_used_bytes', concat('medium=', medium), b::double from m
     union all select 'medium_capacity_bytes', concat('medium=', medium), capacity::double from medium_dim where capacity > 0 union all select 'command_last_success', concat('command=', command), case when outcome = 'failure' then 0.0 else 1.0 end from k where rk = 1
-    union all select 'sources', '', count(*)::double from s"""
+    union all select 'command_last_end_seconds', concat('command=', command), floor(epoch(ts))::double from k where rk = 1 union all select 'command_last_duration_seconds', concat('command=', command), 0.0 from k where rk = 1
+    union all select 'sources', '', count(*)::double from customer union all select 'sources_stale', '', count(*)::double from (select c_custkey from customer left join archive on dle = concat('c', cast(c_custkey as string)) group by c_custkey having max(created_at) is null or epoch(timestamp '2001-08-02 00:00:00') - epoch(max(created_at)) >= 2592000) x
+    union all select 'drills_failing', '', count(*)::double from drill_ledger where not ok
+    union all select 'drills_overdue', '', count(*)::double from customer left join drill_ledger on dle = concat('c', cast(c_custkey as string)) where last_drill is null or not ok or floor(epoch(timestamp '2024-02-01 00:00:00')) - floor(epoch(last_drill)) >= 604800"""
 )
 def metrics(t: Tables) -> DataFrame:
-    return attention.metrics(summaries.dle_summary(t.archive, t.placement), summaries.medium_totals(t.archive, t.placement), t.medium_dim, summaries.last_per_command(run_log(t)))
+    drills = summaries.drill_coverage(configured(t), t.drill_ledger, 7, events_now())
+    stale = summaries.stale_dles(configured(t), t.archive, 30, now())
+    count = lambda name, df: df.agg(F.count("*").alias("value")).select(F.lit(name).alias("metric"), "value")
+    counts = count("sources", configured(t)).unionByName(count("sources_stale", stale)).unionByName(count("drills_failing", t.drill_ledger.filter("not ok"))).unionByName(drills.select(F.lit("drills_overdue").alias("metric"), F.col("overdue").alias("value")))
+    return attention.metrics(summaries.dle_summary(t.archive, t.placement), summaries.medium_totals(t.archive, t.placement), t.medium_dim, summaries.last_per_command(run_log(t)), counts)
 
 
 STATES = "(select landing as run, dle, seq, bytes as done, bytes * 2 as total, case seq % 4 when 0 then 'done' when 1 then 'dumping' when 2 then 'holding' else 'waiting' end as state, row_number() over (partition by landing, dle order by seq desc) as rk from progress_event) pe where rk = 1"

@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
 from fleetlens.operators import attention, chains, placement, reads, retention, summaries, trends
-from fleetlens.plans.lineage import cut
+from fleetlens.plans.lineage import cut, preceding
 from fleetlens.plans.tables import EVENTS_NOW, NOW, Tables, with_views
 from fleetlens.sources import sinks
 from fleetlens.streaming import live
@@ -89,11 +89,11 @@ def stranded(t: Tables) -> DataFrame:
     STRANDED
     + """, n as (select dle, max(i) as n from lost group by dle),
     c as (select dle, run, max(case when medium <> 'tape' then 1 else 0 end) as loose from placement group by dle, run)
-    select count(*) filter (where i = n) as latest_stranded, count(*) filter (where i < n) as superseded, count(*) filter (where loose = 0) as tape_only
+    select count(*) filter (where i = n) as latest_stranded, count(*) filter (where i < n and loose = 1) as superseded, count(*) filter (where i < n and coalesce(loose, 0) = 0) as debris
     from lost join n using (dle) left join c using (dle, run) where stranded"""
 )
 def restorability(t: Tables) -> DataFrame:
-    return chains.restorability(t.archive, chains.stranded(chains.base_of(t.archive)), t.placement)
+    return chains.restorability(chains.stranded(chains.base_of(t.archive)), t.placement, t.medium_dim)
 
 
 @query(f"select '{AS_OF}' as point, max(run) as run from archive where substr(run, 5, 10) <= '{AS_OF}'")
@@ -112,9 +112,16 @@ def as_of_by_dle(t: Tables) -> DataFrame:
     return chains.as_of_by_dle(t.archive, t.spark.createDataFrame([(AS_OF,)], "point string"))
 
 
-@query("with c as (select distinct dle, run from placement) select a.dle, a.run, a.level, 1 as links, case when level > 0 then 'base missing' when c.run is null then 'no copy' else 'complete' end as verdict from archive a left join c using (dle, run)")
+@query(
+    """with recursive c as (select distinct dle, run from placement where arch_key % 41 <> 0), n as (select a.dle, a.run, a.level, coalesce(a.base_run, '') as base_run, c.run is not null as copy from archive a left join c using (dle, run)),
+    w as (select dle, run, level, level as at_level, base_run as nx, [run] as seen, not copy as bare, false as looped from n
+          union all select w.dle, w.run, w.level, n.level, n.base_run, list_append(seen, n.run), bare or not n.copy, list_contains(list_append(seen, n.run), n.base_run) and n.level > 0
+          from w join n on n.dle = w.dle and n.run = w.nx where w.at_level > 0 and not list_contains(seen, w.nx)),
+    e as (select *, row_number() over (partition by dle, run order by len(seen) desc) as rk from w)
+    select dle, run, level, cast(len(seen) as int) as links, case when at_level > 0 and list_contains(seen, nx) then 'cycle' when bare then 'no copy' when at_level = 0 then 'complete' else 'base missing' end as verdict from e where rk = 1"""
+)
 def recovery_points(t: Tables) -> DataFrame:
-    return chains.recovery_points(t.archive, t.placement)
+    return chains.recovery_points(t.archive, t.placement.filter("arch_key % 41 <> 0"))
 
 
 @query(
@@ -159,7 +166,7 @@ def rates(t: Tables) -> DataFrame:
     + f""", {RATE_SQL}, best as (select *, row_number() over (partition by dle, run, level order by case when medium = 'disk' then 0 else 1 end, medium) as rk from placement),
     l as (select c.dle, c.run, b.medium, b.bytes, b.parts from chain c left join best b on b.dle = c.dle and b.run = c.run and b.level = c.level and rk = 1),
     s as (select dle, arg_min(medium, run) filter (where medium is not null) as medium, cast(sum(bytes) as bigint) as bytes, cast(sum(parts) as bigint) as parts from l group by dle)
-    select dle, '{AS_OF}' as point, medium, bytes, parts, case when gib_egress > 0 or per_1000 > 0 then round(bytes / 1073741824.0::double * gib_egress + parts / 1000.0::double * per_1000, 6) end as price
+    select dle, '{AS_OF}' as point, medium, bytes, parts, case when gib_month > 0 or gib_egress > 0 or per_1000 > 0 then round(bytes / 1073741824.0::double * gib_egress + parts / 1000.0::double * per_1000, 6) end as price
     from s left join rates using (medium)"""
 )
 def restore_cost(t: Tables) -> DataFrame:
@@ -174,11 +181,13 @@ def run_summary(t: Tables) -> DataFrame:
 
 @query(
     """with m as (select dle, string_agg(medium, ',' order by medium) as media from (select distinct dle, medium from placement) x group by dle)
-    select dle, count(*) as runs, cast(sum(compressed) as bigint) as bytes, arg_max(level, run) as last_level, max(case when level = 0 then substr(run, 5, 10) end) as last_full, max(created_at) as last_at, coalesce(max(media), '') as media
+    select dle, arg_max(concat(host, ':', path), run) as display, count(*) as runs, cast(sum(compressed) as bigint) as bytes, arg_max(level, run) as last_level, max(case when level = 0 then substr(run, 5, 10) end) as last_full, max(created_at) as last_at, coalesce(max(media), '') as media,
+        cast(substr(dle, 2) as int) % 9 = 0 as rest
     from archive left join m using (dle) group by dle"""
 )
 def dle_summary(t: Tables) -> DataFrame:
-    return summaries.dle_summary(t.archive, t.placement)
+    resolved = configured(t).select("dle", (F.substring("dle", 2, 20).cast("int") % 9 == 0).alias("rest"))
+    return summaries.dle_summary(t.archive, t.placement, resolved)
 
 
 @query("select p.medium, count(*) as archives, count(distinct p.run) as runs, cast(sum(a.compressed) as bigint) as bytes from placement p join archive a using (run, dle, level) group by p.medium")
@@ -187,9 +196,9 @@ def medium_totals(t: Tables) -> DataFrame:
 
 
 @query(
-    """with r as (select dle, level = 0 as f, arg_max(compressed * 1000000 // uncompressed, created_at) as rate from archive where uncompressed > 0 group by dle, level = 0),
+    """with r as (select dle, level = 0 as f, arg_max(compressed / uncompressed::double, created_at) as rate from archive where uncompressed > 0 and compressed > 0 group by dle, level = 0),
     x as (select dle, max(case when f then rate end) as f, max(case when not f then rate end) as i from r group by dle)
-    select dle, cast(coalesce(f, i, 0) as bigint) as full_rate, cast(coalesce(i, f, 0) as bigint) as incr_rate from x"""
+    select dle, round(coalesce(f, i, 0.0::double), 9) as full_rate, round(coalesce(i, f, 0.0::double), 9) as incr_rate from (select distinct dle from archive) a left join x using (dle)"""
 )
 def compression_rates(t: Tables) -> DataFrame:
     return summaries.comprate(t.archive)
@@ -306,18 +315,18 @@ def path_groups(t: Tables) -> DataFrame:
     return summaries.path_groups(t.archive).select("host", "dir", "dles", "bytes")
 
 
-@query(f"with {RATE_SQL}, m as (select p.medium, cast(sum(a.compressed) as bigint) as bytes from placement p join archive a using (run, dle, level) group by p.medium) select medium, bytes, case when gib_month > 0 or per_1000 > 0 then round(bytes / 1073741824.0::double * gib_month, 6) end as price from m left join rates using (medium)")
+@query(f"with {RATE_SQL}, m as (select p.medium, cast(sum(a.compressed) as bigint) as bytes from placement p join archive a using (run, dle, level) group by p.medium) select medium, bytes, case when gib_month > 0 or gib_egress > 0 or per_1000 > 0 then round(bytes / 1073741824.0::double * gib_month, 6) end as price from m left join rates using (medium)")
 def storage_cost(t: Tables) -> DataFrame:
     return summaries.storage_cost(summaries.medium_totals(t.archive, t.placement), rates(t))
 
 
 @query(
-    """with k as (select dle, run, level, label, pos, part_no, concat(lpad(label, 8, ' '), lpad(cast(pos as string), 20, '0')) as own from part_file where label <> '' and part_no = 0),
+    """with k as (select dle, run, level, label, pos, part_no, concat(lpad(label, 16, ' '), lpad(cast(pos as string), 20, '0')) as own from part_file where label <> '' and part_no = 0),
     e as (select a.*, greatest(a.own, coalesce((select max(b.own) from k b where b.dle = a.dle and b.level < a.level), a.own)) as eff from k a)
     select dle, run, level, label, pos, row_number() over (order by eff, level, own) as place from e"""
 )
 def read_order(t: Tables) -> DataFrame:
-    refs = t.part_file.filter("label <> '' and part_no = 0").select("dle", "run", "level", F.lpad("label", 8, " ").alias("label"), "pos")
+    refs = t.part_file.filter("label <> '' and part_no = 0").select("dle", "run", "level", F.lpad("label", 16, " ").alias("label"), "pos")
     return summaries.read_order(refs).withColumn("label", F.ltrim("label"))
 
 
@@ -356,6 +365,19 @@ def missing_volumes(t: Tables) -> DataFrame:
     return placement.missing_volumes(t.part_file, t.volume)
 
 
+@query("""select dle, 'h' as point, max(run) as run, arg_max(level, run) as level from archive where created_at <= timestamp '1998-03-04 05:59:59' group by dle""")
+def as_of_hour_by_dle(t: Tables) -> DataFrame:
+    points = t.spark.createDataFrame([("h", "1998-03-04 05:59:59")], "point string, b string").select("point", F.col("b").cast("timestamp_ntz").alias("bound"))
+    return chains.as_of_by_dle(t.archive, points)
+
+
+@query(CHAIN.replace("substr(run, 5, 10) <= '" + AS_OF + "'", "run <= 'run-1999-01-10.000000'") + " select dle, 'r' as point, string_agg(run, ',' order by run) as runs, count(*) as links, cast(sum(compressed) as bigint) as bytes, min(level) > 0 as broken from chain group by dle")
+def chains_of_run(t: Tables) -> DataFrame:
+    """What a restore of every source as of one run replays; most sources skipped that run."""
+    goal = configured(t).select("dle", F.lit("r").alias("point"), F.lit("run-1999-01-10.000000").alias("run"))
+    return chains.chain_summary(chains.chains(cut(chains.base_of(t.archive)), goal), t.archive)
+
+
 CLASSES = f"""
     lf as (select dle, max(run) as last_full from archive where level = 0 group by dle),
     b as (select a.run, a.dle, a.level, a.created_at, a.compressed, lf.last_full from archive a left join lf using (dle)),
@@ -424,6 +446,25 @@ def sync_backlog(t: Tables) -> DataFrame:
     return placement.sync_backlog(t.archive, t.placement, classes_of(t), "cloud", "disk")
 
 
+@query(
+    BACKLOG
+    + """, d as (select w.run, count(*) as archives, cast(sum(m.compressed) as bigint) as bytes from miss m join w using (run) join held h on h.run = m.run and h.dle = m.dle and h.level = m.level and h.medium = 'tape' group by w.run)
+    select run, 'tape' as source, archives, bytes from d"""
+)
+def sync_backlog_from_tape(t: Tables) -> DataFrame:
+    return placement.sync_backlog(t.archive, t.placement, classes_of(t), "cloud", "disk", source="tape")
+
+
+@query(
+    BACKLOG.replace("c.medium = 'cloud'", "c.medium = 'tape'").replace("h.medium = 'cloud'", "h.medium = 'tape'")
+    + """, s as (select cast(sum(a.compressed) as bigint) as bytes from placement p join archive a using (run, dle, level) where p.medium = 'tape')
+    select 'tape' as medium, cast(s.bytes + (select coalesce(sum(bytes), 0) from w) as bigint) as projected, capacity, capacity > 0 and s.bytes + (select coalesce(sum(bytes), 0) from w) > capacity as over from s, medium_dim where medium = 'tape'"""
+)
+def sync_capacity(t: Tables) -> DataFrame:
+    backlog = placement.sync_backlog(t.archive, t.placement, classes_of(t), "tape", "disk")
+    return placement.sync_capacity(backlog, summaries.medium_totals(t.archive, t.placement), t.medium_dim, "tape")
+
+
 @query(BACKLOG + " select count(*) as runs, cast(coalesce(sum(bytes), 0) as bigint) as bytes from w")
 def sync_lag(t: Tables) -> DataFrame:
     return placement.sync_lag(placement.sync_backlog(t.archive, t.placement, classes_of(t), "cloud", "disk"))
@@ -450,21 +491,35 @@ def members_diff(t: Tables) -> DataFrame:
     return placement.members_diff(m, listed)
 
 
-def floor_sql(day: str = T, days: str = "") -> str:
-    """The floor as SQL at one instant, or at each `day` of a list of `days`."""
-    d = "day, " if days else ""
-    return (
-        STRANDED
-        + f"""{days}, h as (select {d}p.medium, a.run, a.dle, a.level, a.base_run, a.compressed, m.capacity, m.labeled, coalesce(m.min_age_days > 0 and floor(epoch({day})) - floor(epoch(a.created_at)) < m.min_age_days * 86400, false) as y, l.stranded
-           from (select distinct medium, run, dle, level from placement) p join archive a using (run, dle, level) join medium_dim m using (medium) join lost l on l.dle = a.dle and l.run = a.run{" join days on a.created_at <= day" if days else ""}),
-    h2 as (select *, max(y) over (partition by {d}medium, run) as ry, row_number() over (partition by {d}medium, dle order by run) as k, count(*) over (partition by {d}medium, dle) as n, sum(case when level = 0 then 1 else 0 end) over (partition by {d}medium, dle order by run) as seg from h),
+PINS = """h2 as (select *, max(y) over (partition by {d}medium, run) as ry, row_number() over (partition by {d}medium, dle order by run) as k, count(*) over (partition by {d}medium, dle) as n, sum(case when level = 0 then 1 else 0 end) over (partition by {d}medium, dle order by run) as seg from h),
     h3 as (select *, max(case when level = 0 then k end) over (partition by {d}medium, dle) as fi, max(case when not stranded and (ry or k = n) then k end) over (partition by {d}medium, dle, seg) as upto from h2),
     floor as (select {d}medium, run, dle, level, compressed, capacity, labeled, case when stranded and not y then 'CONDEMNED' when y then 'AGE' when level = 0 and k = fi then 'LAST_FULL' when seg > 0 and upto >= k then 'CHAIN' end as kind from h3)"""
+
+
+def floor_sql() -> str:
+    """The floor now, with broken chains judged over the whole catalog."""
+    return (
+        STRANDED
+        + f""", h as (select p.medium, a.run, a.dle, a.level, a.base_run, a.compressed, m.capacity, m.labeled, coalesce(m.min_age_days > 0 and floor(epoch({T})) - floor(epoch(a.created_at)) < m.min_age_days * 86400, false) as y, l.stranded
+           from (select distinct medium, run, dle, level from placement) p join archive a using (run, dle, level) join medium_dim m using (medium) join lost l on l.dle = a.dle and l.run = a.run),
+    {PINS.format(d="")}"""
     )
 
 
+def floor_by_day_sql(days: str) -> str:
+    """The floor of each medium on each of `days`, with broken chains judged by what the medium held then."""
+    return f"""with recursive {days},
+    hh as (select day, p.medium, a.run, a.dle, a.level, a.base_run, a.compressed, m.capacity, m.labeled, coalesce(m.min_age_days > 0 and floor(epoch(day)) - floor(epoch(a.created_at)) < m.min_age_days * 86400, false) as y
+        from (select distinct medium, run, dle, level from placement) p join archive a using (run, dle, level) join medium_dim m using (medium) join days on a.created_at <= day),
+    bb as (select a.day, a.medium, a.dle, a.run, a.level, max(b.run) as base from hh a left join hh b on b.day = a.day and b.medium = a.medium and b.dle = a.dle and b.run < a.run and a.level > 0
+        and (b.run = a.base_run or (coalesce(a.base_run, '') = '' and b.level = a.level - 1)) group by a.day, a.medium, a.dle, a.run, a.level),
+    ok as (select day, medium, dle, run from bb where level = 0 union all select b.day, b.medium, b.dle, b.run from ok join bb b on b.day = ok.day and b.medium = ok.medium and b.dle = ok.dle and b.base = ok.run),
+    h as (select hh.*, ok.run is null as stranded from hh left join ok using (day, medium, dle, run)),
+    {PINS.format(d="day, ")}"""
+
+
 FLOOR = floor_sql()
-DAYS = f", days as (select {T} - interval 1 day * i as day from range(0, 60, 3) r(i))"
+DAYS = f"days as (select {T} - interval 1 day * i as day from range(2, 60, 3) r(i))"
 
 
 def floor_of(t: Tables) -> DataFrame:
@@ -489,13 +544,14 @@ def reusable_volumes(t: Tables) -> DataFrame:
 
 @query(
     FLOOR
-    + """, u as (select medium, sum(compressed) as stored, sum(case when kind is not null and kind <> 'CONDEMNED' then compressed else 0 end) as protected, sum(case when kind = 'AGE' then compressed else 0 end) as by_age from floor group by medium),
-    s as (select m.medium, m.capacity, cast(coalesce(stored, 0) as bigint) as stored, cast(coalesce(protected, 0) as bigint) as protected, cast(coalesce(by_age, 0) as bigint) as by_age from medium_dim m left join u using (medium))
-    select medium, capacity, stored, protected, stored - protected as residual, capacity > 0 and stored > capacity as over, case when capacity > 0 then stored * 100 // capacity else 0 end as percent,
-    case when capacity > 0 then capacity - protected else -1 end as room, capacity > 0 and protected > capacity as infeasible, capacity > 0 and protected > capacity and protected - by_age <= capacity as age_bound from s"""
+    + """, u as (select medium, sum(compressed) as stored, sum(case when kind is not null and kind <> 'CONDEMNED' then compressed else 0 end) as protected,
+        sum(case when labeled or (kind is not null and kind <> 'CONDEMNED') then compressed else 0 end) as residual, count(*) filter (where kind in ('LAST_FULL', 'CHAIN')) as chained from floor group by medium),
+    s as (select m.medium, m.capacity, cast(coalesce(stored, 0) as bigint) as stored, cast(coalesce(protected, 0) as bigint) as protected, cast(coalesce(residual, 0) as bigint) as residual, coalesce(chained, 0) as chained from medium_dim m left join u using (medium))
+    select medium, capacity, stored, protected, residual, capacity > 0 and stored > capacity as over, case when capacity > 0 then stored * 100 // capacity else 0 end as percent,
+    case when capacity > 0 then capacity - protected else -1 end as room, capacity > 0 and residual > capacity as infeasible, capacity > 0 and residual > capacity and chained = 0 as age_bound from s"""
 )
 def capacity_status(t: Tables) -> DataFrame:
-    return retention.capacity_status(floor_of(t), t.placement, t.medium_dim)
+    return retention.capacity_status(floor_of(t), t.medium_dim)
 
 
 @query()
@@ -511,26 +567,28 @@ def room_checks(t: Tables) -> DataFrame:
 
 
 def sampled_days(t: Tables) -> DataFrame:
-    """Every third day of the sixty before NOW."""
-    return t.spark.range(0, 60, 3).select((C.instant(NOW) - F.make_dt_interval(days=F.col("id").cast("int"))).alias("day"))
+    """Every third day of the sixty up to NOW, the last of them two days before it."""
+    return t.spark.range(2, 60, 3).select((C.instant(NOW) - F.make_dt_interval(days=F.col("id").cast("int"))).alias("day"))
 
 
-@query(floor_sql("day", DAYS) + " select day, medium, cast(sum(compressed) as bigint) as protected, count(*) as copies from floor where kind is not null and kind <> 'CONDEMNED' group by day, medium")
+@query(floor_by_day_sql(DAYS) + " select day, medium, cast(sum(compressed) as bigint) as protected, count(*) as copies from floor where kind is not null and kind <> 'CONDEMNED' group by day, medium")
 def protected_history(t: Tables) -> DataFrame:
-    held = retention.held_archives(t.archive, t.placement, t.medium_dim)
-    return retention.protected_history(held, chains.stranded(chains.base_of(t.archive)), sampled_days(t))
+    return retention.protected_history(retention.held_archives(t.archive, t.placement, t.medium_dim), sampled_days(t))
 
 
-@query(floor_sql("day", DAYS) + " select day, count(distinct label) as volumes from (select distinct day, medium, run from floor where kind is not null and kind <> 'CONDEMNED') f join part_file p using (medium, run) where label <> '' group by day")
+@query(
+    floor_by_day_sql(DAYS)
+    + " select day, count(distinct label) as volumes from (select distinct day, medium, run from floor where kind is not null and kind <> 'CONDEMNED') f join part_file p using (medium, run) join volume v using (label) where v.written_at <= day group by day"
+)
 def volumes_in_use_history(t: Tables) -> DataFrame:
-    held = retention.held_archives(t.archive, t.placement, t.medium_dim)
-    return retention.volumes_in_use_history(held, chains.stranded(chains.base_of(t.archive)), sampled_days(t), t.part_file)
+    return retention.volumes_in_use_history(retention.held_archives(t.archive, t.placement, t.medium_dim), sampled_days(t), t.part_file, t.volume)
 
 
 EVOLUTION = """with e as (select *, floor(epoch(ended_at))::bigint as t, max(floor(epoch(ended_at))::bigint) over (partition by dle) as last from dump_stat),
     w as (select * from e where t >= last - 180 * 86400),
     f as (select dle, count(*) as fulls, arg_min(out, run_id) as ao, arg_max(out, run_id) as zo, arg_min(orig, run_id) as ar, arg_max(orig, run_id) as zr, arg_max(t, run_id) - arg_min(t, run_id) as span from w where level = 0 group by dle),
     m as (select dle, list_sort(list(out)) as s from w where level > 0 group by dle),
+    delta as (select dle, case when ao > 0 then round((zo - ao) * 100.0::double / ao, 4) end as percent from f where fulls >= 2),
     evo as (select dle, fulls, ao as first_out, zo as last_out, span, cast(trunc((zo - ao) * 86400.0::double / span) as bigint) as per_day, cast(trunc((zr - ar) * 86400.0::double / span) as bigint) as per_day_orig,
         case when ao > 0 then round((zo - ao) * 100.0::double / ao, 4) end as percent, s[len(s) // 2 + 1] as median_incr from f left join m using (dle) where fulls >= 2 and span >= 86400)"""
 
@@ -540,7 +598,7 @@ def evolution(t: Tables) -> DataFrame:
     return trends.evolution(t.dump_stat)
 
 
-@query(EVOLUTION + " select dle, percent, percent >= 20 as warns from evo")
+@query(EVOLUTION + " select dle, percent, percent >= 20 as warns from delta")
 def trend_delta(t: Tables) -> DataFrame:
     return trends.trend_delta(t.dump_stat)
 
@@ -555,29 +613,45 @@ def usage_growth(t: Tables) -> DataFrame:
     return trends.usage_growth(t.usage_sample, capacity)
 
 
-PRIORS = """with r as (select *, row_number() over (partition by dle, level order by ended_at desc, run_id desc) as rk from {src}),
-    p as (select dle, level, max(case when rk = 1 then {v} end) as v, max(case when rk = 1 then run_id end) as run_id, max(case when rk = 1 then orig end) as orig, max(case when rk = 1 then seconds end) as seconds, list_sort(list({v}) filter (where rk between 2 and 6)) as s from r where rk <= 6 group by dle, level),
-    q as (select *, (s[(len(s) + 1) // 2] + s[len(s) // 2 + 1]) // 2 as median from p where len(s) >= 2)"""
+#: Dumps with the newest run's sizes and times made odd for every second archive.
+ODD = "(select d.* replace (case when newest and (cast(substr(dle, 2) as int)) % 2 = 0 then orig * 8 else orig end as orig, case when newest and (cast(substr(dle, 2) as int)) % 3 = 0 then seconds * 400 else seconds end as seconds) from (select *, run_id = (select max(run_id) from dump_stat) as newest from dump_stat) d) dd"
+PRIORS = """with dd as (select *, {v} as v from {src}), l as (select max(run_id) as top from dd),
+    r as (select *, row_number() over (partition by dle, level order by ended_at desc, run_id desc) as rk from dd where v is not null and run_id <> (select top from l)),
+    b as (select dle, level, list_sort(list(v)) as s from r where rk <= 5 group by dle, level),
+    q as (select n.dle, n.level, n.run_id, n.v, n.orig, n.seconds, b.s, (s[(len(s) + 1) // 2] + s[len(s) // 2 + 1]) // 2 as median from dd n join b using (dle, level) where n.run_id = (select top from l) and n.v is not null and len(s) >= 2)"""
 
 
-@query(
-    PRIORS.format(src="(select * replace (out * 100 as out) from dump_stat) d", v="out")
+def odd_dumps(t: Tables) -> DataFrame:
+    newest = t.dump_stat.agg(F.max("run_id").alias("top"))
+    n = F.substring("dle", 2, 20).cast("int")
+    new = F.col("run_id") == F.col("top")
+    rows = t.dump_stat.join(F.broadcast(newest), F.lit(True))
+    return rows.withColumn("orig", F.when(new & (n % 2 == 0), F.col("orig") * 8).otherwise(F.col("orig"))).withColumn("seconds", F.when(new & (n % 3 == 0), F.col("seconds") * 400).otherwise(F.col("seconds"))).drop("top")
+
+
+SIZES = (
+    PRIORS.format(src=ODD, v="orig")
     + """, d as (select *, list_sort(list_transform(s, lambda x: abs(x - median))) as ds from q), z as (select *, (ds[(len(ds) + 1) // 2] + ds[len(ds) // 2 + 1]) // 2 as mad from d)
-    select dle, level, run_id, v as out, median, mad, case when v > 2 * median then 'grown' else 'shrunk' end as kind from z where abs(v - median) > 67108864 and abs(v - median) > 3 * mad and (v > 2 * median or (v * 2 < median and level = 0))"""
+    select dle, level, run_id, v as orig, median, mad, case when v > median then 'grown' else 'shrunk' end as kind from z where median > 0 and abs(v - median) > 67108864 and abs(v - median) > 3 * mad and (v > 2 * median or (v * 2 < median and level = 0))"""
 )
+SLOW = PRIORS.format(src=ODD, v="case when orig > 0 and seconds > 0 then cast(floor(orig / seconds::double) as bigint) end") + " select dle, level, run_id, v as rate, median from q where median > 0 and v * 2 < median and seconds::double - orig / median::double > 300"
+
+
+@query(SIZES)
 def size_anomalies(t: Tables) -> DataFrame:
-    return trends.size_anomalies(t.dump_stat.withColumn("out", F.col("out") * 100))
+    return trends.size_anomalies(odd_dumps(t))
 
 
-@query(PRIORS.format(src="(select * from dump_stat where seconds > 0) d", v="orig // seconds") + " select dle, level, run_id, v as rate, median from q where median > 0 and v * 2 < median and seconds - orig // greatest(median, 1) > 300")
+@query(SLOW)
 def slow_dumps(t: Tables) -> DataFrame:
-    return trends.slow_dumps(t.dump_stat)
+    return trends.slow_dumps(odd_dumps(t))
 
 
 @query(
     """with e as (select *, floor(epoch(ended_at))::bigint as t, max(floor(epoch(ended_at))::bigint) over (partition by dle) as last from (select * replace (out * 100 as out) from dump_stat) d), w as (select * from e where level > 0 and t >= last - 1800 * 86400),
-    m as (select dle, list_sort(list(out)) as s from w group by dle having count(*) >= 3), q as (select dle, s, s[len(s) // 2 + 1] as median from m), z as (select dle, median, list_sort(list_transform(s, lambda x: abs(x - median)))[len(s) // 2 + 1] as mad from q)
-    select w.dle, run_id, out, median, mad from w join z using (dle) where out > 2 * median and out - median > 67108864 and out - median > 3 * mad"""
+    m as (select dle, list_sort(list(out)) as s from w group by dle having count(*) >= 2), q as (select dle, s, s[len(s) // 2 + 1] as median from m), d as (select dle, median, list_sort(list_transform(s, lambda x: abs(x - median))) as ds from q),
+    z as (select dle, median, (ds[(len(ds) + 1) // 2] + ds[len(ds) // 2 + 1]) // 2 as mad from d)
+    select w.dle, run_id, out, median, mad from w join z using (dle) where median > 0 and out > 2 * median and out - median > 67108864 and out - median > 3 * mad"""
 )
 def incr_spikes(t: Tables) -> DataFrame:
     return trends.incr_spikes(t.dump_stat.withColumn("out", F.col("out") * 100), 1800)
@@ -588,8 +662,9 @@ def groups(t: Tables) -> DataFrame:
 
 
 @query(
-    """with f as (select d.dle, d.ended_at, d.run_id, a.host as g, d.orig - coalesce(lag(d.orig) over (partition by d.dle order by d.ended_at, d.run_id), 0) as x from dump_stat d join (select distinct dle, host from archive) a using (dle) where level = 0),
-    s as (select g, ended_at as "at", sum(x) as x from f group by g, ended_at) select g as "group", "at", cast(sum(x) over (partition by g order by "at") as bigint) as total from s"""
+    """with f as (select d.dle, d.ended_at, d.run_id, a.host as g, d.out - coalesce(lag(d.out) over (partition by d.dle order by d.ended_at, d.run_id), 0) as x from dump_stat d join (select distinct dle, host from archive) a using (dle) where level = 0),
+    s as (select g, ended_at as "at", sum(x) as x from f group by g, ended_at), k as (select g as "group", "at", cast(sum(x) over (partition by g order by "at") as bigint) as total, max("at") over (partition by g) as last from s)
+    select "group", "at", total from k where floor(epoch("at")) >= floor(epoch(last)) - 180 * 86400"""
 )
 def group_curve(t: Tables) -> DataFrame:
     return trends.group_curve(t.dump_stat, groups(t))
@@ -604,11 +679,21 @@ def chain_sizes(t: Tables) -> DataFrame:
     return trends.chain_sizes(t.archive)
 
 
-@query(SEGMENTS + ", m as (select * from (values (1, 0), (2, 1), (4, 2), (8, 4)) as v(chains, b)) select chains, cast(sum(case when nth <= chains then bytes else 0 end) as bigint) as bytes from n, m where b < (select max(nth) from n) group by chains")
+@query(SEGMENTS + ", m as (select * from (values (1), (2), (4), (8)) as v(chains)) select chains, cast(sum(case when nth <= chains then bytes else 0 end) as bigint) as bytes from n, m where chains <= (select max(nth) from n) group by chains")
 def restore_depth(t: Tables) -> DataFrame:
     return trends.restore_depth(t.archive)
 
 
+@query(
+    SEGMENTS
+    + """, m as (select * from (values (1), (2), (4), (8)) as v(chains)), d as (select chains, cast(sum(case when nth <= chains then bytes else 0 end) as bigint) as bytes from n, m where chains <= (select max(nth) from n) group by chains),
+    st as (select *, lead(chains) over (order by chains) as nx, lead(bytes) over (order by chains) as nb from d), f as (select medium, arg_max(chains + case when nb > bytes then (capacity - bytes)::double / (nb - bytes)::double * (nx - chains) else 0.0::double end, chains) as cycles from medium_dim left join st on bytes <= capacity where capacity > 0 group by medium)
+    select medium, round(coalesce(cycles, 0.0::double), 6) as cycles from f"""
+)
+def capacity_depth(t: Tables) -> DataFrame:
+    return trends.capacity_depth(trends.restore_depth(t.archive), t.medium_dim.select("medium", "capacity"))
+
+
 STATE = f"""r as (select *, row_number() over (partition by dle order by run) as i, coalesce(lag(level) over (partition by dle order by run) <> level, true) as ch from archive),
     state as (select dle, case when max(case when level = 0 then i end) is null then -1 else (floor(epoch({T}))::bigint - floor(epoch(arg_max(created_at, i) filter (where level = 0)))::bigint) // 86400 end as days_since_full,
         arg_max(level, i) as last_level, max(i) - max(case when ch then i end) + 1 as at_level, max(i) - coalesce(max(case when level = 0 then i end), 0) as incrs_since_full, max(run) as last_run from r group by dle)"""
@@ -621,7 +706,7 @@ def dle_state(t: Tables) -> DataFrame:
 
 ESTIMATE = f"""l as (select dle, arg_max(orig, run_id) filter (where level = 0) as fo, arg_max(floor(epoch(ended_at))::bigint, run_id) filter (where level = 0) as ft, max(run_id) filter (where level = 0) as fr, greatest(arg_max(level, run_id), 1) as lv from dump_stat group by dle),
     m2 as (select d.dle, list_sort(list(orig) filter (where level = lv)) as s, list_sort(list(orig) filter (where level = lv + 1)) as n from dump_stat d join l using (dle) where level > 0 and run_id > fr group by d.dle),
-    est as (select dle, case when fo is null then 0 else greatest(0, fo + coalesce(cast(trunc(per_day_orig * ((floor(epoch({T})) - ft) / 86400.0::double)) as bigint), 0)) end as full_est,
+    est as (select dle, case when fo is null then 0 else greatest(0, fo + coalesce(cast(trunc(per_day_orig * greatest(0.0::double, (floor(epoch({T})) - ft) / 86400.0::double)) as bigint), 0)) end as full_est,
         coalesce(s[len(s) // 2 + 1], 0) as same_est, coalesce(n[len(n) // 2 + 1], 0) as next_est from l left join evo using (dle) left join m2 using (dle))"""
 
 
@@ -740,54 +825,73 @@ def part_segments(t: Tables) -> DataFrame:
 
 
 @query(CHAIN
-    + f""", k as (select dle, count(*) as links, min(run) as full_at from chain group by dle)
+    + f""", k as (select dle, count(*) as links, min(run) as full_at from chain group by dle having min(level) = 0)
     select c.dle, l.last_drill, k.links, k.full_at from (select concat('c', cast(c_custkey as string)) as dle from customer) c join k using (dle) left join (select dle as d, last_drill, ok from drill_ledger) l on l.d = c.dle
-    where not coalesce(ok and floor(epoch({ET})) - floor(epoch(last_drill)) < 604800, false) order by last_drill is not null, last_drill, links desc, full_at, c.dle limit 25""")
+    where not coalesce(ok and floor(epoch({ET})) - floor(epoch(last_drill)) < 604800, false) order by last_drill is not null, last_drill, links desc, substr(full_at, 5, 10), c.dle limit 25""")
 def drill_select(t: Tables) -> DataFrame:
     _, chain = chain_rows(t)
-    links = cut(chain.groupBy("dle").agg(F.count("*").alias("links"), F.min("run").alias("full_at")))
+    links = cut(chain.filter("not broken").groupBy("dle").agg(F.count("*").alias("links"), F.min("run").alias("full_at")))
     return summaries.drill_select(configured(t), t.drill_ledger, links, 7, events_now(), 25)
 
 
 @query(
     CHAIN
-    + """, k as (select run, dle, medium, count(*) as parts from part_file group by run, dle, medium)
-    select c.dle, c.run, k.medium, cast(coalesce(l.drills, 0) % k.parts as int) as part_no, k.parts from chain c join k on k.dle = c.dle and k.run = c.run left join drill_ledger l on l.dle = c.dle"""
+    + """, dm as (select dle, arg_min(medium, ord) as medium from route group by dle), ps as (select * replace (case when arch_key % 23 = 0 and part_no = 0 then null else size end as size) from part_file),
+    k as (select run, dle, medium, count(*) as parts, min(case when size is null then 0 else 1 end) as sealed from ps group by run, dle, medium),
+    x as (select c.dle, c.run, dm.medium, k.parts, coalesce(sealed, 0) as good from chain c join dm using (dle) left join k on k.dle = c.dle and k.run = c.run and k.medium = dm.medium),
+    y as (select x.* from x where dle in (select dle from x group by dle having min(good) = 1))
+    select y.dle, y.run, y.medium, cast(coalesce(l.drills, 0) % y.parts as int) as part_no, y.parts, p.size from y left join drill_ledger l on l.dle = y.dle join ps p on p.run = y.run and p.dle = y.dle and p.medium = y.medium and p.part_no = coalesce(l.drills, 0) % y.parts"""
 )
 def sample_plan(t: Tables) -> DataFrame:
-    return summaries.sample_plan(chain_rows(t)[1], t.part_file, t.drill_ledger)
+    drilled = t.route.groupBy("dle").agg(F.min_by("medium", "ord").alias("medium"))
+    parts = t.part_file.withColumn("size", F.when((F.col("arch_key") % 23 != 0) | (F.col("part_no") != 0), F.col("size")))
+    return summaries.sample_plan(chain_rows(t)[1], parts, t.drill_ledger, drilled)
 
 
-@query("select class, count(*) as n, bool_or(class <> '') as is_failure from drill_ledger group by class")
+@query("select class, count(*) as n, class in ('integrity', 'pipeline', 'chain', 'missing') as is_failure from drill_ledger group by class")
 def drill_classes(t: Tables) -> DataFrame:
     rows = attention.classified(t.drill_ledger, attention.drill_classes(t.spark))
     return rows.groupBy("class").agg(F.count("*").alias("n"), F.max("is_failure").alias("is_failure"))
 
 
-@query(FLOOR
+POSTURE = (FLOOR
     + """, n as (select a.run, a.dle, count(distinct p.medium) as n from archive a left join placement p using (run, dle, level) group by a.run, a.dle),
     o as (select medium, sum(compressed) as s, max(capacity) as c from floor group by medium)
     select 'copies' as rule, min(n) as value, min(n) >= 2 as ok from n union all select 'media', count(distinct medium), count(distinct medium) >= 2 from placement
     union all select 'offsite', count(distinct medium), count(distinct medium) >= 1 from placement where medium not in (select medium from route where ord = 0)
     union all select 'errors', count(*) filter (where not ok), count(*) filter (where not ok) = 0 from drill_ledger
     union all select 'capacity', count(*) filter (where c > 0 and s > c), count(*) filter (where c > 0 and s > c) = 0 from o""")
+
+
+@query(POSTURE)
 def posture(t: Tables) -> DataFrame:
-    status = retention.capacity_status(floor_of(t), t.placement, t.medium_dim)
+    status = retention.capacity_status(floor_of(t), t.medium_dim)
     return placement.posture(t.archive, t.placement, t.route, status, t.drill_ledger)
 
 
-@query(STRANDED
-    + f""" select 0 as rank, 'red' as severity, 'broken chain' as topic, dle as subject from (select distinct dle from lost where stranded) x
-    union all select 0, 'red', 'volume not seen', label from (select distinct label from part_file where label <> '' and label not in (select label from volume)) x
-    union all select 1, 'amber', 'stale', dle from (select concat('c', cast(c_custkey as string)) as dle from customer) c left join archive using (dle) group by dle having max(created_at) is null or epoch({T}) - epoch(max(created_at)) >= 2592000""")
-def attention_list(t: Tables) -> DataFrame:
-    stale = summaries.stale_dles(configured(t), t.archive, 30, now()).select(F.col("dle").alias("subject"))
-    lost = chains.stranded(chains.base_of(t.archive)).filter("stranded").select(F.col("dle").alias("subject")).distinct()
-    gone = placement.missing_volumes(t.part_file, t.volume).select(F.col("label").alias("subject"))
-    return attention.attention(("red", "broken chain", lost), ("red", "volume not seen", gone), ("amber", "stale", stale))
+RUN_LOG = "(select event_id as id, event_type as command, case when event_type = 'error' then 'failure' else 'success' end as outcome, event_id % 9 = 0 as warns, ts, cast(round(value * 1000) as bigint) as moved from events) x"
 
 
-RUN_LOG = "(select event_id as id, event_type as command, case when event_type = 'error' then 'failure' else 'success' end as outcome, event_id % 9 = 0 as warns, ts, cast(round(value * 1000) as bigint) as moved from events) x"
+@query(FLOOR
+    + f""", u as (select medium, sum(compressed) as stored, sum(case when labeled or (kind is not null and kind <> 'CONDEMNED') then compressed else 0 end) as residual, max(capacity) as capacity from floor group by medium),
+    lr as (select *, row_number() over (partition by command order by ts desc, id desc) as rk from {RUN_LOG})
+    select 0 as rank, 'red' as severity, 'broken chain' as topic, dle as subject from (select distinct dle from lost where stranded) x
+    union all select 0, 'red', 'last run failed', command from lr where rk = 1 and outcome = 'failure'
+    union all select 0, 'red', 'over capacity', medium from u where capacity > 0 and (stored > capacity or residual > capacity)
+    union all select 0, 'red', 'drill failed', dle from drill_ledger where not ok
+    union all select 0, 'red', 'volume not seen', label from (select distinct label from part_file where label <> '' and label not in (select label from volume)) x
+    union all select 1, 'amber', 'drill overdue', c.dle from (select concat('c', cast(c_custkey as string)) as dle from customer) c left join drill_ledger l on l.dle = c.dle where last_drill is null or not ok or floor(epoch({ET})) - floor(epoch(last_drill)) >= 604800
+    union all select 1, 'amber', 'stale', dle from (select concat('c', cast(c_custkey as string)) as dle from customer) c left join archive using (dle) group by dle having max(created_at) is null or epoch({T}) - epoch(max(created_at)) >= 2592000
+    union all select 1, 'amber', 'size', dle from ({SIZES}) x union all select 1, 'amber', 'slow', dle from ({SLOW}) x union all select 1, 'amber', 'posture', rule from ({POSTURE}) x where not ok""")
+def attention_list(t: Tables) -> DataFrame:
+    capacity = cut(retention.capacity_status(floor_of(t), t.medium_dim))
+    lost = chains.stranded(chains.base_of(t.archive)).filter("stranded").select("dle").distinct()
+    overdue = summaries.drill_overdue(configured(t), t.drill_ledger, 7, events_now())
+    dumps = odd_dumps(t)
+    rules = placement.posture(t.archive, t.placement, t.route, capacity, t.drill_ledger)
+    return attention.findings(
+        summaries.last_per_command(run_log(t)), capacity, placement.missing_volumes(t.part_file, t.volume), t.drill_ledger, overdue, lost, summaries.stale_dles(configured(t), t.archive, 30, now()), trends.size_anomalies(dumps), trends.slow_dumps(dumps), rules
+    )
 
 
 def run_log(t: Tables) -> DataFrame:
@@ -831,9 +935,6 @@ def lane_busy(t: Tables) -> DataFrame:
     select landing, case when (select max(nt) from n) - nt <= 30 and nt - coalesce(bt, ot) >= 1 and nu > coalesce(bu, ou) then round((nu - coalesce(bu, ou)) / (nt - coalesce(bt, ot))::double, 6) else 0.0 end as rate from n left join b using (landing)"""
 )
 def rate_now(t: Tables) -> DataFrame:
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("landing").orderBy("ts", "seq").rowsBetween(Window.unboundedPreceding, 0)
-    samples = t.progress_event.withColumn("used", F.sum("bytes").over(w))
-    newest = samples.agg(F.max("ts")).first()[0]
-    return live.rate_now(samples, F.lit(newest).cast("timestamp_ntz"), "landing")
+    before = preceding(t.progress_event, ["landing"], [F.col("ts"), F.col("seq")], {"before": (F.sum, "bytes")})
+    samples = before.withColumn("used", F.coalesce("before", F.lit(0).cast("long")) + F.col("bytes"))
+    return live.rate_now(samples, samples.agg(F.max("ts").alias("now")), "landing")

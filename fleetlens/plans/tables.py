@@ -6,29 +6,34 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from fleetlens.plans.lineage import cut
+
 BASE = ("region", "nation", "customer", "supplier", "part", "orders", "lineitem", "events", "documents", "pages")
 
 VIEWS: dict[str, str] = {
     "archive": """
-        select o_orderkey as arch_key, concat('run-', cast(cast(o_orderdate as date) as string), '.000000') as run,
-               concat('c', cast(o_custkey as string)) as dle, concat('h', cast(o_custkey % 20 as string)) as host,
-               concat('/data/c', cast(o_custkey as string)) as path,
-               case substr(o_orderpriority, 1, 1) when '1' then 0 when '2' then 1 when '3' then 1 when '4' then 2 else 3 end as level,
-               cast(round(o_totalprice * 100) as bigint) as compressed,
-               cast(round(o_totalprice * 100) as bigint) * (1 + o_orderkey % 4) as uncompressed,
-               cast(o_orderkey % 1000 as bigint) as file_count,
-               cast(case when o_orderkey % 50 = 0 then 1 else 0 end as int) as unreadable,
-               case when o_orderkey % 11 = 0 and substr(o_orderpriority, 1, 1) <> '1' then 'run-1990-01-01.000000' end as base_run,
-               o_orderdate + interval '1' second * cast(o_orderkey % 80000 as int) as created_at
-        from (select *, row_number() over (partition by o_custkey, cast(o_orderdate as date) order by o_orderkey desc) as rn from orders) o
-        where rn = 1""",
+        select arch_key, run, dle, host, path, level, compressed, uncompressed, file_count, unreadable,
+               case when level = 0 then null when arch_key % 33 = 0 then 'run-1990-01-01.000000' when arch_key % 67 = 0 then after_run when arch_key % 101 = 0 then run
+                    when arch_key % 5 < 2 then before_run end as base_run, created_at
+        from (select *, lag(run) over (partition by dle order by run) as before_run, lead(run) over (partition by dle order by run) as after_run
+              from (select o_orderkey as arch_key, concat('run-', cast(cast(o_orderdate as date) as string), '.000000') as run,
+                           concat('c', cast(o_custkey as string)) as dle, concat('h', cast(o_custkey % 20 as string)) as host,
+                           concat('/data/c', cast(o_custkey as string)) as path,
+                           case substr(o_orderpriority, 1, 1) when '1' then 0 when '2' then 1 when '3' then 1 when '4' then 2 else 3 end as level,
+                           cast(round(o_totalprice * 100) as bigint) as compressed,
+                           cast(round(o_totalprice * 100) as bigint) * (1 + o_orderkey % 4) as uncompressed,
+                           cast(o_orderkey % 1000 as bigint) as file_count,
+                           cast(case when o_orderkey % 50 = 0 then 1 else 0 end as int) as unreadable,
+                           o_orderdate + interval '1' second * cast(o_orderkey % 80000 as int) as created_at
+                    from (select *, row_number() over (partition by o_custkey, cast(o_orderdate as date) order by o_orderkey desc) as rn from orders) o
+                    where rn = 1) named) linked""",
     "part_line": """
         select l_orderkey, l_linenumber, max(l_suppkey) as supp, sum(cast(round(l_extendedprice * 100) as bigint)) as size
         from lineitem group by l_orderkey, l_linenumber""",
     "part_file": """
         select arch_key, run, dle, level, medium,
                cast(row_number() over (partition by arch_key, medium order by l_linenumber) - 1 as int) as part_no,
-               case when medium = 'tape' then concat('T', cast(supp % 20 as string)) else '' end as label,
+               case when medium = 'tape' then concat('T', cast(supp % 4 as string), '-', substr(run, 5, 10)) else '' end as label,
                cast(arch_key * 10 + l_linenumber as bigint) as pos, size
         from (select a.arch_key, a.run, a.dle, a.level, l.l_linenumber, l.supp, cast(l.size as bigint) as size,
                      case l.supp % 3 when 0 then 'disk' when 1 then 'cloud' else 'tape' end as medium
@@ -41,11 +46,12 @@ VIEWS: dict[str, str] = {
                cast(arch_key % 600 + 1 as bigint) as seconds from archive""",
     "usage_sample": """
         select event_id as seq, ts as at, event_type as medium,
-               cast(sum(cast(round(value * 100) as bigint)) over (partition by event_type order by ts, event_id rows between unbounded preceding and current row) as bigint) as used
+               cast(floor((day(ts) * 1440 + hour(ts) * 60 + minute(ts)) / 240.0) * 100000 as bigint) as used
         from events""",
     "drill_ledger": """
         select concat('c', cast(user_id as string)) as dle, ts as last_drill, event_type <> 'error' as ok,
-               case when event_type = 'error' then 'integrity' else '' end as class, n as drills
+               case when event_type = 'error' then case event_id % 5 when 0 then 'integrity' when 1 then 'pipeline' when 2 then 'chain' when 3 then 'missing' else 'odd' end
+                    when event_id % 7 = 0 then 'skipped' else 'ok' end as class, n as drills
         from (select *, row_number() over (partition by user_id order by ts desc, event_id desc) as rn, count(*) over (partition by user_id) as n from events) e
         where rn = 1""",
     "progress_event": """
@@ -67,10 +73,14 @@ VIEWS: dict[str, str] = {
                as t(medium, type, capacity, min_age_days, labeled)""",
     "sync_rule": "select * from (values ('', 'tape', 0), ('disk', 'cloud', 100)) as t(src, dst, last_n)",
     "volume": """
-        select label, 'main' as pool, cast(1 as int) as epoch, max(run) as last_run, count(distinct run) as runs
-        from part_file where label <> '' and label <> 'T7' group by label""",
+        select label, 'main' as pool, cast(1 as int) as epoch, max(run) as last_run, count(distinct run) as runs, cast(sum(size) as bigint) as used,
+               cast(concat(substr(min(run), 5, 10), ' 12:00:00') as timestamp) as written_at
+        from part_file where label <> '' and label not like 'T1-%7' group by label""",
 }
 
+#: Views that a query writes when it first reads them.
+WRITTEN = ("archive", "part_file", "placement")
+
 #: The instants the questions are asked at.
 NOW = "2001-08-02 00:00:00"
 EVENTS_NOW = "2024-02-01 00:00:00"
@@ -110,6 +120,10 @@ class Tables:
             spark.read.parquet(f"{sf_dir}/{name}.parquet").createOrReplaceTempView(name)
 
     def __getattr__(self, name: str) -> DataFrame:
+        if name in WRITTEN:
+            # Derived by shuffles and read several times by most queries: written once a query.
+            self.__dict__[name] = cut(self.spark.sql(with_views(f"select * from {name}")))
+            return self.__dict__[name]
         if name in VIEWS:
             return self.spark.sql(with_views(f"select * from {name}"))
         if name in BASE:

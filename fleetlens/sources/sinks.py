@@ -21,9 +21,9 @@ def compact_run_log(run_log: DataFrame, n: int = 1000) -> DataFrame:
 
 
 def thin_usage(usage: DataFrame, now: Column, age_days: int = 30, cap: int = 5000) -> DataFrame:
-    """All samples younger than age_days, and of older ones the last of each medium and UTC day; a ledger of at most cap samples stays as it is."""
+    """All samples of age_days or younger, and of older ones the last of each medium and UTC day; a ledger of at most cap samples stays as it is."""
     last = Window.partitionBy("medium", F.to_date("at")).orderBy(F.col("at").desc(), F.col("seq").desc())
     size = F.broadcast(usage.agg(F.count("*").alias("_n")))
-    young = C.epoch(now) - C.epoch("at") < age_days * 86400
+    young = C.epoch(now) - C.epoch("at") <= age_days * 86400
     rows = usage.join(size, F.lit(True)).withColumn("_r", F.row_number().over(last))
     return rows.filter((F.col("_n") <= cap) | young | (F.col("_r") == 1)).drop("_n", "_r")

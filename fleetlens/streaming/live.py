@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
+from fleetlens.plans.lineage import preceding
 
 #: Reach of the current rate in seconds, and the least time it is taken over.
 RATE_SECONDS, LEAST_SECONDS = 30, 1
@@ -49,25 +51,25 @@ def sliding_rate(events: DataFrame, key: str) -> DataFrame:
     return out.select(key, F.col("w.start").alias("begin"), "bytes", (F.col("bytes") / RATE_SECONDS).alias("rate"))
 
 
-def rate_now(samples: DataFrame, now: Column, key: str) -> DataFrame:
-    """(key, rate): difference of the newest sample and the newest one at least 30 seconds older (else the oldest), a second; 0 where stale, falling or under a second. samples has key, ts, used (a running counter)."""
+def rate_now(samples: DataFrame, now: DataFrame, key: str) -> DataFrame:
+    """(key, rate): at the instant that the one row of `now` holds, the difference of the newest sample and the newest one at least 30 seconds older (else the oldest), a second; 0 where stale, falling or under a second. samples has key, ts, used (a running counter)."""
     at = C.epoch("ts")
     order = F.struct(at.alias("at"), "used")
     newest = samples.groupBy(key).agg(F.max(order).alias("new"), F.min(order).alias("old"))
     rows = samples.join(newest, key).filter(at <= F.col("new.at") - RATE_SECONDS)
     base = rows.groupBy(key).agg(F.max(order).alias("base"))
-    both = newest.join(base, key, "left").withColumn("from", F.coalesce("base", "old"))
+    both = newest.join(base, key, "left").withColumn("from", F.coalesce("base", "old")).join(F.broadcast(now.toDF("now")), F.lit(True))
     seconds, moved = F.col("new.at") - F.col("from.at"), F.col("new.used") - F.col("from.used")
-    fresh = C.epoch(now) - F.col("new.at") <= RATE_SECONDS
+    fresh = C.epoch("now") - F.col("new.at") <= RATE_SECONDS
     return both.select(key, F.when(fresh & (seconds >= LEAST_SECONDS) & (moved > 0), F.round(moved / seconds, 6)).otherwise(F.lit(0.0)).alias("rate"))
 
 
 def lane_busy(intervals: DataFrame, key: str) -> DataFrame:
     """(key, busy, wall, bytes, rate, utilisation): time a lane had a writer, overlaps counted once. intervals has key, begin_at, end_at, bytes."""
-    order = Window.partitionBy(key).orderBy("_b", "_e")
-    rows = intervals.withColumn("_b", C.epoch("begin_at")).withColumn("_e", C.epoch("end_at"))
-    reach = F.max("_e").over(order.rowsBetween(Window.unboundedPreceding, -1))
-    gained = F.greatest(F.lit(0), F.col("_e") - F.greatest("_b", F.coalesce(reach, F.col("_b"))))
+    # Equal intervals are one: the second adds no time, and the order tells all others apart.
+    rows = intervals.groupBy(key, C.epoch("begin_at").alias("_b"), C.epoch("end_at").alias("_e")).agg(F.sum("bytes").alias("bytes"))
+    rows = preceding(rows, [key], [F.col("_b"), F.col("_e")], {"_reach": (F.max, "_e")})
+    gained = F.greatest(F.lit(0), F.col("_e") - F.greatest("_b", F.coalesce("_reach", "_b")))
     out = rows.withColumn("_g", gained).groupBy(key).agg(F.sum("_g").alias("busy"), (F.max("_e") - F.min("_b")).alias("wall"), F.sum("bytes").alias("bytes"))
     return out.select(key, "busy", "wall", "bytes", F.when(F.col("busy") > 0, F.round(F.col("bytes") / F.col("busy"), 6)).otherwise(F.lit(0.0)).alias("rate"), F.when(F.col("wall") > 0, F.round(F.least(F.lit(1.0), F.col("busy") / F.col("wall")), 6)).otherwise(F.lit(0.0)).alias("utilisation"))
 
@@ -75,13 +77,17 @@ def lane_busy(intervals: DataFrame, key: str) -> DataFrame:
 def _busy(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     """Busy seconds of a lane from begin (+1) and end (-1) events in order of time: state is (writers, since, busy)."""
     writers, since, busy = state.get if state.exists else (0, 0.0, 0.0)
-    for pdf in batches:
-        for at, step in pdf.sort_values(["at", "step"], ascending=[True, False])[["at", "step"]].itertuples(index=False):
-            if writers == 0 and step > 0:
-                since = at
-            writers = max(0, writers + int(step))
-            if writers == 0 and step < 0:
-                busy, since = busy + at - since, at
+    pdf = pd.concat(list(batches)).sort_values(["at", "step"], ascending=[True, False])
+    at, step = pdf["at"].to_numpy(float), pdf["step"].to_numpy(int)
+    # Ends without a begin do not count: the running number of writers is lifted by what it falls below 0.
+    count = writers + np.cumsum(step)
+    count = count - np.minimum(np.minimum.accumulate(count), 0)
+    before = np.concatenate(([writers], count[:-1]))
+    begins, ends = at[(before == 0) & (count > 0)], at[(before > 0) & (count == 0)]
+    starts = np.concatenate(([since] if writers > 0 else [], begins))
+    busy += float(ends.sum() - starts[: len(ends)].sum())
+    writers = int(count[-1]) if len(count) else writers
+    since = float(starts[-1]) if writers > 0 else float(at[-1]) if len(at) else since
     state.update((writers, since, busy))
     yield pd.DataFrame({"lane": [key[0]], "writers": [writers], "busy": [busy]})
 
@@ -99,23 +105,25 @@ def eta(snapshot: DataFrame) -> DataFrame:
 
 
 def usage_changes(usage: DataFrame) -> DataFrame:
-    """Samples (medium, at, used, seq) at which a medium's total changed, the first included."""
-    w = Window.partitionBy("medium").orderBy("at", "seq")
-    before = F.lag("used").over(w)
-    return usage.withColumn("_p", before).filter(F.col("_p").isNull() | (F.col("_p") != F.col("used"))).drop("_p")
+    """Samples (medium, at, used, seq) at which a medium's total changed, the first included. Samples are compared along ranges of time, so a medium may have any number of them."""
+    rows = preceding(usage.withColumn("_s", F.struct("at", "seq", "used")), ["medium"], [F.col("at"), F.col("seq")], {"_p": (F.max, "_s")})
+    return rows.filter(F.col("_p").isNull() | (F.col("_p.used") != F.col("used"))).drop("_p", "_s")
+
+
+def emptied(totals: DataFrame, known: DataFrame, at: Column) -> DataFrame:
+    """(medium, at, used): samples to record now: what each medium holds, and 0 for one that earlier samples (known: medium, used; its last ones) have and that holds nothing any more; only where it differs from the last one."""
+    rows = totals.select("medium", F.col("bytes").alias("used")).join(known.select("medium", F.col("used").alias("_last")), "medium", "full")
+    rows = rows.withColumn("used", F.coalesce("used", F.lit(0).cast("long")))
+    return rows.filter(F.col("_last").isNull() | (F.col("_last") != F.col("used"))).select("medium", at.alias("at"), "used")
 
 
 def _changed(key: tuple, batches: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
     last = state.get[0] if state.exists else None
-    rows = []
-    for pdf in batches:
-        for seq, at, used in pdf.sort_values(["at", "seq"])[["seq", "at", "used"]].itertuples(index=False):
-            if used != last:
-                rows.append((key[0], seq, at, used))
-                last = int(used)
-    if last is not None:
-        state.update((last,))
-    yield pd.DataFrame(rows, columns=["medium", "seq", "at", "used"])
+    pdf = pd.concat(list(batches)).sort_values(["at", "seq"])
+    used = pdf["used"].to_numpy()
+    before = np.concatenate(([used[0] - 1 if last is None else last], used[:-1]))
+    state.update((int(used[-1]),))
+    yield pdf.loc[used != before, ["seq", "at", "used"]].assign(medium=key[0])[["medium", "seq", "at", "used"]]
 
 
 def usage_changes_stream(usage: DataFrame) -> DataFrame:

@@ -55,6 +55,13 @@ def test_as_of_bounds_and_odd_ids(spark):
     got = {r.point: r.run for r in chains.as_of(df, points).collect()}
     assert got["1990-01-01"] == "manual"  # an id without a date always qualifies
     assert got["x"] != got["y"]  # a run at the bound is included
+    late = frame(spark, [archive("a", 3, 0), (0, "manual", "z", "h", "/", 0, 1, 1, 1, 0, None, NOW), archive("a", 2, 1, at=dt.datetime(2024, 2, 28, 0, 0, 0, 500000))])
+    bound = spark.createDataFrame([("p", dt.datetime(2024, 2, 28)), ("q", dt.datetime(2024, 2, 28, 0, 0, 1)), ("r", NOW)], "point string, bound timestamp_ntz")
+    got = {r.point: r.run for r in chains.as_of(late, bound).collect()}
+    assert got["p"] == archive("a", 3, 0)[1] and got["q"] == archive("a", 2, 1)[1]  # half a second after the bound is after it
+    assert got["r"] == "run-2024-02-28.000000" or got["r"] == "manual"
+    own = {(r.dle, r.point): (r.run, r.level) for r in chains.as_of_by_dle(late, bound).collect()}
+    assert own["a", "p"][1] == 0 and own["a", "q"][1] == 1 and ("z", "p") not in own and own["z", "r"][0] == "manual"  # an id without a date is dated by its commit
 
 
 def test_retention_floor_matches_the_rules(spark):
@@ -81,14 +88,65 @@ def test_reclaim_order_matches_deleting_one_by_one(spark, target):
         assert got.get(f"k{s}", []) == want
 
 
+def test_a_run_that_skipped_the_source_and_long_chains(spark):
+    rows = [archive("a", 30, 0)] + [archive("a", 29 - i, 1, base=archive("a", 30 - i, 0)[1]) for i in range(11)] + [archive("b", 10, 0)]
+    df = frame(spark, rows)
+    goal = spark.createDataFrame([("a", "p", archive("b", 10, 0)[1]), ("b", "p", archive("b", 10, 0)[1]), ("a", "q", archive("a", 29, 1)[1]), ("b", "q", archive("a", 29, 1)[1])], "dle string, point string, run string")
+    got: dict = {}
+    for r in chains.chains(chains.base_of(df), goal).orderBy("depth").collect():
+        got.setdefault((r.dle, r.point), []).append((r.depth, r.level, r.broken))
+    assert [d for d, _, _ in got["a", "p"]] == list(range(12)) and not any(b for *_, b in got["a", "p"])
+    assert len(got["a", "q"]) == 2 and len(got["b", "p"]) == 1 and ("b", "q") not in got
+    lost = {(r.dle, r.run): r.stranded for r in chains.stranded(chains.base_of(df.filter(F.col("run") != rows[5][1]))).collect()}
+    assert sum(lost.values()) == 6
+
+
+def test_restorability_counts(spark):
+    rows = [archive("a", 9, 1), archive("a", 8, 0), archive("b", 9, 1), archive("b", 8, 0), archive("c", 9, 1), archive("d", 9, 1), archive("d", 8, 0)]
+    df = frame(spark, rows)
+    copies = spark.createDataFrame([("a", rows[0][1], "disk"), ("b", rows[0][1], "lto")], "dle string, run string, medium string")
+    media = spark.createDataFrame([("disk", False), ("lto", True)], "medium string, labeled boolean")
+    assert tuple(chains.restorability(chains.stranded(chains.base_of(df)), copies, media).first()) == (1, 1, 2)
+
+
+def slow_kept(rows, min_age, day):
+    from tests import helpers
+
+    seen, old = [r for r in rows if r[-1] is None or r[-1] <= day], helpers.NOW
+    helpers.NOW = day
+    try:
+        return {k for k, v in slow_floor(seen, seen, min_age).items() if v not in (None, "CONDEMNED")}
+    finally:
+        helpers.NOW = old
+
+
+def test_kept_days_match_the_floor_of_each_day(spark):
+    catalogs = {}
+    for s, rows in many(range(300, 340)).items():
+        # every third catalog commits out of order
+        catalogs[s] = [(*r[:-1], r[-1] + dt.timedelta(days=(7 * i * s) % 5) if s % 3 == 0 else r[-1]) for i, r in enumerate(rows)]
+    held = frame(spark, [r for rows in catalogs.values() for r in rows]).withColumns({"medium": F.regexp_extract("dle", r"^(k\d+)-", 1), "capacity": F.lit(0).cast("long"), "min_age_days": F.lit(3), "labeled": F.lit(False)})
+    days = [NOW - dt.timedelta(days=d) for d in (11, 8, 5, 2)]
+    got = {(r.medium, r.run, r.dle): set(r.kept) for r in retention.kept_days(held, spark.createDataFrame([(d,) for d in days], "day timestamp_ntz")).collect()}
+    for s, rows in catalogs.items():
+        for k, day in enumerate(days):
+            want = slow_kept(rows, 3, day)
+            assert {(run, dle) for (m, run, dle), kept in got.items() if m == f"k{s}" and k in kept} == want, (s, k)
+
+
 def test_recovery_points_name_the_fault(spark):
     a, b = archive("a", 9, 0), archive("a", 8, 1, base=archive("a", 9, 0)[1])
     c = archive("a", 7, 1, base="run-1990-01-01.000000")
     d, e = archive("b", 6, 1, base=archive("b", 5, 2)[1]), archive("b", 5, 2, base=archive("b", 6, 1)[1])
-    df = frame(spark, [a, b, c, d, e])
-    copies = df.filter("run <> '%s' or dle <> 'a'" % a[1]).select("run", "dle", "level")
-    got = {(r.dle, r.run): r.verdict for r in chains.recovery_points(df, copies).collect()}
-    assert got == {("a", a[1]): "no copy", ("a", b[1]): "no copy", ("a", c[1]): "base missing", ("b", d[1]): "cycle", ("b", e[1]): "cycle"}
+    f, g = archive("c", 9, 1, base="run-1990-01-01.000000"), archive("d", 9, 1, base=archive("d", 9, 1)[1])
+    long = [archive("e", 30, 0)] + [archive("e", 29 - i, 1, base=archive("e", 30 - i, 0)[1]) for i in range(9)]
+    df = frame(spark, [a, b, c, d, e, f, g, *long])
+    bare = F.concat("dle", "run").isin("a" + a[1], "c" + f[1], "d" + g[1])
+    copies = df.filter(~bare).select("run", "dle", "level")
+    rows = {(r.dle, r.run): (r.verdict, r.links) for r in chains.recovery_points(df, copies).collect()}
+    got = {k: v for k, (v, _) in rows.items() if k[0] != "e"}
+    assert got == {("a", a[1]): "no copy", ("a", b[1]): "no copy", ("a", c[1]): "base missing", ("b", d[1]): "cycle", ("b", e[1]): "cycle", ("c", f[1]): "no copy", ("d", g[1]): "cycle"}  # the first fault from the tip, a cycle before any
+    assert rows["b", d[1]][1] == 2 and rows["d", g[1]][1] == 1 and rows["e", long[-1][1]] == ("complete", 10)
 
 
 def test_tree_with_deltas_and_census(spark):

@@ -24,12 +24,17 @@ def one(spark, column, *values):
 
 
 @pytest.mark.parametrize(
-    ("text", "size"), [("10", 10), ("1k", 1000), ("1 KiB", 1024), ("1.5GiB", 3 << 29), ("20MB/s", 20_000_000), ("2.5", 2), ("-1k", None), ("x", None), ("", None)]
+    ("text", "size"), [("10", 10), ("1k", 1000), ("1 KiB", 1024), ("1.5GiB", 3 << 29), ("20MB/s", None), ("2.5", 2), (".5GB", 500_000_000), ("+5GB", 5_000_000_000), ("5.k", 5000), ("-1k", None), ("x", None), ("", None)]
 )
 def test_sizes(spark, text, size):
     assert one(spark, C.parse_bytes("c0"), text) == size
 
 
+@pytest.mark.parametrize(("text", "size"), [("50MB/s", 50_000_000), ("50MB /s", 50_000_000), ("500KB/S", 500_000), ("1k", 1000), ("x/s", None)])
+def test_rates(spark, text, size):
+    assert one(spark, C.parse_rate("c0"), text) == size
+
+
 @pytest.mark.parametrize(("text", "seconds"), [("30d", 2592000), ("2w", 1209600), ("1h30m", 5400), ("1.5h", 5400), ("500ms", 0.5), ("5", None), ("d", None)])
 def test_durations(spark, text, seconds):
     assert one(spark, C.parse_duration("c0"), text) == seconds
@@ -51,12 +56,13 @@ def test_names_and_paths(spark):
 
 
 def test_prices_charges_and_marks(spark):
-    assert one(spark, C.monthly_cost("c0", "c0", "c1", "c2"), 1 << 30, 0.023, 0.0) == 0.023
-    assert one(spark, C.read_cost("c0", "c1", "c2", "c3"), 1 << 30, 2000, 0.09, 0.0004) == 0.0908
-    assert one(spark, C.read_cost("c0", "c1", "c2", "c3"), 5, 1, 0.0, 0.0) is None
+    assert one(spark, C.monthly_cost("c0", "c1", "c2", "c3"), 1 << 30, 0.023, 0.0, 0.0) == 0.023
+    assert one(spark, C.monthly_cost("c0", "c1", "c2", "c3"), 1 << 30, 0.0, 0.09, 0.0) == 0.0  # any rate makes a medium priced
+    assert one(spark, C.read_cost("c0", "c1", "c2", "c3", "c4"), 1 << 30, 2000, 0.0, 0.09, 0.0004) == 0.0908
+    assert one(spark, C.read_cost("c0", "c1", "c2", "c3", "c4"), 5, 1, 0.0, 0.0, 0.0) is None and one(spark, C.read_cost("c0", "c1", "c2", "c3", "c4"), 5, 1, 0.5, 0.0, 0.0) == 0.0
     assert one(spark, C.file_cost("c0", "c1"), "archive", 100) == 32868 and one(spark, C.file_cost("c0", "c1"), "label", 99999) == 65536
     assert one(spark, C.pool_bytes("c0", "c1"), 3, 100_000) == 3 * (100_000 - 65536) and one(spark, C.usable_volume("c0"), 10) == 0
-    assert [one(spark, C.weight_bucket("c0", "c1"), v, 100) for v in (0, 1, 25, 26, 100)] == [0, 1, 1, 2, 4]
+    assert [one(spark, C.weight_bucket("c0", "c1"), v, 100) for v in (0, 1, 26, 34, 67, 90, 100)] == [0, 1, 1, 2, 3, 3, 4]
     assert one(spark, C.comp_pct("c0", "c1"), 100, 25) == 25.0 and one(spark, C.comp_pct("c0", "c1"), 100, 100) is None
 
 
@@ -84,10 +90,14 @@ def test_epochs_barcodes_and_refresh(spark):
     seen = spark.createDataFrame([("B1", "T1", 1), ("B1", "T2", 2), ("B2", "T3", 1)], "barcode string, label string, seen int")
     assert {r.barcode: r.label for r in placement.barcode_map(seen).collect()} == {"B1": "T2", "B2": "T3"}
     shape = "dle string, origin string"
-    planned, failed = spark.createDataFrame([("a", "x")], shape), spark.createDataFrame([("b", "y"), ("n", "y")], shape)
-    previous = spark.createDataFrame([("b", "y"), ("c", "y"), ("d", "z"), ("a", "x")], shape)
-    assert {r.dle: r.via for r in placement.refresh_resolved(planned, failed, previous).collect()} == {"a": "planned", "b": "failed", "c": "carried"}
-    assert placement.intended_dles(planned, previous).count() == 4
+    planned = spark.createDataFrame([("a", "x")], shape)
+    previous = spark.createDataFrame([("b", "y"), ("c", "y"), ("d", "z"), ("a", "x"), ("a2", "x")], shape)
+    lost = lambda rows: spark.createDataFrame(rows, shape + ", source string")
+    got = lambda rows: {r.dle: r.via for r in placement.refresh_resolved(planned, lost(rows), previous).collect()}
+    assert got([("b", "y", "s"), ("n", "y", "s")]) == {"a": "planned", "b": "failed", "n": "failed"}  # units, known or not; their origin carries nothing
+    assert got([(None, "y", None), ("c", "y", "s")]) == {"a": "planned", "b": "carried", "c": "failed"}
+    assert got([(None, "x", "")]) == {"a": "planned", "a2": "carried"}
+    assert placement.intended_dles(planned, previous).count() == 5
 
 
 def test_sources_against_patterns(spark):
@@ -237,15 +247,71 @@ def stat(spark, rows):
 
 def test_medians_and_anomalies(spark):
     gib = 1 << 30
-    rows = [("up", d, 0, gib, gib, 10) for d in range(4)] + [("up", 9, 0, gib, 5 * gib, 10)]
-    rows += [("down", d, 0, gib, 4 * gib, 10) for d in range(4)] + [("down", 9, 0, gib, gib, 10)]
-    rows += [("incr", d, 1, gib, 4 * gib, 10) for d in range(4)] + [("incr", 9, 1, gib, gib, 10)]
-    rows += [("few", 0, 0, 1, 1, 1), ("few", 1, 0, gib, 9 * gib, 1)]
+    rows = [("up", d, 0, gib, gib, 10) for d in range(4)] + [("up", 9, 0, 5 * gib, gib, 10)]
+    rows += [("down", d, 0, 4 * gib, gib, 10) for d in range(4)] + [("down", 9, 0, gib, gib, 10)]
+    rows += [("incr", d, 1, 4 * gib, gib, 10) for d in range(4)] + [("incr", 9, 1, gib, gib, 10)]
+    rows += [("few", 0, 0, 1, 1, 1), ("few", 9, 0, 9 * gib, gib, 1)]
+    rows += [("stored", d, 0, gib, gib, 10) for d in range(4)] + [("stored", 9, 0, gib, 9 * gib, 10)]  # stored sizes are not looked at
+    rows += [("old", d, 0, gib, gib, 10) for d in range(4)] + [("old", 8, 0, 9 * gib, gib, 10)]  # not in the newest run
+    rows += [("wide", d, 0, (1 + 3 * (d % 2)) * gib, gib, 10) for d in range(4)] + [("wide", 9, 0, 6 * gib, gib, 10)]  # swings as widely before
+    rows += [("small", d, 0, 1000, 1, 10) for d in range(4)] + [("small", 9, 0, 9000, 1, 10)] + [("zero", d, 0, 0, 0, 10) for d in range(4)] + [("zero", 9, 0, gib, gib, 10)]
     df = stat(spark, rows)
     assert {r.dle: r.kind for r in trends.size_anomalies(df).collect()} == {"up": "grown", "down": "shrunk"}  # incrementals do not shrink
     assert one(spark, trends.upper_median(F.array(*map(F.lit, (4, 1, 3, 2)))), 0) == 3 and one(spark, trends.mean_median(F.array(*map(F.lit, (4, 1, 3, 2)))), 0) == 2
-    slow = stat(spark, [("s", d, 0, 1000000, 1, 100) for d in range(3)] + [("s", 5, 0, 1000000, 1, 1000)])
-    assert trends.slow_dumps(slow).first().rate == 1000
+    slow = [("s", d, 0, 1000000, 1, 100) for d in range(3)] + [("s", 5, 0, 1000000, 1, 1000)] + [("quick", d, 0, 1000, 1, 2) for d in range(3)] + [("quick", 5, 0, 1000, 1, 5)]
+    slow += [("gone", d, 0, 1000000, 1, 100) for d in range(3)] + [("gone", 4, 0, 1000000, 1, 1000)] + [("none", d, 0, 0, 1, 100) for d in range(3)] + [("none", 5, 0, 1000, 1, 1000)]
+    assert [(r.dle, r.rate, r.median) for r in trends.slow_dumps(stat(spark, slow)).collect()] == [("s", 1000, 10000)]
+
+
+def test_spikes_curves_and_trends(spark):
+    mib = 1 << 20
+    rows = [("two", 1, 1, 1, 100 * mib, 1), ("two", 2, 1, 1, 400 * mib, 1), ("even", 1, 1, 1, 100 * mib, 1), ("even", 2, 1, 1, 102 * mib, 1), ("even", 3, 1, 1, 104 * mib, 1), ("even", 4, 1, 1, 600 * mib, 1)]
+    got = {r.dle: (r.out, r.median, r.mad) for r in trends.incr_spikes(stat(spark, rows)).collect()}
+    assert got == {"even": (600 * mib, 104 * mib, 3 * mib)}  # deviations 4, 2, 0 and 496: the mean of 2 and 4
+    groups = spark.createDataFrame([("a", "g"), ("b", "g")], "dle string, group string")
+    curve = stat(spark, [("a", 0, 0, 99, 10, 1), ("b", 5, 0, 99, 7, 1), ("a", 200, 0, 99, 12, 1), ("b", 200, 0, 99, 9, 1), ("a", 210, 0, 99, 11, 1), ("a", 205, 1, 99, 50, 1)])
+    assert [r.total for r in trends.group_curve(curve, groups).orderBy("at").collect()] == [21, 20]  # stored sizes; earlier fulls are carried, not shown
+    same = stat(spark, [("a", 0, 0, 1, 10, 1), ("b", 0, 0, 1, 10, 1)]).unionByName(stat(spark, [("a", 0, 0, 1, 15, 1)]).withColumn("run_id", F.lit("run-2024-01-01.2")))
+    assert [(r.dle, r.percent, r.warns) for r in trends.trend_delta(same).collect()] == [("a", 50.0, True)] and trends.evolution(same).collect() == []
+    depth = spark.createDataFrame([(1, 100), (2, 200), (4, 300)], "chains int, bytes bigint")
+    media = spark.createDataFrame([("none", 50), ("mid", 250), ("big", 999), ("open", 0)], "medium string, capacity bigint")
+    assert {r.medium: r.cycles for r in trends.capacity_depth(depth, media).collect()} == {"none": 0.0, "mid": 3.0, "big": 4.0}
+
+
+def test_drill_classes_and_selection(spark):
+    ledger = spark.createDataFrame([(c,) for c in ("ok", "integrity", "pipeline", "chain", "missing", "skipped", "odd", "")], "class string")
+    got = {r["class"]: (r.is_failure, bool(r.remedy)) for r in attention.classified(ledger, attention.drill_classes(spark)).collect()}
+    assert {c for c, (bad, _) in got.items() if bad} == {"integrity", "pipeline", "chain", "missing"} and not got["odd"][1] and got["skipped"][1]
+    configured = spark.createDataFrame([(x,) for x in "abcd"], "dle string")
+    drills = spark.createDataFrame([("c", dt.datetime(2024, 2, 28), True), ("d", dt.datetime(2024, 1, 1), True)], "dle string, last_drill timestamp_ntz, ok boolean")
+    links = spark.createDataFrame([("a", 2, "run-2024-01-02.1"), ("b", 2, "run-2024-01-02.0"), ("c", 1, "run-2024-01-01.1"), ("d", 9, "run-2024-01-01.1")], "dle string, links int, full_at string")
+    assert [r.dle for r in summaries.drill_select(configured, drills, links, 7, F.lit("2024-03-01").cast("timestamp_ntz"), 9).collect()] == ["a", "b", "d"]  # fulls of one day tie
+    chain = spark.createDataFrame([("a", "r1"), ("a", "r2"), ("b", "r1"), ("c", "r1")], "dle string, run string")
+    parts = spark.createDataFrame([("r1", "a", "disk", 0, 5), ("r1", "a", "disk", 1, 6), ("r2", "a", "disk", 0, 7), ("r1", "a", "tape", 0, 5), ("r1", "b", "disk", 0, None), ("r1", "c", "tape", 0, 5)], "run string, dle string, medium string, part_no int, size bigint")
+    counts = spark.createDataFrame([("a", 3)], "dle string, drills int")
+    media = spark.createDataFrame([(x, "disk") for x in "abc"], "dle string, medium string")
+    assert sorted((r.dle, r.run, r.part_no, r["size"]) for r in summaries.sample_plan(chain, parts, counts, media).collect()) == [("a", "r1", 1, 6), ("a", "r2", 0, 7)]
+
+
+def test_frames_to_test(spark):
+    frame = spark.createDataFrame([("a", 0, i, 100 * i, 10 * i) for i in range(5)] + [("b", 0, i, 10 * i, i) for i in range(3)], "dle string, level int, seq int, raw bigint, enc bigint")
+    rows = [("a", 0, 0, "p0", 0), ("a", 0, 1, "p1", 20), ("a", 0, 2, "big", 150), ("a", 0, 3, "end", 480), ("b", 0, 0, "x", 5), ("b", 0, 1, "y", 25)]
+    member = spark.createDataFrame(rows, "dle string, level int, seq int, path string, off bigint")
+    pick = lambda n: {r.dle: (r.seq, r.path, r.span) for r in reads.frame_sample(member, frame, n).collect()}
+    assert pick(0)["a"] == (0, "p0", 150) and pick(1)["a"] == (1, "big", 330) and pick(2)["a"] == (4, "end", 20) and pick(6)["a"] == (1, "big", 330)
+    assert pick(0)["b"] == (0, "x", 20) and pick(1)["b"] == (2, "y", 5)  # no member begins in frame 1
+    # A span over four frames is passed over; where all are, the least one is taken.
+    far = spark.createDataFrame([("a", 0, 0, "p", 0), ("a", 0, 1, "q", 450), ("a", 0, 2, "r", 2000)], "dle string, level int, seq int, path string, off bigint")
+    assert {r.seq for r in reads.frame_sample(far, frame.filter("dle = 'a'"), 0).collect()} == {4}
+    only = spark.createDataFrame([("a", 0, 0, "p", 10)], "dle string, level int, seq int, path string, off bigint")
+    assert [(r.seq, r.span) for r in reads.frame_sample(only, frame.filter("dle = 'a'"), 3).collect()] == [(0, 490)]
+
+
+def test_usage_that_falls_to_zero(spark):
+    totals = spark.createDataFrame([("disk", 5), ("tape", 7)], "medium string, bytes bigint")
+    known = spark.createDataFrame([("disk", 5), ("tape", 6), ("cloud", 3), ("old", 0)], "medium string, used bigint")
+    got = {r.medium: r.used for r in live.emptied(totals, known, F.lit("2024-01-01").cast("timestamp_ntz")).collect()}
+    assert got == {"tape": 7, "cloud": 0}
 
 
 def test_levels(spark):
@@ -262,7 +328,7 @@ def test_lanes_rates_and_eta(spark):
     r = live.lane_busy(lanes, "lane").first()
     assert (r.busy, r.wall, r.rate, r.utilisation) == (25, 30, 8.0, 0.833333)
     samples = spark.createDataFrame([("a", t(0), 0), ("a", t(29), 29), ("a", t(60), 600), ("b", t(0), 5), ("c", t(50), 9), ("c", t(58), 1)], "k string, ts timestamp_ntz, used bigint")
-    got = {r.k: r.rate for r in live.rate_now(samples, F.lit(str(t(61))).cast("timestamp_ntz"), "k").collect()}
+    got = {r.k: r.rate for r in live.rate_now(samples, spark.createDataFrame([(t(61),)], "now timestamp_ntz"), "k").collect()}
     assert got["a"] == round(571 / 31, 6) and got["b"] == 0.0 and got["c"] == 0.0
     snap = spark.createDataFrame([("r", 100, 10.0, 50, 1.0), ("s", 100, 0.0, 0, 0.0), ("t", 0, 0.0, 0, 0.0)], "run string, to_dump bigint, dump_rate double, to_drain bigint, drain_rate double")
     assert {r.run: r.seconds for r in live.eta(snap).collect()} == {"r": 50.0, "s": None, "t": 0.0}
@@ -316,5 +382,6 @@ def test_alerts_health_and_attention(spark):
 
 
 def test_volumes_to_load(spark):
-    volume = spark.createDataFrame([("T1", "run-1"), ("T2", "run-2")], "label string, last_run string")
-    assert summaries.expected_volume(volume, volume, True).first().label == "T2" and summaries.expected_volume(volume, volume, False).first().label == "T1"
+    volume = spark.createDataFrame([("T1", "run-1", 5), ("T2", "run-2", 7)], "label string, last_run string, used bigint")
+    assert tuple(summaries.expected_volume(volume, volume, True).first()) == ("T2", 7, False) and tuple(summaries.expected_volume(volume, volume, False).first()) == ("T1", 0, False)
+    assert tuple(summaries.expected_volume(volume, volume.filter("false"), False).first()) == (None, 0, True)
