@@ -3,83 +3,115 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import tarfile
 from collections.abc import Iterator
 
 import pandas as pd
+import pyarrow.fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fleetlens.operators.placement import members_diff
+from fleetlens.plans.lineage import cut
+
+#: Bytes read at a time.
+CHUNK = 1 << 20
+
 
 def read_files(spark, root: str) -> DataFrame:
-    """(path, length, content) of the files below root; path is relative to it."""
+    """(path, length, sha) of the files below root; path is relative to it. A file is read by one task, up to 2 GiB; larger ones are for stream_archives."""
     files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root)
-    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "length", "content")
+    return files.select(F.regexp_extract("path", r"([^/]+/[^/]+)$", 1).alias("path"), "length", F.sha2("content", 256).alias("sha"))
 
 
 def verify_parts(files: DataFrame, part_file: DataFrame) -> DataFrame:
     """(path, verdict): each recorded part (path, size, sha256): ok, missing, size, or integrity; skipped without a seal."""
-    seen = files.select("path", "length", F.sha2("content", 256).alias("_sha"))
-    rows = part_file.select("path", "size", "sha256").join(seen, "path", "left")
-    verdict = (
-        F.when(F.col("sha256").isNull(), "skipped").when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("size"), "size").when(F.col("_sha") != F.col("sha256"), "integrity").otherwise("ok")
-    )
+    rows = part_file.select("path", "size", "sha256").join(files.select("path", "length", "sha"), "path", "left")
+    verdict = F.when(F.col("sha256").isNull(), "skipped").when(F.col("length").isNull(), "missing").when(F.col("length") != F.col("size"), "size").when(F.col("sha") != F.col("sha256"), "integrity").otherwise("ok")
     return rows.select("path", verdict.alias("verdict"))
 
 
-def _whole(groups: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Running SHA-256 of archives whose parts arrive in order; one part is held at a time."""
-    now, digest, size = None, None, 0
-    for batch in groups:
-        for archive, content in zip(batch["archive"], batch["content"], strict=True):
-            if archive != now:
-                if now is not None:
-                    yield pd.DataFrame({"archive": [now], "sha": [digest.hexdigest()], "bytes": [size]})
-                now, digest, size = archive, hashlib.sha256(), 0
-            digest.update(content)
-            size += len(content)
-    if now is not None:
-        yield pd.DataFrame({"archive": [now], "sha": [digest.hexdigest()], "bytes": [size]})
+class Parts:
+    """The parts of an archive, one behind another, as one file to read; hashes what it gives."""
 
+    def __init__(self, uris: list[str]) -> None:
+        self.uris, self.stream, self.digest, self.size = list(uris), None, hashlib.sha256(), 0
 
-def verify_archives(files: DataFrame, part_file: DataFrame, archive: DataFrame) -> DataFrame:
-    """(archive, verdict, bytes): checksum over an archive's parts in order against the recorded one: ok, integrity, missing parts, or skipped without a checksum.
-
-    Parts are dealt by archive and sorted, and each task hashes them as they stream by.
-    """
-    listed = part_file.select("archive", "part_no", "path").join(files.select("path", "content"), "path", "left")
-    gaps = listed.groupBy("archive").agg(F.max(F.col("content").isNull()).alias("_gap"))
-    streamed = listed.filter("content is not null").repartition("archive").sortWithinPartitions("archive", "part_no").select("archive", "content")
-    sums = streamed.mapInPandas(_whole, "archive string, sha string, bytes long")
-    rows = archive.select("archive", "sha256").join(gaps, "archive", "left").join(sums, "archive", "left")
-    verdict = F.when(F.col("sha256").isNull() | (F.col("sha256") == ""), "skipped").when(F.coalesce(F.col("_gap"), F.lit(True)), "missing").when(F.col("sha") != F.col("sha256"), "integrity").otherwise("ok")
-    return rows.select("archive", verdict.alias("verdict"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
+    def read(self, n: int) -> bytes:
+        out = b""
+        while len(out) < n:
+            if self.stream is None:
+                if not self.uris:
+                    break
+                store, path = pyarrow.fs.FileSystem.from_uri(self.uris.pop(0))
+                self.stream = store.open_input_stream(path)
+            got = self.stream.read(n - len(out))
+            if not got:
+                self.stream.close()
+                self.stream = None
+            out += got
+        self.digest.update(out)
+        self.size += len(out)
+        return out
 
 
-def _listed(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _streamed(batches: Iterator[pd.DataFrame], listing: bool) -> Iterator[pd.DataFrame]:
     for batch in batches:
-        for archive, content in zip(batch["archive"], batch["content"], strict=True):
+        for archive, uris in zip(batch["archive"], batch["uris"], strict=True):
+            parts, rows = Parts(uris), []
             try:
-                with tarfile.open(fileobj=io.BytesIO(content)) as tar:
-                    rows = [(archive, i, m.name + ("/" if m.isdir() else ""), m.offset) for i, m in enumerate(tar)]
-            except tarfile.TarError:
-                rows = [(archive, -1, "", -1)]
-            yield pd.DataFrame(rows, columns=["dle", "seq", "path", "off"])
+                if listing:
+                    try:
+                        with tarfile.open(fileobj=parts, mode="r|", bufsize=CHUNK) as tar:
+                            for i, m in enumerate(tar):
+                                rows.append((archive, None, None, i, m.name + ("/" if m.isdir() else ""), m.offset))
+                                if len(rows) == 10_000:
+                                    yield pd.DataFrame(rows, columns=COLUMNS)
+                                    rows = []
+                    except tarfile.TarError:
+                        rows.append((archive, None, None, -1, "", -1))
+                while parts.read(CHUNK):
+                    pass
+                rows.append((archive, parts.digest.hexdigest(), parts.size, None, None, None))
+            except FileNotFoundError:
+                rows.append((archive, "", parts.size, None, None, None))
+            yield pd.DataFrame(rows, columns=COLUMNS)
+
+
+COLUMNS = ["archive", "sha", "bytes", "seq", "path", "off"]
+
+
+def stream_archives(part_file: DataFrame, listing: bool = False) -> DataFrame:
+    """(archive, sha, bytes, seq, path, off), written: for each archive a row with the SHA-256 over its parts in order ('' where one is not there), and with `listing` a row for each member of a plain tar archive (seq -1: cannot be read).
+
+    part_file has archive, part_no and uri. Only uris are shuffled: a task opens an
+    archive's parts one after another where they lie and reads them as one stream, once
+    for both results, in memory that no part's size touches.
+    """
+    uris = F.transform(F.array_sort(F.collect_list(F.struct("part_no", "uri"))), lambda x: x["uri"])
+    rows = part_file.groupBy("archive").agg(uris.alias("uris")).repartition("archive")
+    return cut(rows.mapInPandas(lambda b: _streamed(b, listing), "archive string, sha string, bytes long, seq long, path string, off long"))
 
 
-def list_members(files: DataFrame) -> DataFrame:
-    """(dle, seq, path, off): members of plain tar archives (archive, content); seq -1 where one cannot be read."""
-    return files.select("archive", "content").mapInPandas(_listed, "dle string, seq long, path string, off long")
+def verify_archives(streamed: DataFrame, archive: DataFrame) -> DataFrame:
+    """(archive, verdict, bytes): what stream_archives read against the recorded checksum and, where they are recorded, sizes: ok, integrity, pipeline (all bytes that were stored, but not those that were archived: a later part of the pipeline failed), missing, or skipped without a checksum.
 
+    archive has archive, sha256 and may have stored (bytes of all parts).
+    """
+    stored = F.col("stored") if "stored" in archive.columns else F.lit(None).cast("long")
+    rows = archive.select("archive", "sha256", stored.alias("stored")).join(streamed.filter("sha is not null").select("archive", "sha", "bytes"), "archive", "left")
+    wrong = F.col("sha") != F.col("sha256")
+    verdict = F.when(F.coalesce("sha256", F.lit("")) == "", "skipped").when(F.coalesce("sha", F.lit("")) == "", "missing").when(wrong & (F.col("bytes") == F.col("stored")), "integrity").when(wrong & F.col("stored").isNotNull(), "pipeline").when(wrong, "integrity").otherwise("ok")
+    return rows.select("archive", verdict.alias("verdict"), F.coalesce("bytes", F.lit(0)).alias("bytes"))
 
-def structural_verdict(listed: DataFrame, recorded: DataFrame) -> DataFrame:
-    """(dle, verdict): listed members against the index: skipped without an index, unreadable, members, or ok."""
-    from fleetlens.operators.placement import members_diff
 
+def structural_verdict(streamed: DataFrame, recorded: DataFrame) -> DataFrame:
+    """(dle, verdict): members that stream_archives listed against the index (dle, path, off): skipped without an index, unreadable, members, or ok."""
+    listed = streamed.select(F.col("archive").alias("dle"), "seq", "path", "off")
     bad = listed.filter("seq < 0").select("dle").distinct().withColumn("_bad", F.lit(True))
-    differs = members_diff(recorded.select("dle", "path", "off"), listed.filter("seq >= 0").select("dle", "path", "off")).select("dle").distinct().withColumn("_diff", F.lit(True))
     known = recorded.select("dle").distinct().withColumn("_known", F.lit(True))
+    found = listed.filter("seq >= 0").select("dle", "path", "off")
+    differs = members_diff(recorded.select("dle", "path", "off"), found).select("dle").distinct().withColumn("_diff", F.lit(True))
     rows = listed.select("dle").distinct().join(known, "dle", "left").join(bad, "dle", "left").join(differs, "dle", "left")
     return rows.select("dle", F.when(F.col("_known").isNull(), "skipped").when(F.col("_bad"), "unreadable").when(F.col("_diff"), "members").otherwise("ok").alias("verdict"))
 

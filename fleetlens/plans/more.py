@@ -252,7 +252,7 @@ def last_runs(t: Tables) -> DataFrame:
 
 @query(f"select cast(id as string) as run_id from {RUN_LOG} order by id desc limit 100")
 def compact_run_log(t: Tables) -> DataFrame:
-    lines = run_log(t).withColumns({"file": F.lit("f"), "line": F.col("run_id").cast("int")})
+    lines = run_log(t).withColumns({"file": F.lit("f"), "block": F.lit(0), "line": F.col("run_id").cast("int")})
     return sinks.compact_run_log(lines, 100).select("run_id")
 
 

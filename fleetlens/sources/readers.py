@@ -34,20 +34,22 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
 
 
 def _lines(spark: SparkSession, path: str, schema: str, strict: bool) -> DataFrame:
-    """Records of JSON line files, oldest first, with file and line.
+    """Records of JSON line files, with file, block and line: in this order they stand as they were appended.
 
-    A torn last line of a file is left out; a torn line before it is an error (strict), or left out too.
+    Files are split like any text: block is the byte at which a split begins, line rises
+    within it. A torn last line of a file is left out; a torn line before it is an error
+    (strict), or left out too.
     """
-    files = spark.read.text(path, wholetext=True).select(F.input_file_name().alias("file"), "value")
-    lines = files.select("file", F.posexplode(F.split("value", "\n")).alias("line", "value")).filter(F.trim("value") != "")
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"), F.monotonically_increasing_id().alias("line"), "value")
     # A record is whole if it parses as an object; the corrupt column of a permissive parse tells.
-    parsed = lines.withColumn("r", F.from_json("value", schema + ", _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}))
-    last = F.max("line").over(Window.partitionBy("file"))
-    rows = parsed.withColumn("_last", last).withColumn("_bad", F.col("r").isNull() | F.col("r._torn").isNotNull())
+    parsed = lines.filter(F.trim("value") != "").withColumn("r", F.from_json("value", schema + ", _torn string", {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_torn"}))
+    rows = parsed.withColumn("_bad", F.col("r").isNull() | F.col("r._torn").isNotNull())
     if strict:
-        message = F.concat(F.lit("torn line "), F.col("line").cast("string"), F.lit(" in "), F.col("file"))
-        rows = rows.withColumn("_bad", F.when(F.col("_bad") & (F.col("line") < F.col("_last")), F.raise_error(message).cast("boolean")).otherwise(F.col("_bad")))
-    return rows.filter("not _bad").select("file", "line", "r.*").drop("_torn")
+        last = rows.groupBy("file").agg(F.max(F.struct("block", "line")).alias("_last"))
+        message = F.concat(F.lit("torn line "), F.col("value"), F.lit(" in "), F.col("file"))
+        inside = F.col("_bad") & (F.struct("block", "line") < F.col("_last"))
+        rows = rows.join(F.broadcast(last), "file").withColumn("_bad", F.when(inside, F.raise_error(message).cast("boolean")).otherwise(F.col("_bad")))  # a row for each file
+    return rows.filter("not _bad").select("file", "block", "line", "r.*").drop("_torn")
 
 
 def read_run_log(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
@@ -73,7 +75,7 @@ def _or_empty(spark: SparkSession, schema: str, read) -> DataFrame:
 
 def read_usage(spark: SparkSession, path: str, strict: bool = True) -> DataFrame:
     """Usage samples; a missing ledger is an empty history."""
-    return _or_empty(spark, "file string, line int, " + S.USAGE, lambda: _lines(spark, path, S.USAGE, strict))
+    return _or_empty(spark, "file string, block bigint, line bigint, " + S.USAGE, lambda: _lines(spark, path, S.USAGE, strict))
 
 
 def read_drill_ledger(spark: SparkSession, path: str) -> DataFrame:
