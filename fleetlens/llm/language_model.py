@@ -23,8 +23,8 @@ END_HASH, END_CLASS = 0, 0
 HEAD_BITS, OWN_BITS = 20, 14
 #: Type of a class number.
 CLASS = np.uint32
-#: Tokens of a segment: the step at which long texts are cut for vectorised recursion.
-SEGMENT = 512
+#: Tokens of a segment: the step at which very long texts are cut, so that the recursion keeps a bounded number of vectors.
+SEGMENT = 4096
 
 
 def tail_bits(v: int) -> int:
@@ -190,35 +190,39 @@ def expectations(parts: list[np.ndarray], model: Model, before: np.ndarray | Non
     """
     table, alive, order = _laid_out(parts)
     steps, width, states = len(table), len(parts), len(model.start)
-    emit, move = model.emit, model.move
+    emit, move, ones = model.emit, model.move, np.ones(len(model.start))
     before = np.zeros((width, states)) if before is None else before[order]
     begins = ~before.any(axis=1)
-    alpha = np.zeros((steps, width, states))
-    scale = np.ones((steps, width))
-    seen = emit[table[0]]
-    a = np.where(begins[:, None], model.start, before @ move) * seen
+    alpha, scale = np.zeros((steps, width, states)), np.ones((steps, width))
+    seen, a = np.empty((width, states)), np.empty((width, states))
     for t in range(steps):
         n = alive[t]
+        np.take(emit, table[t, :n], axis=0, out=seen[:n], mode="clip")
         if t:
-            a = (alpha[t - 1, :n] @ move) * emit[table[t, :n]]
-        s = a.sum(axis=1)
-        scale[t, :n] = s
-        alpha[t, :n] = a / s[:, None]
+            np.matmul(alpha[t - 1, :n], move, out=a[:n])
+        else:
+            a[:] = np.where(begins[:, None], model.start, before @ move)
+        a[:n] *= seen[:n]
+        np.matmul(a[:n], ones, out=scale[t, :n])
+        np.divide(a[:n], scale[t, :n, None], out=alpha[t, :n])
     moves, beta = np.zeros((states, states)), np.ones((width, states))
     if after is not None:
         ends = alpha[np.fromiter(map(len, parts), np.int64, width)[order] - 1, np.arange(width)]
         beta = after[order] / (ends * after[order]).sum(axis=1, keepdims=True)
+    back = np.ascontiguousarray(move.T)
     for t in range(steps - 1, -1, -1):
         n = alive[t]
         if t + 1 < steps and (m := alive[t + 1]):
-            ahead = emit[table[t + 1, :m]] * beta[:m] / scale[t + 1, :m, None]
+            ahead = np.take(emit, table[t + 1, :m], axis=0, out=seen[:m], mode="clip")
+            ahead *= beta[:m]
+            ahead /= scale[t + 1, :m, None]
             moves += alpha[t, :m].T @ ahead
-            beta[:m] = ahead @ move.T
+            np.matmul(ahead, back, out=beta[:m])
         alpha[t, :n] *= beta[:n]
-    moves += before.T @ (seen * beta / scale[0, :, None])
+    moves += before.T @ (emit[table[0]] * beta / scale[0, :, None])
     live = np.arange(width)[None, :] < alive[:, None]
-    gamma, classes = alpha[live], table[live].astype(np.int64)
-    emits = np.stack([np.bincount(classes, weights=gamma[:, s], minlength=len(emit)) for s in range(states)], axis=1)
+    classes = table[live].astype(np.int64)
+    emits = np.stack([np.bincount(classes, weights=alpha[:, :, s][live], minlength=len(emit)) for s in range(states)], axis=1)
     return alpha[0, begins].sum(axis=0), moves * move, emits
 
 
@@ -236,6 +240,16 @@ def _groups(parts: list[np.ndarray], most: int = 400_000) -> Iterator[slice]:
         at = to
 
 
+def _alike(parts: list[np.ndarray], most: int = 800_000) -> Iterator[np.ndarray]:
+    """Places of sequences of much the same length, the longest first: about `most` tokens with what the shorter ones are filled up by."""
+    lengths = np.fromiter(map(len, parts), np.int64, len(parts))
+    order, at = np.argsort(-lengths, kind="stable"), 0
+    while at < len(parts):
+        to = at + max(1, most // int(lengths[order[at]]))
+        yield order[at:to]
+        at = to
+
+
 def _transfers(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence the matrix that carries the forward vector over it, up to a factor, and the factor's natural log."""
     table, alive, order = _laid_out(parts)
@@ -258,13 +272,21 @@ def _transfers(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.nd
 def _openings(parts: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray]:
     """For each sequence from the start distribution its natural log probability and the forward vector at its end."""
     table, alive, order = _laid_out(parts)
-    a, logs = np.zeros((len(parts), len(model.start))), np.zeros(len(parts))
+    a, logs, ones = np.zeros((len(parts), len(model.start))), np.zeros(len(parts)), np.ones(len(model.start))
+    seen, moved = np.empty_like(a), np.empty_like(a)
     for t in range(len(table)):
         n = alive[t]
-        a[:n] = (a[:n] @ model.move if t else model.start) * model.emit[table[t, :n]]
-        s = a[:n].sum(axis=1)
-        logs[:n] += np.log(s)
-        a[:n] /= s[:, None]
+        np.take(model.emit, table[t, :n], axis=0, out=seen[:n], mode="clip")
+        if t:
+            np.matmul(a[:n], model.move, out=moved[:n])
+        else:
+            moved[:n] = model.start
+        np.multiply(moved[:n], seen[:n], out=a[:n])
+        # Probabilities are over 1e-20, so eight steps cannot underflow.
+        if t % 8 == 7 or t + 1 == len(table) or alive[t + 1] < n:
+            s = a[:n] @ ones
+            logs[:n] += np.log(s)
+            a[:n] /= s[:, None]
     back = np.argsort(order)
     return logs[back], a[back]
 
@@ -280,11 +302,12 @@ def carried(documents: list[np.ndarray], model: Model) -> tuple[list[np.ndarray]
     parts = [x for c in cut for x in c]
     before, after, out = np.zeros((len(parts), len(model.start))), np.ones((len(parts), len(model.start))), np.zeros(len(documents))
     opening, later = [c[0] for c in cut], [x for c in cut for x in c[1:]]
-    begun = [_openings(opening[g], model) for g in _groups(opening)]
-    over = [_transfers(later[g], model) for g in _groups(later)]
-    out[:] = np.concatenate([b[0] for b in begun]) if begun else 0.0
-    vectors = np.concatenate([b[1] for b in begun]) if begun else before
-    logs, matrices = (np.concatenate(x) for x in zip(*over, strict=True)) if over else (np.zeros(0), np.zeros((0, 0, 0)))
+    states = len(model.start)
+    vectors, logs, matrices = np.zeros((len(opening), states)), np.zeros(len(later)), np.zeros((len(later), states, states))
+    for g in _alike(opening):
+        out[g], vectors[g] = _openings([opening[i] for i in g.tolist()], model)
+    for g in _alike(later, 100_000):
+        logs[g], matrices[g] = _transfers([later[i] for i in g.tolist()], model)
     row = k = 0
     for i, c in enumerate(cut):
         vector, n = vectors[i], len(c) - 1
@@ -302,15 +325,15 @@ def carried(documents: list[np.ndarray], model: Model) -> tuple[list[np.ndarray]
 
 
 def counted(documents: list[np.ndarray], model: Model) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Expected starts, moves and emissions of whole texts: a long one is cut, and both vectors are carried over the cuts."""
+    """Expected starts, moves and emissions of whole texts: one longer than a segment is cut, and both vectors are carried over the cuts."""
     states = len(model.start)
     short = [d for d in documents if len(d) <= SEGMENT]
     parts, before, after, _ = carried([d for d in documents if len(d) > SEGMENT], model)
     parts = parts + short
     before, after = np.concatenate([before, np.zeros((len(short), states))]), np.concatenate([after, np.ones((len(short), states))])
     start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
-    for g in _groups(parts):
-        a, b, c = expectations(parts[g], model, before[g], after[g])
+    for g in _alike(parts):
+        a, b, c = expectations([parts[i] for i in g.tolist()], model, before[g], after[g])
         start, moves, emits = start + a, moves + b, emits + c
     return start, moves, emits
 
@@ -321,8 +344,8 @@ def _mix(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     none = np.zeros(m.move.shape)
 
     def counts(documents: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        share, emits = mixture_counts(documents, m.emit, m.start)
-        return share, none, emits
+        parts = [mixture_counts(documents[g], m.emit, m.start) for g in _groups(documents)]
+        return sum(p[0] for p in parts), none, sum(p[1] for p in parts)
 
     yield from _partition_sums(batches, m, counts)
 
@@ -337,7 +360,7 @@ def _partition_sums(batches: Iterator[pa.RecordBatch], m: Model, counts) -> Iter
     start, moves, emits, any_row = np.zeros(states), np.zeros((states, states)), np.zeros(m.emit.shape), False
     for batch in batches:
         documents = [np.frombuffer(c.as_py(), CLASS) for c in batch.column(0)]
-        for g in _groups(documents):
+        for g in _groups(documents, 4_000_000):
             a, b, c = counts(documents[g])
             start, moves, emits, any_row = start + a, moves + b, emits + c, True
     if any_row:
@@ -352,7 +375,9 @@ def _summed(encoded: DataFrame, task, model: Model) -> tuple[np.ndarray, np.ndar
     states = len(model.start)
     sent = encoded.sparkSession.sparkContext.broadcast(model)
     schema = ", ".join(["class int", *(f"s{s} double" for s in range(states))])
-    rows = encoded.select("classes").mapInArrow(partial(task, model=sent), schema).groupBy("class").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
+    # A row a class comes from each task, so there are no more tasks than the cores need.
+    slots = 3 * encoded.sparkSession.sparkContext.defaultParallelism
+    rows = encoded.select("classes").coalesce(slots).mapInArrow(partial(task, model=sent), schema).groupBy("class").agg(*(F.sum(f"s{s}").alias(f"s{s}") for s in range(states))).toPandas()
     key, values = rows["class"].to_numpy(np.int64), rows[[f"s{s}" for s in range(states)]].to_numpy(float)
     start, moves, emits = np.zeros(states), np.zeros((states, states)), np.zeros(model.emit.shape)
     start += values[key == -1].sum(axis=0)
@@ -376,7 +401,7 @@ def log_likelihoods(documents: list[np.ndarray], model: Model) -> np.ndarray:
 def _likelihood(batches: Iterator[pa.RecordBatch], model) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         all_docs = [np.frombuffer(c.as_py(), CLASS) for c in batch.column(1)]
-        out = [log_likelihoods(all_docs[g], model.value) for g in _groups(all_docs)]
+        out = [log_likelihoods(all_docs[g], model.value) for g in _groups(all_docs, 4_000_000)]
         yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(out) if out else np.zeros(0), pa.float64())], ["k", "ll"])
 
 

@@ -1,7 +1,8 @@
 """64-bit hashes of all words of many texts at once, with numpy.
 
-A word's hash mixes two polynomials of its bytes: one modulo 2^64, and one modulo a prime,
-as there are words that no polynomial modulo a power of two tells apart.
+A word's hash is a polynomial of its bytes modulo 2^64, and for words over LONG bytes one
+modulo a prime beside it, as there are long words that no polynomial modulo a power of two
+tells apart (the shortest ones have hundreds of letters).
 """
 
 from __future__ import annotations
@@ -12,12 +13,10 @@ import numpy as np
 STEP = np.uint64(0x9E3779B97F4A7C15)
 BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 MIX = np.uint64(0xD6E8FEB86659FD93)
-PIECE_BYTES = 1_000_000
+PIECE_BYTES = 1 << 18
 
-PRIME = np.uint64((1 << 31) - 1)
-#: A random number below PRIME, and its inverse.
-BASE = np.uint64(1_390_675_453)
-BASE_BACK = np.uint64(pow(1_390_675_453, -1, (1 << 31) - 1))
+#: Bytes from which a word has the second hash, its modulus, and a random number below it.
+LONG, PRIME, BASE = 100, (1 << 31) - 1, 1_390_675_453
 
 #: A-Z in lower case, and every blank as a space.
 LOWER = bytes(b | 32 if 65 <= b <= 90 else 32 if b in (9, 10, 11, 12, 13) else b for b in range(256))
@@ -29,17 +28,20 @@ def powers(base: np.uint64, n: int) -> np.ndarray:
     return np.multiply.accumulate(out)
 
 
-def prime_powers(base: np.uint64, n: int) -> np.ndarray:
-    """The first n powers of base modulo PRIME, by doubling."""
-    out, size, step = np.ones(max(n, 1), np.uint64), 1, base
-    while size < n:
-        more = min(size, n - size)
-        out[size : size + more] = out[:more] * step % PRIME
-        step, size = step * step % PRIME, size + more
-    return out[:n]
+_STEPS, _BACKS = powers(STEP, PIECE_BYTES), powers(BACK, PIECE_BYTES)
 
 
-_TABLES = (powers(STEP, PIECE_BYTES), powers(BACK, PIECE_BYTES), prime_powers(BASE, PIECE_BYTES), prime_powers(BASE_BACK, PIECE_BYTES))
+def second_hash(word: np.ndarray) -> int:
+    """The bytes of a word as a polynomial modulo PRIME, a block at a time: a block's sum fits in 64 bits."""
+    out, block = 0, 4096
+    for at in range(0, len(word), block):
+        part = word[at : at + block].astype(np.uint64) + np.uint64(1)
+        out = (out * pow(BASE, len(part), PRIME) + int((part * _PRIMES[block - len(part) :]).sum(dtype=np.uint64))) % PRIME
+    return out
+
+
+#: Powers of BASE modulo PRIME, falling to 1.
+_PRIMES = np.array([pow(BASE, i, PRIME) for i in range(4095, -1, -1)], np.uint64)
 
 
 def mixed(h: np.ndarray) -> np.ndarray:
@@ -48,16 +50,6 @@ def mixed(h: np.ndarray) -> np.ndarray:
     return h ^ (h >> np.uint64(32))
 
 
-def running(values: np.ndarray) -> np.ndarray:
-    """Running sums from 0 on, modulo PRIME where they would outgrow 64 bits."""
-    out, total = [np.zeros(1, np.uint64)], np.uint64(0)
-    for at in range(0, len(values), 1 << 24):
-        sums = np.cumsum(values[at : at + (1 << 24)], dtype=np.uint64) + total
-        total = sums[-1] % PRIME
-        out.append(sums)
-    return np.concatenate(out)
-
-
 def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """Hashes of the words [^\\x20\\x09-\\x0D]+ of the texts in a row, A-Z in lower case, and the number of words of each text."""
     data = [t.encode().translate(LOWER) + b" " for t in texts]
@@ -71,15 +63,14 @@ def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
             end = (cut if cut >= 0 else buffer.find(b" ", end)) + 1
         raw = np.frombuffer(buffer, np.uint8, end - at, at)
         n = len(raw)
-        steps, backs, ups, downs = (x[:n] for x in _TABLES) if n <= PIECE_BYTES else (powers(STEP, n), powers(BACK, n), prime_powers(BASE, n), prime_powers(BASE_BACK, n))
+        steps, backs = (_STEPS[:n], _BACKS[:n]) if n <= PIECE_BYTES else (powers(STEP, n), powers(BACK, n))
         edge = np.diff(np.concatenate(([True], raw == 32, [True])).astype(np.int8))
         starts, ends = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        letters = raw.astype(np.uint64) + np.uint64(1)
-        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum(letters * steps, dtype=np.uint64)])
-        # A letter times a power is below 2^39: sums over fewer than 2^24 bytes fit, and a longer piece (one word) is reduced at each step of that size.
-        other = running(letters * ups)
-        second = (other[ends] % PRIME + PRIME - other[starts] % PRIME) % PRIME * downs[starts] % PRIME
-        hashes.append(mixed((prefix[ends] - prefix[starts]) * backs[starts] + second * MIX))
+        prefix = np.concatenate([np.zeros(1, np.uint64), np.cumsum((raw.astype(np.uint64) + np.uint64(1)) * steps, dtype=np.uint64)])
+        first = (prefix[ends] - prefix[starts]) * backs[starts]
+        for i in np.flatnonzero(ends - starts > LONG).tolist():
+            first[i] ^= np.uint64(second_hash(raw[starts[i] : ends[i]]) * int(MIX) & (1 << 64) - 1)
+        hashes.append(mixed(first))
         if len(starts):
             counts += np.bincount(np.searchsorted(doc_ends, starts + at, "right"), minlength=len(data))
         at = end
