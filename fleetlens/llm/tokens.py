@@ -13,6 +13,7 @@ from __future__ import annotations
 import os
 import re
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 
@@ -25,10 +26,10 @@ RARE = "\0\x0b\x0c\x1c\x1d\x1e\x1f"
 UNIT = re.compile(r"[ \t\n\r]*[^ \t\n\r]+|[ \t\n\r]+")
 
 #: Units and bytes of units after which the cache is emptied; one call may go beyond by the texts it is given.
-MAX_UNITS, CACHE_BYTES = 2_000_000, 48_000_000
-TABLE_BITS = 22
+MAX_UNITS, CACHE_BYTES = 1_000_000, 32_000_000
+TABLE_BITS = 21
 #: Bytes that are hashed and compared at a time.
-PIECE = 1 << 21
+PIECE = 1 << 19
 
 BLANK = np.zeros(256, bool)
 BLANK[[9, 10, 13, 32]] = True
@@ -158,8 +159,8 @@ class UnitCache:
         """The places at which the bytes are not those of the unit that the hash found."""
         lengths = ends - starts
         wrong = self.lengths.all[numbers] != lengths
-        own, bounds = self.starts.all[numbers], np.searchsorted(starts, np.arange(0, len(raw), PIECE))
-        for lo, hi in zip(bounds, [*bounds[1:], len(starts)], strict=True):
+        own, bounds = self.starts.all[numbers], np.append(np.searchsorted(starts, np.arange(0, len(raw), PIECE)), len(starts))
+        for lo, hi in pairwise(bounds.tolist()):
             n = np.where(wrong[lo:hi], 0, lengths[lo:hi])
             ahead = np.cumsum(n)
             place = np.arange(int(ahead[-1]) if len(n) else 0)
