@@ -279,7 +279,8 @@ def links(docs: DataFrame, heads: DataFrame, width: int, threshold: float, toler
     live = materialize(dealt.mapInArrow(partial(_prune, least=least_matches(threshold, tolerance)), "x bigint, y bigint, c binary, id bigint, t bigint, number int, partners binary"), "join-live")
     discard(hits, blocks, places)
     texts = docs.select(F.col(id_col).cast("long").alias("text_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    dealt = live.join(texts, F.col("id").eqNullSafe(F.col("text_id")) & (F.col("t") == F.xxhash64("text"))).select("x", "y", "c", "number", "partners", "text").repartition("x", "y").sortWithinPartitions("x", "y")
+    # Texts are dealt by their key at every size: a broadcast of what is live on small inputs would not tell what large ones need.
+    dealt = live.hint("merge").join(texts, F.col("id").eqNullSafe(F.col("text_id")) & (F.col("t") == F.xxhash64("text"))).select("x", "y", "c", "number", "partners", "text").repartition("x", "y").sortWithinPartitions("x", "y")
     out = materialize(dealt.mapInArrow(partial(_verify, width=width, threshold=threshold), "a binary, b binary, n bigint"), "join-links")
     discard(live)
     return out
