@@ -26,8 +26,8 @@ def _weight(level: str, weights: dict[str, dict[str, int]]) -> Column:
 WIDE = "decimal(19,0)"
 
 
-def ranged(nodes: DataFrame, parents: list[str], order: list[str], sums: dict[str, str]) -> DataFrame:
-    """nodes, written, with the running sums of some columns in the given order among the children of a parent, the row itself included.
+def ranged(nodes: DataFrame, parents: list[str], order: list[str], sums: dict[str, tuple[str, str]]) -> DataFrame:
+    """nodes, written, with sums of some columns (column: names of the running sum and of the sum of all) over the children of a parent in the given order, the row itself included.
 
     Rows are dealt by ranges of (parents, order). A range is summed within itself, and only
     a row for each parent and range meets in one task, so a parent may have any number of
@@ -35,11 +35,13 @@ def ranged(nodes: DataFrame, parents: list[str], order: list[str], sums: dict[st
     """
     dealt = materialize(nodes.repartitionByRange(*parents, *order).withColumn("_range", F.spark_partition_id()), "mix-nodes")
     totals = dealt.groupBy(*parents, "_range").agg(*(F.sum(c).alias(f"_t_{c}") for c in sums))
-    ahead = Window.partitionBy(*parents).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
-    totals = totals.select(*parents, "_range", *(F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0).cast("long")).alias(f"_b_{c}") for c in sums))
+    whole = Window.partitionBy(*parents).orderBy("_range")
+    ahead = whole.rowsBetween(Window.unboundedPreceding, -1)
+    every = whole.rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    totals = totals.select(*parents, "_range", *(F.coalesce(F.sum(f"_t_{c}").over(ahead), F.lit(0).cast("long")).alias(f"_b_{c}") for c in sums), *(F.sum(f"_t_{c}").over(every).alias(names[1]) for c, names in sums.items()))
     within = Window.partitionBy(*parents, "_range").orderBy(*order).rowsBetween(Window.unboundedPreceding, 0)
     out = dealt.select("*", *(F.sum(c).over(within).alias(f"_w_{c}") for c in sums)).join(totals, [*parents, "_range"])
-    return out.select(*nodes.columns, *((F.col(f"_w_{c}") + F.col(f"_b_{c}")).alias(name) for c, name in sums.items()))
+    return out.select(*nodes.columns, *((F.col(f"_w_{c}") + F.col(f"_b_{c}")).alias(names[0]) for c, names in sums.items()), *(names[1] for names in sums.values()))
 
 
 def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
@@ -47,27 +49,25 @@ def fill(nodes: DataFrame, parents: list[str], name: str) -> DataFrame:
 
     Children share in proportion to their weights; one whose cap is below its share gets
     the cap, and its siblings share the rest. In order of cap / weight, the children that
-    get their cap are the first ones, so running sums find them without a loop. Tokens
-    are whole: the shares are differences of rounded running shares, and so add up.
-    Products are decimals: two counts of 10^18 do not overflow.
+    get their cap are the first ones, so running sums find them without a loop: the first
+    child that does not get its cap tells what those before it got. Tokens are whole: the
+    shares are differences of rounded running shares, and so add up. Products are
+    decimals: two counts of 10^18 do not overflow.
     """
     nodes = nodes.withColumns({"_root": F.lit(0), "_key": F.col("cap") / F.col("w")})
     group = ["_root", *parents]
-    rows = ranged(nodes, group, ["_key", name], {"cap": "_caps", "w": "_ws"})
-    rows = rows.join(nodes.groupBy(*group).agg(F.sum("w").alias("_all")), group)
+    rows = ranged(nodes, group, ["_key", name], {"cap": ("_caps", "_all_caps"), "w": ("_ws", "_all")})
     wide = lambda c: c.cast(WIDE)
-    rest, left = F.col("_all") - F.col("_ws") + F.col("w"), F.col("given") - F.col("_caps") + F.col("cap")
-    rows = rows.withColumn("_meets", wide(F.col("cap")) * wide(rest) <= wide(left) * wide(F.col("w")))
+    before_cap, before_w = F.col("_caps") - F.col("cap"), F.col("_ws") - F.col("w")
+    meets = wide(F.col("cap")) * wide(F.col("_all") - before_w) <= wide(F.col("given") - before_cap) * wide(F.col("w"))
     at = F.struct("_key", name)
-    stops = rows.groupBy(*group).agg(F.min(F.when(~F.col("_meets"), at)).alias("_stop"))
-    rows = rows.join(stops, group).withColumn("_full", F.col("_stop").isNull() | (at < F.col("_stop")))
-    zero = F.lit(0).cast("long")
-    full = rows.groupBy(*group).agg(F.sum(F.when(F.col("_full"), F.col("cap")).otherwise(zero)).alias("_full_cap"), F.sum(F.when(F.col("_full"), F.col("w")).otherwise(zero)).alias("_full_w"))
-    rows = rows.join(full, group)
-    more, open_w, upto = wide(F.col("given") - F.col("_full_cap")), wide(F.col("_all") - F.col("_full_w")), wide(F.col("_ws") - F.col("_full_w"))
-    rows = rows.withColumns({"_open": open_w, "_high": more * upto, "_low": more * (upto - wide(F.col("w")))})
+    stop = F.min(F.struct(at.alias("at"), before_cap.alias("cap"), before_w.alias("w"))).alias("_stop")
+    rows = rows.join(rows.filter(~meets).groupBy(*group).agg(stop), group, "left")
+    full = F.col("_stop").isNull() | (at < F.col("_stop.at"))
+    more, upto = wide(F.col("given") - F.col("_stop.cap")), wide(F.col("_ws") - F.col("_stop.w"))
+    rows = rows.withColumns({"_open": wide(F.col("_all") - F.col("_stop.w")), "_high": more * upto, "_low": more * (upto - wide(F.col("w")))})
     part = F.expr("(_high div _open) - (_low div _open)")
-    return rows.withColumn("grant", F.when(F.col("_full"), F.col("cap")).otherwise(part)).select(*nodes.columns, "grant").drop("_root", "_key")
+    return rows.withColumn("grant", F.when(full, F.col("cap")).otherwise(part)).select(*nodes.columns, "grant").drop("_root", "_key")
 
 
 def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[int, int], epochs: int) -> DataFrame:
@@ -85,7 +85,7 @@ def budgets(leaves: DataFrame, weights: dict[str, dict[str, int]], share: tuple[
         parents = list(LEVELS[:depth])
         nodes = caps.groupBy(*parents, level).agg(F.sum("cap").alias("cap")).withColumn("w", _weight(level, weights))
         nodes = nodes.crossJoin(given) if not parents else nodes.join(given, parents)  # the first given is one row
-        given = materialize(fill(nodes, parents, level).select(*parents, level, F.col("grant").alias("given")), "mix-grants")
+        given = fill(nodes, parents, level).select(*parents, level, F.col("grant").alias("given"))
     return caps.join(given.withColumnRenamed("given", "tokens"), list(LEVELS)).drop("cap")
 
 
