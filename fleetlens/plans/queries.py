@@ -736,10 +736,17 @@ def cycle_fits(t: Tables) -> DataFrame:
     return trends.cycle_fits(trends.estimate_from_history(t.dump_stat, now()), 10_000_000_000)
 
 
-@query()
+@query(EVOLUTION
+    + ", " + ESTIMATE + ", " + STATE
+    + """, pk as (select dle, 2500 - days_since_full as due_in, days_since_full, full_est, case when days_since_full < 0 or days_since_full >= 2500 then 0 else 2500 - days_since_full end as slot from state join est using (dle)),
+    pl as (select slot, sum(full_est) as load from pk group by slot), pc as (select pk.*, coalesce(a.load, 0) as today, b.load as own from pk left join pl a on a.slot = 0 join pl b on b.slot = pk.slot where pk.slot > 0 and days_since_full * 2 >= 2500),
+    pm as (select max(load) as top, sum(load::double * load::double) as sq from pl)
+    select dle, cast(due_in as bigint) as due_in, full_est, cast(greatest(today + full_est, own - full_est, coalesce((select max(load) from pl where pl.slot <> 0 and pl.slot <> pc.slot), 0)) as bigint) as peak,
+        round((sq - today::double * today::double - own::double * own::double + (today + full_est)::double * (today + full_est)::double + (own - full_est)::double * (own - full_est)::double) / 1e18::double, 6) as square
+    from pc, pm where today + full_est <= 1152921504606846976 and today + full_est <= top""")
 def promotion_candidates(t: Tables) -> DataFrame:
-    state, estimate = levels_of(t)
-    return trends.promotion_candidates(state.filter("days_since_full between 0 and 999"), estimate, cycle=1000, room=1 << 60)
+    state, estimate = trends.dle_state(t.archive, now()), trends.estimate_from_history(t.dump_stat, now())
+    return trends.promotion_candidates(state, estimate, cycle=2500, room=1 << 60)
 
 
 TREE_CHAIN = "c as (select distinct dle, level, concat('run-2000-01-0', cast(level + 1 as string), '.000000') as run from member)"
@@ -762,11 +769,16 @@ def list_dir(t: Tables) -> DataFrame:
     return chains.list_dir(chains.tree_as_of(*tree_inputs(t)), "")
 
 
-@query()
+@query(
+    """with x as (select dle, level, seq, regexp_replace(path, '^/+|/+$', '', 'g') as path from member), k as (select *, row_number() over (partition by dle, path order by level desc, seq desc) as rk from x where path <> ''),
+    t as (select * from k where rk = 1), w as (select dle, path from t where seq % 3 = 0),
+    c as (select distinct t.dle, t.level, t.path from t join w on w.dle = t.dle and (t.path = w.path or starts_with(t.path, w.path || '/') or starts_with(w.path, t.path || '/')))
+    select dle, 'p' as point, concat('run-2000-01-0', cast(level + 1 as string), '.000000') as run, level, string_agg(path, '|' order by path) as members, count(*) as n from c group by dle, level"""
+)
 def collect_selection(t: Tables) -> DataFrame:
     tree = chains.tree_as_of(*tree_inputs(t))
     wanted = tree.filter("seq % 3 = 0").select("dle", "point", "path")
-    return chains.collect_selection(tree, wanted)
+    return chains.collect_selection(tree, wanted).withColumn("members", F.array_join("members", "|"))
 
 
 def selection_of(t: Tables) -> DataFrame:
@@ -789,27 +801,42 @@ def frames_of(t: Tables) -> tuple[DataFrame, DataFrame]:
     return frame, totals
 
 
-@query("""with r as (select *, coalesce(lead(off) over (partition by dle, level order by seq), 4611686018427387903) as e from member),
+FETCH = """with r as (select *, coalesce(lead(off) over (partition by dle, level order by seq), 4611686018427387903) as e from member),
     sz as (select dle, level, max(off) + 5000 as raw_total from member group by dle, level),
     x as (select r.dle, r.level, r.off as st, least(r.e, raw_total) as e, raw_total from r join sz using (dle, level) where exists (select 1 from member m where m.seq % 4 < 2 and m.dle = r.dle and m.level = r.level and m.path = r.path)),
     f as (select dle, level, raw, least(raw + 4096, raw_total) as raw_end, raw // 2 as enc, case when raw + 4096 >= raw_total then raw_total // 2 else (raw + 4096) // 2 end as enc_end from (select dle, level, raw_total, unnest(range(0, raw_total, 4096)) as raw from sz) q),
     h as (select distinct f.dle, f.level, enc as enc_start, enc_end from x join f on f.dle = x.dle and f.level = x.level and raw < e and raw_end > st),
     b as (select *, case when max(enc_end) over (partition by dle, level order by enc_start, enc_end rows between unbounded preceding and 1 preceding) >= enc_start then 0 else 1 end as nw from h),
     g as (select *, sum(nw) over (partition by dle, level order by enc_start, enc_end rows unbounded preceding) as g from b)
-    select dle, level, min(enc_start) as enc_start, max(enc_end) as enc_end, count(*) as n from g group by dle, level, g""")
+    select dle, level, min(enc_start) as enc_start, max(enc_end) as enc_end, count(*) as n from g group by dle, level, g"""
+
+
+@query(FETCH)
 def fetch_groups(t: Tables) -> DataFrame:
     frame, totals = frames_of(t)
     return reads.fetch_groups(reads.extents(t.member, selection_of(t)), frame, totals)
 
 
-@query()
+@query(
+    f"""with fg as ({FETCH}), tot as (select dle, level, (max(off) + 5000) // 2 as enc_total from member group by dle, level), chosen as (select distinct m.dle, m.level from member m where m.seq % 4 < 2),
+    p as (select dle, level, enc_total, count(enc_start) as fetches, sum(enc_end - enc_start) as bytes from tot join chosen using (dle, level) left join fg using (dle, level) group by dle, level, enc_total),
+    d as (select dle, level, case when bytes < enc_total then 'ranged' else 'whole' end as mode, case when bytes < enc_total then fetches else 1 end as fetches, cast(case when bytes < enc_total then bytes else enc_total end as bigint) as bytes from p)
+    select *, round(bytes / 1073741824.0::double * 0.09::double + fetches / 1000.0::double * 0.0004::double, 6) as price from d"""
+)
 def selection_plan(t: Tables) -> DataFrame:
     frame, totals = frames_of(t)
     ranges = reads.extents(t.member, selection_of(t))
     return reads.selection_plan(reads.fetch_groups(ranges, frame, totals), ranges, totals, rates(t), "cloud")
 
 
-@query()
+@query(
+    """with sz as (select dle, level, max(off) + 5000 as raw_total from member group by dle, level), f as (select dle, level, raw // 4096 as seq, raw from (select dle, level, unnest(range(0, raw_total, 4096)) as raw from sz) q),
+    c as (select dle, level, count(*) as n, max(raw) as last, case when count(*) > 1 then 4096 else 0 end as stride from f group by dle, level),
+    m as (select *, lead(off) over (partition by dle, level order by seq) as nx from member), h as (select m.dle, m.level, m.off // 4096 as k, min(m.off) as st, arg_min(m.path, m.seq) as path, arg_max(coalesce(m.nx, -1), m.seq) as en from m group by 1, 2, 3),
+    s as (select h.*, n, stride, case when en >= 0 then en else last + stride end - st as span, (k - 3 % n + n) % n as turn from h join c using (dle, level)),
+    r as (select *, row_number() over (partition by dle, level order by case when stride <= 0 or span <= 4 * stride then 0 else 1 end, case when stride <= 0 or span <= 4 * stride then 0 else span end, turn) as rk from s)
+    select dle, level, cast(k as int) as seq, k * 4096 as raw, path, cast(span as bigint) as span from r where rk = 1"""
+)
 def frame_sample(t: Tables) -> DataFrame:
     return reads.frame_sample(t.member, frames_of(t)[0], 3)
 
