@@ -418,8 +418,9 @@ def language_model(docs: DataFrame, held_out: int = 2, states: int = 8, steps: i
     the rounds of both and all counts cover every training document.
 
     Null and empty texts are the end token alone; null ids are training documents;
-    repeated rows give a row each and count each; other columns are ignored; an empty
-    table gives no rows. Words are told apart by 64-bit hashes.
+    repeated rows give a row each and count each; very long texts are trained on and
+    scored whole; other columns are ignored, whatever their names; an empty table gives no
+    rows. Words are told apart by 64-bit hashes.
     """
     spark: SparkSession = docs.sparkSession
     docs = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))

@@ -145,7 +145,8 @@ def mix_table(docs: DataFrame, weights: dict[str, dict[str, int]] = WEIGHTS, sha
     taken = epochs * n_tokens + last_tokens is what the mix draws from the document; over
     all rows it adds up to share of all tokens. Null texts have no tokens; null names are
     leaves named ''; null ids are ordered by an empty id; repeated rows are documents of
-    their own; other columns are ignored; an empty table gives an empty result.
+    their own; very long texts are one document; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     slim = with_domain(docs.select("doc_id", "text", "lang", "source"))
     slim = materialize(slim.select("doc_id", "domain", "lang", "source", "n_tokens"), "mix-documents")

@@ -142,8 +142,9 @@ def pack(docs: DataFrame, tokenizer: str, end: int, window: int = 2048, block_to
     they hold however tasks are retried. Only block ends leave a sequence short.
 
     Null texts are empty and give the end id alone; repeated rows are packed each; null
-    ids pass through; other columns are ignored; an empty table gives no pieces. One
-    narrow stage, no shuffle.
+    ids pass through; a text longer than a block is a block of its own, in memory that
+    follows its length; other columns are ignored, whatever their names; an empty table
+    gives no pieces. One narrow stage, no shuffle.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
     return rows.mapInArrow(partial(_pack, path=tokenizer, end=end, window=window, block_tokens=block_tokens, costs=costs), SCHEMA)

@@ -323,7 +323,8 @@ def similarity_classes(docs: DataFrame, width: int = 5, threshold: float = 0.8,
 
     Texts without words (null, empty) are linked to none: each is its own class, with its
     own id and 1 copy. Null ids are one id; repeated rows give a row each and count as
-    copies; other columns are ignored; an empty table gives an empty result.
+    copies; very long texts are compared whole; other columns are ignored, whatever their
+    names; an empty table gives an empty result.
     """
     return _classes(docs, width, threshold, tolerance, id_col, text_col)[0].select(F.col("id").alias(id_col), "class_id", "copy_id", "n_copies", "n_links")
 
