@@ -70,8 +70,15 @@ def band_keys(signature: np.ndarray) -> np.ndarray:
     return mixed((rows * powers(STEP, ROWS)).sum(axis=1, dtype=np.uint64) + np.arange(1, BANDS + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15))
 
 
-def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+def _slices(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[pa.RecordBatch]:
+    """The batches in slices, so that only a few texts at a time are Python's."""
     for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def _sketch(batches: Iterator[pa.RecordBatch], width: int) -> Iterator[pa.RecordBatch]:
+    for batch in _slices(batches, 1000):
         keys, bands, signatures = [], [], []
         for _, part in chunks(batch.column(1).to_pylist()):
             for s in shingle_sets(part, width):
@@ -159,7 +166,7 @@ def _roots(n: int, pairs: np.ndarray) -> list[int]:
 def _runs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[tuple, list[dict]]]:
     """Rows sorted by (x, y), gathered a pair of blocks at a time."""
     key, rows = None, []
-    for batch in batches:
+    for batch in _slices(batches, 256):
         for row in batch.to_pylist():
             if (row["x"], row["y"]) != key:
                 if rows:
