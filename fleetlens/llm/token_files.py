@@ -33,37 +33,68 @@ from fleetlens.llm.tokens import chunks, encoder, with_end
 SHARD_SCHEMA = "part int, shard int, doc_ids array<bigint>, counts array<bigint>, base bigint, rules binary, lengths binary, stream binary"
 
 
-SLOT_BITS = 20
+SLOT_BITS, FEW_PAIRS = 20, 1 << 17
 
 
 def _frequent(a: np.ndarray, b: np.ndarray, least: int) -> tuple[np.ndarray, np.ndarray]:
-    """The places of all pairs seen `least` times or more, ascending, and the pair's rank at each: 0 is the most frequent.
+    """Which of the pairs (a[i], b[i]) are seen `least` times or more, ascending, and the pair's rank at each: 0 is the most frequent.
 
-    A slot of a hash table counts at least as many as each pair in it, so only places in
-    full slots are sorted; the counts of their pairs are exact.
+    A slot of a hash table counts at least as many as each pair in it, so only pairs in
+    full slots are sorted; the counts of those are exact. A slot then leads to the one
+    frequent pair in it; where two share one, the second is searched for. Few pairs are
+    sorted with their places at once.
     """
+    if len(a) < FEW_PAIRS:
+        codes, of_place, counts = np.unique((a.astype(np.uint64) << np.uint64(32)) | b, return_inverse=True, return_counts=True)
+        order = np.lexsort((codes * np.uint64(0x9E3779B97F4A7C15), -counts))
+        rank = np.empty(len(codes), np.int32)
+        rank[order] = np.arange(len(codes), dtype=np.int32)
+        at = np.flatnonzero(counts[of_place] >= least).astype(np.int32)
+        return at, rank[of_place[at]]
     h = a * np.uint32(0x9E3779B1) + b * np.uint32(0x85EBCA77)
     h ^= h >> np.uint32(15)
     h *= np.uint32(0xC2B2AE3D)
     slots = (h >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
     at = np.flatnonzero((np.bincount(slots, minlength=1 << SLOT_BITS) >= least)[slots])
-    codes, of_place, counts = np.unique((a[at].astype(np.uint64) << np.uint64(32)) | b[at], return_inverse=True, return_counts=True)
-    order = np.lexsort((codes * np.uint64(0x9E3779B97F4A7C15), -counts))
-    rank = np.empty(len(codes), np.int64)
-    rank[order] = np.arange(len(codes))
-    keep = counts[of_place] >= least
-    return at[keep], rank[of_place[keep]]
+    slots, codes = slots[at], (a[at].astype(np.uint64) << np.uint64(32)) | b[at]
+    ordered = np.sort(codes)
+    first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1]))) if len(ordered) else np.zeros(0, np.int64)
+    counts = np.diff(np.append(first, len(ordered)))
+    pairs, counts = ordered[first][counts >= least], counts[counts >= least]
+    order = np.lexsort((pairs * np.uint64(0x9E3779B97F4A7C15), -counts))
+    rank = np.empty(len(pairs), np.int32)
+    rank[order] = np.arange(len(pairs), dtype=np.int32)
+    x, y = (pairs >> np.uint64(32)).astype(np.uint32), pairs.astype(np.uint32)
+    h = x * np.uint32(0x9E3779B1) + y * np.uint32(0x85EBCA77)
+    h ^= h >> np.uint32(15)
+    h *= np.uint32(0xC2B2AE3D)
+    own = (h >> np.uint32(32 - SLOT_BITS)).astype(np.intp)
+    table, ranks = np.zeros(1 << SLOT_BITS, np.uint64), np.full(1 << SLOT_BITS, -1, np.int32)
+    table[own], ranks[own] = pairs, rank
+    found = np.where(table[slots] == codes, ranks[slots], np.int32(-1))
+    shared = np.flatnonzero(table[own] != pairs)
+    if len(shared):
+        rest = np.flatnonzero(found < 0)
+        i = np.minimum(np.searchsorted(pairs[shared], codes[rest]), len(shared) - 1)
+        hit = pairs[shared][i] == codes[rest]
+        found[rest[hit]] = rank[shared][i[hit]]
+    keep = np.flatnonzero(found >= 0)
+    return at[keep].astype(np.int32), found[keep]
 
 
 def _apart(at: np.ndarray, rank: np.ndarray) -> np.ndarray:
     """Which of the places to replace, so that none overlap: of neighbours the more frequent pair, in a run of one pair every second place from the first on."""
-    new = np.concatenate(([True], (np.diff(at) > 1) | (np.diff(rank) != 0)))
-    begin = np.maximum.accumulate(np.where(new, np.arange(len(at)), 0))
-    left = np.flatnonzero((np.arange(len(at)) - begin) % 2 == 0)
+    count = np.arange(len(at), dtype=np.int32)
+    new = np.ones(len(at), bool)
+    np.not_equal(at[1:], at[:-1] + np.int32(1), out=new[1:])
+    new[1:] |= rank[1:] != rank[:-1]
+    begin = np.maximum.accumulate(np.where(new, count, np.int32(0)))
+    left = np.flatnonzero(((count - begin) & 1) == 0).astype(np.int32)
     taken = np.zeros(len(at), bool)
     while len(left):
-        near = np.diff(at[left]) == 1
-        lower = rank[left[1:]] < rank[left[:-1]]
+        place, order = at[left], rank[left]
+        near = place[1:] == place[:-1] + np.int32(1)
+        lower = order[1:] < order[:-1]
         lose = np.zeros(len(left), bool)
         lose[:-1] |= near & lower
         lose[1:] |= near & ~lower
@@ -83,15 +114,21 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
     `least` places waits for the next round. It ends when no pair is frequent (or after
     `rounds`, where given). A rule takes three numbers, so replacing a pair seen fewer than
     four times saves nothing; `least` is the count from which a pair is frequent. ids must be below base.
+
+    A pair without a new nonterminal is never seen more often than the round before, so
+    after the first round only places next to a new one, and those of pairs that were
+    frequent and stayed, are counted.
     """
     seq, rules, lengths = ids.astype(np.uint32), np.zeros((0, 2), np.int64), np.zeros(0, np.int64)
-    while len(seq) > 1 and rounds != 0:
+    look: np.ndarray | None = None  # all places
+    while len(seq) > 1 and (look is None or len(look)) and rounds != 0:
         rounds = None if rounds is None else rounds - 1
-        at, rank = _frequent(seq[:-1], seq[1:], least)
-        if not len(at):
+        every, rank = _frequent(seq[:-1], seq[1:], least) if look is None else _frequent(seq[look], seq[look + 1], least)
+        if not len(every):
             break
-        taken = _apart(at, rank)
-        at, rank = at[taken], rank[taken]
+        every = every if look is None else look[every]
+        taken = _apart(every, rank)
+        at, rank = every[taken], rank[taken]
         # The most frequent pair keeps at least half of its places, so each round replaces some.
         used = np.bincount(rank) * 2 >= least
         number = np.cumsum(used) - 1
@@ -103,15 +140,19 @@ def compress(ids: np.ndarray, base: int, rounds: int | None = None, least: int =
         size = np.where(halves < base, 1, np.append(lengths, 0)[np.maximum(halves - base, -1)]).sum(axis=1)
         rules, lengths = np.concatenate([rules, halves]), np.concatenate([lengths, size])
         seq[at] = (first + rank).astype(np.uint32)
-        keep = np.ones(len(seq), bool)
+        keep, again = np.ones(len(seq), bool), np.zeros(len(seq), bool)
         keep[at + 1] = False
-        seq = seq[keep]
+        again[every] = True
+        seq, again = seq[keep], again[keep]
+        new = seq >= first
+        again |= new
+        again[:-1] |= new[1:]
+        look = np.flatnonzero(again[:-1]).astype(np.int32)
     return seq, rules.astype(np.uint32), lengths.astype(np.uint32)
 
 
-def expand(stream: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
-    """The ids that stream stands for."""
-    seq = stream
+def _unfolded(seq: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
+    """The ids that seq stands for, one level of rules at a time."""
     while len(seq) and int(seq.max()) >= base:
         deep = seq >= base
         size = np.where(deep, 2, 1)
@@ -124,6 +165,18 @@ def expand(stream: np.ndarray, rules: np.ndarray, base: int) -> np.ndarray:
     return seq
 
 
+def expand(stream: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int) -> np.ndarray:
+    """The ids that stream stands for: each rule in use is unfolded once, and its ids are copied wherever it stands."""
+    deep = np.flatnonzero(stream >= base)
+    used, of_place = np.unique(stream[deep], return_inverse=True)
+    flat = np.concatenate([_unfolded(used, rules, base), stream])
+    sizes = lengths[used - base].astype(np.int64)
+    size, start = np.ones(len(stream), np.int64), np.arange(len(flat) - len(stream), len(flat))
+    size[deep], start[deep] = sizes[of_place], (np.cumsum(sizes) - sizes)[of_place]
+    at = np.cumsum(size) - size
+    return flat[np.repeat(start - at, size) + np.arange(int(size.sum()))]
+
+
 def slice_ids(stream: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base: int, start: int, stop: int) -> np.ndarray:
     """ids[start:stop] of a shard, expanding only the symbols that cover them."""
     size = np.ones(len(stream), np.int64)
@@ -132,7 +185,7 @@ def slice_ids(stream: np.ndarray, rules: np.ndarray, lengths: np.ndarray, base:
     ends = np.cumsum(size)
     lo, hi = int(np.searchsorted(ends, start, "right")), int(np.searchsorted(ends, stop, "left")) + 1
     skipped = int(ends[lo - 1]) if lo else 0
-    return expand(stream[lo:hi], rules, base)[start - skipped : stop - skipped]
+    return expand(stream[lo:hi], rules, lengths, base)[start - skipped : stop - skipped]
 
 
 def _shard(part: int, shard: int, doc_ids: list[int], parts: list[tuple[np.ndarray, np.ndarray]], base: int) -> pa.RecordBatch:
@@ -184,8 +237,8 @@ def write_token_files(docs: DataFrame, path: str, tokenizer: str, end: int, shar
 def _decode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for row in batch.to_pylist():
-            rules = np.frombuffer(row["rules"], "<u4").reshape(-1, 2)
-            ids = expand(np.frombuffer(row["stream"], "<u4"), rules, row["base"]).astype("<u4")
+            rules, lengths, stream = (np.frombuffer(row[c], "<u4") for c in ("rules", "lengths", "stream"))
+            ids = expand(stream, rules.reshape(-1, 2), lengths, row["base"]).astype("<u4")
             counts = np.array(row["counts"], np.int64)
             ends = np.cumsum(counts)
             view = memoryview(ids.tobytes())

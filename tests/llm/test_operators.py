@@ -128,7 +128,7 @@ def test_grammar_compression_is_exact_and_random_access():
     for ids in (rng.integers(0, 5, 3000), np.zeros(1000), np.array([]), np.array([3]), rng.integers(0, 50000, 2000), np.tile(rng.integers(0, 99, 40), 60)):
         ids = ids.astype(np.uint32)
         stream, rules, lengths = token_files.compress(ids, 50257, rounds=6)
-        assert token_files.expand(stream, rules, 50257).tolist() == ids.tolist()
+        assert token_files.expand(stream, rules, lengths, 50257).tolist() == ids.tolist()
         for a, b in ((0, min(1, len(ids))), (len(ids) // 3, len(ids) // 2), (0, len(ids))):
             if a < b:
                 assert token_files.slice_ids(stream, rules, lengths, 50257, a, b).tolist() == ids[a:b].tolist()
@@ -142,7 +142,7 @@ def test_grammar_compression_ends_only_when_no_pair_is_frequent():
         ids = ids.astype(np.uint32)
         stream, rules, lengths = token_files.compress(ids, 50257)
         assert not len(stream) > 1 or max(Counter(pairwise(stream.tolist())).values()) < 8
-        assert token_files.expand(stream, rules, 50257).tolist() == ids.tolist()
+        assert token_files.expand(stream, rules, lengths, 50257).tolist() == ids.tolist()
         assert token_files.slice_ids(stream, rules, lengths, 50257, 100, 777).tolist() == ids[100:777].tolist()
 
 
