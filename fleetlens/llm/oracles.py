@@ -84,4 +84,33 @@ select e.doc_id, n_chars, sha256(edited) as edited_sha256, fa.fp as fingerprint,
        (2 * ib.n)::double / (2 * (na.n + nb.n - ib.n))::double as near_edited, (2 * ic.n)::double / (2 * (na.n + nc.n - ic.n))::double as near_next
 from e join fa using (doc_id) join fb using (doc_id) join na using (doc_id) join nb using (doc_id) join nc using (doc_id) join ib using (doc_id) join ic using (doc_id) left join rm using (doc_id) left join ad using (doc_id)"""
 
-ORACLE: dict[str, str] = {"op1_mixing": OP1, "op2_quality_rules": OP2, "op9_fingerprints": OP9}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+
+OP11 = rf"""
+with i as (select item_id::varchar as item, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from benchmark),
+win as (select distinct item, least(len(w), 10) as size, array_to_string(w[k:k + least(len(w), 10) - 1], ' ') as words from i, unnest(range(1, len(w) - least(len(w), 10) + 2)) as u(k) where len(w) > 0),
+d as (select row_number() over () as r, doc_id, regexp_extract_all({_LOWER}, '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') as w from documents),
+place as (select r, k, size, array_to_string(w[k:k + size - 1], ' ') as words from d, (select distinct size from win) z, unnest(range(1, len(w) - size + 2)) as u(k)),
+hit as (select r, k, size, item from place join win using (size, words)),
+n as (select r, count(distinct p) as n_hit from (select r, unnest(range(k, k + size)) as p from hit) q group by r),
+x as (select r, count(*) as n_items, string_agg(item, ',' order by item) as items from (select distinct r, item from hit where item is not null) q group by r)
+select doc_id, len(w)::bigint as n_words, coalesce(n_hit, 0)::bigint as n_hit, coalesce(n_items, 0)::bigint as n_items, sha256(coalesce(items, '')) as items_sha256, coalesce(n_hit, 0) > 0 as contaminated
+from d left join n using (r) left join x using (r)"""
+
+OP12 = rf"""
+with d as (select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source, {_LOWER} as text from documents),
+t as (select r, lang, source, unnest(regexp_extract_all(text, '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term from d),
+k as (select lang, term, count(*)::hugeint as m from t group by lang, term having count(distinct r) >= 30),
+l as (select lang, count(*)::hugeint as v, sum(m)::hugeint as lang_total from k group by lang),
+c as (select lang, source, term, count(*)::hugeint as n from t join k using (lang, term) group by all),
+s as (select lang, source, sum(n)::hugeint as total from c group by all),
+g as (select lang, source, coalesce(v, 0) as v, coalesce(lang_total, 0) as lang_total, coalesce(total, 0) as total from (select distinct lang, source from d) q left join l using (lang) left join s using (lang, source)),
+p as (select lang, source, term, coalesce(n, 0) as n, 1 + (1000000000::hugeint * (coalesce(n, 0) + 5)) // (total + 5 * v) as p, 1 + (1000000000::hugeint * (m + 5)) // (lang_total + 5 * v) as q
+      from g join k using (lang) left join c using (lang, source, term)),
+pair as (select a.lang, a.source, b.source as item, coalesce(sum(abs(x.p - y.p)), 0)::bigint as value from g a join g b on a.lang = b.lang and a.source <> b.source
+         left join p x on x.lang = a.lang and x.source = a.source left join p y on y.lang = b.lang and y.source = b.source and y.term = x.term group by all),
+term as (select lang, source, term as item, (p - q)::bigint as value, row_number() over (partition by lang, source order by p - q desc, term) as rank from p where n > 0 and p > q)
+select lang, source, 'pair' as part, item, value, row_number() over (partition by lang, source order by value desc, item)::int as rank from pair
+union all select lang, source, 'term', item, value, rank::int from term where rank <= 50"""
+
+ORACLE: dict[str, str] = {"op1_mixing": OP1, "op2_quality_rules": OP2, "op9_fingerprints": OP9, "op11_decontamination": OP11, "op12_source_divergence": OP12}
