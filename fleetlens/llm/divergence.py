@@ -9,53 +9,58 @@ from functools import partial
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.llm.common import discard, materialize
 from fleetlens.llm.words import LETTERS, binary, pieces
 
-#: Entries a worker counts before it hands them on, about 60 MB.
+#: Terms of its groups that a worker counts before it hands them on, about 60 MB; a document's own terms come on top.
 MOST_COUNTED = 200_000
 
 #: Sources of a language compared in one table, and its rows.
 BLOCK, TERMS = 256, 2048
 
 
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     groups: dict[tuple[str, str], tuple[Counter, Counter]] = {}
 
-    def entries() -> pa.RecordBatch:
-        rows = [(lang, source, term.decode(), n, docs[term]) for (lang, source), (words, docs) in groups.items() for term, n in words.items()]
+    def entries() -> Iterator[pa.RecordBatch]:
+        for (lang, source), (words, docs) in groups.items():
+            n, kinds = len(words), (pa.string(), pa.string())
+            names = [pa.repeat(pa.scalar(x, t), n) for x, t in zip((lang, source), kinds, strict=True)]
+            counts = [pa.array(np.fromiter(x, np.int64, n)) for x in (words.values(), map(docs.__getitem__, words))]
+            yield pa.RecordBatch.from_arrays([*names, pc.cast(pa.array(list(words), pa.binary()), pa.string()), *counts], ["lang", "source", "term", "n", "docs"])
         groups.clear()
-        types = (pa.string(), pa.string(), pa.string(), pa.int64(), pa.int64())
-        columns = [pa.array(c, t) for c, t in zip(zip(*rows, strict=True), types, strict=True)] if rows else [pa.array([], t) for t in types]
-        return pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "docs"])
 
+    held = 0
     for batch in batches:
         for lang, source, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), binary(batch.column(2)), strict=True):
             words, docs = groups.setdefault((lang, source), (Counter(), Counter()))
             own: set[bytes] = set()
+            before = len(words)
             for part in pieces(data.as_py().translate(LETTERS)):
                 words.update(part)
                 own.update(part)
             docs.update(own)
-        if sum(len(words) for words, _ in groups.values()) > MOST_COUNTED:
-            yield entries()
-    yield entries()
+            held += len(words) - before
+            if held > most:
+                yield from entries()
+                held = 0
+    yield from entries()
 
 
 def term_counts(rows: DataFrame, least_docs: int) -> DataFrame:
-    """(lang, source, term, n, lang_n) for the terms of rows (lang, source, text) that at least least_docs documents of the lang have.
+    """(lang, term, lang_n, own: array of (source, n)) for the terms of rows (lang, source, text) that at least least_docs documents of the lang have.
 
     Tasks count before anything is shuffled, and one shuffle by lang and term serves both
     sums, so a term with a third of all words costs a row a task and source.
     """
-    counted = rows.mapInArrow(_counted, "lang string, source string, term string, n bigint, docs bigint")
+    counted = rows.mapInArrow(partial(_counted, most=MOST_COUNTED), "lang string, source string, term string, n bigint, docs bigint")
     by_group = counted.repartition("lang", "term").groupBy("lang", "term", "source").agg(F.sum("n").alias("n"), F.sum("docs").alias("docs"))
-    of_term = Window.partitionBy("lang", "term")
-    both = by_group.select("lang", "source", "term", "n", F.sum("n").over(of_term).alias("lang_n"), F.sum("docs").over(of_term).alias("lang_docs"))
-    return both.filter(F.col("lang_docs") >= least_docs).drop("lang_docs")
+    of_term = by_group.groupBy("lang", "term").agg(F.sum("n").alias("lang_n"), F.sum("docs").alias("docs"), F.collect_list(F.struct("source", "n")).alias("own"))
+    return of_term.filter(F.col("docs") >= least_docs).drop("docs")
 
 
 def share(n: Column, total: Column, terms: Column) -> Column:
@@ -112,35 +117,49 @@ def skyband(n: np.ndarray, m: np.ndarray, terms: np.ndarray, k: int) -> np.ndarr
 
 
 def _skybands(batches: Iterator[pa.RecordBatch], k: int, most: int = 1 << 16) -> Iterator[pa.RecordBatch]:
-    """The skyband of each group's rows of a partition; a group's rows are cut down whenever `most` came since the last time."""
-    held: dict[tuple[str, str], tuple[list, int, int]] = {}
-
-    def cut_down(rows: list) -> list:
-        n, m = (np.array([r[i] for r in rows], np.int64) for i in (1, 2))
-        return [rows[i] for i in skyband(n, m, np.array([r[0].encode() for r in rows], object), k).tolist()]
+    """The skyband of each group's rows of a partition; a group's rows are cut down whenever as many came as it held, `most` at least. Batches have (lang, term, lang_n, own) or, to merge skybands, a source and count for own."""
+    held: dict[tuple[str, str], tuple[list, list, list, list]] = {}
+
+    def cut_down(rows: tuple) -> None:
+        terms, n, m, limit = rows
+        kept = skyband(np.array(n, np.int64), np.array(m, np.int64), np.array([t.encode() for t in terms], object), k).tolist()
+        for column in (terms, n, m):
+            column[:] = [column[i] for i in kept]
+        limit[0] = max(most, 2 * len(kept))
+
+    def put(lang: str, source: str, term: str, n: int, m: int) -> None:
+        rows = held.get((lang, source))
+        if rows is None:
+            rows = held[lang, source] = ([], [], [], [most])
+        for column, value in zip(rows, (term, n, m), strict=False):
+            column.append(value)
+        if len(rows[0]) >= rows[3][0]:
+            cut_down(rows)
 
     for batch in batches:
-        for lang, source, term, n, m in zip(*(batch.column(i).to_pylist() for i in range(5)), strict=True):
-            rows, new, limit = held.get((lang, source), ([], 0, most))
-            rows.append((term, n, m))
-            if new + 1 >= limit:
-                rows = cut_down(rows)
-                new, limit = -1, max(most, len(rows))
-            held[lang, source] = rows, new + 1, limit
-    for (lang, source), (rows, _, _) in held.items():
-        kept = cut_down(rows)
-        columns = [pa.array([lang] * len(kept)), pa.array([source] * len(kept)), *(pa.array([r[i] for r in kept], t) for i, t in ((0, pa.string()), (1, pa.int64()), (2, pa.int64())))]
-        yield pa.RecordBatch.from_arrays(columns, ["lang", "source", "term", "n", "lang_n"])
+        if batch.num_columns == 4:
+            own = batch.column(3)
+            ends = own.offsets.to_pylist()
+            sources, counts = (own.values.field(i).to_pylist() for i in (0, 1))
+            for lang, term, m, a, b in zip(*(batch.column(i).to_pylist() for i in range(3)), ends[:-1], ends[1:], strict=True):
+                for i in range(a, b):
+                    put(lang, sources[i], term, counts[i], m)
+        else:
+            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                put(*row)
+    for (lang, source), rows in held.items():
+        cut_down(rows)
+        n = len(rows[0])
+        yield pa.RecordBatch.from_arrays([pa.array([lang] * n, pa.string()), pa.array([source] * n, pa.string()), pa.array(rows[0], pa.string()), pa.array(rows[1], pa.int64()), pa.array(rows[2], pa.int64())], ["lang", "source", "term", "n", "lang_n"])
 
 
 def skybands(counts: DataFrame, k: int, slices: int = 16) -> DataFrame:
-    """Of each group's terms a superset of its first k by any measure that rises with n and falls with lang_n, ties by term: skybands of partitions, merged by (group, slice of its terms).
+    """(lang, source, term, n, lang_n): of each group's terms a superset of its first k by any measure that rises with n and falls with lang_n, ties by term: skybands of partitions, merged by (group, slice of its terms).
 
     A group stays in slices, as its skyband may be all of its terms, where the more frequent ones are so in the whole lang too.
     """
     fields = "lang string, source string, term string, n bigint, lang_n bigint"
-    rows = counts.select("lang", "source", "term", "n", "lang_n")
-    of_partitions = rows.mapInArrow(partial(_skybands, k=k), fields)
+    of_partitions = counts.select("lang", "term", "lang_n", "own").mapInArrow(partial(_skybands, k=k), fields)
     return of_partitions.repartition("lang", "source", F.pmod(F.xxhash64("term"), F.lit(slices))).mapInArrow(partial(_skybands, k=k), fields)
 
 
@@ -157,9 +176,9 @@ def first_terms(counts: DataFrame, groups: DataFrame, top: int) -> DataFrame:
 def _distances(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
     """Sums over a partition's terms of |p - q| for the sources of two blocks of a lang, over what |p - q| is where neither has the term.
 
-    Rows come sorted by (lang, a, b, term), with a head first that has the blocks' sources,
-    the shares of a term they lack, and the number of terms where the distance of those is
-    to be counted for all terms (in one partition).
+    Rows come sorted by (lang, a, b, term), with a head first that has the blocks' sources
+    and their totals, the number of the lang's terms, and whether the distance of the
+    shares of a term that neither source has is to be counted for all of these.
     """
     state: dict = {}
 
@@ -174,32 +193,37 @@ def _distances(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
 
     def sums() -> pa.RecordBatch:
         flush()
-        (a, _), (b, _) = state["sources"]
+        a, b = (list(side) for side in state["at"])
         total = state["sums"] + state["all"] * state["apart"]
         xs, ys = np.nonzero(np.array([[x != y for y in b] for x in a], bool).reshape(len(a), len(b)))
-        values = total[xs, ys]
         names = [pa.array([state["lang"]] * len(xs), pa.string()), pa.array([a[x] for x in xs.tolist()], pa.string()), pa.array([b[y] for y in ys.tolist()], pa.string())]
-        return pa.RecordBatch.from_arrays([*names, pa.array(values, pa.int64())], ["lang", "source", "item", "value"])
+        return pa.RecordBatch.from_arrays([*names, pa.array(total[xs, ys], pa.int64())], ["lang", "source", "item", "value"])
+
+    def opened(lang: str, a: int, b: int, heads: list, terms: int, whole: bool) -> dict:
+        sides = [[h for h in heads if h["block"] == k] for k in (a, b)]
+        under = [np.array([h["total"] + 5 * terms for h in side], object) for side in sides]
+        none = [np.array([1 + 5 * 10**9 // u if u else 0 for u in side], np.int64) for side in under]
+        out = {"lang": lang, "none": none, "under": under, "all": terms if whole else 0, "apart": np.abs(none[0][:, None] - none[1][None, :]), "sums": np.zeros((len(none[0]), len(none[1])), np.int64), "places": {}}
+        out["left"], out["right"] = np.tile(none[0], (most, 1)), np.tile(none[1], (most, 1))
+        out["at"] = [{h["source"]: i for i, h in enumerate(side)} for side in sides]
+        return out
 
     for batch in batches:
-        for lang, a, b, term, source, share_, heads, terms in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+        for lang, a, b, term, own, heads, terms, whole in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             if heads is not None:
                 if state:
                     yield sums()
-                sides = [([h["source"] for h in heads if h["block"] == k], np.array([h["none"] for h in heads if h["block"] == k], np.int64)) for k in (a, b)]
-                none = sides[0][1], sides[1][1]
-                state = {"lang": lang, "sources": sides, "none": none, "all": terms, "apart": np.abs(none[0][:, None] - none[1][None, :]), "sums": np.zeros((len(none[0]), len(none[1])), np.int64), "places": {}}
-                state["left"], state["right"] = np.tile(none[0], (most, 1)), np.tile(none[1], (most, 1))
-                state["at"] = [{s: i for i, s in enumerate(side)} for side, _ in sides]
+                state = opened(lang, a, b, heads, terms, whole)
                 continue
             row = state["places"].get(term)
             if row is None:
                 if len(state["places"]) == most:
                     flush()
                 row = state["places"][term] = len(state["places"])
-            for side, table in zip(state["at"], (state["left"], state["right"]), strict=True):
-                if source in side:
-                    table[row, side[source]] = share_
+            for at, under, table in zip(state["at"], state["under"], (state["left"], state["right"]), strict=True):
+                for x in own:
+                    if (i := at.get(x["source"])) is not None:
+                        table[row, i] = 1 + 10**9 * (x["n"] + 5) // under[i]
     if state:
         yield sums()
 
@@ -207,27 +231,28 @@ def _distances(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.Reco
 def source_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
     """(lang, source, item, value): the summed distance of each two sources of a lang over all its terms.
 
-    Sources of a lang are numbered and dealt into blocks of BLOCK. A row goes to the block
-    pairs that its source is in, each pair is dealt by term into slices, and a slice sums
-    tables of TERMS terms by two blocks; only sums of sources, not terms, are shuffled again.
+    Sources of a lang are dealt by hash into blocks of about BLOCK. What a block has of a
+    term goes to the pairs of blocks that it is in, each pair is dealt by term into slices,
+    and a slice sums tables of TERMS terms by two blocks; only sums of pairs of sources,
+    not terms, are shuffled again.
     """
-    numbered = groups.withColumn("block", ((F.row_number().over(Window.partitionBy("lang").orderBy("source")) - 1) / BLOCK).cast("int"))
-    none = F.when(F.col("terms") > 0, share(F.lit(0).cast("bigint"), F.col("total"), F.col("terms"))).otherwise(F.lit(0).cast("bigint"))
-    numbered = materialize(numbered.withColumn("none", none), "divergence-sources")
-    slices = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 4)
-    blocks = numbered.groupBy("lang", "block").agg(F.collect_list(F.struct("block", "source", "none")).alias("own"), F.max("terms").alias("terms"))
-    other = blocks.select("lang", F.col("block").alias("b"), F.col("own").alias("theirs"))
-    pairs = blocks.withColumnRenamed("block", "a").join(other, "lang")
-    heads = pairs.select("lang", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.when(F.col("a") == F.col("b"), F.col("own")).otherwise(F.concat("own", "theirs")).alias("heads"), "terms")
-    heads = heads.select("lang", "a", "b", "slice", F.lit(None).cast("string").alias("term"), F.lit(None).cast("string").alias("source"), F.lit(None).cast("bigint").alias("share"), "heads", F.when(F.col("slice") == 0, F.col("terms")).otherwise(F.lit(0)).alias("terms"))
-    last = numbered.groupBy("lang").agg(F.max("block").alias("last"))
-    own = counts.join(numbered, ["lang", "source"]).join(last, "lang")
-    p = share(F.col("n"), F.col("total"), F.col("terms"))
-    side = F.explode(F.array_distinct(F.concat(F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: F.struct(F.col("block").alias("a"), x.alias("b"))), F.transform(F.sequence(F.lit(0), F.col("last")), lambda x: F.struct(x.alias("a"), F.col("block").alias("b"))))))
-    rows = own.select("lang", side.alias("x"), "term", "source", p.alias("share")).select("lang", "x.a", "x.b", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"), "term", "source", "share", F.lit(None).cast(heads.schema["heads"].dataType).alias("heads"), F.lit(None).cast("bigint").alias("terms"))
-    dealt = heads.unionByName(rows).repartition("lang", "a", "b", "slice").sortWithinPartitions("lang", "a", "b", "slice", F.col("term").asc_nulls_first())
-    parts = dealt.drop("slice").mapInArrow(partial(_distances, most=TERMS), "lang string, source string, item string, value bigint")
-    return parts.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("terms").alias("terms"))
+    slices = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    block = lambda source: F.pmod(F.xxhash64(source), F.col("blocks")).cast("int")
+    heads = groups.drop("terms").join(blocks, "lang").withColumn("block", block(F.col("source")))
+    heads = heads.groupBy("lang", "block").agg(F.collect_list(F.struct("block", "source", "total")).alias("own"), F.max("terms").alias("terms"))
+    filled = blocks.join(heads.groupBy("lang").agg(F.collect_list("block").alias("filled")), "lang").drop("terms")
+    both = heads.withColumnRenamed("block", "a").join(heads.select("lang", F.col("block").alias("b"), F.col("own").alias("theirs")), "lang")
+    members = F.when(F.col("a") == F.col("b"), F.col("own")).otherwise(F.concat("own", "theirs"))
+    heads = both.select("lang", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), members.alias("heads"), "terms").withColumn("whole", F.col("slice") == 0)
+    numbers = F.col("filled")
+    parts = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("block"), "own"))).otherwise(F.transform(numbers, lambda k: F.struct(k.alias("block"), F.filter("own", lambda x: block(x["source"]) == k).alias("own"))))
+    rows = counts.select("lang", "term", "own").join(filled, "lang").select("lang", "term", "filled", F.explode(F.filter(parts, lambda x: F.size(x["own"]) > 0)).alias("part"))
+    pairs = F.array_distinct(F.flatten(F.transform(numbers, lambda k: F.array(F.struct(F.col("part.block").alias("a"), k.alias("b")), F.struct(k.alias("a"), F.col("part.block").alias("b"))))))
+    rows = rows.select("lang", "term", "part.own", F.explode(pairs).alias("pair")).select("lang", "pair.a", "pair.b", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"), "term", "own")
+    dealt = rows.unionByName(heads, allowMissingColumns=True).repartition("lang", "a", "b", "slice").sortWithinPartitions("lang", "a", "b", "slice", F.col("term").asc_nulls_first())
+    summed = dealt.select("lang", "a", "b", "term", "own", "heads", "terms", "whole").mapInArrow(partial(_distances, most=TERMS), "lang string, source string, item string, value bigint")
+    return summed.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))
 
 
 def source_audit(docs: DataFrame, least_docs: int = 30, top: int = 50, lang_col: str = "lang", source_col: str = "source", text_col: str = "text") -> DataFrame:
@@ -247,8 +272,8 @@ def source_audit(docs: DataFrame, least_docs: int = 30, top: int = 50, lang_col:
     """
     rows = docs.select(*(F.coalesce(F.col(c).cast("string"), F.lit("")).alias(n) for c, n in ((lang_col, "lang"), (source_col, "source"), (text_col, "text"))))
     counts = materialize(term_counts(rows, least_docs), "divergence-counts")
-    terms = counts.groupBy("lang", "term").agg(F.max("lang_n").alias("lang_n")).groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
-    totals = counts.groupBy("lang", "source").agg(F.sum("n").alias("total"))
+    terms = counts.groupBy("lang").agg(F.count("*").alias("terms"), F.sum("lang_n").alias("lang_total"))
+    totals = counts.select("lang", F.explode("own").alias("x")).groupBy("lang", "x.source").agg(F.sum("x.n").alias("total"))
     groups = rows.select("lang", "source").distinct().join(totals, ["lang", "source"], "left").join(terms, "lang", "left").na.fill(0, ["total", "terms", "lang_total"])
     groups = materialize(groups, "divergence-groups")
     pairs = source_distances(counts, groups).withColumn("rank", F.row_number().over(Window.partitionBy("lang", "source").orderBy(F.desc("value"), "item")))

@@ -155,7 +155,12 @@ def test_skyband_keeps_what_fewer_than_k_dominate(k):
 def test_skybands_hold_the_first_terms(spark):
     rng = np.random.default_rng(5)
     rows = [("en", s, f"t{i}", int(n), int(n + rng.integers(0, 50))) for s in "ab" for i, n in enumerate(rng.integers(0, 40, 3000))]
-    counts = spark.createDataFrame(rows, "lang string, source string, term string, n bigint, lang_n bigint").repartition(7)
+    own = {}
+    for g, s, t, n, _ in rows:
+        own.setdefault((g, t), []).append((s, n))
+    rows = [(g, s, t, n, sum(x for _, x in own[g, t]) + int(t[1:]) % 50) for g, s, t, n, _ in rows]
+    listed = [(g, t, sum(x for _, x in xs) + int(t[1:]) % 50, xs) for (g, t), xs in own.items()]
+    counts = spark.createDataFrame(listed, "lang string, term string, lang_n bigint, own array<struct<source:string,n:bigint>>").repartition(7)
     for slices in (1, 4):
         kept = divergence.skybands(counts, 5, slices)
         assert kept.count() < len(rows)
