@@ -16,11 +16,11 @@ from pyspark.sql import functions as F
 from fleetlens.llm.common import discard, materialize
 from fleetlens.llm.words import LETTERS, binary, pieces
 
-#: Terms of its groups that a worker counts before it hands them on, about 60 MB; a document's own terms come on top.
-MOST_COUNTED = 200_000
+#: Terms of its groups that a worker counts before it hands them on, about 120 MB; a document's own terms come on top.
+MOST_COUNTED = 400_000
 
-#: Sources of a language compared in one table, and its rows.
-BLOCK, TERMS = 256, 2048
+#: Sources of a language compared in one table, its rows, and terms summed up in one task.
+BLOCK, TERMS, SLICE_TERMS = 256, 2048, 8192
 
 
 def _counted(batches: Iterator[pa.RecordBatch], most: int) -> Iterator[pa.RecordBatch]:
@@ -236,20 +236,19 @@ def source_distances(counts: DataFrame, groups: DataFrame) -> DataFrame:
     and a slice sums tables of TERMS terms by two blocks; only sums of pairs of sources,
     not terms, are shuffled again.
     """
-    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("terms").alias("terms"))
-    slices = max(1, int(counts.sparkSession.conf.get("spark.sql.shuffle.partitions")))
+    blocks = groups.groupBy("lang").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"), F.max("terms").alias("terms")).withColumn("slices", F.greatest(F.ceil(F.col("terms") / SLICE_TERMS), F.lit(1)).cast("int"))
     block = lambda source: F.pmod(F.xxhash64(source), F.col("blocks")).cast("int")
     heads = groups.drop("terms").join(blocks, "lang").withColumn("block", block(F.col("source")))
-    heads = heads.groupBy("lang", "block").agg(F.collect_list(F.struct("block", "source", "total")).alias("own"), F.max("terms").alias("terms"))
+    heads = heads.groupBy("lang", "block").agg(F.collect_list(F.struct("block", "source", "total")).alias("own"), F.max("terms").alias("terms"), F.max("slices").alias("slices"))
     filled = blocks.join(heads.groupBy("lang").agg(F.collect_list("block").alias("filled")), "lang").drop("terms")
     both = heads.withColumnRenamed("block", "a").join(heads.select("lang", F.col("block").alias("b"), F.col("own").alias("theirs")), "lang")
     members = F.when(F.col("a") == F.col("b"), F.col("own")).otherwise(F.concat("own", "theirs"))
-    heads = both.select("lang", "a", "b", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), members.alias("heads"), "terms").withColumn("whole", F.col("slice") == 0)
+    heads = both.select("lang", "a", "b", F.explode(F.sequence(F.lit(0), F.col("slices") - 1)).alias("slice"), members.alias("heads"), "terms").withColumn("whole", F.col("slice") == 0)
     numbers = F.col("filled")
     parts = F.when(F.col("blocks") == 1, F.array(F.struct(F.lit(0).alias("block"), "own"))).otherwise(F.transform(numbers, lambda k: F.struct(k.alias("block"), F.filter("own", lambda x: block(x["source"]) == k).alias("own"))))
-    rows = counts.select("lang", "term", "own").join(filled, "lang").select("lang", "term", "filled", F.explode(F.filter(parts, lambda x: F.size(x["own"]) > 0)).alias("part"))
+    rows = counts.select("lang", "term", "own").join(filled, "lang").select("lang", "term", "filled", "slices", F.explode(F.filter(parts, lambda x: F.size(x["own"]) > 0)).alias("part"))
     pairs = F.array_distinct(F.flatten(F.transform(numbers, lambda k: F.array(F.struct(F.col("part.block").alias("a"), k.alias("b")), F.struct(k.alias("a"), F.col("part.block").alias("b"))))))
-    rows = rows.select("lang", "term", "part.own", F.explode(pairs).alias("pair")).select("lang", "pair.a", "pair.b", F.pmod(F.xxhash64("term"), F.lit(slices)).cast("int").alias("slice"), "term", "own")
+    rows = rows.select("lang", "term", "slices", "part.own", F.explode(pairs).alias("pair")).select("lang", "pair.a", "pair.b", F.pmod(F.xxhash64("term"), F.col("slices")).cast("int").alias("slice"), "term", "own")
     dealt = rows.unionByName(heads, allowMissingColumns=True).repartition("lang", "a", "b", "slice").sortWithinPartitions("lang", "a", "b", "slice", F.col("term").asc_nulls_first())
     summed = dealt.select("lang", "a", "b", "term", "own", "heads", "terms", "whole").mapInArrow(partial(_distances, most=TERMS), "lang string, source string, item string, value bigint")
     return summed.groupBy("lang", "source", "item").agg(F.sum("value").alias("value"))

@@ -127,6 +127,7 @@ def audit_rows(seed):
 def test_source_audit(spark, monkeypatch, seed, block, terms):
     monkeypatch.setattr(divergence, "BLOCK", block)
     monkeypatch.setattr(divergence, "TERMS", terms)
+    monkeypatch.setattr(divergence, "SLICE_TERMS", 3 * terms)
     rows = audit_rows(seed)
     docs = spark.createDataFrame([(g, s, t, 1, "x") for g, s, t in rows], "lang string, source string, text string, n int, term string").repartition(5)
     for least, top in ((3, 4), (1000, 4)):
