@@ -277,18 +277,3 @@ def slug_collisions(resolved: DataFrame) -> DataFrame:
     """(slug, origins): slugs that several origins give."""
     return resolved.groupBy("slug").agg(F.countDistinct("origin").alias("n"), F.array_join(F.sort_array(F.collect_set("origin")), ",").alias("origins")).filter("n > 1").drop("n")
 
-
-def resolve_sources(patterns: DataFrame, dirs: DataFrame) -> DataFrame:
-    """(origin, base, path, kind): directories that each source pattern covers.
-
-    patterns (origin, base, pattern: relative, `*` and `?` within a segment) are few and
-    broadcast; dirs has path. A directory as deep as its pattern that matches is a child of its own;
-    what lies directly under the base beside them is the remainder.
-    """
-    escaped = F.regexp_replace("pattern", r"([.+^$(){}|\[\]\\])", r"\\$1")
-    rule = F.concat(F.lit("^"), F.regexp_replace("base", r"([.+^$(){}|\[\]\\])", r"\\$1"), F.lit("/"), F.regexp_replace(F.regexp_replace(escaped, r"\*", "[^/]*"), r"\?", "[^/]"), F.lit("$"))
-    p = F.broadcast(patterns.withColumn("_rule", rule).withColumn("_depth", F.size(F.split(F.concat_ws("/", "base", "pattern"), "/"))))
-    d = dirs.withColumn("_depth", F.size(F.split("path", "/")))
-    child = d.join(p, "_depth").filter(F.expr("path rlike _rule")).select("origin", "base", "path", F.lit("child").alias("kind"))
-    rest = patterns.select("origin", "base", F.col("base").alias("path"), F.lit("remainder").alias("kind")).distinct()
-    return child.unionByName(rest)

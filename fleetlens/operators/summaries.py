@@ -200,13 +200,6 @@ def activity_matrix(archive: DataFrame, now: Column, days: int = 35) -> DataFram
     return rows.groupBy("dle", "day").agg(mark.alias("mark"), F.array_join(F.transform(F.sort_array(F.collect_set("level")), lambda x: x.cast("string")), ",").alias("levels"), F.sum("compressed").alias("bytes"), F.when(F.countDistinct("run") == 1, F.max("run")).alias("run"))
 
 
-def path_groups(archive: DataFrame) -> DataFrame:
-    """(host, dir, dles, bytes): latest sizes of sources summed over every directory above them; only directories shared by two or more."""
-    latest = archive.groupBy("dle", "host", "path").agg(F.max_by("compressed", C.run_key("run")).alias("bytes"))
-    rows = latest.select("host", "bytes", F.explode(C.ancestors(F.regexp_replace("path", "^/+", ""))).alias("dir"))
-    return rows.groupBy("host", "dir").agg(F.count("*").alias("dles"), F.sum("bytes").alias("bytes")).filter("dles >= 2")
-
-
 def restore_cost(located: DataFrame, cost_rate: DataFrame) -> DataFrame:
     """(dle, point, medium, bytes, parts, price): reading each chain, priced at the rates of the medium its first archive is read from. located comes from chains.located."""
     totals = located.groupBy("dle", "point").agg(F.min_by("medium", F.when(F.col("medium").isNotNull(), C.run_key("run"))).alias("medium"), F.sum("bytes").alias("bytes"), F.sum("parts").alias("parts"))

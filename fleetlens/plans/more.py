@@ -233,12 +233,6 @@ def atomic_frames(t: Tables) -> DataFrame:
     return reads.atomic_frames(t.part_file.withColumn("raw_size", F.col("size") * 2), ["arch_key", "medium"])
 
 
-@query("select 'o' as origin, '/data' as base, path, 'child' as kind from (select distinct path from archive where path like '/data/c1%') x union all select 'o', '/data', '/data', 'remainder'")
-def resolve_sources(t: Tables) -> DataFrame:
-    patterns = t.spark.createDataFrame([("o", "/data", "c1*")], "origin string, base string, pattern string")
-    return placement.resolve_sources(patterns, t.archive.select("path").distinct())
-
-
 @query("select slug, string_agg(origin, ',' order by origin) as origins from (select distinct concat('s', substr(dle, 2)::int % 37) as slug, host as origin from archive) x group by slug having count(*) > 1")
 def slug_collisions(t: Tables) -> DataFrame:
     slug = F.concat(F.lit("s"), (F.substring("dle", 2, 20).cast("int") % 37).cast("string"))

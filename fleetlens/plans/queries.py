@@ -310,11 +310,6 @@ def activity_matrix(t: Tables) -> DataFrame:
     return summaries.activity_matrix(t.archive, now(), 365).withColumn("day", F.col("day").cast("string"))
 
 
-@query("with x as (select dle, max(host) as host, arg_max(compressed, run) as bytes from archive group by dle) select host, 'data' as dir, count(*) as dles, cast(sum(bytes) as bigint) as bytes from x group by host having count(*) >= 2")
-def path_groups(t: Tables) -> DataFrame:
-    return summaries.path_groups(t.archive).select("host", "dir", "dles", "bytes")
-
-
 @query(f"with {RATE_SQL}, m as (select p.medium, cast(sum(a.compressed) as bigint) as bytes from placement p join archive a using (run, dle, level) group by p.medium) select medium, bytes, case when gib_month > 0 or gib_egress > 0 or per_1000 > 0 then round(bytes / 1073741824.0::double * gib_month, 6) end as price from m left join rates using (medium)")
 def storage_cost(t: Tables) -> DataFrame:
     return summaries.storage_cost(summaries.medium_totals(t.archive, t.placement), rates(t))
