@@ -33,6 +33,11 @@ def epoch(ts: Column | str) -> Column:
     return (F.datediff(F.to_date(t), F.lit("1970-01-01").cast("date")).cast("long") * 86400 + F.hour(t) * 3600 + F.minute(t) * 60 + F.second(t)).cast("long")
 
 
+def instant_key(at: Column | str) -> Column:
+    """An instant as text whose order is that of time."""
+    return F.date_format(_c(at), "yyyy-MM-dd HH:mm:ss.SSSSSS")
+
+
 def instant(now: str) -> Column:
     return F.lit(now).cast("timestamp_ntz")
 

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fleetlens.functions import columns as C
-from fleetlens.plans.lineage import cut, cut_counting
+from fleetlens.plans.lineage import cut, cut_counting, preceding
 
 #: Links followed before what was found is written: few jobs for the usual chain, and any length takes more of them.
 HOPS = 4
@@ -30,32 +31,65 @@ def base_of(archive: DataFrame) -> DataFrame:
     return rows.withColumn("base", base).select(*archive.columns, "base")
 
 
-def _covered(at: Column, run: Column) -> Column:
-    """Whether a point (point, bound) covers a run committed at `at`. Without a bound dates are compared, and an id without a date qualifies; else instants, where a run without a commit counts from midnight of its own date, and one without either from the beginning."""
+#: Groups that points are dealt into where they meet all sources.
+DEALT = 16
+
+
+def _since(at: Column, run: Column) -> Column:
+    """The instant from which a run is there: its commit, or its date where that is not known, or the beginning of time."""
     date = C.run_date(run)
-    since = F.coalesce(at.cast("timestamp_ntz"), F.to_timestamp_ntz(F.when(date != "", date)), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
-    return F.when(F.col("bound").isNull(), date <= F.col("point")).otherwise(since <= F.col("bound").cast("timestamp_ntz"))
+    return F.coalesce(at.cast("timestamp_ntz"), F.to_timestamp_ntz(F.when(date != "", date)), F.lit("0001-01-01 00:00:00").cast("timestamp_ntz"))
+
+
+def _newest_before(keys: list[str], runs: DataFrame, points: DataFrame, spread: bool) -> DataFrame:
+    """points with t: of the runs (keys, t, run, at) the one with the greatest run key among those that each point covers; points without one are left out.
+
+    Runs and points are put in one order, by date or by instant as the point asks, and each
+    point takes the greatest of the runs before it: no point is compared with a run. With
+    spread the order is dealt by ranges, so it may be of any length; else it is sorted
+    once a key.
+    """
+    dated, timed = F.struct(F.lit("").alias("i"), C.run_date("run").alias("d")), F.struct(C.instant_key(_since(F.col("at"), F.col("run"))).alias("i"), F.lit("").alias("d"))
+    modes = F.explode(F.array(F.struct(F.lit(False).alias("timed"), dated.alias("o")), F.struct(F.lit(True).alias("timed"), timed.alias("o"))))
+    value = F.struct(C.run_key("run").alias("k"), "t")
+    left = runs.select(*keys, value.alias("v"), modes.alias("m")).select(*keys, "m.timed", "m.o", F.lit(0).alias("side"), "v", F.lit(None).cast("string").alias("point"), C.run_key("v.t.run").alias("tie"))
+    order = F.when(F.col("bound").isNull(), F.struct(F.lit("").alias("i"), F.col("point").alias("d"))).otherwise(F.struct(C.instant_key(F.col("bound").cast("timestamp_ntz")).alias("i"), F.lit("").alias("d")))
+    right = points.select(*keys, F.col("bound").isNotNull().alias("timed"), order.alias("o"), F.lit(1).alias("side"), F.lit(None).cast(left.schema["v"].dataType).alias("v"), "point", F.lit(None).cast(left.schema["tie"].dataType).alias("tie"))
+    both = left.unionByName(right)
+    if spread:
+        seen = preceding(both, [*keys, "timed"], [F.col("o"), F.col("side"), F.col("point"), F.col("tie")], {"best": (F.max, "v")})
+    else:
+        seen = both.withColumn("best", F.max("v").over(Window.partitionBy(*keys, "timed").orderBy("o", "side").rangeBetween(Window.unboundedPreceding, Window.currentRow)))
+    return seen.filter("side = 1 and best is not null").select(*keys, "point", F.col("best.t").alias("t"))
 
 
 def _bounded(points: DataFrame) -> DataFrame:
-    return points if "bound" in points.columns else points.withColumn("bound", F.lit(None).cast("timestamp_ntz"))
+    return (points if "bound" in points.columns else points.withColumn("bound", F.lit(None).cast("timestamp_ntz"))).distinct()
 
 
 def as_of(archive: DataFrame, points: DataFrame) -> DataFrame:
-    """(point, run): the latest run at or before each point. points has `point` (a date as text, or a name) and bound (the last instant it covers; null or missing: compare dates).
+    """(point, run): the latest run at or before each point. points has `point` (a date as text, or a name) and bound (the last instant it covers; null or missing: compare dates). Points are names of their own; there may be any number of them.
 
-    A run is dated by its latest commit. Points are the few instants a user asks for; they
-    are sent to the runs, which have been reduced to one row each.
+    A run is dated by its latest commit. Runs, a row each, and points are sorted together
+    along ranges.
     """
-    runs = archive.groupBy("run").agg(F.max("created_at").alias("at"))
-    return runs.join(F.broadcast(_bounded(points)), _covered(F.col("at"), F.col("run"))).groupBy("point").agg(F.max_by("run", C.run_key("run")).alias("run"))
+    runs = archive.groupBy("run").agg(F.max("created_at").alias("at")).select(F.lit(0).alias("_all"), F.struct("run").alias("t"), "run", "at")
+    return _newest_before(["_all"], runs, _bounded(points).select(F.lit(0).alias("_all"), "point", "bound"), spread=True).select("point", "t.run")
 
 
 def as_of_by_dle(archive: DataFrame, points: DataFrame) -> DataFrame:
-    """(dle, point, run, level): each source's newest archive at or before each point (see as_of)."""
-    hit = archive.select("dle", "run", "level", "created_at").join(F.broadcast(_bounded(points)), _covered(F.col("created_at"), F.col("run")))
-    tip = F.max_by(F.struct("run", "level"), C.run_key("run"))
-    return hit.groupBy("dle", "point").agg(tip.alias("t")).select("dle", "point", "t.run", "t.level")
+    """(dle, point, run, level): each source's newest archive at or before each point (see as_of). points may have dle: then they are those of one source, else all of them are asked of each source.
+
+    Points and archives of a source are sorted together, once. Points of all sources meet
+    them by equality of the group they are dealt into, and only the answer has all pairs.
+    """
+    of = archive.select("dle", F.struct("run", "level").alias("t"), "run", F.col("created_at").alias("at"))
+    points = _bounded(points)
+    if "dle" not in points.columns:
+        group = F.pmod(F.xxhash64("point"), F.lit(DEALT)).cast("int")
+        dles = archive.select("dle").distinct().withColumn("_g", F.explode(F.sequence(F.lit(0), F.lit(DEALT - 1))))
+        points = points.withColumn("_g", group).join(dles, "_g").drop("_g")
+    return _newest_before(["dle"], of, points.select("dle", "point", "bound"), spread=False).select("dle", "point", "t.run", "t.level")
 
 
 def chains(based: DataFrame, targets: DataFrame) -> DataFrame:
@@ -158,30 +192,54 @@ def recovery_points(archive: DataFrame, placement: DataFrame) -> DataFrame:
         front = rows.filter("verdict is null")
 
 
+def _census(chain: DataFrame, named: DataFrame) -> DataFrame:
+    """(dle, point, path): what the newest archive of each chain lists, and the directories above."""
+    newest = chain.groupBy("dle", "point").agg(F.max_by("run", C.run_key("run")).alias("_newest"))
+    listed = named.join(newest, ["dle", "point"]).filter(F.col("run") == F.col("_newest"))
+    return listed.select("dle", "point", F.explode(F.concat(F.array("path"), C.ancestors("path"))).alias("path")).distinct()
+
+
+def _named(chain: DataFrame, member: DataFrame, delta: bool) -> DataFrame:
+    """Members of each chain's archives by clean path, without the archives' own root."""
+    named = C.clean_member(C.logical_path("path") if delta else "path")
+    rows = chain.select("dle", "point", "run", "level").join(member, ["dle", "run", "level"]).withColumn("_m", named)
+    part = C.base_name("path").startswith("INCREMENTAL.") if delta else F.lit(False)
+    return rows.select("dle", "point", F.col("_m.path").alias("path"), F.col("_m.is_dir").alias("is_dir"), "run", "level", "seq", "off", F.col("path").alias("member"), part.alias("delta"), C.run_key("run").alias("_k")).filter("path is not null")
+
+
 def tree_as_of(chain: DataFrame, member: DataFrame, delta: bool = False) -> DataFrame:
     """(dle, point, path, run, level, seq, off, is_dir, versions) of the tree at each target.
 
     chain has dle, point, run, level; member has dle, run, level, seq, path, off. A path comes
     from the newest archive of the chain that holds it. With delta, paths are those of the
-    files that deltas stand for: a path not listed by the newest archive is gone, and
-    versions are the archives from the last whole copy on.
+    files that deltas stand for: a path that the newest archive does not list, and that is
+    above none it lists, is gone; versions is how many copies from the last whole one on.
     """
-    named = C.clean_member(C.logical_path("path") if delta else "path")
-    rows = chain.select("dle", "point", "run", "level").join(member, ["dle", "run", "level"]).withColumn("_m", named)
-    whole = ~C.base_name("path").startswith("INCREMENTAL.")
-    key = F.struct(C.run_key("run").alias("k"), "seq")
-    rows = rows.select("dle", "point", F.col("_m.path").alias("node"), F.col("_m.is_dir").alias("is_dir"), "run", "level", "seq", "off", key.alias("k"), whole.alias("whole")).filter("node is not null")
-    tip = F.max_by(F.struct("run", "level", "seq", "off", "is_dir"), "k").alias("t")
-    last_whole = F.max(F.when(F.col("whole"), F.col("k.k"))).alias("w")
-    every = F.collect_set(F.col("k.k")).alias("all")
-    out = rows.groupBy("dle", "point", "node").agg(tip, last_whole, every)
-    versions = F.size(F.filter("all", lambda k: F.col("w").isNull() | (k >= F.col("w"))))
-    out = out.select("dle", "point", F.col("node").alias("path"), "t.*", (versions if delta else F.lit(1)).cast("int").alias("versions"))
     if delta:
-        newest = chain.groupBy("dle", "point").agg(F.max_by("run", C.run_key("run")).alias("_newest"))
-        listed = rows.join(newest, ["dle", "point"]).filter(F.col("run") == F.col("_newest")).select("dle", "point", F.col("node").alias("path")).distinct()
-        out = out.join(listed, ["dle", "point", "path"], "left_semi")
-    return out
+        tip = F.element_at("versions", -1)
+        return tree_versions(chain, member).select("dle", "point", "path", *(tip[c].alias(c) for c in ("run", "level", "seq", "off")), "is_dir", F.size("versions").alias("versions"))
+    rows = _named(chain, member, False)
+    tip = F.max_by(F.struct("run", "level", "seq", "off", "is_dir"), F.struct("_k", "seq")).alias("t")
+    return rows.groupBy("dle", "point", "path").agg(tip).select("dle", "point", "path", "t.*", F.lit(1).alias("versions"))
+
+
+def tree_versions(chain: DataFrame, member: DataFrame) -> DataFrame:
+    """(dle, point, path, is_dir, versions) of the tree at each target of sources whose archiver stores files as deltas.
+
+    versions are the copies (run, level, seq, off, member, delta) from the last whole one on,
+    oldest first: a file whose last one is a delta is put together from all of them. Where
+    no whole copy is left they are all deltas. What the newest archive does not list is gone,
+    but for the directories above what it lists. A path has at most a copy an archive and
+    member of the chain, so its array is as long as the chain.
+    """
+    rows = _named(chain, member, True)
+    copy = F.struct("_k", "seq", "run", "level", "off", "member", "delta", "is_dir")
+    trees = rows.groupBy("dle", "point", "path").agg(F.array_sort(F.collect_list(copy)).alias("_all"))
+    whole = F.array_max(F.transform("_all", lambda x, i: F.when(~x["delta"], i)))
+    kept = F.slice("_all", F.coalesce(whole, F.lit(0)) + 1, F.size("_all"))
+    versions = F.transform(kept, lambda x: F.struct(x["run"].alias("run"), x["level"].alias("level"), x["seq"].alias("seq"), x["off"].alias("off"), x["member"].alias("member"), x["delta"].alias("delta")))
+    trees = trees.select("dle", "point", "path", F.element_at("_all", -1)["is_dir"].alias("is_dir"), versions.alias("versions"))
+    return trees.join(_census(chain, rows), ["dle", "point", "path"], "left_semi")
 
 
 def list_dir(tree: DataFrame, path: str) -> DataFrame:
@@ -192,18 +250,49 @@ def list_dir(tree: DataFrame, path: str) -> DataFrame:
     return nodes.filter(C.parent("path") == path).select("dle", "point", C.base_name("path").alias("name"), "is_dir").orderBy("dle", "point", F.col("is_dir").desc(), "name")
 
 
-def collect_selection(tree: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(dle, point, run, level, members, n): for each archive the members to extract for the wanted paths.
+def _chosen(tree: DataFrame, wanted: DataFrame, above: bool = True) -> DataFrame:
+    """(dle, point, path): the wanted paths, all below them and, with above, the directories above them. A path is matched with its own ancestors by equality, not by prefix."""
+    keys = ["dle", "point"]
+    lines = tree.withColumn("_up", F.concat(F.array(F.lit(""), F.col("path")), C.ancestors("path")))
+    below = lines.select(*keys, "path", F.explode("_up").alias("_at")).join(wanted.withColumnRenamed("path", "_at"), [*keys, "_at"], "left_semi").select(*keys, "path").distinct()
+    return below.unionByName(below.select(*keys, F.explode(C.ancestors("path")).alias("path"))).distinct() if above else below
+
+
+def _clean_wanted(tree: DataFrame, wanted: DataFrame, strict: bool) -> DataFrame:
+    """wanted with paths without empty and '.' segments; '' is the root. With strict, a path that the tree does not have raises."""
+    segments = F.filter(F.split(F.coalesce("path", F.lit("")), "/"), lambda s: (s != "") & (s != "."))
+    out = wanted.select("dle", "point", F.array_join(segments, "/").alias("path")).distinct()
+    if strict:
+        lost = not_found(tree, out.filter("path <> ''")).select("dle", "path").limit(5).collect()
+        if lost:
+            raise ValueError("not found: " + ", ".join(f"{r.dle}:{r.path}" for r in lost))
+    return out
+
+
+def collect_selection(tree: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:
+    """(dle, point, run, level, members, n): for each archive the members to extract for the wanted paths, by path.
 
-    wanted has dle, point and path. Taken are the paths, all below them and the directories above
-    them. A path is matched with its own ancestors by equality, not by prefix.
+    tree comes from tree_as_of (members are then paths) or tree_versions (members as they are
+    named in the archive). wanted has dle, point and path, '' for all. Taken are the paths,
+    all below them and the directories above them. Files that end in a delta are not
+    extracted but put together: see collect_assemblies. A wanted path that is nowhere
+    raises, unless strict is off.
     """
     keys = ["dle", "point"]
-    lines = tree.withColumn("_up", F.concat(F.array("path"), C.ancestors("path")))
-    below = lines.select(*keys, "path", F.explode("_up").alias("_at")).join(wanted.withColumnRenamed("path", "_at"), [*keys, "_at"], "left_semi").select(*keys, "path")
-    above = wanted.select(*keys, F.explode(C.ancestors("path")).alias("path"))
-    chosen = below.unionByName(above).distinct()
-    return tree.join(chosen, [*keys, "path"], "left_semi").groupBy(*keys, "run", "level").agg(F.sort_array(F.collect_set("path")).alias("members"), F.countDistinct("path").alias("n"))
+    chosen = _chosen(tree, _clean_wanted(tree, wanted, strict))
+    if isinstance(tree.schema["versions"].dataType, T.ArrayType):
+        tip = F.element_at("versions", -1)
+        tree = tree.filter(~tip["delta"]).select(*keys, "path", tip["run"].alias("run"), tip["level"].alias("level"), tip["member"].alias("_member"))
+    else:
+        tree = tree.withColumn("_member", F.col("path"))
+    picked = tree.join(chosen, [*keys, "path"], "left_semi").groupBy(*keys, "run", "level").agg(F.array_sort(F.collect_set(F.struct("path", "_member"))).alias("m"))
+    return picked.select(*keys, "run", "level", F.transform("m", lambda x: x["_member"]).alias("members"), F.size("m").cast("long").alias("n"))
+
+
+def collect_assemblies(tree: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:
+    """(dle, point, path, versions): files among the wanted paths and below them that end in a delta, with the copies to put together, oldest first. tree comes from tree_versions."""
+    chosen = _chosen(tree, _clean_wanted(tree, wanted, strict), above=False)
+    return tree.filter(F.element_at("versions", -1)["delta"]).join(chosen, ["dle", "point", "path"], "left_semi").select("dle", "point", "path", "versions")
 
 
 def not_found(tree: DataFrame, wanted: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import hashlib
 import io
 import json
 import tarfile
@@ -16,7 +17,7 @@ from pyspark.sql import functions as F
 from fleetlens.operators import verify
 from fleetlens.plans.lineage import cut, shared_dir
 from fleetlens.plans.queries import RUN_LOG, query, run_log
-from fleetlens.plans.tables import Tables
+from fleetlens.plans.tables import Tables, with_views
 from fleetlens.sources import readers, sinks
 
 
@@ -130,12 +131,10 @@ def store_scan(t: Tables) -> DataFrame:
 
 
 def _tars(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
-    """Writes a tar in two parts for each row (archive, fault, names, sizes), and gives what a catalog records of it."""
-    import hashlib
-
+    """Writes a tar for each row (run, dle, medium, fault, names, sizes) in two parts, the second with the fault, and gives what a catalog records of them."""
     for batch in batches:
         rows = []
-        for archive, fault, names, sizes in batch[["archive", "fault", "names", "sizes"]].itertuples(index=False):
+        for run, dle, medium, fault, names, sizes in batch[["run", "dle", "medium", "fault", "names", "sizes"]].itertuples(index=False):
             out = io.BytesIO()
             with tarfile.open(fileobj=out, mode="w") as tar:
                 for name, size in zip(names, sizes, strict=True):
@@ -143,53 +142,80 @@ def _tars(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
                     info.size = int(size)
                     tar.addfile(info, io.BytesIO(b"y" * int(size)))
             data = out.getvalue()
-            half = len(data) // 2
-            for no, part in enumerate((data[:half], data[half:])):
-                path = f"{archive}/{no}"
-                sha = hashlib.sha256(part).hexdigest()
-                stored = b"?" + part[1:] if fault == 1 and no == 1 else part[:-1] if fault == 2 and no == 1 else part
+            sealed = fault not in (2, 5)
+            for no, part in enumerate((data[:700], data[700:])):
+                uri = f"{root}/{medium}/{run}/{dle}.{no}"
+                changed = part[:-1] + b"?" if no == 1 and fault in (1, 5) else part[:100] if no == 1 and fault == 2 else part
                 if not (fault == 3 and no == 0):
-                    _write(f"{root}/{path}", stored)
-                rows.append((archive, fault, no, path, f"{root}/{path}", len(part), None if fault == 4 else sha, "" if fault == 4 else hashlib.sha256(data).hexdigest(), len(data)))
-        yield pd.DataFrame(rows, columns=["archive", "fault", "part_no", "path", "uri", "size", "sha256", "whole", "stored"])
-
-
-def stored_archives(t: Tables) -> tuple[str, DataFrame]:
-    """A tar archive for each host and month with a member for each archive there, every fifth kind of them with a fault: 1 a byte changed, 2 cut short, 3 a part gone, 4 no checksums."""
-    root = folder(t, "tars")
-    fault = ((F.substring("host", 2, 9).cast("int") + F.substring("run", 10, 2).cast("int")) % 5).alias("fault")
-    name = F.concat(F.col("host"), F.lit("-"), F.substring("run", 5, 7)).alias("archive")
-    members = F.array_sort(F.collect_list(F.struct(F.concat("dle", F.lit("/"), "run").alias("n"), (F.col("compressed") % 900).alias("s"))))
-    rows = t.archive.groupBy(name, fault).agg(members.alias("m")).select("archive", "fault", F.transform("m", lambda x: x["n"]).alias("names"), F.transform("m", lambda x: x["s"]).alias("sizes"))
-    return root, cut(rows.mapInPandas(lambda b: _tars(b, root), "archive string, fault int, part_no int, path string, uri string, size long, sha256 string, whole string, stored long"))
-
-
-TARS = "(select concat(host, '-', substr(run, 5, 7)) as archive, (cast(substr(host, 2) as int) + cast(substr(run, 10, 2) as int)) % 5 as fault, count(*) as members from archive group by 1, 2) tr"
-
-
-@query(f"select concat(archive, '/', no) as path, case when fault = 4 then 'skipped' when fault = 3 and no = 0 then 'missing' when fault = 2 and no = 1 then 'size' when fault = 1 and no = 1 then 'integrity' else 'ok' end as verdict from {TARS}, (values (0), (1)) as p(no)")
+                    _write(uri, changed)
+                rows.append((run, dle, 0, medium, no, uri, len(part), hashlib.sha256(part).hexdigest() if sealed else None, hashlib.sha256(data).hexdigest(), len(data)))
+        yield pd.DataFrame(rows, columns=["run", "dle", "level", "medium", "part_no", "uri", "size", "sha256", "whole", "stored"])
+
+
+#: An archive for each host and month, named in SQL that both engines read, with two copies. fault of a copy: 1 a byte changed, 2 cut short without seals, 3 a part gone, 4 no position, 5 a byte changed without seals. index of an archive: 6 lacks a member, 7 not counted, 9 none. Runs of a December have no copy.
+HOST_MONTH = "(select concat('run-', substr(run, 5, 7)) as run, host as dle, cast(substr(host, 2) as int) as h, cast(substr(run, 10, 2) as int) as mo, count(*) as members from archive group by 1, 2, 3, 4) hm"
+COPIES = f"(select run, dle, 0 as level, members, (h + mo) % 10 as idx, (h + 3 * mo + 2 * m) % 7 as fault, case when (h + mo + m) % 11 = 0 then 'vault' when m = 0 then 'disk' else 'tape' end as medium, m, h, mo from {HOST_MONTH}, (values (0), (1)) as v(m) where mo <> 12) cp"
+CLASS = "case when medium = 'vault' then '' when fault = 4 then 'missing' when fault in (2, 3) then 'pipeline' when fault = 1 or idx = 6 or fault = 5 then 'integrity' else '' end"
+
+
+class Stored:
+    """Copies written as files, and what is recorded of them: parts, archive, placement and the members index."""
+
+    def __init__(self, t: Tables) -> None:
+        root = folder(t, "copies")
+        copies = t.spark.sql(with_views(f"select run, dle, level, members, idx, fault, medium from {COPIES}"))
+        named = t.archive.groupBy(F.concat(F.lit("run-"), F.substring("run", 5, 7)).alias("run"), F.col("host").alias("dle"))
+        files = named.agg(F.array_sort(F.collect_list(F.struct(F.concat("dle", F.lit("/"), "run").alias("n"), (F.col("compressed") % 900).alias("s")))).alias("m"))
+        rows = copies.join(files, ["run", "dle"]).select("run", "dle", "medium", "fault", F.transform("m", lambda x: x["n"]).alias("names"), F.transform("m", lambda x: x["s"]).alias("sizes"))
+        written = cut(rows.filter("medium <> 'vault'").mapInPandas(lambda b: _tars(b, root), "run string, dle string, level int, medium string, part_no int, uri string, size long, sha256 string, whole string, stored long"))
+        self.parts = written.join(copies.filter("fault = 4").select("run", "dle", "medium"), ["run", "dle", "medium"], "left_anti")
+        self.placement = copies.select("run", "dle", "level", "medium")
+        about = t.spark.sql(with_views(f"select run, dle, members, (h + mo) % 10 as idx from {HOST_MONTH}"))
+        sums = written.groupBy("run", "dle").agg(F.max("whole").alias("sha256"))
+        self.archive = about.join(sums, ["run", "dle"], "left").select("run", "dle", F.lit(0).alias("level"), "sha256", F.when(F.col("idx") == 7, 0).otherwise(F.col("members")).alias("file_count"))
+        # Each member is a header and its bytes in whole blocks; one of another name stands for what an index lacks.
+        ends = F.transform("m", lambda x: 512 + 512 * F.ceil(x["s"] / 512))
+        at = files.select("run", "dle", F.posexplode("m").alias("i", "x"), ends.alias("e")).withColumn("off", F.aggregate(F.slice("e", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, n: a + n))
+        index = at.join(about.select("run", "dle", "idx"), ["run", "dle"]).filter("idx <> 9").withColumn("path", F.when(F.col("idx").isin(6, 7) & (F.col("i") == 0), "gone").otherwise(F.col("x.n")))
+        self.member = index.select("run", "dle", F.lit(0).alias("level"), "path", "off")
+        self.media = t.spark.createDataFrame([("disk",), ("tape",)], "medium string")
+        self.read = verify.read_copies(self.parts, self.archive)
+
+
+@query(f"select run, dle, medium, no as part_no, case when fault = 3 and no = 0 then 'pipeline' when fault in (2, 5) then 'skipped' when fault = 1 and no = 1 then 'integrity' else 'ok' end as verdict from {COPIES}, (values (0), (1)) as p(no) where medium <> 'vault' and fault <> 4")
 def verify_parts(t: Tables) -> DataFrame:
     """Every stored part against its recorded size and checksum."""
-    root, parts = stored_archives(t)
-    return verify.verify_parts(verify.read_files(t.spark, root), parts)
+    s = Stored(t)
+    return verify.verify_parts(s.read, s.parts).select("run", "dle", "medium", "part_no", "verdict")
 
 
-@query(f"select archive, case fault when 4 then 'skipped' when 3 then 'missing' when 2 then 'pipeline' when 1 then 'integrity' else 'ok' end as verdict from {TARS}")
+@query(
+    f"select run, dle, medium, {CLASS} as class, medium = 'vault' as skipped, structural, checksum from (select *, case when medium = 'vault' or fault = 4 then null when fault in (2, 3) then 'pipeline' when fault = 1 or idx = 6 then 'integrity' else '' end as structural,"
+    " case when medium = 'vault' or fault = 4 then null when fault = 3 then 'pipeline' when fault in (1, 2, 5) then 'integrity' else '' end as checksum from " + COPIES + ") z union all select run, null, null, 'missing', false, null, null from " + HOST_MONTH + " where mo = 12 group by run"
+)
 def verify_archives(t: Tables) -> DataFrame:
-    """Every archive's checksum over its parts in order."""
-    _, parts = stored_archives(t)
-    recorded = parts.filter("part_no = 0").select("archive", F.col("whole").alias("sha256"), "stored")
-    return verify.verify_archives(verify.stream_archives(parts), recorded).select("archive", "verdict")
+    """Every copy, listed and hashed in one pass, with the verdicts of both checks alone beside that of both together."""
+    s = Stored(t)
+    deep = verify.verify_archives(s.read, s.parts, s.archive, s.placement, s.member, s.media).drop("bytes")
+    alone = verify.structural_verdict(s.read, s.parts, s.archive, s.member).withColumnRenamed("class", "structural").join(verify.checksum_verdict(s.read, s.parts, s.archive).withColumnRenamed("class", "checksum"), verify.COPY)
+    return deep.join(alone, verify.COPY, "left").select("run", "dle", "medium", "class", "skipped", "structural", "checksum")
 
 
-@query(f"select archive as dle, case when fault in (0, 4) then case when members % 3 = 0 then 'members' else 'ok' end end as verdict from {TARS} where fault in (0, 4)")
+@query(f"select run, dle, medium, case when fault in (2, 3) then 'pipeline' when fault = 1 or idx = 6 then 'integrity' else '' end as class from {COPIES} where medium <> 'vault' and fault <> 4")
 def structural_verdicts(t: Tables) -> DataFrame:
-    """Members of whole archives, listed as they are read, against an index that lacks one of them in every third case."""
-    _, parts = stored_archives(t)
-    streamed = verify.stream_archives(parts.filter("fault in (0, 4)"), listing=True)
-    listed = streamed.filter("seq >= 0").select(F.col("archive").alias("dle"), "seq", "path", "off")
-    counts = listed.groupBy("dle").agg(F.count("*").alias("n"))
-    recorded = listed.join(counts, "dle").filter("n % 3 <> 0 or seq > 0").select("dle", "path", "off")
-    # An archive whose only members the index lacks has none at all: it is told apart by an entry of its own.
-    gone = counts.filter("n % 3 = 0").select("dle", F.lit("gone").alias("path"), F.lit(0).cast("long").alias("off"))
-    return verify.structural_verdict(streamed, recorded.unionByName(gone))
+    """Members of every copy, listed as it is read, against the index."""
+    s = Stored(t)
+    return verify.structural_verdict(s.read, s.parts, s.archive, s.member).select("run", "dle", "medium", "class")
+
+
+@query(
+    f"""with v as (select run, dle, medium, {CLASS} as class, medium = 'vault' as skipped from {COPIES}), c as (select run, medium, count(*) filter (where class <> '') as n, bool_and(skipped) as skipped from v group by run, medium),
+    r as (select run, sum(n)::bigint as failures, coalesce(string_agg(medium, ',' order by medium) filter (where n = 0 and not skipped), '') as good, coalesce(string_agg(medium, ',' order by medium) filter (where n > 0), '') as bad, coalesce(string_agg(medium, ',' order by medium) filter (where skipped), '') as skipped from c group by run),
+    a as (select run, count(distinct dle) as archives from v where not skipped group by run)
+    select run, case when failures > 0 then case when good <> '' then 'repairable' else 'failed' end when good = '' and skipped <> '' then 'skipped' else 'ok' end as status, coalesce(archives, 0)::bigint as archives, failures, good, bad, skipped from r left join a using (run)
+    union all select run, 'failed', 0::bigint, 1::bigint, '', '', '' from {HOST_MONTH} where mo = 12 group by run"""
+)
+def verify_report(t: Tables) -> DataFrame:
+    """Verdicts of all copies, by run."""
+    s = Stored(t)
+    return verify.verify_report(verify.verify_archives(s.read, s.parts, s.archive, s.placement, s.member, s.media)).drop("bytes")

@@ -6,8 +6,8 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import attention, chains, placement, reads, retention, summaries, trends, verify
-from fleetlens.plans.queries import EVOLUTION, RUN_LOG, configured, events_now, floor_of, floor_sql, now, query, run_log
+from fleetlens.operators import attention, chains, placement, reads, retention, summaries, trends
+from fleetlens.plans.queries import configured, ET, events_now, EVOLUTION, floor_of, floor_sql, now, query, RUN_LOG, run_log
 from fleetlens.plans.tables import Tables
 from fleetlens.sources import readers, sinks
 from fleetlens.streaming import live
@@ -222,12 +222,6 @@ def sliding_rate(t: Tables) -> DataFrame:
     return rows.withColumn("begin", C.epoch("begin"))
 
 
-@query("select run, count(*) filter (where v = 'ok') as good, count(*) filter (where v = 'integrity') as bad, cast(sum(bytes) as bigint) as bytes from (select run, bytes, case when arch_key % 10 = 0 then 'integrity' else 'ok' end as v from placement) x group by run")
-def verify_report(t: Tables) -> DataFrame:
-    verdicts = t.placement.withColumn("verdict", F.when(F.col("arch_key") % 10 == 0, "integrity").otherwise("ok"))
-    return verify.verify_report(verdicts).select("run", "good", "bad", "bytes")
-
-
 @query("select arch_key, medium, part_no as seq, cast(coalesce(sum(size * 2) over w, 0) as bigint) as raw, cast(coalesce(sum(size) over w, 0) as bigint) as enc from part_file window w as (partition by arch_key, medium order by part_no rows between unbounded preceding and 1 preceding)")
 def atomic_frames(t: Tables) -> DataFrame:
     return reads.atomic_frames(t.part_file.withColumn("raw_size", F.col("size") * 2), ["arch_key", "medium"])
@@ -259,3 +253,31 @@ def reclaimable(t: Tables) -> DataFrame:
 @query(EVOLUTION + " select count(*) as growing from evo where per_day > 0")
 def growing_sources(t: Tables) -> DataFrame:
     return trends.evolution(t.dump_stat).filter("per_day > 0").agg(F.count("*").alias("growing"))
+
+
+@query(
+    """with x as (select dle, ts, bytes, lag(ts) over (partition by dle order by ts) as p from progress_event), n as (select *, sum(case when p is null or ts > p + interval '6 hours' then 1 else 0 end) over (partition by dle order by ts rows between unbounded preceding and current row) as k from x)
+    select dle, floor(epoch(min(ts)))::bigint as begin, floor(epoch(max(ts) + interval '6 hours'))::bigint as "end", count(*) as events, cast(sum(bytes) as bigint) as bytes from n group by dle, k"""
+)
+def activity_sessions(t: Tables) -> DataFrame:
+    """Runs of activity of every source without a pause of six hours."""
+    out = live.activity_sessions(t.progress_event, "dle", 6 * 3600)
+    return out.select("dle", C.epoch("begin").alias("begin"), C.epoch("end").alias("end"), "events", "bytes")
+
+
+@query(
+    f"""with n as (select medium, seq, "at", used, lead("at") over (partition by medium order by "at", seq) as nx from usage_sample),
+    z as (select medium, seq, "at", used from n union all select medium, -1, "at" + interval '2 hours', 0 from n where coalesce(nx > "at" + interval '2 hours', "at" + interval '2 hours' <= {ET})),
+    p as (select *, lag(used) over (partition by medium order by "at", seq) as b from z) select medium, seq, "at", used from p where b is null or b <> used"""
+)
+def usage_falls(t: Tables) -> DataFrame:
+    """Changes of every medium's total, where one that gave no sample for two hours fell to 0."""
+    return live.usage_changes(live.with_silences(t.usage_sample, 2 * 3600, events_now())).select("medium", "seq", "at", "used")
+
+
+@query("with b as (select medium, cast(sum(bytes) as bigint) as used from placement where medium <> 'tape' group by medium), k as (select medium, capacity as was from medium_dim union all select 'old', 0) select coalesce(b.medium, k.medium) as medium, coalesce(used, 0)::bigint as used from b full join k on b.medium = k.medium where was is null or was <> coalesce(used, 0)")
+def emptied(t: Tables) -> DataFrame:
+    """Samples to record now: what the media hold, and 0 for those that hold nothing any more."""
+    totals = t.placement.filter("medium <> 'tape'").groupBy("medium").agg(F.sum("bytes").alias("bytes"))
+    known = t.medium_dim.select("medium", F.col("capacity").alias("used")).unionByName(t.spark.createDataFrame([("old", 0)], "medium string, used bigint"))
+    return live.emptied(totals, known, events_now()).select("medium", "used")

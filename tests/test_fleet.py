@@ -4,16 +4,13 @@ from __future__ import annotations
 
 import datetime as dt
 import gzip
-import hashlib
-import io
 import json
-import tarfile
 
 import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import attention, placement, reads, summaries, trends, verify
+from fleetlens.operators import attention, placement, reads, summaries, trends
 from fleetlens.sources import readers, sinks
 from fleetlens.streaming import live
 
@@ -100,11 +97,7 @@ def test_epochs_barcodes_and_refresh(spark):
     assert placement.intended_dles(planned, previous).count() == 5
 
 
-def test_sources_against_patterns(spark):
-    patterns = spark.createDataFrame([("o1", "/srv", "*"), ("o2", "/home", "u?/mail")], "origin string, base string, pattern string")
-    dirs = spark.createDataFrame([("/srv/a",), ("/srv/a/b",), ("/home/u1/mail",), ("/home/user/mail",), ("/home/u1",)], "path string")
-    got = {(r.origin, r.path, r.kind) for r in placement.resolve_sources(patterns, dirs).collect()}
-    assert got == {("o1", "/srv/a", "child"), ("o2", "/home/u1/mail", "child"), ("o1", "/srv", "remainder"), ("o2", "/home", "remainder")}
+def test_slug_collisions(spark):
     slugs = spark.createDataFrame([("s", "x"), ("s", "y"), ("t", "x")], "slug string, origin string")
     assert [(r.slug, r.origins) for r in placement.slug_collisions(slugs).collect()] == [("s", "x,y")]
 
@@ -139,44 +132,6 @@ def test_parts_cover_ranges(spark):
     assert got == [(0, 8, 10), (1, 0, 5), (2, 0, 1)]
 
 
-def tar_of(**files: bytes) -> bytes:
-    out = io.BytesIO()
-    with tarfile.open(fileobj=out, mode="w") as tar:
-        for name, data in files.items():
-            info = tarfile.TarInfo(name)
-            info.size = len(data)
-            tar.addfile(info, io.BytesIO(data))
-    return out.getvalue()
-
-
-def test_checksums_and_members(spark, tmp_path):
-    parts = {"a/0": b"one", "a/1": b"two", "b/0": b"x", "c/0": b"changed"}
-    for name, data in parts.items():
-        (tmp_path / name).parent.mkdir(exist_ok=True)
-        (tmp_path / name).write_bytes(data)
-    files = verify.read_files(spark, str(tmp_path))
-    sha = lambda b: hashlib.sha256(b).hexdigest()
-    seals = spark.createDataFrame([("a/0", 3, sha(b"one")), ("a/1", 3, sha(b"tow")), ("b/0", 2, sha(b"x")), ("c/0", 7, None), ("d/0", 1, sha(b"d"))], "path string, size bigint, sha256 string")
-    assert {r.path: r.verdict for r in verify.verify_parts(files, seals).collect()} == {"a/0": "ok", "a/1": "integrity", "b/0": "size", "c/0": "skipped", "d/0": "missing"}
-    uri = lambda name: f"file://{tmp_path}/{name}"
-    listed = spark.createDataFrame([("a", 0, uri("a/0")), ("a", 1, uri("a/1")), ("b", 0, uri("b/0")), ("c", 0, uri("c/0")), ("d", 0, uri("d/0")), ("e", 0, uri("a/0"))], "archive string, part_no int, uri string")
-    sums = spark.createDataFrame([("a", sha(b"onetwo"), 6), ("b", sha(b"y"), 2), ("c", "", None), ("d", sha(b"d"), 1), ("e", sha(b"eno"), 3)], "archive string, sha256 string, stored bigint")
-    got = {r.archive: (r.verdict, r.bytes) for r in verify.verify_archives(verify.stream_archives(listed), sums).collect()}
-    assert got == {"a": ("ok", 6), "b": ("pipeline", 1), "c": ("skipped", 7), "d": ("missing", 0), "e": ("integrity", 3)}
-    assert {r.archive: r.verdict for r in verify.verify_archives(verify.stream_archives(listed), sums.drop("stored")).collect()}["b"] == "integrity"
-    tar = tar_of(f=b"12", g=b"345" * 5000)
-    for name, data in (("t0", tar[:700]), ("t1", tar[700:]), ("u0", b"no tar" * 200)):
-        (tmp_path / name).write_bytes(data)
-    rows = verify.stream_archives(spark.createDataFrame([("t", 0, uri("t0")), ("t", 1, uri("t1")), ("u", 0, uri("u0"))], "archive string, part_no int, uri string"), listing=True)
-    assert {r.archive: r.sha for r in rows.filter("sha is not null").collect()} == {"t": sha(tar), "u": sha(b"no tar" * 200)}  # one pass lists and hashes
-    recorded = rows.filter("seq >= 0").select(F.col("archive").alias("dle"), "path", "off").unionByName(spark.createDataFrame([("u", "h", 0)], "dle string, path string, off bigint"))
-    assert {r.dle: r.verdict for r in verify.structural_verdict(rows, recorded).collect()} == {"t": "ok", "u": "unreadable"}
-    assert {r.dle: r.verdict for r in verify.structural_verdict(rows, recorded.filter("path <> 'g'")).collect()}["t"] == "members"
-    assert {r.dle: r.verdict for r in verify.structural_verdict(rows, recorded.filter("dle = 'u'")).collect()}["t"] == "skipped"
-    verdicts = spark.createDataFrame([("r", "disk", "a", "ok", 5), ("r", "tape", "a", "integrity", 7)], "run string, medium string, dle string, verdict string, bytes bigint")
-    assert tuple(verify.verify_report(verdicts).first()) == ("r", 1, 1, 12, "tape:a:integrity")
-
-
 def test_read_catalog_and_store(spark, tmp_path):
     pos = {"label": "T1", "epoch": 1, "pos": 4}
     doc = {
@@ -355,25 +310,6 @@ def test_progress_stream_matches_the_batch(spark, tmp_path):
     assert tuple(live.stage_split(latest).first()) == ("r", 100, 7, 0, 45)
 
 
-def test_stateful_streams_match_the_batch(spark, tmp_path):
-    rows = [("m", i, dt.datetime(2024, 1, 1) + dt.timedelta(hours=i), u) for i, u in enumerate((5, 5, 7, 7, 0, 0, 7))]
-    usage = spark.createDataFrame(rows, "medium string, seq bigint, at timestamp, used bigint")
-    for i in range(0, 7, 3):
-        usage.filter(f"seq between {i} and {i + 2}").coalesce(1).write.mode("append").parquet(str(tmp_path / "u"))
-    stream = spark.readStream.schema(usage.schema).option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "u"))
-    q = live.usage_changes_stream(stream).writeStream.outputMode("append").format("memory").queryName("changes").option("checkpointLocation", str(tmp_path / "uck")).start()
-    q.processAllAvailable()
-    q.stop()
-    want = [r.seq for r in live.usage_changes(usage).orderBy("seq").collect()]
-    assert sorted(r.seq for r in spark.table("changes").collect()) == want == [0, 2, 4, 6]
-    steps = spark.createDataFrame([("x", 0.0, 1), ("x", 5.0, 1), ("x", 10.0, -1), ("x", 15.0, -1), ("x", 20.0, 1), ("x", 30.0, -1)], "lane string, at double, step int")
-    steps.coalesce(1).write.parquet(str(tmp_path / "s"))
-    q = live.lane_busy_stream(spark.readStream.schema(steps.schema).parquet(str(tmp_path / "s"))).writeStream.outputMode("update").format("memory").queryName("lanes").option("checkpointLocation", str(tmp_path / "sck")).start()
-    q.processAllAvailable()
-    q.stop()
-    assert [(r.lane, r.writers, r.busy) for r in spark.table("lanes").collect()] == [("x", 0, 25.0)]
-
-
 def test_alerts_health_and_attention(spark):
     log = spark.createDataFrame([("1", "dump", "success", []), ("2", "sync", "success", []), ("3", "sync", "failure", [])], "run_id string, command string, outcome string, warnings array<string>")
     channels = spark.createDataFrame([("mail", "mail", []), ("ops", "mail", ["sync"]), ("beat", "healthcheck", [])], "channel string, kind string, commands array<string>")
