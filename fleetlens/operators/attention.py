@@ -51,20 +51,88 @@ def route_alerts(run_log: DataFrame, channels: DataFrame) -> DataFrame:
     return rows.filter((F.col("kind") == "healthcheck") | loud | quiet).select("run_id", "command", "status", "channel")
 
 
-def findings(last_runs: DataFrame, capacity: DataFrame, missing_volumes: DataFrame, ledger: DataFrame, overdue: DataFrame, stranded: DataFrame, stale: DataFrame, sizes: DataFrame, rates: DataFrame, posture: DataFrame) -> DataFrame:
+#: Share of a capacity from which what must be kept is pressure, and from which a medium is no longer filling; days a forecast looks ahead; stale sources of a host from which they are one alert.
+PRESSURE, FORECAST_DAYS, TOGETHER = 0.9, 30, 2
+
+
+def medium_alerts(media: DataFrame, now: Column) -> DataFrame:
+    """(severity, topic, subject): at most one alert for each medium with a capacity.
+
+    media has medium, capacity, used, residual (what must be kept), volumes (labelled ones; 0
+    where data lies by address), with_room (of them, those that can be written) and over_at
+    (when its use is forecast to pass its capacity, or null). Full comes before all else. A
+    pool of volumes is out of room, or on its last one; near full it stays by design. Other
+    media warn when what must be kept nears capacity, or when they still fill and will be
+    full within FORECAST_DAYS.
+    """
+    used, capacity = F.col("used"), F.col("capacity")
+    soon = C.epoch("over_at") < C.epoch(now) + FORECAST_DAYS * 86400
+    topic = (
+        F.when(used >= capacity, "over capacity")
+        .when(F.col("volumes") > 0, F.when(F.col("with_room") == 0, "no room").when(F.col("with_room") == 1, "last volume"))
+        .when(F.col("residual") / capacity >= PRESSURE, "retention pressure")
+        .when((used / capacity < PRESSURE) & soon, "capacity forecast")
+    )
+    rows = media.filter(capacity > 0).withColumn("topic", topic).filter("topic is not null")
+    return rows.select(F.when(F.col("topic").isin("over capacity", "no room"), "red").otherwise("amber").alias("severity"), "topic", F.col("medium").alias("subject"))
+
+
+def stale_alerts(stale: DataFrame, configured: DataFrame) -> DataFrame:
+    """(subject): stale sources (dle), those of a host with TOGETHER or more as one: 'host: n of m'. configured has dle and host; sources without a host stand alone."""
+    known = configured.select("dle", F.when(F.col("host") != "", F.col("host")).alias("host")).distinct()
+    rows = stale.select("dle").distinct().join(known, "dle", "left")
+    late = rows.filter("host is not null").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= TOGETHER)
+    every = known.filter("host is not null").groupBy("host").agg(F.count("*").alias("m"))
+    hosts = late.join(every, "host").select(F.format_string("%s: %d of %d", "host", "n", "m").alias("subject"))
+    return hosts.unionByName(rows.join(late.select("host"), "host", "left_anti").select(F.col("dle").alias("subject")))
+
+
+def copy_alerts(short: DataFrame, media: Column, offsite: Column, archives: Column, facts: DataFrame) -> DataFrame:
+    """(severity, subject) of the rules of copies that are not met. short comes from placement.copies_posture; facts is a row that media, offsite (numbers of media with copies, and of those that are no landing) and archives are taken from.
+
+    Copies: an archive without any, or no archive at all, is red; one that still owes a copy,
+    or that no route gives a second, is amber; copies that rotated away are not a fault.
+    """
+    n = lambda *reasons: F.coalesce(F.sum(F.when(F.col("reason").isin(*reasons), F.col("n"))), F.lit(0))
+    counted = facts.join(short.agg(n("none").alias("_none"), n("backfill", "structural").alias("_short")), F.lit(True))
+    rules = F.array(
+        F.struct(F.lit("copies").alias("subject"), F.when((archives == 0) | (F.col("_none") > 0), "red").when(F.col("_short") > 0, "amber").alias("severity")),
+        F.struct(F.lit("media").alias("subject"), F.when(media < 2, "amber").alias("severity")),
+        F.struct(F.lit("offsite").alias("subject"), F.when(offsite < 1, "amber").alias("severity")),
+    )
+    return counted.select(F.explode(rules).alias("r")).select("r.severity", "r.subject").filter("severity is not null")
+
+
+def newest_unrestorable(points: DataFrame) -> DataFrame:
+    """(subject): sources whose newest recovery point (dle, run, verdict) is not complete; older ones are no alert."""
+    newest = points.groupBy("dle").agg(F.max_by("verdict", C.run_key("run")).alias("verdict"))
+    return newest.filter("verdict <> 'complete'").select(F.col("dle").alias("subject"))
+
+
+def findings(last_runs: DataFrame, media: DataFrame, ledger: DataFrame, overdue: DataFrame, points: DataFrame, stale: DataFrame, configured: DataFrame, sizes: DataFrame, slow: DataFrame, copies: DataFrame, now: Column) -> DataFrame:
     """attention() over all findings of a fleet, from the tables that the other operators give.
 
-    Red: the last run of a command failed; a medium over its capacity, or one that what is
-    kept alone overfills; a volume that no scan has seen; a source whose newest archive
-    no chain restores; a failed drill. Amber: overdue drills, stale sources, odd sizes and
-    slow dumps, and rules of the copy posture that are not met.
+    Red: the last run of a command failed; a medium is full, or a pool has no volume with
+    room; a drill that fails, by source; a source whose newest point cannot be restored; no
+    copies. Amber: a last run with warnings; the last volume, retention pressure, a forecast;
+    how many drills are overdue beside those that fail, as one; stale sources, by host; odd
+    sizes and slow dumps; rules of copies. last_runs has a row a command, ledger a row a
+    source (ok), overdue the sources whose drill is, failing ones included; media, points,
+    copies: see medium_alerts, newest_unrestorable, copy_alerts.
     """
     name = lambda df, c: df.select(F.col(c).alias("subject"))
-    return attention(
-        ("red", "last run failed", name(last_runs.filter("status = 'FAILED'"), "command")), ("red", "over capacity", name(capacity.filter("over or infeasible"), "medium")), ("red", "volume not seen", name(missing_volumes, "label")),
-        ("red", "broken chain", name(stranded, "dle")), ("red", "drill failed", name(ledger.filter("not ok"), "dle")), ("amber", "drill overdue", name(overdue, "dle")), ("amber", "stale", name(stale, "dle")),
-        ("amber", "size", name(sizes, "dle")), ("amber", "slow", name(rates, "dle")), ("amber", "posture", name(posture.filter("not ok"), "rule")),
-    )
+    failing = name(ledger.filter("not ok"), "dle")
+    gap = overdue.select("dle").distinct().join(failing.withColumnRenamed("subject", "dle"), "dle", "left_anti").agg(F.count("*").alias("n")).filter("n > 0").select(F.col("n").alias("subject"))
+    parts = [
+        ("red", "failed", name(last_runs.filter("status = 'FAILED'"), "command")), ("amber", "warning", name(last_runs.filter("status = 'WARNING'"), "command")),
+        ("red", "drill failing", failing), ("amber", "drill overdue", gap), ("red", "unrestorable", newest_unrestorable(points)), ("amber", "stale", stale_alerts(stale, configured)),
+        ("amber", "size anomaly", name(sizes, "dle")), ("amber", "slow dump", name(slow, "dle")),
+    ]
+    alerts = medium_alerts(media, now)
+    for topic, severity in (("over capacity", "red"), ("no room", "red"), ("last volume", "amber"), ("retention pressure", "amber"), ("capacity forecast", "amber")):
+        parts.append((severity, topic, alerts.filter(F.col("topic") == topic)))
+    parts += [(severity, "recoverability", copies.filter(F.col("severity") == severity)) for severity in ("red", "amber")]
+    return attention(*parts)
 
 
 def metrics(summary: DataFrame, totals: DataFrame, medium_dim: DataFrame, last_runs: DataFrame, counts: DataFrame) -> DataFrame:

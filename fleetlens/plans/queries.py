@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -894,26 +895,47 @@ def posture(t: Tables) -> DataFrame:
 RUN_LOG = "(select event_id as id, event_type as command, case when event_type = 'error' then 'failure' else 'success' end as outcome, event_id % 9 = 0 as warns, ts, cast(round(value * 1000) as bigint) as moved from events) x"
 
 
-@query(FLOOR
-    + f""", u as (select medium, sum(compressed) as stored, sum(case when labeled or (kind is not null and kind <> 'CONDEMNED') then compressed else 0 end) as residual, max(capacity) as capacity from floor group by medium),
-    lr as (select *, row_number() over (partition by command order by ts desc, id desc) as rk from {RUN_LOG})
-    select 0 as rank, 'red' as severity, 'broken chain' as topic, dle as subject from (select distinct dle from lost where stranded) x
-    union all select 0, 'red', 'last run failed', command from lr where rk = 1 and outcome = 'failure'
-    union all select 0, 'red', 'over capacity', medium from u where capacity > 0 and (stored > capacity or residual > capacity)
-    union all select 0, 'red', 'drill failed', dle from drill_ledger where not ok
-    union all select 0, 'red', 'volume not seen', label from (select distinct label from part_file where label <> '' and label not in (select label from volume)) x
-    union all select 1, 'amber', 'drill overdue', c.dle from (select concat('c', cast(c_custkey as string)) as dle from customer) c left join drill_ledger l on l.dle = c.dle where last_drill is null or not ok or floor(epoch({ET})) - floor(epoch(last_drill)) >= 604800
-    union all select 1, 'amber', 'stale', dle from (select concat('c', cast(c_custkey as string)) as dle from customer) c left join archive using (dle) group by dle having max(created_at) is null or epoch({T}) - epoch(max(created_at)) >= 2592000
-    union all select 1, 'amber', 'size', dle from ({SIZES}) x union all select 1, 'amber', 'slow', dle from ({SLOW}) x union all select 1, 'amber', 'posture', rule from ({POSTURE}) x where not ok""")
+#: Each medium five times, with capacities and volumes that give every kind of alert.
+MEDIA = f"""(select concat(medium, '-', cast(k as string)) as medium, case k when 0 then stored when 1 then cast(residual * 1.05 as bigint) + stored - residual + 1 when 4 then 0 else stored * 2 + 1 end as capacity, stored as used, case k when 1 then stored else residual end as residual,
+      case k when 3 then 4 else 0 end as volumes, length(medium) % 3 as with_room, case when k = 2 then {T} + interval '10 days' when k = 1 then {T} end as over_at from media_use, (values (0), (1), (2), (3), (4)) as v(k))"""
+
+ROLLUP = """rc as (select distinct dle, run from placement where arch_key % 41 <> 0), rn as (select a.dle, a.run, a.level, coalesce(a.base_run, '') as base_run, c.run is not null as copy from archive a left join rc c using (dle, run)),
+    rt as (select dle, max(run) as run from archive group by dle),
+    rw as (select dle, run, level as at_level, base_run as nx, [run] as seen, not copy as bare from rn semi join rt using (dle, run)
+          union all select w.dle, w.run, n.level, n.base_run, list_append(seen, n.run), bare or not n.copy from rw w join rn n on n.dle = w.dle and n.run = w.nx where w.at_level > 0 and not list_contains(seen, w.nx)),
+    re as (select *, row_number() over (partition by dle, run order by len(seen) desc) as rk from rw),"""
+
+
+@query(
+    "with recursive " + ROLLUP + re.sub(r"^\s*with\s+(recursive\s+)?", "", FLOOR)
+    + f""", media_use as (select medium, cast(sum(compressed) as bigint) as stored, cast(sum(case when labeled or (kind is not null and kind <> 'CONDEMNED') then compressed else 0 end) as bigint) as residual from floor group by medium),
+    md as (select *, case when used >= capacity then 'over capacity' when volumes > 0 then case with_room when 0 then 'no room' when 1 then 'last volume' end when residual / capacity::double >= 0.9 then 'retention pressure' when used / capacity::double < 0.9 and over_at < {T} + interval '30 days' then 'capacity forecast' end as topic from {MEDIA} m where capacity > 0),
+    lr as (select *, row_number() over (partition by command order by ts desc, id desc) as rk from {RUN_LOG}), cf as (select concat('c', cast(c_custkey as string)) as dle, concat('h', cast(c_custkey % 20 as string)) as host from customer),
+    od as (select c.dle from cf c left join drill_ledger l on l.dle = c.dle where coalesce(ok, true) and (last_drill is null or floor(epoch({ET})) - floor(epoch(last_drill)) >= 604800)),
+    st as (select dle, any_value(host) as host from cf c left join (select dle, created_at from archive) a using (dle) group by dle having max(created_at) is null or epoch({T}) - epoch(max(created_at)) >= 2592000),
+    hs as (select host, count(*) as n from st group by host having count(*) >= 2), f as (
+    select 0 as rank, 'red' as severity, 'unrestorable' as topic, dle as subject from re where rk = 1 and (bare or at_level > 0)
+    union all select 0, 'red', 'failed', command from lr where rk = 1 and outcome = 'failure' union all select 1, 'amber', 'warning', command from lr where rk = 1 and outcome <> 'failure' and warns
+    union all select case when topic in ('over capacity', 'no room') then 0 else 1 end, case when topic in ('over capacity', 'no room') then 'red' else 'amber' end, topic, medium from md where topic is not null
+    union all select 0, 'red', 'drill failing', dle from drill_ledger where not ok union all select 1, 'amber', 'drill overdue', count(*)::varchar from od having count(*) > 0
+    union all select 1, 'amber', 'stale', host || ': ' || n || ' of ' || (select count(*) from cf where cf.host = hs.host) from hs union all select 1, 'amber', 'stale', dle from st where host not in (select host from hs)
+    union all select 1, 'amber', 'size anomaly', dle from ({SIZES}) x union all select 1, 'amber', 'slow dump', dle from ({SLOW}) x
+    union all select 0, 'red', 'recoverability', 'copies' where exists (select 1 from archive a where not exists (select 1 from placement p where p.dle = a.dle and p.run = a.run and p.level = a.level))
+    union all select 1, 'amber', 'recoverability', 'media' where (select count(distinct medium) from placement) < 2) select * from f"""
+)
 def attention_list(t: Tables) -> DataFrame:
-    capacity = cut(retention.capacity_status(floor_of(t), t.medium_dim))
-    lost = chains.stranded(chains.base_of(t.archive)).filter("stranded").select("dle").distinct()
+    """All findings of the fleet, over the real runs, drills, chains and copies, and media of all kinds."""
+    status = retention.capacity_status(floor_of(t), t.medium_dim).filter("stored > 0").select("medium", "stored", "residual")
+    cut(status).createOrReplaceTempView("media_use")
+    media = t.spark.sql(f"select medium, capacity, used, residual, volumes, with_room, over_at from {MEDIA.replace(T, 'timestamp_ntz' + T.removeprefix('timestamp'))} m")
+    points = chains.recovery_points(t.archive, t.placement.filter("arch_key % 41 <> 0"))
     overdue = summaries.drill_overdue(configured(t), t.drill_ledger, 7, events_now())
     dumps = odd_dumps(t)
-    rules = placement.posture(t.archive, t.placement, t.route, capacity, t.drill_ledger)
-    return attention.findings(
-        summaries.last_per_command(run_log(t)), capacity, placement.missing_volumes(t.part_file, t.volume), t.drill_ledger, overdue, lost, summaries.stale_dles(configured(t), t.archive, 30, now()), trends.size_anomalies(dumps), trends.slow_dumps(dumps), rules
-    )
+    facts = t.placement.agg(F.countDistinct("medium").alias("media"), F.countDistinct(F.when(F.col("medium") != "disk", F.col("medium"))).alias("offsite")).join(t.archive.agg(F.count("*").alias("archives")), F.lit(True))
+    short = placement.copies_posture(t.archive, classes_of(t), t.placement)
+    copies = attention.copy_alerts(short, F.col("media"), F.col("offsite"), F.col("archives"), facts)
+    stale = summaries.stale_dles(configured(t), t.archive, 30, now())
+    return attention.findings(summaries.last_per_command(run_log(t)), media, t.drill_ledger, overdue, points, stale, configured(t), trends.size_anomalies(dumps), trends.slow_dumps(dumps), copies, now())
 
 
 def run_log(t: Tables) -> DataFrame:
