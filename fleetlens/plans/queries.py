@@ -897,7 +897,7 @@ RUN_LOG = "(select event_id as id, event_type as command, case when event_type =
 
 #: Each medium five times, with capacities and volumes that give every kind of alert.
 MEDIA = f"""(select concat(medium, '-', cast(k as string)) as medium, case k when 0 then stored when 1 then cast(residual * 1.05 as bigint) + stored - residual + 1 when 4 then 0 else stored * 2 + 1 end as capacity, stored as used, case k when 1 then stored else residual end as residual,
-      case k when 3 then 4 else 0 end as volumes, length(medium) % 3 as with_room, case when k = 2 then {T} + interval '10 days' when k = 1 then {T} end as over_at from media_use, (values (0), (1), (2), (3), (4)) as v(k))"""
+      case k when 3 then 4 else 0 end as volumes, case medium when 'tape' then 0 when 'disk' then 1 else 2 end as with_room, case when k = 2 then {T} + interval '10 days' when k = 1 then {T} end as over_at from media_use, (values (0), (1), (2), (3), (4)) as v(k))"""
 
 ROLLUP = """rc as (select distinct dle, run from placement where arch_key % 41 <> 0), rn as (select a.dle, a.run, a.level, coalesce(a.base_run, '') as base_run, c.run is not null as copy from archive a left join rc c using (dle, run)),
     rt as (select dle, max(run) as run from archive group by dle),

@@ -9,7 +9,11 @@ from pyspark.sql import functions as F
 
 from fleetlens.operators import attention
 
-NOW = F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz")
+
+def march():
+    return F.lit(dt.datetime(2024, 3, 1)).cast("timestamp_ntz")
+
+
 MEDIA = "medium string, capacity bigint, used bigint, residual bigint, volumes int, with_room int, over_at timestamp_ntz"
 SOON, LATER = dt.datetime(2024, 3, 20), dt.datetime(2024, 4, 20)
 
@@ -31,7 +35,7 @@ SOON, LATER = dt.datetime(2024, 3, 20), dt.datetime(2024, 4, 20)
     ],
 )
 def test_media(spark, row, want):
-    got = attention.medium_alerts(spark.createDataFrame([("m", *row)], MEDIA), NOW).collect()
+    got = attention.medium_alerts(spark.createDataFrame([("m", *row)], MEDIA), march()).collect()
     assert [(r.severity, r.topic, r.subject) for r in got] == ([(*want, "m")] if want else [])
 
 
@@ -66,7 +70,7 @@ def everything(spark, ledger, overdue, points, runs=(), sizes=(), slow=()):
     copies = make([("amber", "media")], "severity string, subject string")
     configured = make([("a", "h"), ("b", "h")], "dle string, host string")
     got = attention.findings(
-        make(runs, "command string, status string"), media, make(ledger, "dle string, ok boolean"), make(overdue, one), make(points, "dle string, run string, verdict string"), make([("a",)], one), configured, make(sizes, one), make(slow, one), copies, NOW
+        make(runs, "command string, status string"), media, make(ledger, "dle string, ok boolean"), make(overdue, one), make(points, "dle string, run string, verdict string"), make([("a",)], one), configured, make(sizes, one), make(slow, one), copies, march()
     )
     return [(r.severity, r.topic, r.subject) for r in got.collect()]
 
