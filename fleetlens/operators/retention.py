@@ -170,8 +170,24 @@ def room_checks(floor: DataFrame, medium_dim: DataFrame) -> DataFrame:
     return status.join(newest, "medium").select("medium", F.col("r.run").alias("newest"), F.col("r.bytes").alias("need"), "room", ((F.col("room") < 0) & (F.col("capacity") == 0) | (F.col("room") >= F.col("r.bytes"))).alias("fits"))
 
 
+#: Days that are bits of one number.
+DAYS_AT_ONCE = 62
+
+
 def kept_days(held: DataFrame, days: DataFrame) -> DataFrame:
-    """held with kept: the numbers of the sampled days (ascending, from 0) on which the floor of its medium kept a copy. days has `day`, the instants judged at, at most 62.
+    """held with kept: the numbers of the sampled days (ascending, from 0) on which the floor of its medium kept a copy. days has `day`, the instants judged at, of any number: a copy has a row for each DAYS_AT_ONCE of them."""
+    numbered = _numbered(days)
+    blocks = max(1, -(-numbered.count() // DAYS_AT_ONCE))
+    out = None
+    for b in range(blocks):
+        own = numbered.filter((F.col("k") >= b * DAYS_AT_ONCE) & (F.col("k") < (b + 1) * DAYS_AT_ONCE)).select("day")
+        part = _kept_block(held, own).withColumn("kept", F.transform("kept", lambda k: (k + b * DAYS_AT_ONCE).cast("int")))
+        out = part if out is None else out.unionByName(part)
+    return out
+
+
+def _kept_block(held: DataFrame, days: DataFrame) -> DataFrame:
+    """kept_days for DAYS_AT_ONCE days at the most, numbered from 0.
 
     A day sees what the medium held by then, and judges broken chains by that alone. Days
     are bits of one number, so a copy stays one row: a copy's days, a run's young days, the
@@ -180,8 +196,6 @@ def kept_days(held: DataFrame, days: DataFrame) -> DataFrame:
     (to the day sampled); sources with others are few and are worked on day by day.
     """
     listed = days.agg(F.array_sort(F.collect_set("day")).alias("_days"))
-    if listed.select(F.size("_days")).first()[0] > 62:
-        raise ValueError("at most 62 days at once")
     zero = F.lit(0).cast("long")
 
     def bits(test) -> Column:

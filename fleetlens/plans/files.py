@@ -18,7 +18,7 @@ from fleetlens.operators import verify
 from fleetlens.plans.lineage import cut, shared_dir
 from fleetlens.plans.queries import RUN_LOG, query, run_log
 from fleetlens.plans.tables import Tables, with_views
-from fleetlens.sources import readers, sinks
+from fleetlens.sources import ledger, readers, schemas, sinks
 
 
 def folder(t: Tables, name: str) -> str:
@@ -34,6 +34,19 @@ def run_log_files(t: Tables) -> DataFrame:
     return readers.read_run_log(t.spark, path).select("run_id", "command", "outcome", "bytes_moved", (F.size("warnings") > 0).alias("warned"), F.col("ended_at").cast("timestamp_ntz").alias("ended_at"))
 
 
+@query(f"with b as (select id from {RUN_LOG} where id % 3 < 2 order by id % 3 desc, id desc limit 100) select cast(id as string) as run_id, command from {RUN_LOG} where id in (select id from b) or id % 3 = 2")
+def compact_run_log(t: Tables) -> DataFrame:
+    """A run log of two appends compacted to its last hundred records, and one more append read with them."""
+    path = folder(t, "compacted-log")
+    log = run_log(t).withColumn("_id", F.col("run_id").cast("int"))
+    for k in (0, 1):
+        ledger.append_log(log.filter(F.col("_id") % 3 == k).orderBy("_id").drop("_id"), path)
+    ledger.compact(t.spark, path, schemas.RUN_LOG, ledger.last_records(100), over=100)
+    ledger.append_log(log.filter("_id % 3 = 2").drop("_id"), path)
+    ledger.vacuum(t.spark, path)
+    return ledger.read_log(t.spark, path, schemas.RUN_LOG).select("run_id", "command")
+
+
 @query("select medium, \"at\", used, cast(seq % 7 as int) as runs from usage_sample")
 def usage_files(t: Tables) -> DataFrame:
     """The usage ledger as JSON lines, read back."""

@@ -238,12 +238,6 @@ def last_runs(t: Tables) -> DataFrame:
     return summaries.select_runs(t.archive, last=15)
 
 
-@query(f"select cast(id as string) as run_id from {RUN_LOG} order by id desc limit 100")
-def compact_run_log(t: Tables) -> DataFrame:
-    lines = run_log(t).withColumns({"file": F.lit("f"), "block": F.lit(0), "line": F.col("run_id").cast("int")})
-    return sinks.compact_run_log(lines, 100).select("run_id")
-
-
 @query(floor_sql() + " select medium, cast(sum(compressed) filter (where kind is null) as bigint) as reclaimable, count(*) filter (where kind is null) as copies from floor group by medium")
 def reclaimable(t: Tables) -> DataFrame:
     free = F.col("kind").isNull()

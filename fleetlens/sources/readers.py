@@ -33,7 +33,7 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     return {"archive": archive, "placement": placement, "part": part, "volume": volume, "force_full": force, "resolved_dle": resolved}
 
 
-def _lines(spark: SparkSession, path: str, schema: str, strict: bool) -> DataFrame:
+def _lines(spark: SparkSession, path: str | list[str], schema: str, strict: bool) -> DataFrame:
     """Records of JSON line files, with file, block and line: in this order they stand as they were appended.
 
     Files are split like any text: block is the byte at which a split begins, line rises

@@ -120,14 +120,17 @@ def slow_kept(rows, min_age, day):
         helpers.NOW = old
 
 
-def test_kept_days_match_the_floor_of_each_day(spark):
+@pytest.mark.parametrize("seeds,days", [(range(300, 340), [11, 8, 5, 2]), (range(300, 306), [13 - i / 30 for i in range(365)])])
+def test_kept_days_match_the_floor_of_each_day(spark, seeds, days):
     catalogs = {}
-    for s, rows in many(range(300, 340)).items():
+    for s, rows in many(seeds).items():
         # every third catalog commits out of order
         catalogs[s] = [(*r[:-1], r[-1] + dt.timedelta(days=(7 * i * s) % 5) if s % 3 == 0 else r[-1]) for i, r in enumerate(rows)]
     held = frame(spark, [r for rows in catalogs.values() for r in rows]).withColumns({"medium": F.regexp_extract("dle", r"^(k\d+)-", 1), "capacity": F.lit(0).cast("long"), "min_age_days": F.lit(3), "labeled": F.lit(False)})
-    days = [NOW - dt.timedelta(days=d) for d in (11, 8, 5, 2)]
-    got = {(r.medium, r.run, r.dle): set(r.kept) for r in retention.kept_days(held, spark.createDataFrame([(d,) for d in days], "day timestamp_ntz")).collect()}
+    days = [NOW - dt.timedelta(days=d) for d in days]
+    got: dict = {}
+    for r in retention.kept_days(held, spark.createDataFrame([(d,) for d in days], "day timestamp_ntz")).collect():
+        got.setdefault((r.medium, r.run, r.dle), set()).update(r.kept)
     for s, rows in catalogs.items():
         for k, day in enumerate(days):
             want = slow_kept(rows, 3, day)
