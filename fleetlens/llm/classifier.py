@@ -180,14 +180,14 @@ def training_sample(docs: DataFrame, labels: DataFrame, label_col: str, folds: i
 
 def _learn(batches: Iterator[pa.RecordBatch], most_bytes: int, settings: Settings) -> Iterator[pa.RecordBatch]:
     documents, labels, size = [], [], 0
-    for batch in batches:
-        for label, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            if size + len(text) > most_bytes and documents:
-                break
-            numbers, counts = document_features(text, settings)
-            documents.append((numbers.astype(np.int32), counts.astype(np.float32)))
-            labels.append(label)
-            size += len(text)
+    rows = (row for batch in batches for row in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    for label, text in rows:
+        size += len(text.encode())
+        if size > most_bytes and documents:
+            break  # for good: which documents train does not depend on how rows come in batches
+        numbers, counts = document_features(text, settings)
+        documents.append((numbers.astype(np.int32), counts.astype(np.float32)))
+        labels.append(label)
     if documents:
         yield pa.RecordBatch.from_arrays([pa.array([train(documents, np.array(labels), settings).astype("<f4").tobytes()], pa.binary())], ["odds"])
 
@@ -216,7 +216,7 @@ def quality_scores(docs: DataFrame, labels: DataFrame, label_col: str = "quality
     """(doc_id, held_out, score, predicted) for each row of docs.
 
     Trains on at most most_labelled labelled documents whose crc32(doc_id) modulo folds is
-    not 0, and stops at about most_bytes characters of them (both bounds are on labelled
+    not 0, and stops for good at the first one that takes them over most_bytes bytes (both bounds are on labelled
     rows only; texts are never cut, and every text is scored whole), then scores all texts
     in one narrow stage. The score depends on the text alone.
 

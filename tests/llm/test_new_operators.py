@@ -9,10 +9,11 @@ import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
-from fleetlens.llm import decontamination, divergence, periodic_runs, queries
+from fleetlens.llm import classifier, decontamination, divergence, periodic_runs, queries
 from fleetlens.llm.decontamination import SuffixAutomaton
 
 WORD = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
@@ -265,3 +266,13 @@ def test_whole_query_of_runs(spark, tmp_path):
         listed = "".join(f"{s},{size},{p}\n" for s, size, p in runs)
         assert got[doc_id] == (len(runs), *best, hashlib.sha256(listed.encode()).hexdigest(), hashlib.sha256(" ".join(w for i, w in enumerate(own) if i not in gone).encode()).hexdigest())
     assert changed > 5
+
+
+@pytest.mark.parametrize("bound,trained", [(10, 1), (95, 2), (130, 3), (10_000, 6)])
+def test_the_training_bound_does_not_depend_on_batches(bound, trained):
+    rows = [(1, "good words " * 4), (0, "bad é " * 7), (1, "x" * 30), (0, "y"), (1, "z" * 90), (0, "short")]
+    table = pa.table({"label": pa.array([r[0] for r in rows], pa.int32()), "text": [r[1] for r in rows]})
+    settings = classifier.Settings(bits=8, steps=20)
+    seen = [next(classifier._learn(iter(table.to_batches(max_chunksize=n)), bound, settings)).column(0)[0].as_py() for n in (1, 2, 4, 6)]
+    assert len(set(seen)) == 1
+    assert seen[0] == next(classifier._learn(iter(table.slice(0, trained).to_batches()), 10**9, settings)).column(0)[0].as_py()
