@@ -268,7 +268,7 @@ def test_whole_query_of_runs(spark, tmp_path):
     assert changed > 5
 
 
-@pytest.mark.parametrize("bound,trained", [(10, 1), (95, 2), (130, 3), (10_000, 6)])
+@pytest.mark.parametrize("bound,trained", [(10, 1), (95, 2), (123, 3), (10_000, 6)])
 def test_the_training_bound_does_not_depend_on_batches(bound, trained):
     rows = [(1, "good words " * 4), (0, "bad é " * 7), (1, "x" * 30), (0, "y"), (1, "z" * 90), (0, "short")]
     table = pa.table({"label": pa.array([r[0] for r in rows], pa.int32()), "text": [r[1] for r in rows]})
