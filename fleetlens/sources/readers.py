@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fleetlens.sources import schemas as S
+from fleetlens.sources import store
 
 
 def known(ts: str | Column) -> Column:
@@ -15,10 +16,19 @@ def known(ts: str | Column) -> Column:
     return F.when(F.year(t) > 1, t)
 
 
-def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables of one or many catalog documents: archive, placement, part, volume, force_full, resolved_dle; catalog_id is the document's path."""
-    docs = spark.read.schema(S.CATALOG).json(path, multiLine=True).withColumn("catalog_id", F.input_file_name())
-    entries = docs.select("catalog_id", F.explode("entries").alias("e"))
+def _entries(spark: SparkSession, path: str | list[str], key: str, schema: str, lenient: bool = False) -> DataFrame:
+    """(file, name, seq, v) of the elements or named values of a top-level key, parsed."""
+    rows = store.document_entries(spark, path, {key: True}, lenient)
+    return rows.select("file", "name", F.col("seq").cast("int").alias("seq"), F.from_json("value", schema).alias("v"))
+
+
+def read_catalog(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
+    """Tables of one or many catalog documents: archive, placement, part, volume, force_full, resolved_dle; catalog_id is the document's path.
+
+    Documents are read as streams of their entries, each table only those that it is made
+    of, so a document may be of any length. One that cannot be parsed is an error.
+    """
+    entries = _entries(spark, path, "entries", S.CATALOG_ENTRY).select(F.col("file").alias("catalog_id"), F.col("v").alias("e"))
     archive = entries.select("catalog_id", F.explode("e.run.archives").alias("a")).select("catalog_id", "a.*")
     archive = archive.withColumns({"created_at": known("created_at"), "parts": F.greatest(F.coalesce("parts", F.lit(1)), F.lit(1)), "base_run": F.when(F.col("base_run") != "", F.col("base_run"))})
     placed = entries.select("catalog_id", F.col("e.run.id").alias("run"), F.explode("e.placements").alias("p")).select("catalog_id", "run", "p.medium", F.explode("p.archives").alias("a"))
@@ -27,9 +37,11 @@ def read_catalog(spark: SparkSession, path: str) -> dict[str, DataFrame]:
     aligned = F.when(F.size("a.seals") == F.size("a.parts"), F.col("a.seals"))
     part = placed.select("catalog_id", "run", "medium", "a.dle", "a.level", aligned.alias("seals"), F.posexplode("a.parts").alias("part_no", "at"))
     part = part.select("catalog_id", "run", "medium", "dle", "level", "part_no", "at.label", "at.epoch", "at.pos", F.get("seals", "part_no").alias("s")).select("*", "s.size", "s.sha256", "s.raw_size").drop("s")
-    volume = docs.select("catalog_id", F.explode("volumes").alias("label", "v")).select("catalog_id", "label", "v.label.pool", "v.label.epoch", known("v.label.written_at").alias("written_at"), "v.barcode", "v.used")
-    force = docs.select("catalog_id", F.explode("dles").alias("dle", "d")).filter("d.force_full").select("catalog_id", "dle")
-    resolved = docs.select("catalog_id", "resolved.run", F.explode("resolved.dles").alias("d")).select("catalog_id", "run", "d.*")
+    volume = _entries(spark, path, "volumes", S.CATALOG_VOLUME).select(F.col("file").alias("catalog_id"), F.col("name").alias("label"), "v.label.pool", "v.label.epoch", known("v.label.written_at").alias("written_at"), "v.barcode", "v.used")
+    force = _entries(spark, path, "dles", S.CATALOG_DLE).filter("v.force_full").select(F.col("file").alias("catalog_id"), F.col("name").alias("dle"))
+    # The sources of the latest run: one value, as the run's name belongs to each.
+    last = store.document_entries(spark, path, {"resolved": False}).select(F.col("file").alias("catalog_id"), F.from_json("value", S.CATALOG_RESOLVED).alias("v"))
+    resolved = last.select("catalog_id", "v.run", F.explode("v.dles").alias("d")).select("catalog_id", "run", "d.*")
     return {"archive": archive, "placement": placement, "part": part, "volume": volume, "force_full": force, "resolved_dle": resolved}
 
 
@@ -80,35 +92,30 @@ def read_usage(spark: SparkSession, path: str, strict: bool = True) -> DataFrame
 
 def read_drill_ledger(spark: SparkSession, path: str) -> DataFrame:
     """A row for each source in the ledger; a missing file is an empty ledger."""
-    docs = _or_empty(spark, S.DRILL, lambda: spark.read.schema(S.DRILL).json(path, multiLine=True))
-    rows = docs.select(F.explode("records").alias("key", "r")).select(F.coalesce("r.dle", "key").alias("dle"), "r.last_drill", "r.tier", "r.medium", "r.as_of", "r.run_id", "r.ok", "r.class", "r.detail", "r.bytes", "r.drills")
+    docs = _or_empty(spark, f"file string, name string, seq int, v struct<{S.DRILL_RECORD}>", lambda: _entries(spark, path, "records", S.DRILL_RECORD))
+    rows = docs.select(F.coalesce("v.dle", "name").alias("dle"), "v.last_drill", "v.tier", "v.medium", "v.as_of", "v.run_id", "v.ok", "v.class", "v.detail", "v.bytes", "v.drills")
     return rows.withColumn("last_drill", known("last_drill"))
 
 
-def read_member_index(spark: SparkSession, path: str) -> dict[str, DataFrame]:
-    """Tables member, frame and unit of index files `<run>-<dle>-L<level>.idx.gz`; a file that cannot be decoded is left out."""
-    docs = spark.read.schema(S.MEMBER_INDEX).option("mode", "DROPMALFORMED").json(path, multiLine=True).withColumn("_f", F.input_file_name())
+def read_member_index(spark: SparkSession, path: str | list[str]) -> dict[str, DataFrame]:
+    """Tables member, frame and unit of index files `<run>-<dle>-L<level>.idx.gz`, read as streams of their entries; a file that cannot be decoded to its end is left out."""
     name = r"(run-\d{4}-\d{2}-\d{2}\.\d+)-([^/]+)-L(\d+)\.idx"
-    docs = docs.select(F.regexp_extract("_f", name, 1).alias("run"), F.regexp_extract("_f", name, 2).alias("dle"), F.regexp_extract("_f", name, 3).cast("int").alias("level"), "members", "frames", "units")
-    key = ["run", "dle", "level"]
-    member = docs.select(*key, F.posexplode("members").alias("seq", "m")).select(*key, "seq", F.col("m.p").alias("path"), F.col("m.o").alias("off"))
-    frame = docs.select(*key, F.posexplode("frames").alias("seq", "f")).select(*key, "seq", F.get("f", F.lit(0)).alias("raw"), F.get("f", F.lit(1)).alias("enc"))
-    unit = docs.select(*key, F.explode("units").alias("u")).select(*key, "u.*")
+    key = [F.regexp_extract("file", name, 1).alias("run"), F.regexp_extract("file", name, 2).alias("dle"), F.regexp_extract("file", name, 3).cast("int").alias("level")]
+    member = _entries(spark, path, "members", "p string, o bigint", lenient=True).select(*key, "seq", F.col("v.p").alias("path"), F.col("v.o").alias("off"))
+    frame = _entries(spark, path, "frames", "array<bigint>", lenient=True).select(*key, "seq", F.get("v", F.lit(0)).alias("raw"), F.get("v", F.lit(1)).alias("enc"))
+    unit = _entries(spark, path, "units", S.INDEX_UNIT, lenient=True).select(*key, "v.*")
     return {"member": member, "frame": frame, "unit": unit}
 
 
 def scan_store(spark: SparkSession, root: str) -> DataFrame:
-    """(run, pos, payload, bytes, sidecar, modified, header columns) of an address store: `runs/<run>/<number>-<name>` payloads and their `.hdr` sidecars, paired by number.
+    """(run, pos, payload, bytes, modified, sidecar, header columns) of an address store: `runs/<run>/<number>-<name>` payloads and their `.hdr` sidecars, paired by number.
 
-    Payloads are listed only; their content is not read.
+    Payloads are listed only; their content is not read. A filter on run lists only the
+    runs it lets through. A sidecar that is no JSON has nulls for its columns.
     """
-    name = r"runs/([^/]+)/(\d+)-[^/]*$"
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(root).select("path", "length", "modificationTime")
-    files = files.select(F.regexp_extract("path", name, 1).alias("run"), F.regexp_extract("path", name, 2).cast("bigint").alias("pos"), "path", "length", "modificationTime").filter("run <> ''")
-    payload = files.filter(~F.col("path").endswith(".hdr")).select("run", "pos", F.col("path").alias("payload"), F.col("length").alias("bytes"), F.col("modificationTime").alias("modified"))
-    heads = spark.read.schema(S.HEADER.replace("run string", "run_name string").replace("path string", "source_path string")).option("recursiveFileLookup", "true").option("pathGlobFilter", "*.hdr").json(root, multiLine=True).withColumn("sidecar", F.input_file_name())
-    heads = heads.withColumn("run", F.regexp_extract("sidecar", name, 1)).withColumn("pos", F.regexp_extract("sidecar", name, 2).cast("bigint"))
-    return payload.join(heads.drop("run_name"), ["run", "pos"], "full")
+    head = F.from_json("header", S.HEADER.replace("run string", "run_name string").replace("path string", "source_path string"))
+    rows = store.store_files(spark, root).select("run", "pos", "payload", "bytes", "modified", "sidecar", head.alias("h"))
+    return rows.select("run", "pos", "payload", "bytes", "modified", "sidecar", "h.*").drop("run_name")
 
 
 def assemble(parts: DataFrame, commits: DataFrame, medium: str, pool: str = "") -> tuple[DataFrame, DataFrame]:
