@@ -323,6 +323,38 @@ def chain_media(chain: DataFrame, placement: DataFrame) -> DataFrame:
     return held.join(links, ["dle", "point"]).withColumn("whole", F.col("held") == F.col("links"))
 
 
+def chain_places(chain: DataFrame, placement: DataFrame, part_file: DataFrame) -> DataFrame:
+    """(dle, point, one_place, media): where a chain can be restored from.
+
+    Where media hold all of it these are named, each with the volumes to mount in the order
+    the chain needs them (`disk, tape:T1+T2`). Else the archives are listed in the chain's
+    order with the copies of each (`L0: tape:T1 · L1: disk · L2: none`).
+    """
+    key, link, copy = ["dle", "point"], ["dle", "run", "level"], ["dle", "run", "level", "medium"]
+    links = chain.select(*key, "run", "level").distinct()
+    copies = placement.select(*copy).distinct()
+    labels = part_file.filter(F.col("label") != "").groupBy(*copy, "label").agg(F.min("part_no").alias("part_no"))
+
+    def named(sorted_labels: Column) -> Column:
+        text = F.array_join(F.transform(sorted_labels, lambda x: x["label"]), "+")
+        return F.when(text != "", F.concat("medium", F.lit(":"), text)).otherwise(F.col("medium"))
+
+    held = links.join(copies, link)
+    counts = held.groupBy(*key, "medium").agg(F.count("*").alias("held")).join(links.groupBy(*key).agg(F.count("*").alias("links")), key)
+    first = held.join(labels, copy).groupBy(*key, "medium", "label").agg(F.min(F.struct("run", "level", "part_no")).alias("f"))
+    union = first.groupBy(*key, "medium").agg(F.array_sort(F.collect_list(F.struct("f", "label"))).alias("v"))
+    whole = counts.filter("held = links").join(union, [*key, "medium"], "left").withColumn("name", named(F.coalesce("v", F.array())))
+    whole = whole.groupBy(*key).agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("whole"))
+
+    volumes = labels.groupBy(*copy).agg(F.array_sort(F.collect_list(F.struct("part_no", "label"))).alias("v"))
+    own = copies.join(volumes, copy, "left").withColumn("name", named(F.coalesce("v", F.array())))
+    each = links.join(own, link, "left").groupBy(*key, "run", "level").agg(F.array_join(F.sort_array(F.collect_list("name")), ", ").alias("names"))
+    line = F.concat(F.lit("L"), F.col("level").cast("string"), F.lit(": "), F.when(F.col("names") == "", "none").otherwise(F.col("names")))
+    listed = each.groupBy(*key).agg(F.array_sort(F.collect_list(F.struct("run", "level", line.alias("line")))).alias("v"))
+    out = listed.join(whole, key, "left")
+    return out.select(*key, F.col("whole").isNotNull().alias("one_place"), F.coalesce("whole", F.array_join(F.transform("v", lambda x: x["line"]), " · ")).alias("media"))
+
+
 def chain_labels(chain: DataFrame, part_file: DataFrame) -> DataFrame:
     """(dle, point, medium, labels): volumes a chain's runs need mounted, over the whole runs."""
     labels = part_file.filter(F.col("label") != "").select("run", "medium", "label").distinct()

@@ -84,16 +84,35 @@ def part_segments(ranges: DataFrame, part_file: DataFrame, keys: list[str], buck
     return hit.select(*keys, "start", "end", "part_no", (F.greatest("start", "_start") - F.col("_start")).alias("from"), (F.least("end", "_end") - F.col("_start")).alias("to"))
 
 
-def selection_plan(groups: DataFrame, ranges: DataFrame, totals: DataFrame, cost_rate: DataFrame, medium: str, keys: list[str] | None = None) -> DataFrame:
-    """(keys, mode, fetches, bytes, price): how each archive of a selection is read: by ranges where frames allow it and less is read, else whole."""
+def selection_plan(selection: DataFrame, member: DataFrame, frame: DataFrame, totals: DataFrame, cost_rate: DataFrame, medium: str, keys: list[str] | None = None, ranged: DataFrame | None = None) -> DataFrame:
+    """(keys, files, mode, reason, fetches, bytes, whole, price): how each archive of a selection is read, and why.
+
+    An archive is read by ranges where it can be, else whole. reason is '' or the first of
+    what it lacks: a member index ('no index'), the offset of a member ('no offset'), a
+    table of frames ('no frames'), frames under the selection ('no groups'), a copy on a
+    medium that serves ranges ('no ranged copy': not in ranged, keys that have one; all
+    have where it is None). totals may have parts, what a whole read fetches (else 1).
+    Directories alone need no read: such archives are left out.
+    """
     k = keys or KEY
-    sums = groups.groupBy(*k).agg(F.count("*").alias("fetches"), F.sum(F.col("enc_end") - F.col("enc_start")).alias("_bytes"))
-    rows = totals.join(ranges.select(*k).distinct(), k, "left_semi").join(sums, k, "left")
-    ranged = F.col("_bytes").isNotNull() & (F.col("_bytes") < F.col("enc_total"))
-    rows = rows.select(*k, F.when(ranged, "ranged").otherwise("whole").alias("mode"), F.when(ranged, F.col("fetches")).otherwise(1).cast("long").alias("fetches"), F.when(ranged, F.col("_bytes")).otherwise(F.col("enc_total")).alias("bytes"))
+    ranges = extents(member, selection, k)
+    groups = fetch_groups(ranges, frame, totals, k)
+    has = lambda rows, name: rows.select(*k, F.lit(True).alias(name))
+    files = selection.filter(~F.col("path").endswith("/")).select(*k, "path").distinct().groupBy(*k).agg(F.count("*").alias("files"))
+    sums = groups.groupBy(*k).agg(F.count("*").alias("_n"), F.sum(F.col("enc_end") - F.col("enc_start")).alias("_bytes"))
+    # What is known of each archive meets in one sum, not in a join each.
+    facts = files.unionByName(sums, allowMissingColumns=True)
+    for rows, name in ((member, "_index"), (ranges, "_offset"), (frame, "_frames"), (totals if ranged is None else ranged, "_ranged")):
+        facts = facts.unionByName(has(rows, name), allowMissingColumns=True)
+    known = [F.max(c).alias(c) for c in facts.columns if c not in k]
+    rows = facts.groupBy(*k).agg(*known).filter("files is not null").join(totals, k)
+    lacks = F.when(F.col("_index").isNull(), "no index").when(F.col("_offset").isNull(), "no offset").when(F.col("_frames").isNull(), "no frames").when(F.col("_n").isNull(), "no groups").when(F.col("_ranged").isNull(), "no ranged copy").otherwise("")
+    parts = F.coalesce(F.col("parts"), F.lit(1)) if "parts" in totals.columns else F.lit(1)
+    rows = rows.withColumn("reason", lacks).withColumn("_by", F.col("reason") == "")
+    rows = rows.withColumn("fetches", F.when(F.col("_by"), F.col("_n")).otherwise(parts).cast("long")).withColumn("bytes", F.when(F.col("_by"), F.col("_bytes")).otherwise(F.col("enc_total")))
     rates = cost_rate.filter(F.col("medium") == medium).select("gib_egress", "per_1000")
     price = F.round(F.col("bytes") / F.lit(float(1 << 30)) * F.col("gib_egress") + F.col("fetches") / F.lit(1000.0) * F.col("per_1000"), 6)
-    return rows.join(F.broadcast(rates), F.lit(True)).select(*k, "mode", "fetches", "bytes", price.alias("price"))
+    return rows.join(F.broadcast(rates), F.lit(True)).select(*k, "files", F.when(F.col("_by"), "ranged").otherwise("whole").alias("mode"), "reason", "fetches", "bytes", F.col("enc_total").alias("whole"), price.alias("price"))
 
 
 #: A frame's members may reach over so many frames before it is passed over.

@@ -34,7 +34,7 @@ def _fulls_span(dump_stat: DataFrame, days: int) -> DataFrame:
     first = F.min_by(F.struct("_at", "orig", "out"), F.when(full, F.struct("_at", "run_id")))
     last = F.max_by(F.struct("_at", "orig", "out"), F.when(full, F.struct("_at", "run_id")))
     out = rows.groupBy("dle").agg(F.sum(full.cast("long")).alias("fulls"), first.alias("a"), last.alias("z"), upper_median(F.collect_list(F.when(~full, F.col("out")))).alias("median_incr"))
-    percent = F.when(F.col("a.out") > 0, F.round((F.col("z.out") - F.col("a.out")) * F.lit(100.0) / F.col("a.out"), 4))
+    percent = F.when(F.col("a.out") > 0, ((F.col("z.out") - F.col("a.out")).cast("double") / F.col("a.out") * 100.0).cast("long")).otherwise(F.lit(0).cast("long"))
     return out.withColumn("span", F.col("z._at") - F.col("a._at")).withColumn("percent", percent)
 
 
@@ -42,7 +42,8 @@ def evolution(dump_stat: DataFrame, days: int = TREND_DAYS) -> DataFrame:
     """(dle, fulls, first_out, last_out, span, per_day, per_day_orig, percent, median_incr): growth of full sizes.
 
     Seen are the days up to the source's newest dump; two fulls a day apart are needed.
-    Slopes are whole bytes a day, cut toward zero; the median increment is the upper one.
+    Slopes are whole bytes a day and percent is whole, both cut toward zero; percent is 0 where the first full is
+    empty; the median increment is the upper one.
     """
     out = _fulls_span(dump_stat, days).filter(f"fulls >= 2 and span >= {DAY}")
     slope = lambda c: F.expr(f"cast((z.{c} - a.{c}) * {DAY}.0D / span as bigint)")
@@ -50,7 +51,7 @@ def evolution(dump_stat: DataFrame, days: int = TREND_DAYS) -> DataFrame:
 
 
 def trend_delta(dump_stat: DataFrame, warn: float = 20.0) -> DataFrame:
-    """(dle, percent, warns): change from the first to the last full within the trend, of sources with two fulls or more, however close."""
+    """(dle, percent, warns): change in whole percent, cut toward zero, from the first to the last full within the trend, of sources with two fulls or more, however close."""
     return _fulls_span(dump_stat, TREND_DAYS).filter("fulls >= 2").select("dle", "percent", (F.col("percent") >= warn).alias("warns"))
 
 
@@ -200,6 +201,12 @@ def next_level(state: DataFrame, estimate: DataFrame, force_full: DataFrame, cyc
     return rows.select("dle", pick.alias("p")).select("dle", "p.level", "p.reason")
 
 
+def with_base(levels: DataFrame, archive: DataFrame) -> DataFrame:
+    """levels (of next_level) with base_level and base_run: the newest run of the source at the level below, on which an incremental builds. A full has none (-1 and null); where no run is at that level base_run is null."""
+    newest = archive.groupBy("dle", F.col("level").alias("base_level")).agg(F.max_by("run", C.run_key("run")).alias("base_run"))
+    return levels.withColumn("base_level", F.col("level") - 1).join(newest, ["dle", "base_level"], "left").select(*levels.columns, "base_level", "base_run")
+
+
 def cycle_fits(estimate: DataFrame, capacity: int) -> DataFrame:
     """(fulls, capacity, fits): whether a full of every source fits at once; 0 is unbounded."""
     return estimate.agg(F.sum("full_est").alias("fulls")).select("fulls", F.lit(capacity).cast("long").alias("capacity"), (F.lit(capacity == 0) | (F.col("fulls") <= capacity)).alias("fits"))

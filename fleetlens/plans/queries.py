@@ -135,6 +135,22 @@ def chain_media(t: Tables) -> DataFrame:
     return chains.chain_media(chain_rows(t)[1], t.placement).select("dle", "point", "medium", "held", "links", "whole")
 
 
+@query(
+    CHAIN
+    + f""", c as (select distinct c.dle, c.run, c.level, p.medium from chain c join placement p on p.dle = c.dle and p.run = c.run and p.level = c.level),
+    l as (select dle, run, level, medium, label, min(part_no) as part_no from part_file where label <> '' group by dle, run, level, medium, label),
+    o as (select *, concat(medium, coalesce((select ':' || string_agg(label, '+' order by part_no, label) from l where l.dle = c.dle and l.run = c.run and l.level = c.level and l.medium = c.medium), '')) as name from c),
+    u as (select dle, medium, label, min(struct_pack(run := run, level := level, part_no := part_no)) as f from c join l using (dle, run, level, medium) group by dle, medium, label),
+    w as (select dle, medium from c group by dle, medium having count(*) = (select count(*) from chain where chain.dle = c.dle)),
+    wn as (select dle, string_agg(name, ', ' order by name) as media from (select dle, concat(medium, coalesce((select ':' || string_agg(label, '+' order by f, label) from u where u.dle = w.dle and u.medium = w.medium), '')) as name from w) z group by dle),
+    m as (select dle, run, level, string_agg(name, ', ' order by name) as names from chain left join o using (dle, run, level) group by dle, run, level),
+    s as (select dle, string_agg(concat('L', cast(level as string), ': ', coalesce(names, 'none')), ' · ' order by run, level) as media from m group by dle)
+    select dle, '{AS_OF}' as point, wn.media is not null as one_place, coalesce(wn.media, s.media) as media from s left join wn using (dle)"""
+)
+def chain_places(t: Tables) -> DataFrame:
+    return chains.chain_places(chain_rows(t)[1], t.placement, t.part_file)
+
+
 @query(CHAIN + f", x as (select distinct c.dle, p.medium, p.label from chain c join part_file p on p.run = c.run where p.label <> '') select dle, '{AS_OF}' as point, medium, string_agg(label, ',' order by label) as labels from x group by dle, medium")
 def chain_labels(t: Tables) -> DataFrame:
     return chains.chain_labels(chain_rows(t)[1], t.part_file)
@@ -584,9 +600,9 @@ EVOLUTION = """with e as (select *, floor(epoch(ended_at))::bigint as t, max(flo
     w as (select * from e where t >= last - 180 * 86400),
     f as (select dle, count(*) as fulls, arg_min(out, run_id) as ao, arg_max(out, run_id) as zo, arg_min(orig, run_id) as ar, arg_max(orig, run_id) as zr, arg_max(t, run_id) - arg_min(t, run_id) as span from w where level = 0 group by dle),
     m as (select dle, list_sort(list(out)) as s from w where level > 0 group by dle),
-    delta as (select dle, case when ao > 0 then round((zo - ao) * 100.0::double / ao, 4) end as percent from f where fulls >= 2),
+    delta as (select dle, cast(trunc(case when ao > 0 then (zo - ao)::double / ao::double * 100.0::double else 0.0::double end) as bigint) as percent from f where fulls >= 2),
     evo as (select dle, fulls, ao as first_out, zo as last_out, span, cast(trunc((zo - ao) * 86400.0::double / span) as bigint) as per_day, cast(trunc((zr - ar) * 86400.0::double / span) as bigint) as per_day_orig,
-        case when ao > 0 then round((zo - ao) * 100.0::double / ao, 4) end as percent, s[len(s) // 2 + 1] as median_incr from f left join m using (dle) where fulls >= 2 and span >= 86400)"""
+        cast(trunc(case when ao > 0 then (zo - ao)::double / ao::double * 100.0::double else 0.0::double end) as bigint) as percent, s[len(s) // 2 + 1] as median_incr from f left join m using (dle) where fulls >= 2 and span >= 86400)"""
 
 
 @query(EVOLUTION + " select * from evo")
@@ -717,14 +733,16 @@ def levels_of(t: Tables) -> tuple[DataFrame, DataFrame]:
 
 @query(EVOLUTION
     + ", " + ESTIMATE + ", " + STATE.replace(NOW, "1998-08-02 00:00:00")
-    + """, forced as (select distinct dle from archive where arch_key % 97 = 0)
-    select dle, case when dle in (select dle from forced) or days_since_full < 0 or days_since_full >= 400 then 0 when last_level < 1 then 1 when last_level < 9 and next_est > 0 and at_level >= 2 and (same_est - next_est) * 100.0::double >= full_est * 5.0::double then last_level + 1 else last_level end as level,
+    + """, forced as (select distinct dle from archive where arch_key % 97 = 0),
+    nl as (select dle, case when dle in (select dle from forced) or days_since_full < 0 or days_since_full >= 400 then 0 when last_level < 1 then 1 when last_level < 9 and next_est > 0 and at_level >= 2 and (same_est - next_est) * 100.0::double >= full_est * 5.0::double then last_level + 1 else last_level end as level,
         case when dle in (select dle from forced) then 'forced' when days_since_full < 0 then 'first full' when days_since_full >= 400 then 'cycle due' when last_level < 1 then 'after full' when last_level < 9 and next_est > 0 and at_level >= 2 and (same_est - next_est) * 100.0::double >= full_est * 5.0::double then 'bump' else 'hold' end as reason
-    from state join est using (dle)""")
+    from state join est using (dle))
+    select nl.dle, nl.level, reason, nl.level - 1 as base_level, max(a.run) as base_run from nl left join archive a on a.dle = nl.dle and a.level = nl.level - 1 group by nl.dle, nl.level, reason""")
 def next_level(t: Tables) -> DataFrame:
+    """The next level of each source and the run that it builds on."""
     state, estimate = levels_of(t)
     forced = t.archive.filter("arch_key % 97 = 0").select("dle").distinct()
-    return trends.next_level(state, estimate, forced, cycle=400)
+    return trends.with_base(trends.next_level(state, estimate, forced, cycle=400), t.archive)
 
 
 @query(EVOLUTION + ", " + ESTIMATE + " select cast(sum(full_est) as bigint) as fulls, 10000000000 as capacity, sum(full_est) <= 10000000000 as fits from est")
@@ -813,16 +831,24 @@ def fetch_groups(t: Tables) -> DataFrame:
     return reads.fetch_groups(reads.extents(t.member, selection_of(t)), frame, totals)
 
 
+#: What stands against a read by ranges, by source and level: 0 no index, 1 a selected member without an offset, 2 no frames, 3 no copy that serves ranges.
+HINDRANCE = "(length(dle) + level) % 7"
+
+
 @query(
-    f"""with fg as ({FETCH}), tot as (select dle, level, (max(off) + 5000) // 2 as enc_total from member group by dle, level), chosen as (select distinct m.dle, m.level from member m where m.seq % 4 < 2),
-    p as (select dle, level, enc_total, count(enc_start) as fetches, sum(enc_end - enc_start) as bytes from tot join chosen using (dle, level) left join fg using (dle, level) group by dle, level, enc_total),
-    d as (select dle, level, case when bytes < enc_total then 'ranged' else 'whole' end as mode, case when bytes < enc_total then fetches else 1 end as fetches, cast(case when bytes < enc_total then bytes else enc_total end as bigint) as bytes from p)
-    select *, round(bytes / 1073741824.0::double * 0.09::double + fetches / 1000.0::double * 0.0004::double, 6) as price from d"""
+    f"""with fg as ({FETCH}), tot as (select dle, level, (max(off) + 5000) // 2 as whole from member group by dle, level), chosen as (select dle, level, count(distinct path) as files from member where seq % 4 < 2 and path not like '%/' group by dle, level),
+    p as (select dle, level, files, whole, {HINDRANCE} as h, count(enc_start) as n, sum(enc_end - enc_start) as b from tot join chosen using (dle, level) left join fg using (dle, level) group by dle, level, files, whole),
+    d as (select *, case h when 0 then 'no index' when 1 then 'no offset' when 2 then 'no frames' when 3 then case when n > 0 then 'no ranged copy' else 'no groups' end else case when n > 0 then '' else 'no groups' end end as reason from p)
+    select dle, level, files, case when reason = '' then 'ranged' else 'whole' end as mode, reason, case when reason = '' then n else 2 end as fetches, cast(case when reason = '' then b else whole end as bigint) as bytes, cast(whole as bigint) as whole,
+        round(case when reason = '' then b else whole end / 1073741824.0::double * 0.09::double + case when reason = '' then n else 2 end / 1000.0::double * 0.0004::double, 6) as price from d"""
 )
 def selection_plan(t: Tables) -> DataFrame:
+    """How a selection's archives are read, where some lack an index, an offset, frames or a copy that serves ranges."""
     frame, totals = frames_of(t)
-    ranges = reads.extents(t.member, selection_of(t))
-    return reads.selection_plan(reads.fetch_groups(ranges, frame, totals), ranges, totals, rates(t), "cloud")
+    h = F.expr(HINDRANCE)
+    index = t.member.filter(h != 0).withColumn("off", F.when((h == 1) & (F.col("seq") % 4 < 2), -1).otherwise(F.col("off")))
+    ranged = totals.filter(h != 3).select("dle", "level")
+    return reads.selection_plan(selection_of(t), index, frame.filter(h != 2), totals.withColumn("parts", F.lit(2)), rates(t), "cloud", ranged=ranged)
 
 
 @query(

@@ -166,3 +166,12 @@ def test_tree_with_deltas_and_census(spark):
     assert picked == {0: ["x/f"], 1: ["x", "x/INCREMENTAL.f"]}
     assert [r.path for r in chains.not_found(tree, wanted).collect()] == ["nowhere"]
     assert [r.name for r in chains.list_dir(tree, "").collect()] == ["x", "gone"]
+
+
+def test_chain_places(spark):
+    chain = spark.createDataFrame([("a", "p", "run-1", 0), ("a", "p", "run-2", 1), ("b", "p", "run-1", 0), ("b", "p", "run-2", 1), ("b", "p", "run-3", 2)], "dle string, point string, run string, level int")
+    held = [("a", "run-1", 0, "tape"), ("a", "run-2", 1, "tape"), ("a", "run-1", 0, "disk"), ("a", "run-2", 1, "disk"), ("a", "run-2", 1, "cloud"), ("b", "run-1", 0, "tape"), ("b", "run-2", 1, "disk"), ("b", "run-1", 0, "cloud")]
+    parts = [("a", "run-1", 0, "tape", 0, "T2"), ("a", "run-1", 0, "tape", 1, "T1"), ("a", "run-2", 1, "tape", 0, "T2"), ("a", "run-2", 1, "tape", 1, "T0"), ("a", "run-1", 0, "disk", 0, ""), ("b", "run-1", 0, "tape", 1, "T1"), ("b", "run-1", 0, "tape", 0, "T3")]
+    key = "dle string, run string, level int, medium string"
+    got = chains.chain_places(chain, spark.createDataFrame(held, key), spark.createDataFrame(parts, key + ", part_no int, label string"))
+    assert {r.dle: (r.one_place, r.media) for r in got.collect()} == {"a": (True, "disk, tape:T2+T1+T0"), "b": (False, "L0: cloud, tape:T3+T1 · L1: disk · L2: none")}

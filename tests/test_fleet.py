@@ -121,8 +121,17 @@ def test_extents_and_frames(spark):
     assert sorted((r.enc_start, r.enc_end) for r in groups.collect()) == [(0, 20)]
     first = reads.fetch_groups(ranges.filter("start = 0"), frame, totals)
     rates = spark.createDataFrame([("cloud", 1.0, 1.0)], "medium string, gib_egress double, per_1000 double")
-    plan = reads.selection_plan(first, ranges.filter("start = 0").unionByName(spark.createDataFrame([("b", 0, 0, 1, 1)], ranges.schema)), totals, rates, "cloud")
-    assert {r.dle: (r.mode, r.bytes) for r in plan.collect()} == {"a": ("ranged", 8), "b": ("whole", 9)}
+    assert sorted((r.enc_start, r.enc_end) for r in first.collect()) == [(0, 8)]
+    # Sources that each lack one thing; p9 is nowhere, d/ is a directory.
+    index = spark.createDataFrame([(d, 0, i, p, -1 if d == "offset" and i else i * 10) for d in ("ok", "offset", "frames", "copy", "past", "dir") for i, p in enumerate(("p0", "p1", "d/"))], member.schema)
+    wanted = spark.createDataFrame([(d, 0, p) for d in ("ok", "offset", "frames", "copy", "index") for p in ("p0", "p1", "d/")] + [("past", 0, "p9"), ("dir", 0, "d/")], chosen.schema)
+    table = spark.createDataFrame([(d, 0, i, i * 10, i * 4) for d in ("ok", "offset", "copy", "past", "index", "dir") for i in range(3)], frame.schema)
+    sizes = spark.createDataFrame([(d, 0, 30, 12, 3) for d in ("ok", "offset", "frames", "copy", "past", "index", "dir")], totals.schema.simpleString()[7:-1].replace(":", " ") + ", parts int")
+    plan = reads.selection_plan(wanted, index, table, sizes, rates, "cloud", ranged=sizes.filter("dle <> 'copy'")).collect()
+    assert {r.dle: (r.mode, r.reason, r.files, r.fetches, r.bytes, r.whole) for r in plan} == {
+        "ok": ("ranged", "", 2, 1, 12, 12), "offset": ("whole", "no offset", 2, 3, 12, 12), "frames": ("whole", "no frames", 2, 3, 12, 12),
+        "copy": ("whole", "no ranged copy", 2, 3, 12, 12), "index": ("whole", "no index", 2, 3, 12, 12), "past": ("whole", "no offset", 1, 3, 12, 12),
+    }
 
 
 def test_parts_cover_ranges(spark):
@@ -281,6 +290,9 @@ def test_levels(spark):
     est = state.select("dle", F.lit(1000).alias("full_est"), F.lit(500).alias("same_est"), F.lit(100).alias("next_est"))
     got = {r.dle: (r.level, r.reason) for r in trends.next_level(state, est, spark.createDataFrame([("forced",)], "dle string")).collect()}
     assert got == {"never": (0, "first full"), "due": (0, "cycle due"), "fresh": (1, "after full"), "climb": (2, "bump"), "hold": (1, "hold"), "forced": (0, "forced")}
+    kept = spark.createDataFrame([("climb", "run-1", 1), ("climb", "run-2", 1), ("climb", "run-3", 0), ("due", "run-1", 0), ("hold", "run-1", 1)], "dle string, run string, level int")
+    based = trends.with_base(trends.next_level(state, est, state.limit(0).select("dle")), kept)
+    assert {r.dle: (r.level, r.base_level, r.base_run) for r in based.collect()} == {"never": (0, -1, None), "due": (0, -1, None), "fresh": (1, 0, None), "climb": (2, 1, "run-2"), "hold": (1, 0, None), "forced": (1, 0, None)}
     assert trends.cycle_fits(est, 5999).first().fits is False and trends.cycle_fits(est, 0).first().fits is True
 
 
