@@ -376,9 +376,15 @@ def located(refs: DataFrame, placement: DataFrame, landing: str, order: Column |
     return refs.join(best, ["dle", "run", "level"], "left")
 
 
-def match_units(unit: DataFrame, wanted: DataFrame) -> DataFrame:
-    """(dle, arg, path): the unit each argument names: the one of that name, else the one that contains it; several are an error. wanted has dle and arg."""
-    rows = unit.select("dle", "path").join(wanted, "dle").filter(F.instr("path", F.col("arg")) > 0)
-    found = rows.groupBy("dle", "arg").agg(F.max(F.when(F.col("path") == F.col("arg"), F.col("path"))).alias("_exact"), F.count("*").alias("_n"), F.min("path").alias("_one"))
-    several = F.raise_error(F.concat(F.lit("several units match "), F.col("arg"))).cast("string")
-    return found.select("dle", "arg", F.when(F.col("_exact").isNotNull(), F.col("_exact")).when(F.col("_n") == 1, F.col("_one")).otherwise(several).alias("path"))
+def match_units(unit: DataFrame, wanted: DataFrame, strict: bool = True) -> DataFrame:
+    """(dle, arg, path, matches): the unit each argument names: the one of that name, else the only one that contains it.
+
+    wanted has dle and arg. Where none or several contain the argument it is an error; without strict
+    the path is null there and matches tells how many contain it, so a caller can list them.
+    """
+    asked = wanted.select(F.col("dle").alias("_dle"), "arg").distinct()
+    rows = asked.join(unit.select("dle", "path").distinct(), (F.col("_dle") == F.col("dle")) & F.contains("path", "arg"), "left")
+    found = rows.groupBy(F.col("_dle").alias("dle"), "arg").agg(F.max(F.when(F.col("path") == F.col("arg"), F.col("path"))).alias("_exact"), F.count("path").alias("_n"), F.min("path").alias("_one"))
+    matches = F.when(F.col("_exact").isNotNull(), F.lit(1).cast("long")).otherwise(F.col("_n"))
+    unclear = F.raise_error(F.concat(matches.cast("string"), F.lit(" units match "), F.col("arg"))).cast("string") if strict else F.lit(None).cast("string")
+    return found.select("dle", "arg", F.when(matches == 1, F.coalesce("_exact", "_one")).otherwise(unclear).alias("path"), matches.alias("matches"))

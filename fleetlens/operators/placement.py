@@ -45,7 +45,7 @@ def last_fulls(archive: DataFrame) -> DataFrame:
 
 def owed(min_age_days: Column, now: Column) -> Column:
     """Whether a medium is still owed an archive: on the source's live chain, or within the minimum age."""
-    young = (min_age_days > 0) & F.coalesce(C.epoch(now) - C.epoch("created_at") < min_age_days * 86400, F.lit(False))
+    young = (min_age_days > 0) & F.coalesce(C.epoch(now) - C.epoch("created_at") < min_age_days.cast("long") * 86400, F.lit(False))
     return F.col("last_full").isNull() | (C.run_key("run") >= F.col("last_full")) | young
 
 
@@ -263,10 +263,13 @@ def barcode_map(sightings: DataFrame) -> DataFrame:
     return sightings.withColumn("_r", F.row_number().over(w)).filter("_r = 1").select("barcode", "label")
 
 
-def members_diff(recorded: DataFrame, listed: DataFrame) -> DataFrame:
-    """(dle, path, nth, problem): members of two lists that differ: missing, extra, or at another offset (where both are known). Repeated paths are paired in order of offset."""
-    keys = ["dle", "path", "nth"]
-    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy("dle", "path").orderBy("off")))
+def members_diff(recorded: DataFrame, listed: DataFrame, archive: tuple[str, ...] = ("dle",)) -> DataFrame:
+    """(archive..., path, nth, problem): members of two lists of an archive that differ: missing, extra, or at another offset (where both are known).
+
+    archive names the columns that tell archives apart. Repeated paths are paired in order of offset.
+    """
+    keys = [*archive, "path", "nth"]
+    number = lambda df: df.withColumn("nth", F.row_number().over(Window.partitionBy(*archive, "path").orderBy("off")))
     a, b = number(recorded).select(*keys, F.col("off").alias("_a"), F.lit(True).alias("_in_a")), number(listed).select(*keys, F.col("off").alias("_b"), F.lit(True).alias("_in_b"))
     rows = a.join(b, keys, "full")
     problem = F.when(F.col("_in_b").isNull(), "missing").when(F.col("_in_a").isNull(), "extra").when((F.col("_a") >= 0) & (F.col("_b") >= 0) & (F.col("_a") != F.col("_b")), "offset")

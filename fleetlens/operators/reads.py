@@ -125,13 +125,15 @@ def frame_sample(member: DataFrame, frame: DataFrame, n: int, keys: list[str] |
     Frames are taken in turn from number n on (in a circle) among those in which a member
     begins. The first whose span is at most SPAN_FRAMES frames is chosen; where none is,
     the one with the least span. The last member of an archive ends a frame after the last
-    frame begins. Members find their frame in the buckets that both touch.
+    frame begins. Members find their frame in the buckets that both touch. An archive
+    with a member whose offset is unknown (below 0) has no sample, as nothing anchors its list.
     """
     k = keys or KEY
     line = Window.partitionBy(*k).orderBy("seq")
     facts = frame.groupBy(*k).agg(F.count("*").alias("_n"), F.max("raw").alias("_last"), F.min(F.when(F.col("seq") == 1, F.col("raw"))).alias("_r1"), F.min(F.when(F.col("seq") == 0, F.col("raw"))).alias("_r0"))
     facts = facts.select(*k, "_n", "_last", F.coalesce(F.col("_r1") - F.col("_r0"), F.lit(0)).alias("_stride"))
-    m = member.withColumn("_next", F.lead("off").over(line)).filter("off >= 0").select(*k, F.col("seq").alias("_m"), "off", F.when(F.col("_next") >= 0, F.col("_next")).alias("_next"), "path")
+    known = F.min("off").over(Window.partitionBy(*k)) >= 0
+    m = member.withColumns({"_next": F.lead("off").over(line), "_known": known}).filter("_known").select(*k, F.col("seq").alias("_m"), "off", "_next", "path")
     ends = m.groupBy(*k).agg((F.max("off") + 1).alias("_most"))
     f = frame.join(ends, k).withColumn("_raw_end", F.coalesce(F.lead("raw").over(line), F.greatest("_most", F.col("raw") + 1))).filter("_raw_end > raw")
     f = f.select(*k, "seq", "raw", "_raw_end", F.explode(_buckets(F.col("raw"), F.col("_raw_end"), BUCKET)).alias("_b"))

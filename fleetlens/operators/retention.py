@@ -14,7 +14,7 @@ DAY = 86400
 
 def young(min_age_days: Column, created_at: Column, now: Column) -> Column:
     """Within the minimum age. An unknown commit time is not young."""
-    return F.coalesce((min_age_days > 0) & (C.epoch(now) - C.epoch(created_at) < min_age_days * DAY), F.lit(False))
+    return F.coalesce((min_age_days > 0) & (C.epoch(now) - C.epoch(created_at) < min_age_days.cast("long") * DAY), F.lit(False))
 
 
 def held_archives(archive: DataFrame, placement: DataFrame, medium_dim: DataFrame) -> DataFrame:

@@ -192,6 +192,13 @@ def balance(load: DataFrame) -> DataFrame:
     return out.select("days", "peak", "mean", "cv", C.balance_verdict("cv").alias("verdict"))
 
 
+def load_weights(daily: DataFrame) -> DataFrame:
+    """(day, bytes, weight): each day's load with its weight of 0 to 4 against the heaviest day."""
+    rows = daily.select("day", (F.col("full_bytes") + F.col("incr_bytes")).alias("bytes"))
+    most = rows.agg(F.max("bytes").alias("_most"))
+    return rows.crossJoin(F.broadcast(most)).select("day", "bytes", C.weight_bucket("bytes", "_most").alias("weight"))  # one row
+
+
 def activity_matrix(archive: DataFrame, now: Column, days: int = 35) -> DataFrame:
     """(dle, day, mark, levels, bytes, run): what each source did on each day with a dump within the last days: partial before full before incr; the run where there was one only."""
     day = F.to_date(C.run_date("run"))

@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
 from fleetlens.operators import attention, chains, placement, reads, retention, summaries, trends
-from fleetlens.plans.queries import configured, ET, events_now, EVOLUTION, floor_of, floor_sql, now, query, RUN_LOG, run_log
+from fleetlens.plans.queries import AS_OF, CHAIN, chain_rows, configured, ET, events_now, EVOLUTION, floor_of, floor_sql, now, query, RUN_LOG, run_log
 from fleetlens.plans.tables import Tables
 from fleetlens.sources import readers, sinks
 from fleetlens.streaming import live
@@ -125,10 +125,11 @@ SCAN = """with p as (select * from part_file where medium = 'tape'), c as (selec
     g as (select run, dle, level, count(*) as n from p where pos % 9 <> 0 group by run, dle, level)"""
 
 
-def scanned(t: Tables) -> tuple[DataFrame, DataFrame]:
+def scanned(t: Tables, pool: Column | None = None) -> tuple[DataFrame, DataFrame]:
+    """Tape parts as a scan finds them, some lost, assembled; pool is the pool of each label, the medium's own by default."""
     tape = t.part_file.filter("medium = 'tape'").withColumn("part", F.row_number().over(_by_part()) - 1)
     commits = tape.filter("arch_key % 6 <> 0").groupBy("run", "dle", "level").agg(F.count("*").cast("int").alias("parts")).withColumn("part_map", F.lit(None).cast("array<struct<label: string, epoch: int, pos: bigint>>"))
-    parts = tape.filter("pos % 9 <> 0").select("run", "dle", "level", "part", "label", F.lit(1).alias("epoch"), "pos", F.lit("main").alias("pool"))
+    parts = tape.filter("pos % 9 <> 0").select("run", "dle", "level", "part", "label", F.lit(1).alias("epoch"), "pos", (F.lit("main") if pool is None else pool).alias("pool"))
     return readers.assemble(parts, commits, "tape", "main")
 
 
@@ -160,17 +161,37 @@ def units_from(t: Tables) -> DataFrame:
     return chains.units_from(member, relation).select("dle", "run", "unit", "n")
 
 
-@query("with u as (select distinct host, path from archive) select host as dle, 'c7' as arg, path from u where host = 'h7' and path = '/data/c7'")
+UNIT_ARGS = """u as (select distinct host as dle, path from archive),
+    w as (select dle, min(path) as arg from u group by dle union select dle, substr(max(path), 7) from u group by dle union select dle, concat('a/c', substr(dle, 2), '7') from u union select dle, '/data/' from u union select dle, 'nowhere' from u)"""
+
+
+@query(
+    f"""with {UNIT_ARGS}, r as (select w.dle, w.arg, max(case when u.path = w.arg then u.path end) as exact, count(u.path) as n, min(u.path) as one from w left join u on u.dle = w.dle and contains(u.path, w.arg) group by w.dle, w.arg)
+    select dle, arg, case when exact is not null then exact when n = 1 then one end as path, case when exact is not null then 1 else n end as matches from r"""
+)
 def match_units(t: Tables) -> DataFrame:
-    unit = t.archive.select(F.col("host").alias("dle"), F.substring("path", 7, 20).alias("path")).distinct()
-    found = chains.match_units(unit, t.spark.createDataFrame([("h7", "c7")], "dle string, arg string"))
-    return found.withColumn("path", F.concat(F.lit("/data/"), "path"))
+    """Five arguments a host: a whole name, the end of one, the middle of some, one that all contain, one that none does."""
+    unit = t.archive.select(F.col("host").alias("dle"), "path").distinct()
+    ends = unit.groupBy("dle").agg(F.min("path").alias("low"), F.max("path").alias("high"))
+    args = F.array(F.col("low"), F.substring("high", 7, 99), F.concat(F.lit("a/c"), F.substring("dle", 2, 9), F.lit("7")), F.lit("/data/"), F.lit("nowhere"))
+    return chains.match_units(unit, ends.select("dle", F.explode(args).alias("arg")), strict=False)
 
 
-@query("with c as (select dle, max(run) filter (where arch_key % 4 = 0) as run from archive group by dle) select a.dle, 'p' as point, a.run, a.path, a.compressed as size from archive a join c on c.dle = a.dle and c.run = a.run")
+@query(
+    CHAIN
+    + f""", r as (select l_orderkey, concat('table.p', l_partkey) as path, cast(sum(cast(round(l_extendedprice * 100) as bigint)) as bigint) as size, string_agg(distinct concat('base/', l_suppkey), ',' order by concat('base/', l_suppkey)) as members
+        from lineitem where l_returnflag = 'R' group by 1, 2), u as (select a.dle, a.run, r.path, size, members from archive a join r on a.arch_key = l_orderkey), h as (select c.dle, max(c.run) as run from chain c join (select distinct dle, run from u) x using (dle, run) group by c.dle)
+    select u.dle, '{AS_OF}' as point, u.run, u.path, size, members from u join h using (dle, run)"""
+)
 def inventory(t: Tables) -> DataFrame:
-    unit = t.archive.filter("arch_key % 4 = 0").select("dle", "run", "path", F.col("compressed").alias("size"), F.array("path").alias("members"))
-    return chains.inventory(t.archive.select("dle", F.lit("p").alias("point"), "run"), unit).select("dle", "point", "run", "path", "size")
+    """Units as of a date: the returned parts of an order are the tables in its archive; archives without any are passed over."""
+    _, chain = chain_rows(t)
+    supp = F.col("l_suppkey")
+    file = F.concat(F.lit("base/"), F.when(supp % 2 == 0, "INCREMENTAL.").otherwise(""), supp.cast("string"))
+    returned = t.lineitem.filter("l_returnflag = 'R'").groupBy(F.col("l_orderkey").alias("arch_key"), F.concat(F.lit("table.p"), F.col("l_partkey").cast("string")).alias("path"))
+    unit = returned.agg(F.sum(F.round(F.col("l_extendedprice") * 100).cast("long")).alias("size"), F.collect_set(file).alias("members"))
+    unit = t.archive.select("arch_key", "dle", "run").join(unit, "arch_key").select("dle", "run", "path", "size", "members")
+    return chains.inventory(chain, unit).select("dle", "point", "run", "path", "size", F.array_join(F.array_sort("members"), ",").alias("members"))
 
 
 @query(

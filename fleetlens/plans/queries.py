@@ -496,11 +496,12 @@ def reachable_media(t: Tables) -> DataFrame:
     return placement.reachable_media(t.route, t.sync_rule)
 
 
-@query("with s as (select dle, seq, path, off from member where level = 0), l as (select dle, seq, path, case when seq % 7 = 0 then off + 1 else off end as off from member where level = 0 and seq % 5 <> 0), a as (select *, row_number() over (partition by dle, path order by off) as nth from s), b as (select *, row_number() over (partition by dle, path order by off) as nth from l) select dle, path, nth, case when b.off is null then 'missing' when a.off is null then 'extra' else 'offset' end as problem from a full join b using (dle, path, nth) where a.off is null or b.off is null or a.off <> b.off")
+@query("with s as (select dle, level, seq, path, off from member), l as (select dle, level, seq, path, case when seq % 7 = 0 then off + 1 else off end as off from member where seq % 5 <> 0), a as (select *, row_number() over (partition by dle, level, path order by off) as nth from s), b as (select *, row_number() over (partition by dle, level, path order by off) as nth from l) select dle, level, path, nth, case when b.off is null then 'missing' when a.off is null then 'extra' else 'offset' end as problem from a full join b using (dle, level, path, nth) where a.off is null or b.off is null or a.off <> b.off")
 def members_diff(t: Tables) -> DataFrame:
-    m = t.member.filter("level = 0").select("dle", "seq", "path", "off")
+    """Every member of every archive against a listing that lacks some and has some elsewhere."""
+    m = t.member.select("dle", "level", "seq", "path", "off")
     listed = m.filter("seq % 5 <> 0").withColumn("off", F.expr("case when seq % 7 = 0 then off + 1 else off end"))
-    return placement.members_diff(m, listed)
+    return placement.members_diff(m, listed, ("dle", "level"))
 
 
 PINS = """h2 as (select *, max(y) over (partition by {d}medium, run) as ry, row_number() over (partition by {d}medium, dle order by run) as k, count(*) over (partition by {d}medium, dle) as n, sum(case when level = 0 then 1 else 0 end) over (partition by {d}medium, dle order by run) as seg from h),

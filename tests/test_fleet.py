@@ -10,7 +10,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.operators import attention, placement, reads, summaries, trends
+from fleetlens.operators import attention, chains, placement, reads, summaries, trends
 from fleetlens.sources import readers, sinks
 from fleetlens.streaming import live
 
@@ -276,6 +276,33 @@ def test_frames_to_test(spark):
     assert {r.seq for r in reads.frame_sample(far, frame.filter("dle = 'a'"), 0).collect()} == {4}
     only = spark.createDataFrame([("a", 0, 0, "p", 10)], "dle string, level int, seq int, path string, off bigint")
     assert [(r.seq, r.span) for r in reads.frame_sample(only, frame.filter("dle = 'a'"), 3).collect()] == [(0, 490)]
+    # An archive with a member at an unknown offset has no sample; others have theirs.
+    blind = member.unionByName(spark.createDataFrame([("b", 0, 2, "z", -1)], member.schema))
+    assert [r.dle for r in reads.frame_sample(blind, frame, 0).collect()] == ["a"]
+
+
+def test_units_by_name(spark):
+    unit = spark.createDataFrame([("s", "table.users"), ("s", "table.users_old"), ("s", "table.users_old"), ("s", "users"), ("t", "table.log")], "dle string, path string")
+    wanted = spark.createDataFrame([("s", "users"), ("s", "_old"), ("s", "table"), ("s", "none"), ("t", "log"), ("t", "log"), ("t", ""), ("u", "log")], "dle string, arg string")
+    got = {(r.dle, r.arg): (r.path, r.matches) for r in chains.match_units(unit, wanted, strict=False).collect()}
+    assert got == {("s", "users"): ("users", 1), ("s", "_old"): ("table.users_old", 1), ("s", "table"): (None, 2), ("s", "none"): (None, 0), ("t", "log"): ("table.log", 1), ("t", ""): ("table.log", 1), ("u", "log"): (None, 0)}
+    for arg in ("table", "none"):
+        with pytest.raises(Exception, match="units match " + arg):
+            chains.match_units(unit, wanted.filter(wanted.arg == arg)).collect()
+
+
+def test_members_of_archives_differ(spark):
+    kind = "dle string, level int, path string, off bigint"
+    recorded = spark.createDataFrame([("a", 0, "p", 1), ("a", 0, "p", 5), ("a", 1, "p", 1), ("a", 1, "q", -1)], kind)
+    listed = spark.createDataFrame([("a", 0, "p", 1), ("a", 1, "p", 2), ("a", 1, "q", 9), ("a", 1, "r", 3)], kind)
+    got = sorted((r.level, r.path, r.nth, r.problem) for r in placement.members_diff(recorded, listed, ("dle", "level")).collect())
+    assert got == [(0, "p", 2, "missing"), (1, "p", 1, "offset"), (1, "r", 1, "extra")]
+
+
+def test_weights_of_nights(spark):
+    daily = spark.createDataFrame([("d1", 90, 0), ("d2", 29, 0), ("d3", 30, 0), ("d4", 0, 60), ("d5", 0, 0)], "day string, full_bytes bigint, incr_bytes bigint")
+    assert {r.day: r.weight for r in summaries.load_weights(daily).collect()} == {"d1": 4, "d2": 1, "d3": 2, "d4": 3, "d5": 0}
+    assert summaries.load_weights(daily.filter("day = ''")).count() == 0
 
 
 def test_usage_that_falls_to_zero(spark):
