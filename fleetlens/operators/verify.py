@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.operators.placement import members_diff
-from fleetlens.plans.lineage import cut
+from fleetlens.plans.lineage import cut, tasks
 
 #: Bytes read at a time.
 CHUNK = 1 << 20
@@ -134,13 +134,14 @@ def read_copies(parts: DataFrame, archive: DataFrame | None = None, listing: boo
 
     Only addresses are shuffled: a task opens the parts where they lie, one after another,
     in memory that no part's size touches. Parts behind one that cannot be read are read too.
+    Addresses are few bytes that stand for many, so they are dealt anew by a number of tasks that their size does not change.
     """
     of = F.array_sort(F.collect_list(F.struct("part_no", "uri")))
     rows = parts.groupBy(*COPY).agg(of.alias("parts"))
     known = archive.columns if archive is not None else []
     extra = [(F.coalesce("listable", F.lit(True)) if "listable" in known else F.lit(True)).alias("listable"), (F.coalesce(F.col("compress") == "gzip", F.lit(False)) if "compress" in known else F.lit(False)).alias("packed")]
     rows = rows.join(archive.select("run", "dle", "level", *extra), COPY[:3], "left") if archive is not None else rows.select("*", *extra)
-    rows = rows.na.fill({"listable": True, "packed": False}).repartition(*COPY)
+    rows = rows.na.fill({"listable": True, "packed": False}).repartition(tasks(rows.sparkSession), F.xxhash64(*COPY))
     kinds = ", ".join(f"{c} {parts.schema[c].dataType.simpleString()}" for c in COPY)
     return cut(rows.mapInPandas(partial(_read_copies, listing=listing), f"{kinds}, {ROW}"))
 

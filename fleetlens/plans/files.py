@@ -11,11 +11,11 @@ from collections.abc import Iterator
 
 import pandas as pd
 import pyarrow.fs
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.operators import verify
-from fleetlens.plans.lineage import cut, shared_dir
+from fleetlens.plans.lineage import cut, shared_dir, tasks
 from fleetlens.plans.queries import RUN_LOG, query, run_log
 from fleetlens.plans.tables import Tables, with_views
 from fleetlens.sources import ledger, readers, schemas, sinks
@@ -176,19 +176,21 @@ class Stored:
 
     def __init__(self, t: Tables) -> None:
         root = folder(t, "copies")
-        copies = t.spark.sql(with_views(f"select run, dle, level, members, idx, fault, medium from {COPIES}"))
         named = t.archive.groupBy(F.concat(F.lit("run-"), F.substring("run", 5, 7)).alias("run"), F.col("host").alias("dle"))
         files = named.agg(F.array_sort(F.collect_list(F.struct(F.concat("dle", F.lit("/"), "run").alias("n"), (F.col("compressed") % 900).alias("s")))).alias("m"))
+        copies = t.sql(f"select run, dle, level, members, idx, fault, medium from {COPIES}")
         rows = copies.join(files, ["run", "dle"]).select("run", "dle", "medium", "fault", F.transform("m", lambda x: x["n"]).alias("names"), F.transform("m", lambda x: x["s"]).alias("sizes"))
-        written = cut(rows.filter("medium <> 'vault'").mapInPandas(lambda b: _tars(b, root), "run string, dle string, level int, medium string, part_no int, uri string, size long, sha256 string, whole string, stored long"))
+        rows = rows.filter("medium <> 'vault'").repartition(tasks(t.spark), "run", "dle", "medium")
+        written = cut(rows.mapInPandas(lambda b: _tars(b, root), "run string, dle string, level int, medium string, part_no int, uri string, size long, sha256 string, whole string, stored long"))
         self.parts = written.join(copies.filter("fault = 4").select("run", "dle", "medium"), ["run", "dle", "medium"], "left_anti")
         self.placement = copies.select("run", "dle", "level", "medium")
-        about = t.spark.sql(with_views(f"select run, dle, members, (h + mo) % 10 as idx from {HOST_MONTH}"))
+        about = t.sql(f"select run, dle, members, (h + mo) % 10 as idx from {HOST_MONTH}")
         sums = written.groupBy("run", "dle").agg(F.max("whole").alias("sha256"))
         self.archive = about.join(sums, ["run", "dle"], "left").select("run", "dle", F.lit(0).alias("level"), "sha256", F.when(F.col("idx") == 7, 0).otherwise(F.col("members")).alias("file_count"))
         # Each member is a header and its bytes in whole blocks; one of another name stands for what an index lacks.
-        ends = F.transform("m", lambda x: 512 + 512 * F.ceil(x["s"] / 512))
-        at = files.select("run", "dle", F.posexplode("m").alias("i", "x"), ends.alias("e")).withColumn("off", F.aggregate(F.slice("e", F.lit(1), F.col("i")), F.lit(0).cast("long"), lambda a, n: a + n))
+        before = Window.partitionBy("run", "dle").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
+        room = (512 + 512 * F.ceil(F.col("x.s") / 512)).cast("long")
+        at = files.select("run", "dle", F.posexplode("m").alias("i", "x")).withColumn("off", F.coalesce(F.sum(room).over(before), F.lit(0).cast("long")))
         index = at.join(about.select("run", "dle", "idx"), ["run", "dle"]).filter("idx <> 9").withColumn("path", F.when(F.col("idx").isin(6, 7) & (F.col("i") == 0), "gone").otherwise(F.col("x.n")))
         self.member = index.select("run", "dle", F.lit(0).alias("level"), "path", "off")
         self.media = t.spark.createDataFrame([("disk",), ("tape",)], "medium string")

@@ -159,3 +159,15 @@ def test_reads_of_any_size_give_the_same_digests(tmp_path, step):
         got += part
     assert got == b"one" + b"two" * 500 and parts.digest.hexdigest() == sha(got) and parts.size == len(got)
     assert [(no, s, n, fault) for no, s, n, fault in parts.done] == [(0, sha(b"one"), 3, None), (1, sha(b""), 0, None), (2, sha(b"two" * 500), 1500, None), (3, sha(b""), 0, "open")]
+
+
+def test_small_addresses_are_read_by_many_tasks(spark, tmp_path):
+    """Addresses of all copies are few bytes, yet no task reads all copies."""
+    s = Store(spark, tmp_path)
+    for i in range(24):
+        s.archive(f"c{i}")
+        s.copy(f"c{i}", "disk", [TAR])
+    parts, archive, _ = s.frames()
+    read = verify.read_copies(parts, archive)
+    files = {r.f for r in read.filter("kind = 'copy'").selectExpr("_metadata.file_path as f").collect()}
+    assert len(files) > 1 and read.filter("kind = 'copy'").count() == 24
