@@ -47,6 +47,21 @@ def test_query(spark, duck, name):
         assert len(got.columns) > 0
 
 
+def test_thin_usage_at_its_age(spark, tmp_path):
+    """Samples of exactly the age are young, whichever engine asks."""
+    con = duckdb.connect()
+    for t in TABLES:
+        if t != "events":
+            os.symlink(f"{FOLDER}/{t}.parquet", tmp_path / f"{t}.parquet")
+    aged = "timestamp '2024-01-22 00:00:00'"
+    con.execute(f"copy (select * replace (e.event_id + 1000000 * i as event_id, case when event_id % 3 = 0 then {aged} when event_id % 3 = 1 then {aged} - interval 1 second else ts end as ts) from '{FOLDER}/events.parquet' e, range(2) r(i)) to '{tmp_path}/events.parquet'")
+    con.execute(f"create view events as select * from '{tmp_path}/events.parquet'")
+    got = fleet.QUERIES["thin_usage"](spark, str(tmp_path)).toPandas()
+    assert con.execute("select count(*) > 500 from events").fetchall()[0][0]
+    assert (got["at"] == pd.Timestamp("2024-01-22")).sum() == con.execute(f"select count(*) from events where ts = {aged}").fetchall()[0][0]
+    assert rows(got) == rows(con.execute(fleet.ORACLE["thin_usage"]).df())
+
+
 def test_entry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     assert set(fleet.QUERIES) <= set(__spark_entry__.queries()) and set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
