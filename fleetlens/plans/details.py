@@ -97,8 +97,7 @@ def capacity_incoming(t: Tables) -> DataFrame:
 def expected_volume_fresh(t: Tables) -> DataFrame:
     """The volume to load where every archive is too young to be written over: a fresh one."""
     media = t.medium_dim.withColumn("min_age_days", F.lit(CENTURY))
-    held = retention.held_archives(t.archive, t.placement, media)
-    floor = retention.retention_floor(held, chains.stranded(chains.base_of(t.archive)), now())
+    floor = floor_of(t, media)
     return summaries.expected_volume(t.volume, retention.reusable_volumes(floor, t.part_file, t.volume), False)
 
 

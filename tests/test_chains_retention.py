@@ -175,3 +175,20 @@ def test_chain_places(spark):
     key = "dle string, run string, level int, medium string"
     got = chains.chain_places(chain, spark.createDataFrame(held, key), spark.createDataFrame(parts, key + ", part_no int, label string"))
     assert {r.dle: (r.one_place, r.media) for r in got.collect()} == {"a": (True, "disk, tape:T2+T1+T0"), "b": (False, "L0: cloud, tape:T3+T1 · L1: disk · L2: none")}
+
+
+def test_long_sources_go_by_rounds_and_short_ones_by_lists(spark, monkeypatch):
+    """Both ways give the same, and short sources write no rounds."""
+    df = frame(spark, [r for rows in many(range(4)).values() for r in rows])
+
+    def answers():
+        based = chains.base_of(df)
+        return sorted(map(tuple, based.select("dle", "run", "base").collect()), key=str), sorted(map(tuple, chains.stranded(based).collect()))
+
+    rounds = []
+    counting = chains.cut_counting
+    monkeypatch.setattr(chains, "cut_counting", lambda *a: rounds.append(1) or counting(*a))
+    short = answers()
+    assert not rounds
+    monkeypatch.setattr(chains, "LONG", 6)
+    assert answers() == short and rounds
