@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
-from fleetlens.plans.lineage import cut
+from fleetlens.plans.lineage import cut, tasks
 
 KEY = ["run", "dle", "level"]
 
@@ -56,7 +56,9 @@ def copy_class(archive: DataFrame, placement: DataFrame, route: DataFrame, sync_
     a rule with one promises exactly what the source holds, within its last runs.
     """
     ages = F.broadcast(medium_dim.select("medium", "min_age_days"))
-    base = archive.select(*KEY, "created_at").join(last_fulls(archive), "dle", "left")
+    # Archives are dealt by source and marks by copy to a number of tasks: what one of them sorts and groups does not grow by being joined with others.
+    n = tasks(archive.sparkSession)
+    base = archive.select(*KEY, "created_at").repartition(n, "dle").join(last_fulls(archive), "dle", "left")
     routed = base.join(route.select("dle", "medium"), "dle").join(ages, "medium")
     routed = routed.select(*KEY, "medium", F.when(owed(F.col("min_age_days"), now), 3).otherwise(1).alias("class"))
     landings = route.select(F.col("medium").alias("dst")).distinct()
@@ -74,12 +76,17 @@ def copy_class(archive: DataFrame, placement: DataFrame, route: DataFrame, sync_
     ranked = sources.select("src", "run").distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy("src").orderBy(C.run_key("run").desc())))
     pulled = sources.join(F.broadcast(rules.filter("src <> ''")), "src").join(ranked, ["src", "run"]).filter("last_n <= 0 or _rank <= last_n")
     pulled = pulled.select(*KEY, F.col("dst").alias("medium"), F.lit(2).alias("class"))
-    return routed.unionByName(mirrored).unionByName(pulled).groupBy(*KEY, "medium").agg(F.max("class").alias("class"))
+    return routed.unionByName(mirrored).unionByName(pulled).repartition(n, *KEY, "medium").groupBy(*KEY, "medium").agg(F.max("class").alias("class"))
+
+
+def _dealt(placement: DataFrame) -> DataFrame:
+    """(run, dle, level, medium), a row a copy, dealt as classes are."""
+    return placement.select(*KEY, "medium").repartition(tasks(placement.sparkSession), *KEY, "medium").distinct()
 
 
 def judge_copies(classes: DataFrame, placement: DataFrame) -> DataFrame:
     """Copies of each (run, medium): held, and routed, promised and aged ones with what is missing of them."""
-    held = placement.select(*KEY, "medium").distinct().withColumn("_held", F.lit(True))
+    held = _dealt(placement).withColumn("_held", F.lit(True))
     rows = classes.join(held, [*KEY, "medium"], "full").withColumn("_held", F.coalesce("_held", F.lit(False)))
     n = lambda c: F.sum(F.when(c, 1).otherwise(0)).cast("long")
     k, h = F.col("class"), F.col("_held")
@@ -104,7 +111,7 @@ def copies_summary(judged: DataFrame) -> DataFrame:
 
 def placement_grid(archive: DataFrame, classes: DataFrame, placement: DataFrame) -> DataFrame:
     """(run, dle, level, medium, class, held): each archive against each medium that expects or holds it."""
-    held = placement.select(*KEY, "medium").distinct().withColumn("held", F.lit(True))
+    held = _dealt(placement).withColumn("held", F.lit(True))
     return archive.select(*KEY).join(classes.join(held, [*KEY, "medium"], "full"), KEY).select(*KEY, "medium", F.coalesce("class", F.lit(0)).alias("class"), F.coalesce("held", F.lit(False)).alias("held"))
 
 
@@ -117,7 +124,7 @@ def copies_posture(archive: DataFrame, classes: DataFrame, placement: DataFrame,
     copies = placement.select(*KEY, "medium").distinct().groupBy(*KEY).agg(F.count("*").alias("copies"))
     counted = archive.select(*KEY).join(copies, KEY, "left").fillna(0, ["copies"])
     short = counted.filter(F.col("copies") < wanted)
-    held = placement.select(*KEY, "medium").distinct().withColumn("_held", F.lit(True))
+    held = _dealt(placement).withColumn("_held", F.lit(True))
     open_marks = classes.join(short, KEY, "left_semi").join(held, [*KEY, "medium"], "left").filter("_held is null").groupBy(*KEY).agg(F.max((F.col("class") >= 2).cast("int")).alias("owed"), F.max((F.col("class") == 1).cast("int")).alias("aged"))
     judged = short.join(open_marks, KEY, "left")
     reason = F.when(F.col("copies") == 0, "none").when(F.col("owed") == 1, "backfill").when(F.col("aged") == 1, "aged").otherwise("structural")
