@@ -68,17 +68,21 @@ def drill_files(t: Tables) -> DataFrame:
 def catalogs(t: Tables) -> dict[str, DataFrame]:
     """A catalog document for each host and month, written and read back."""
     path = folder(t, "catalogs")
-    key = [F.col("host"), F.substring("run", 5, 7).alias("month")]
-    archive = t.archive.withColumn("created_at", F.col("created_at").cast("timestamp")).select(*key, "run", F.struct("run", "dle", "host", "path", "level", "compressed", "uncompressed", "file_count", "unreadable", "base_run", "created_at").alias("a"))
-    runs = archive.groupBy("host", "month", "run").agg(F.collect_list("a").alias("archives"))
+    key, n = ["host", "month", "run"], tasks(t.spark)
+    month = F.substring("run", 5, 7).alias("month")
+    archive = t.archive.withColumn("created_at", F.col("created_at").cast("timestamp")).select("host", month, "run", F.struct("run", "dle", "host", "path", "level", "compressed", "uncompressed", "file_count", "unreadable", "base_run", "created_at").alias("a"))
+    # Parts are dealt by archive once, for their copies and the archive's host, and copies by document once, for all that is nested in it.
     at = F.struct(F.struct("label", F.lit(1).alias("epoch"), "pos").alias("at"), F.struct("size", F.lit("x").alias("sha256"), (F.col("size") * 2).alias("raw_size")).alias("seal"))
-    parts = t.part_file.groupBy("run", "dle", "level", "medium").agg(F.array_sort(F.collect_list(F.struct("part_no", at.alias("x")))).alias("p"))
-    placed = parts.select("run", "medium", "dle", F.struct("dle", "level", F.transform("p", lambda p: p["x"]["at"]).alias("parts"), F.transform("p", lambda p: p["x"]["seal"]).alias("seals")).alias("a"))
-    placed = placed.join(t.archive.select("run", "dle", "host"), ["run", "dle"]).groupBy("host", "run", "medium").agg(F.collect_list("a").alias("archives"))
-    placed = placed.groupBy("host", "run").agg(F.collect_list(F.struct("medium", "archives")).alias("placements"))
+    parts = t.part_file.repartition(n, "arch_key").groupBy("arch_key", "run", "dle", "level", "medium").agg(F.array_sort(F.collect_list(F.struct("part_no", at.alias("x")))).alias("p"))
+    placed = parts.join(t.archive.select("arch_key", "host"), "arch_key")
+    placed = placed.select("host", month, "run", "medium", F.struct("dle", "level", F.transform("p", lambda p: p["x"]["at"]).alias("parts"), F.transform("p", lambda p: p["x"]["seal"]).alias("seals")).alias("c"))
+    rows = archive.unionByName(placed, allowMissingColumns=True).repartition(n, "host", "month")
+    media = rows.groupBy(*key, "medium").agg(F.collect_list("a").alias("archives"), F.collect_list("c").alias("copies"))
+    placement = F.when(F.col("medium").isNotNull(), F.struct("medium", F.col("copies").alias("archives")))
+    runs = media.groupBy(*key).agg(F.flatten(F.collect_list("archives")).alias("archives"), F.collect_list(placement).alias("placements"))
     entry = F.struct(F.struct(F.col("run").alias("id"), "archives").alias("run"), "placements")
-    docs = runs.join(placed, ["host", "run"], "left").groupBy("host", "month").agg(F.collect_list(entry).alias("entries"))
-    docs.select("entries").write.option("maxRecordsPerFile", 1).option("timestampFormat", sinks.MICROS).json(path)
+    docs = runs.groupBy("host", "month").agg(F.collect_list(entry).alias("entries"))
+    docs.select("entries").write.option("maxRecordsPerFile", 1).option("compression", "gzip").option("timestampFormat", sinks.MICROS).json(path)
     return readers.read_catalog(t.spark, path)
 
 
