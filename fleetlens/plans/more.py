@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
 from fleetlens.operators import attention, chains, placement, reads, retention, summaries, trends
+from fleetlens.plans.lineage import cut
 from fleetlens.plans.queries import AS_OF, CHAIN, chain_rows, configured, ET, events_now, EVOLUTION, floor_of, floor_sql, now, query, RUN_LOG, run_log
 from fleetlens.plans.tables import Tables
 from fleetlens.sources import readers, sinks
@@ -53,7 +54,9 @@ def expected_volume(t: Tables) -> DataFrame:
 
 @query(floor_sql() + ", kept as (select distinct medium, run from floor where kind is not null and kind <> 'CONDEMNED'), r as (select label, last_run from volume where label not in (select p.label from part_file p join kept k on k.medium = p.medium and k.run = p.run)), o as (select min(label) as label from r where last_run = (select min(last_run) from r)) select label, 0::bigint as used, label is null as fresh from o")
 def expected_volume_anew(t: Tables) -> DataFrame:
-    return summaries.expected_volume(t.volume, retention.reusable_volumes(floor_of(t), t.part_file, t.volume), False)
+    _, parts = t.archive, t.part_file  # written in this order, as parts are made of archives, copies and volumes of parts
+    volume = cut(t.volume)
+    return summaries.expected_volume(volume, retention.reusable_volumes(floor_of(t), parts, volume), False)
 
 
 @query("select run, dle, level, medium, arch_key, case when arch_key % 3 = 0 then parts + 100 else parts end as parts, bytes from placement")
