@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
+from fleetlens.plans.lineage import cut
 
 #: Failure classes of drills, whether each is a failure, and what to do.
 DRILL_CLASSES = [
@@ -27,13 +28,15 @@ def classified(ledger: DataFrame, classes: DataFrame) -> DataFrame:
     return ledger.join(F.broadcast(classes), "class", "left").withColumn("is_failure", F.coalesce("is_failure", F.lit(False))).withColumn("remedy", F.coalesce("remedy", F.lit("")))
 
 
-def attention(*parts: tuple[str, str, DataFrame]) -> DataFrame:
-    """(rank, severity, topic, subject): rows of several findings, red before amber. Each part is (severity, topic, DataFrame with `subject`)."""
+def attention(*parts: tuple[str | Column, str | Column, DataFrame]) -> DataFrame:
+    """(rank, severity, topic, subject): rows of several findings, red before amber. Each part is (severity, topic, DataFrame with `subject`); a severity or topic that differs by row is a Column, so that no part is read once for each."""
     out: DataFrame | None = None
     for severity, topic, df in parts:
-        rows = df.select(F.lit(0 if severity == "red" else 1).alias("rank"), F.lit(severity).alias("severity"), F.lit(topic).alias("topic"), F.col("subject").cast("string").alias("subject"))
+        severity, topic = (F.lit(x) if isinstance(x, str) else x for x in (severity, topic))
+        rows = df.select(F.when(severity == "red", 0).otherwise(1).alias("rank"), severity.alias("severity"), topic.alias("topic"), F.col("subject").cast("string").alias("subject"))
         out = rows if out is None else out.unionByName(rows)
-    return out.orderBy("rank", "topic", "subject")
+    # Written before they are sorted, as ranges are drawn from the rows: they would be worked out again for it.
+    return cut(out).orderBy("rank", "topic", "subject")
 
 
 def route_alerts(run_log: DataFrame, channels: DataFrame) -> DataFrame:
@@ -78,9 +81,9 @@ def medium_alerts(media: DataFrame, now: Column) -> DataFrame:
 
 
 def stale_alerts(stale: DataFrame, configured: DataFrame) -> DataFrame:
-    """(subject): stale sources (dle), those of a host with TOGETHER or more as one: 'host: n of m'. configured has dle and host; sources without a host stand alone."""
+    """(subject): stale sources (dle), those of a host with TOGETHER or more as one: 'host: n of m'. configured has dle and host; sources without a host stand alone. Which are stale is written once, as it is read by host and by source."""
     known = configured.select("dle", F.when(F.col("host") != "", F.col("host")).alias("host")).distinct()
-    rows = stale.select("dle").distinct().join(known, "dle", "left")
+    rows = cut(stale.select("dle").distinct().join(known, "dle", "left"))
     late = rows.filter("host is not null").groupBy("host").agg(F.count("*").alias("n")).filter(F.col("n") >= TOGETHER)
     every = known.filter("host is not null").groupBy("host").agg(F.count("*").alias("m"))
     hosts = late.join(every, "host").select(F.format_string("%s: %d of %d", "host", "n", "m").alias("subject"))
@@ -118,21 +121,19 @@ def findings(last_runs: DataFrame, media: DataFrame, ledger: DataFrame, overdue:
     how many drills are overdue beside those that fail, as one; stale sources, by host; odd
     sizes and slow dumps; rules of copies. last_runs has a row a command, ledger a row a
     source (ok), overdue the sources whose drill is, failing ones included; media, points,
-    copies: see medium_alerts, newest_unrestorable, copy_alerts.
+    copies: see medium_alerts, newest_unrestorable, copy_alerts. Each table is worked out
+    once, failing sources twice: their ledger should be written.
     """
-    name = lambda df, c: df.select(F.col(c).alias("subject"))
-    failing = name(ledger.filter("not ok"), "dle")
+    name = lambda df, c: df.withColumnRenamed(c, "subject")
+    failing = ledger.filter("not ok").select(F.col("dle").alias("subject"))
     gap = overdue.select("dle").distinct().join(failing.withColumnRenamed("subject", "dle"), "dle", "left_anti").agg(F.count("*").alias("n")).filter("n > 0").select(F.col("n").alias("subject"))
-    parts = [
-        ("red", "failed", name(last_runs.filter("status = 'FAILED'"), "command")), ("amber", "warning", name(last_runs.filter("status = 'WARNING'"), "command")),
+    failed = F.col("status") == "FAILED"
+    return attention(
+        (F.when(failed, "red").otherwise("amber"), F.when(failed, "failed").otherwise("warning"), name(last_runs.filter(F.col("status").isin("FAILED", "WARNING")), "command")),
         ("red", "drill failing", failing), ("amber", "drill overdue", gap), ("red", "unrestorable", newest_unrestorable(points)), ("amber", "stale", stale_alerts(stale, configured)),
         ("amber", "size anomaly", name(sizes, "dle")), ("amber", "slow dump", name(slow, "dle")),
-    ]
-    alerts = medium_alerts(media, now)
-    for topic, severity in (("over capacity", "red"), ("no room", "red"), ("last volume", "amber"), ("retention pressure", "amber"), ("capacity forecast", "amber")):
-        parts.append((severity, topic, alerts.filter(F.col("topic") == topic)))
-    parts += [(severity, "recoverability", copies.filter(F.col("severity") == severity)) for severity in ("red", "amber")]
-    return attention(*parts)
+        (F.col("severity"), F.col("topic"), medium_alerts(media, now)), (F.col("severity"), "recoverability", copies),
+    )
 
 
 def metrics(summary: DataFrame, totals: DataFrame, medium_dim: DataFrame, last_runs: DataFrame, counts: DataFrame) -> DataFrame:

@@ -11,6 +11,12 @@ from fleetlens.plans.lineage import cut, tasks
 KEY = ["run", "dle", "level"]
 
 
+def with_media(archive: DataFrame, placement: DataFrame, key: list[str]) -> DataFrame:
+    """archive with media: the sorted names of the media that have a copy, none for an archive without; key names the columns that tell archives apart in both."""
+    copies = placement.groupBy(*key).agg(F.sort_array(F.collect_set("medium")).alias("media"))
+    return archive.join(copies, key, "left").withColumn("media", F.coalesce("media", F.array().cast("array<string>")))
+
+
 def archives_on(archive: DataFrame, placement: DataFrame, medium: str) -> DataFrame:
     return archive.join(placement.filter(F.col("medium") == medium), KEY, "left_semi")
 
@@ -49,16 +55,18 @@ def owed(min_age_days: Column, now: Column) -> Column:
     return F.col("last_full").isNull() | (C.run_key("run") >= F.col("last_full")) | young
 
 
-def copy_class(archive: DataFrame, placement: DataFrame, route: DataFrame, sync_rule: DataFrame, medium_dim: DataFrame, now: Column) -> DataFrame:
+def copy_class(archive: DataFrame, placement: DataFrame, route: DataFrame, sync_rule: DataFrame, medium_dim: DataFrame, now: Column, of: DataFrame | None = None) -> DataFrame:
     """(run, dle, level, medium, class): 3 routed, 2 promised by a rule, 1 aged out, for each copy that is or was expected.
 
     A rule without a source promises every archive to a medium that is no source's landing;
-    a rule with one promises exactly what the source holds, within its last runs.
+    a rule with one promises exactly what the source holds, within its last runs. With `of`
+    (archives with media, see with_media) only the copies of these are given; last fulls and
+    newest runs are still those of all.
     """
     ages = F.broadcast(medium_dim.select("medium", "min_age_days"))
     # Archives are dealt by source and marks by copy to a number of tasks: what one of them sorts and groups does not grow by being joined with others.
     n = tasks(archive.sparkSession)
-    base = archive.select(*KEY, "created_at").repartition(n, "dle").join(last_fulls(archive), "dle", "left")
+    base = (archive if of is None else of).select(*KEY, "created_at").repartition(n, "dle").join(last_fulls(archive), "dle", "left")
     routed = base.join(route.select("dle", "medium"), "dle").join(ages, "medium")
     routed = routed.select(*KEY, "medium", F.when(owed(F.col("min_age_days"), now), 3).otherwise(1).alias("class"))
     landings = route.select(F.col("medium").alias("dst")).distinct()
@@ -68,13 +76,14 @@ def copy_class(archive: DataFrame, placement: DataFrame, route: DataFrame, sync_
     runs = archive.select(C.run_key("run").alias("_key")).distinct()
     limits = [r.last_n for r in auto.select("last_n").distinct().collect() if r.last_n > 0]  # rules are configuration
     since = auto.filter("last_n <= 0").select("last_n", F.lit("").alias("_since")).distinct()
-    for n in limits:
-        since = since.unionByName(runs.orderBy(F.col("_key").desc()).limit(n).agg(F.min("_key").alias("_since")).select(F.lit(n).alias("last_n"), "_since"))
+    for last in limits:
+        since = since.unionByName(runs.orderBy(F.col("_key").desc()).limit(last).agg(F.min("_key").alias("_since")).select(F.lit(last).alias("last_n"), "_since"))
     mirrored = base.join(F.broadcast(auto.join(since, "last_n")), C.run_key("run") >= F.col("_since")).join(F.broadcast(medium_dim.select(F.col("medium").alias("dst"), "min_age_days")), "dst")
     mirrored = mirrored.select(*KEY, F.col("dst").alias("medium"), F.when(owed(F.col("min_age_days"), now), 2).otherwise(1).alias("class"))
     sources = placement.select("medium", *KEY).distinct().withColumnRenamed("medium", "src")
+    held = sources if of is None else of.select(*KEY, F.explode("media").alias("src"))
     ranked = sources.select("src", "run").distinct().withColumn("_rank", F.dense_rank().over(Window.partitionBy("src").orderBy(C.run_key("run").desc())))
-    pulled = sources.join(F.broadcast(rules.filter("src <> ''")), "src").join(ranked, ["src", "run"]).filter("last_n <= 0 or _rank <= last_n")
+    pulled = held.join(F.broadcast(rules.filter("src <> ''")), "src").join(ranked, ["src", "run"]).filter("last_n <= 0 or _rank <= last_n")
     pulled = pulled.select(*KEY, F.col("dst").alias("medium"), F.lit(2).alias("class"))
     return routed.unionByName(mirrored).unionByName(pulled).repartition(n, *KEY, "medium").groupBy(*KEY, "medium").agg(F.max("class").alias("class"))
 
@@ -121,10 +130,19 @@ def copies_posture(archive: DataFrame, classes: DataFrame, placement: DataFrame,
     none: no copy at all; backfill: a promise is not met yet; aged: copies rotated away;
     structural: no route or rule asks for more. Only short archives are judged.
     """
-    copies = placement.select(*KEY, "medium").distinct().groupBy(*KEY).agg(F.count("*").alias("copies"))
-    counted = archive.select(*KEY).join(copies, KEY, "left").fillna(0, ["copies"])
-    short = counted.filter(F.col("copies") < wanted)
-    held = _dealt(placement).withColumn("_held", F.lit(True))
+    return short_posture(cut(short_of(with_media(archive, placement, KEY), wanted)), classes)
+
+
+def short_of(copied: DataFrame, wanted: int = 2) -> DataFrame:
+    """Of archives with media (see with_media) those with fewer than `wanted` copies."""
+    return copied.filter(F.size("media") < wanted)
+
+
+def short_posture(short: DataFrame, classes: DataFrame) -> DataFrame:
+    """copies_posture of short archives with media; classes may be those of all archives, or of these alone."""
+    copies = F.size("media").cast("long")
+    held = short.select(*KEY, F.explode("media").alias("medium")).withColumn("_held", F.lit(True))
+    short = short.select(*KEY, copies.alias("copies"))
     open_marks = classes.join(short, KEY, "left_semi").join(held, [*KEY, "medium"], "left").filter("_held is null").groupBy(*KEY).agg(F.max((F.col("class") >= 2).cast("int")).alias("owed"), F.max((F.col("class") == 1).cast("int")).alias("aged"))
     judged = short.join(open_marks, KEY, "left")
     reason = F.when(F.col("copies") == 0, "none").when(F.col("owed") == 1, "backfill").when(F.col("aged") == 1, "aged").otherwise("structural")

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fleetlens.functions import columns as C
+from fleetlens.plans.lineage import cut
 
 DAY = 86400
 #: Reach of a trend, dumps compared with, and what makes a difference notable.
@@ -66,6 +67,13 @@ def usage_growth(usage: DataFrame, capacity: DataFrame, days: int = 30) -> DataF
     return out.select("medium", "per_day", F.when((F.col("capacity") > F.col("z.used")) & (F.col("per_day") > 0), F.expr("(capacity - z.used) div per_day")).alias("full_in_days"))
 
 
+def of_newest_run(dump_stat: DataFrame) -> DataFrame:
+    """All dumps of the sources that the newest run dumped, written once: what size_anomalies and slow_dumps look at of a fleet."""
+    newest = dump_stat.agg(F.max(F.struct("ended_at", "run_id")).alias("_new"))
+    new = cut(dump_stat.join(F.broadcast(newest), F.col("run_id") == F.col("_new.run_id")).select("dle").distinct())  # one row
+    return cut(dump_stat.join(new, "dle", "left_semi"))
+
+
 def _with_priors(dump_stat: DataFrame, value: Column) -> DataFrame:
     """The dumps of the newest run with the values of the up to PRIORS dumps of the same source and level before it, two at least.
 
