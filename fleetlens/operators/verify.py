@@ -8,6 +8,7 @@ import tarfile
 import zlib
 from collections.abc import Iterator
 from functools import partial
+from itertools import islice
 
 import pandas as pd
 import pyarrow.fs
@@ -20,6 +21,9 @@ from fleetlens.plans.lineage import cut, tasks
 #: Bytes read at a time.
 CHUNK = 1 << 20
 
+#: Bytes a tar archive is listed by: what is left of them is copied for each member.
+WINDOW = 1 << 14
+
 #: A tar archive is whole blocks of so many bytes.
 BLOCK = 512
 
@@ -77,13 +81,17 @@ class Parts:
 
 
 class Counted:
-    """A stream that counts what it gives."""
+    """A stream that counts what it gives, in pieces of any size from larger reads."""
 
     def __init__(self, stream) -> None:
         self.stream, self.size = stream, 0
+        self.got, self.at = b"", 0
 
     def read(self, n: int = CHUNK) -> bytes:
-        out = self.stream.read(n)
+        if self.at == len(self.got):
+            self.got, self.at = self.stream.read(CHUNK), 0
+        out = self.got[self.at : self.at + n]
+        self.at += len(out)
         self.size += len(out)
         return out
 
@@ -92,7 +100,7 @@ def _members(parts: Parts, packed: bool) -> Iterator[tuple]:
     """(place, path, offset) of each member of a tar archive, and (-1, '', -1) at the end of one that cannot be read to it."""
     plain = Counted(gzip.GzipFile(fileobj=parts, mode="rb") if packed else parts)
     try:
-        with tarfile.open(fileobj=plain, mode="r|", bufsize=CHUNK) as tar:
+        with tarfile.open(fileobj=plain, mode="r|", bufsize=WINDOW) as tar:
             for i, m in enumerate(tar):
                 yield i, m.name + ("/" if m.isdir() else ""), m.offset
                 tar.members.clear()
@@ -109,15 +117,13 @@ def _read_copies(batches: Iterator[pd.DataFrame], listing: bool) -> Iterator[pd.
     for batch in batches:
         for *copy, parts, listable, packed in batch[[*COPY, "parts", "listable", "packed"]].itertuples(index=False):
             source = Parts([(int(p["part_no"]), p["uri"]) for p in parts])
-            rows: list[tuple] = []
-            if listing and listable:
-                for seq, path, off in _members(source, packed):
-                    rows.append((*copy, "member", None, None, None, None, seq, path, off))
-                    if len(rows) == 10_000:
-                        yield pd.DataFrame(rows, columns=names)
-                        rows = []
+            listed = _members(source, packed) if listing and listable else iter(())
+            while some := list(islice(listed, 10_000)):
+                seqs, paths, offs = zip(*some, strict=True)
+                known = dict(zip(COPY, copy, strict=True)) | {"kind": "member", "seq": seqs, "path": paths, "off": offs}
+                yield pd.DataFrame({c: known.get(c) for c in names})
             source.drain()
-            rows += [(*copy, "part", no, sha, size, fault, None, None, None) for no, sha, size, fault in source.done]
+            rows = [(*copy, "part", no, sha, size, fault, None, None, None) for no, sha, size, fault in source.done]
             rows.append((*copy, "copy", None, source.digest.hexdigest(), source.size, None, None, None, None))
             yield pd.DataFrame(rows, columns=names)
 
@@ -162,6 +168,14 @@ def stream_faults(read: DataFrame, parts: DataFrame) -> DataFrame:
     return bad.groupBy(*COPY).agg(F.min_by("verdict", "part_no").alias("fault"))
 
 
+def _tally(rows: DataFrame, keys: list[str]) -> DataFrame:
+    """(keys..., n, unknown, sums) of lists of members (path, off): how many they are, how many have no known offset, and sums of 128 bits of hash a member, which tell lists apart in whatever order. The sums are of half words, so that they hold 2^31 members."""
+    hashes = [F.xxhash64(F.lit(seed), "path", F.col("off").cast("long")) for seed in (1, 2)]
+    halves = [half for h in hashes for half in (h.bitwiseAND(F.lit(0xFFFFFFFF)), F.shiftrightunsigned(h, 32))]
+    unknown = F.count_if(~F.coalesce(F.col("off") >= 0, F.lit(False)))
+    return rows.groupBy(*keys).agg(F.count("*").alias("n"), unknown.alias("unknown"), F.array(*map(F.sum, halves)).alias("sums"))
+
+
 def structural_verdict(read: DataFrame, parts: DataFrame, archive: DataFrame, member: DataFrame) -> DataFrame:
     """(run, dle, level, medium, class): class '' for a copy that lists cleanly as its index says, else what is wrong.
 
@@ -169,19 +183,26 @@ def structural_verdict(read: DataFrame, parts: DataFrame, archive: DataFrame, me
     listed to its end is pipeline. Members that differ from the index (member: run, dle,
     level, path, off) in names, numbers or known offsets are integrity. Nothing is compared
     where the archive has file_count 0, no index, or cannot be listed: then a clean stream
-    is all there is to prove.
+    is all there is to prove. Lists are compared where they lie, by sums over their
+    members; only those with unknown offsets are shuffled.
     """
     copies = read.filter("kind = 'copy'").select(*COPY)
     listed = read.filter("kind = 'member'")
     broken = listed.filter("seq < 0").select(*COPY, F.lit(True).alias("_broken")).distinct()
     can_list = F.coalesce("listable", F.lit(True)) if "listable" in archive.columns else F.lit(True)
     compared = archive.filter(can_list & (F.coalesce("file_count", F.lit(0)) > 0)).select(*COPY[:3]).distinct()
-    indexed = cut(copies.join(compared, COPY[:3]).join(member.select(*COPY[:3]).distinct(), COPY[:3]))
-    name = F.to_json(F.struct(*COPY)).alias("dle")
-    recorded = member.join(indexed, COPY[:3]).select(name, "path", "off")
-    found = listed.filter("seq >= 0").join(indexed, COPY, "left_semi").select(name, "path", "off")
-    differs = members_diff(recorded, found).select(F.col("dle").alias("_name")).distinct().withColumn("_differs", F.lit(True))
-    rows = copies.join(stream_faults(read, parts), COPY, "left").join(broken, COPY, "left").withColumn("_name", F.to_json(F.struct(*COPY))).join(differs, "_name", "left")
+    recorded = _tally(member, COPY[:3]).withColumnsRenamed({"n": "_n", "sums": "_sums"})
+    indexed = cut(copies.join(compared, COPY[:3]).join(recorded, COPY[:3]))
+    found = listed.filter("seq >= 0")
+    same = F.col("n").eqNullSafe(F.col("_n")) & F.col("sums").eqNullSafe(F.col("_sums"))
+    differs = indexed.filter("unknown = 0").join(_tally(found, COPY).drop("unknown"), COPY, "left").filter(~same).select(*COPY)
+    partly = indexed.filter("unknown > 0").select(*COPY)
+    if partly.head(1):
+        # Members without an offset match any: their lists are paired member by member.
+        problems = members_diff(member.join(partly, COPY[:3]).select(*COPY, "path", "off"), found.join(partly, COPY, "left_semi").select(*COPY, "path", "off"), tuple(COPY))
+        differs = differs.unionByName(problems.select(*COPY).distinct())
+    differs = differs.withColumn("_differs", F.lit(True))
+    rows = copies.join(stream_faults(read, parts), COPY, "left").join(broken, COPY, "left").join(differs, COPY, "left")
     verdict = F.coalesce("fault", F.when(F.col("_broken"), F.lit(PIPELINE)), F.when(F.col("_differs"), F.lit(INTEGRITY)), F.lit(""))
     return rows.select(*COPY, verdict.alias("class"))
 
