@@ -3,11 +3,13 @@
 from __future__ import annotations
 
 import hashlib
-import io
 import json
 import tarfile
 import uuid
+import zlib
 from collections.abc import Iterator
+from functools import cached_property
+from itertools import groupby
 
 import pandas as pd
 import pyarrow.fs
@@ -147,26 +149,69 @@ def store_scan(t: Tables) -> DataFrame:
     return found.select("run", "pos", "bytes", "dle", (F.col("payload").isNull() | F.col("sidecar").isNull()).alias("torn"))
 
 
+#: Where the first part of a tar ends and the second begins.
+SPLIT = 700
+
+#: The header of a file without name and bytes, and the sum of its bytes beside those of the size.
+BLANK = tarfile.TarInfo().tobuf(tarfile.USTAR_FORMAT)
+BLANK_SUM = int(BLANK[148:154], 8) - sum(b"0" * 11)
+
+
+def _header(name: str, size: int) -> bytes:
+    """What tarfile writes before a file of a short name: there is one for each archive of the driver's tables."""
+    own, digits = name.encode(), b"%011o" % size
+    return own + BLANK[len(own) : 124] + digits + BLANK[135:148] + b"%06o" % (BLANK_SUM + sum(own) + sum(digits)) + BLANK[154:]
+
+
+class Packed:
+    """A tar archive gzipped as it is made, in two parts that are unpacked one behind another: memory holds what is packed."""
+
+    def __init__(self) -> None:
+        self.size, self.todo = 0, bytearray()
+        self.packers = [zlib.compressobj(1, zlib.DEFLATED, 31) for _ in range(2)]
+        self.parts = [bytearray(), bytearray()]
+
+    def _pack(self) -> None:
+        first = max(0, SPLIT - self.size)
+        for no, data in enumerate((self.todo[:first], self.todo[first:])):
+            self.parts[no] += self.packers[no].compress(data)
+        self.size += len(self.todo)
+        self.todo.clear()
+
+    def add(self, name: str, size: int) -> None:
+        self.todo += _header(name, size) + b"y" * size + bytes(-size % tarfile.BLOCKSIZE)
+        if len(self.todo) > 1 << 16:
+            self._pack()
+
+    def close(self) -> list[bytes]:
+        end = 2 * tarfile.BLOCKSIZE
+        self.todo += bytes(end + -(self.size + len(self.todo) + end) % tarfile.RECORDSIZE)
+        self._pack()
+        return [bytes(part + packer.flush()) for part, packer in zip(self.parts, self.packers, strict=True)]
+
+
 def _tars(batches: Iterator[pd.DataFrame], root: str) -> Iterator[pd.DataFrame]:
-    """Writes a tar for each row (run, dle, medium, fault, names, sizes) in two parts, the second with the fault, and gives what a catalog records of them."""
-    for batch in batches:
-        rows = []
-        for run, dle, medium, fault, names, sizes in batch[["run", "dle", "medium", "fault", "names", "sizes"]].itertuples(index=False):
-            out = io.BytesIO()
-            with tarfile.open(fileobj=out, mode="w") as tar:
-                for name, size in zip(names, sizes, strict=True):
-                    info = tarfile.TarInfo(name)
-                    info.size = int(size)
-                    tar.addfile(info, io.BytesIO(b"y" * int(size)))
-            data = out.getvalue()
+    """Writes the tar of each archive once for each of its copies, in two parts, the second with the copy's fault, and gives what a catalog records of them. An archive's rows come together: its copies (member false, medium as name, fault as size), then its members in order."""
+    rows = (r for batch in batches for r in batch[["run", "dle", "member", "name", "size"]].itertuples(index=False, name=None))
+    for (run, dle), own in groupby(rows, key=lambda r: r[:2]):
+        tar, copies = Packed(), []
+        for _, _, member, name, size in own:
+            if not member:
+                copies.append((name, size))
+            elif copies:
+                tar.add(name, size)
+        parts, out = tar.close(), []
+        whole, stored = hashlib.sha256(b"".join(parts)).hexdigest(), sum(map(len, parts))
+        for medium, fault in copies:
             sealed = fault not in (2, 5)
-            for no, part in enumerate((data[:700], data[700:])):
+            for no, part in enumerate(parts):
                 uri = f"{root}/{medium}/{run}/{dle}.{no}"
-                changed = part[:-1] + b"?" if no == 1 and fault in (1, 5) else part[:100] if no == 1 and fault == 2 else part
+                # The byte changed is one that unpacking does not look at: the fifth, of a time.
+                changed = part[:4] + b"?" + part[5:] if no == 1 and fault in (1, 5) else part[: len(part) // 2] if no == 1 and fault == 2 else part
                 if not (fault == 3 and no == 0):
                     _write(uri, changed)
-                rows.append((run, dle, 0, medium, no, uri, len(part), hashlib.sha256(part).hexdigest() if sealed else None, hashlib.sha256(data).hexdigest(), len(data)))
-        yield pd.DataFrame(rows, columns=["run", "dle", "level", "medium", "part_no", "uri", "size", "sha256", "whole", "stored"])
+                out.append((run, dle, 0, medium, no, uri, len(part), hashlib.sha256(part).hexdigest() if sealed else None, whole, stored))
+        yield pd.DataFrame(out, columns=["run", "dle", "level", "medium", "part_no", "uri", "size", "sha256", "whole", "stored"])
 
 
 #: An archive for each host and month, named in SQL that both engines read, with two copies. fault of a copy: 1 a byte changed, 2 cut short without seals, 3 a part gone, 4 no position, 5 a byte changed without seals. index of an archive: 6 lacks a member, 7 not counted, 9 none. Runs of a December have no copy.
@@ -176,29 +221,36 @@ CLASS = "case when medium = 'vault' then '' when fault = 4 then 'missing' when f
 
 
 class Stored:
-    """Copies written as files, and what is recorded of them: parts, archive, placement and the members index."""
+    """Copies written as files, gzipped, and what is recorded of them: parts, archive, placement and the members index. read: what reading the copies found, their members too with listing."""
 
-    def __init__(self, t: Tables) -> None:
+    def __init__(self, t: Tables, listing: bool = True) -> None:
         root = folder(t, "copies")
-        named = t.archive.groupBy(F.concat(F.lit("run-"), F.substring("run", 5, 7)).alias("run"), F.col("host").alias("dle"))
-        files = named.agg(F.array_sort(F.collect_list(F.struct(F.concat("dle", F.lit("/"), "run").alias("n"), (F.col("compressed") % 900).alias("s")))).alias("m"))
-        copies = t.sql(f"select run, dle, level, members, idx, fault, medium from {COPIES}")
-        rows = copies.join(files, ["run", "dle"]).select("run", "dle", "medium", "fault", F.transform("m", lambda x: x["n"]).alias("names"), F.transform("m", lambda x: x["s"]).alias("sizes"))
-        rows = rows.filter("medium <> 'vault'").repartition(tasks(t.spark), "run", "dle", "medium")
+        # The archives are read three times, for a few columns: those are written, not the table.
+        self.files = cut(t.sql("select concat('run-', substr(run, 5, 7)) as run, host, concat(dle, '/', run) as name, compressed % 900 as size from archive"))
+        view = f"files_{uuid.uuid4().hex}"
+        self.files.createOrReplaceTempView(view)
+        here = lambda text: cut(t.sql(text.replace("from archive", f"from {view}")))
+        copies = here(f"select run, dle, level, members, idx, fault, medium from {COPIES}")
+        self.about = here(f"select run, dle, members, (h + mo) % 10 as idx from {HOST_MONTH}")
+        heads = copies.filter("medium <> 'vault'").select("run", "dle", F.lit(False).alias("member"), F.col("medium").alias("name"), F.col("fault").cast("long").alias("size"))
+        rows = heads.unionByName(self.files.select("run", F.col("host").alias("dle"), F.lit(True).alias("member"), "name", "size"))
+        rows = rows.repartition(tasks(t.spark), "run", "dle").sortWithinPartitions("run", "dle", "member", "name")
         written = cut(rows.mapInPandas(lambda b: _tars(b, root), "run string, dle string, level int, medium string, part_no int, uri string, size long, sha256 string, whole string, stored long"))
         self.parts = written.join(copies.filter("fault = 4").select("run", "dle", "medium"), ["run", "dle", "medium"], "left_anti")
         self.placement = copies.select("run", "dle", "level", "medium")
-        about = t.sql(f"select run, dle, members, (h + mo) % 10 as idx from {HOST_MONTH}")
         sums = written.groupBy("run", "dle").agg(F.max("whole").alias("sha256"))
-        self.archive = about.join(sums, ["run", "dle"], "left").select("run", "dle", F.lit(0).alias("level"), "sha256", F.when(F.col("idx") == 7, 0).otherwise(F.col("members")).alias("file_count"))
-        # Each member is a header and its bytes in whole blocks; one of another name stands for what an index lacks.
-        before = Window.partitionBy("run", "dle").orderBy("i").rowsBetween(Window.unboundedPreceding, -1)
-        room = (512 + 512 * F.ceil(F.col("x.s") / 512)).cast("long")
-        at = files.select("run", "dle", F.posexplode("m").alias("i", "x")).withColumn("off", F.coalesce(F.sum(room).over(before), F.lit(0).cast("long")))
-        index = at.join(about.select("run", "dle", "idx"), ["run", "dle"]).filter("idx <> 9").withColumn("path", F.when(F.col("idx").isin(6, 7) & (F.col("i") == 0), "gone").otherwise(F.col("x.n")))
-        self.member = index.select("run", "dle", F.lit(0).alias("level"), "path", "off")
+        self.archive = self.about.join(sums, ["run", "dle"], "left").select("run", "dle", F.lit(0).alias("level"), "sha256", F.when(F.col("idx") == 7, 0).otherwise(F.col("members")).alias("file_count"), F.lit("gzip").alias("compress"))
         self.media = t.spark.createDataFrame([("disk",), ("tape",)], "medium string")
-        self.read = verify.read_copies(self.parts, self.archive)
+        self.read = verify.read_copies(self.parts, self.archive, listing)
+
+    @cached_property
+    def member(self) -> DataFrame:
+        # Each member is a header and its bytes in whole blocks; one of another name stands for what an index lacks.
+        order = Window.partitionBy("run", "dle").orderBy("name")
+        room = (512 + 512 * F.ceil(F.col("size") / 512)).cast("long")
+        at = self.files.withColumnRenamed("host", "dle").withColumns({"off": F.coalesce(F.sum(room).over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0).cast("long")), "i": F.row_number().over(order) - 1})
+        index = at.join(self.about.select("run", "dle", "idx"), ["run", "dle"]).filter("idx <> 9").withColumn("path", F.when(F.col("idx").isin(6, 7) & (F.col("i") == 0), "gone").otherwise(F.col("name")))
+        return cut(index.select("run", "dle", F.lit(0).alias("level"), "path", "off"))
 
 
 @query(f"select run, dle, medium, no as part_no, case when fault = 3 and no = 0 then 'pipeline' when fault in (2, 5) then 'skipped' when fault = 1 and no = 1 then 'integrity' else 'ok' end as verdict from {COPIES}, (values (0), (1)) as p(no) where medium <> 'vault' and fault <> 4")
