@@ -256,7 +256,7 @@ class Stored:
 @query(f"select run, dle, medium, no as part_no, case when fault = 3 and no = 0 then 'pipeline' when fault in (2, 5) then 'skipped' when fault = 1 and no = 1 then 'integrity' else 'ok' end as verdict from {COPIES}, (values (0), (1)) as p(no) where medium <> 'vault' and fault <> 4")
 def verify_parts(t: Tables) -> DataFrame:
     """Every stored part against its recorded size and checksum."""
-    s = Stored(t)
+    s = Stored(t, listing=False)
     return verify.verify_parts(s.read, s.parts).select("run", "dle", "medium", "part_no", "verdict")
 
 

@@ -32,6 +32,12 @@ def test_copies_are_stored_packed(spark):
     assert got == {tuple(r) for r in wanted.join(whole.select("run", "dle").distinct(), ["run", "dle"], "left_semi").collect()}
 
 
+@pytest.mark.skipif(not os.path.isdir(FOLDER), reason="driver tables are not here")
+def test_seals_alone_list_nothing(spark):
+    s = files.Stored(Tables(spark, FOLDER), listing=False)
+    assert s.read.filter("kind = 'member'").count() == 0 and s.read.filter("kind = 'part'").count() == s.parts.count() > 0
+
+
 def test_packed_archives_are_what_tarfile_writes():
     out, packed = io.BytesIO(), files.Packed()
     with tarfile.open(fileobj=out, mode="w", format=tarfile.USTAR_FORMAT) as tar:
